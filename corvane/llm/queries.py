@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import divergence, exact_dedup, mixing, ngram_join, packing, quality, toxicity
+from . import divergence, exact_dedup, katz, mixing, ngram_join, packing, pseudonyms, quality, sharding, toxicity
 from .common import table
 
 
@@ -32,13 +32,36 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(table(spark, sf_dir, "documents"))
 
 
+#: The key of the registered query only; users bring their own, from a secret store.
+DEMO_KEY = "demonstration"
+
+
+def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), DEMO_KEY).select("doc_id", "text", "n_replaced")
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_quality_classifier, op4_quality_rules, op5_ngram_jaccard, op6_exact_dedup, op9_packing)}
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_quality_classifier, op4_quality_rules, op5_ngram_jaccard, op6_exact_dedup, op7_pseudonyms, op8_sharding, op9_packing, op10_katz)}
 
 SQL = {
+    "op8_sharding": r"""
+with r as (select doc_id, coalesce(octet_length(encode(text)), 0) as n_bytes, ('0x' || substr(md5(coalesce(doc_id::varchar, '') || chr(31) || md5(coalesce(text, ''))), 1, 15))::bigint as k from documents),
+d as (select unnest(range(0, 41)) as d),
+s as (select d, k >> (60 - d)::int as p, sum(n_bytes)::bigint as b from r, d group by all),
+l as (select r.doc_id, r.n_bytes, r.k, min(s.d) as depth from r, s where s.p = r.k >> (60 - s.d)::int and s.b <= 1048576 group by all)
+select l.doc_id, l.n_bytes, right(lpad(bin(l.k >> (60 - l.depth)::int), 64, '0'), l.depth::int) as shard, l.depth::int as depth, s.b as shard_bytes, true as fits
+from l join s on s.d = l.depth and s.p = l.k >> (60 - l.depth)::int""",
     "op6_exact_dedup": r"""
 with t as (select doc_id, coalesce(text, '') as text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as norm from documents),
 g as (select norm, count(*) as group_size, arg_min(doc_id, (-length(text), doc_id)) as keep_id from t group by norm)
