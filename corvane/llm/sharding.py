@@ -8,8 +8,8 @@ still too large are looked at again with more bits.
 
 Defined results: a null text has no bytes; a null doc_id is hashed as an empty
 one; rows that agree in doc_id and text have one hash and stay together, so a
-shard of such rows, or of one large document, may stay over the limit and has
-fits = false; an empty table gives an empty result.
+shard of such rows may stay over the limit, as does one document that is larger
+than it; both have fits = false; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,11 +40,11 @@ def directory(rows: DataFrame, limit: int) -> DataFrame:
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     base, top, open_, found = 0, min(BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + SPARE), rows, None
     while True:
-        cells = C.stored(open_.groupBy(F.shiftright("key", BITS - top).alias("cell")).agg(F.sum("n_bytes").alias("n_bytes")))
-        levels = cells.select("cell", "n_bytes", F.explode(F.sequence(F.lit(base), F.lit(top))).alias("depth"))
+        cells = C.stored(open_.groupBy(F.shiftright("key", BITS - top).alias("cell")).agg(F.sum("n_bytes").alias("n_bytes"), F.count(F.lit(1)).alias("n")))
+        levels = cells.select("cell", "n_bytes", "n", F.explode(F.sequence(F.lit(base), F.lit(top))).alias("depth"))
         levels = levels.withColumn("prefix", F.expr(f"shiftright(cell, {top} - depth)"))
-        sums = levels.groupBy("depth", "prefix").agg(F.sum("n_bytes").alias("shard_bytes"))
-        fit = sums.filter((F.col("shard_bytes") <= limit) | (F.col("depth") == BITS))
+        sums = levels.groupBy("depth", "prefix").agg(F.sum("n_bytes").alias("shard_bytes"), F.sum("n").alias("n"))
+        fit = sums.filter((F.col("shard_bytes") <= limit) | (F.col("n") == 1) | (F.col("depth") == BITS)).drop("n")
         leaves = levels.join(fit, ["depth", "prefix"]).groupBy("cell").agg(F.min(F.struct("depth", "prefix", "shard_bytes")).alias("leaf"))
         leaves = C.stored(leaves.select(F.lit(top).alias("cell_depth"), "cell", "leaf.*", (F.col("leaf.shard_bytes") <= limit).alias("fits")))
         found = leaves if found is None else found.union(leaves)
