@@ -1,0 +1,6 @@
+"""Registered queries of the reference's operators and the SQL that each must agree with."""
+
+from . import scalars, sets  # noqa: F401
+from .base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
