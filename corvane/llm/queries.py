@@ -69,10 +69,10 @@ select t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id as kept, sha256(t
     "op5_ngram_jaccard": r"""
 with recursive w as (
   select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents where text is not null),
-s as (select distinct doc_id, unnest(case when len(ws) < 4 then [array_to_string(ws, ' ')] else list_transform(range(1, len(ws) - 2), i -> array_to_string(ws[i:i + 3], ' ')) end) as g from w where len(ws) > 0),
+s as (select distinct doc_id, unnest(case when len(ws) < 4 then [array_to_string(ws, ' ')] else [array_to_string(ws[i:i + 3], ' ') for i in range(1, len(ws) - 2)] end) as g from w where len(ws) > 0),
 n as (select doc_id, count(*) as n from s group by doc_id),
-p as (select a.doc_id as x, b.doc_id as y, count(*) as both from s a join s b using (g) where a.doc_id <> b.doc_id group by all),
-e as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * both >= 85 * (a.n + b.n - both)),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as shared from s a join s b using (g) where a.doc_id <> b.doc_id group by all),
+e as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * shared >= 85 * (a.n + b.n - shared)),
 r as (select doc_id as x, doc_id as y from documents union select r.x, e.y from r join e on r.y = e.x)
 select d.doc_id, coalesce(n.n, 0) as n_shingles, (select min(r.y) from r where r.x = d.doc_id) as component_id from documents d left join n using (doc_id)""",
 }
