@@ -41,13 +41,13 @@ def blake_code(spark, d):
     return read(spark, d, "customer").select("c_custkey", I.blake_code("k1", F.col("c_custkey")).alias("code"))
 
 
-_LINKS = """ids as (select o_orderkey as r, 'a' as t, (o_custkey % 300)::varchar as v from orders where o_orderkey % 40 = 1 union all select o_orderkey, 'b', (o_totalprice::bigint % 997)::varchar from orders where o_orderkey % 40 = 1),
+_LINKS = """ids as (select o_orderkey as r, 'a' as t, (o_custkey % 300)::varchar as v from orders where o_orderkey % 40 = 1 union all select o_orderkey, 'b', (floor(o_totalprice)::bigint % 997)::varchar from orders where o_orderkey % 40 = 1),
 e as (select distinct x.r as a, y.r as b from ids x join ids y on x.t = y.t and x.v = y.v),
 w as (select a as r, a as c from e union select w.r, e.b from w join e on e.a = w.c), s as (select r, min(c) as subject from w group by 1)"""
 
 
 def _identified(spark, d):
-    o = read(spark, d, "orders").filter("o_orderkey % 40 = 1").select("o_orderkey", (F.col("o_custkey") % 300).alias("a"), (F.floor(F.round("o_totalprice")) % 997).cast("long").alias("b"))
+    o = read(spark, d, "orders").filter("o_orderkey % 40 = 1").select("o_orderkey", (F.col("o_custkey") % 300).alias("a"), (F.floor("o_totalprice") % 997).cast("long").alias("b"))
     return I.identifier_map(o, "o_orderkey", ["a", "b"])
 
 

@@ -39,9 +39,9 @@ def text_tests(spark, d):
     return read(spark, d, "part").filter(X.contains(F.col("p_type"), "ST") & ~X.starts_with(F.col("p_name"), "P") | (F.col("p_size") == 7)).select("p_partkey")
 
 
-@query("fn_8_arithmetic_9_round", "select l_orderkey, l_linenumber, round(l_extendedprice / nullif(l_quantity - 10, 0), 6) as ratio, round(abs(l_discount - l_tax), 6) as gap, cast(round(l_discount * 1000) as bigint) as key from lineitem")
+@query("fn_8_arithmetic_9_round", "select l_orderkey, l_linenumber, round(l_extendedprice / nullif(l_quantity - 10, 0), 8) as ratio, round(abs(l_discount - l_tax), 6) as gap, cast(round(l_discount * 1000) as bigint) as key from lineitem")
 def arithmetic(spark, d):
-    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(X.divide(F.col("l_extendedprice"), F.col("l_quantity") - 10), 6).alias("ratio"), F.round(F.abs(F.col("l_discount") - F.col("l_tax")), 6).alias("gap"), X.round_key(F.col("l_discount"), 3).alias("key"))
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(X.divide(F.col("l_extendedprice"), F.col("l_quantity") - 10), 8).alias("ratio"), F.round(F.abs(F.col("l_discount") - F.col("l_tax")), 6).alias("gap"), X.round_key(F.col("l_discount"), 3).alias("key"))
 
 
 @query("fn_10_case_11_least", "select c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') as seg, case when c_acctbal < 0 then 'debt' when c_acctbal < 5000 then 'some' else 'much' end as level, c_name || '/' || nullif(c_mktsegment, 'BUILDING') as joined, least(c_acctbal, case when c_custkey % 2 = 0 then 100.0 end) as lo, greatest(c_acctbal, case when c_custkey % 2 = 0 then 100.0 end) as hi from customer")
