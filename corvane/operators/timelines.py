@@ -27,8 +27,8 @@ def sessions(df: DataFrame, subject: str, day: str, window_days: int) -> DataFra
         opens = (F.size(acc) == 0) | (F.datediff(x["day"], last["first"]) > window_days)
         return F.when(F.size(acc) == 0, F.array(fresh)).when(opens, F.concat(acc, F.array(fresh))).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown)))
 
-    out = lines.select(subject, F.explode(F.aggregate("__days", empty, fold)).alias("s"))
-    return out.select(subject, F.col("s.first").alias("session_first"), F.col("s.last").alias("session_last"), F.col("s.n").alias("n"))
+    out = lines.select(subject, F.explode(F.aggregate("__days", empty, fold)).alias("__session"))
+    return out.select(subject, F.col("__session.first").alias("session_first"), F.col("__session.last").alias("session_last"), F.col("__session.n").alias("n"))
 
 
 def any_yes(flag: Column) -> Column:
