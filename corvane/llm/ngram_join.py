@@ -8,15 +8,18 @@ overlap * 100 >= percent * union.  The shingles are hashed into groups, and:
   each (size band, group, content of the group); linked sets share a block, and
   unlike texts hardly ever do, however many passages they share.
 * Points.  In a block, the documents near one head are points whose coordinates
-  are the shingle counts of 32 groups.  An R-tree over these points is searched
+  are the shingle counts of 64 groups.  An R-tree over these points is searched
   with the bound overlap(q, node) <= sum of min(q_g, greatest count_g in the node).
 * Verification.  Surviving pairs are verified on the whole sets of 64-bit shingle hashes.
 
-Blocks of up to SMALL_BLOCK sets are compared pair by pair; larger ones start as
-stars around their least member, and afterwards every pair of a block whose ends
-are not yet connected is verified too, so no link between components is lost.  Map
-tasks join their own part of a hot block first, and each star ships one row for
-each batch; equal sets are one node from the start.
+Blocks of up to SMALL_BLOCK sets are compared pair by pair.  Larger ones start as
+stars around their most central member, the one that shares the most blocks with
+the most sets: the text that the others were copied from, if it is there.  Where
+a block's members are not all connected by then, the R-tree over all its points
+gives the pairs of different components that may still link, and these are verified, so no
+link between components is lost.  Map tasks join their own part of a hot
+block first, and each star ships one row for each batch; equal sets are one node
+from the start.
 
 Defined results: null texts and texts without words have an empty set and are
 linked with nothing; so are rows without a doc_id; with fewer words than a shingle needs, the
@@ -25,6 +28,7 @@ whole sequence is the one shingle; only doc_id and text are read.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,19 +36,20 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common as C
 
-COORDINATES = 32
+COORDINATES = 64
 SMALL_BLOCK = 4
 FANOUT = 8
-#: Members of one head that a verifying task holds at a time.
+#: Members of one head whose sets a verifying task holds at a time.
 HELD = 256
+#: Points in the R-tree of one part of a block; larger blocks are joined part by part.
+PART = 1024
 _RATIO = 1.5
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 _HASH = xxhash.xxh3_64_intdigest
-_NODE = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
+_NODE = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("point", pa.binary())])
 _SENT = pa.schema([("sig", pa.int64()), ("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -70,6 +75,11 @@ def digest(found: np.ndarray) -> tuple[int, int]:
     return tuple(C.spread(sums).view(np.int64).tolist())
 
 
+def point(found: np.ndarray) -> np.ndarray:
+    """Shingles of a set in each of the groups."""
+    return np.minimum(np.bincount((found & np.uint64(COORDINATES - 1)).astype(np.int64), minlength=COORDINATES), 65_535)
+
+
 class Bands:
     """Size bands and the number of groups in each, for a percentage of the union."""
 
@@ -114,12 +124,13 @@ class Bands:
 def _nodes(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys = [], []
+            sizes, keys, points = [], [], []
             for text in C.raw(batch):
                 found = shingles(text, width)
                 sizes.append(len(found))
+                points.append(point(found).astype(np.uint16).tobytes())
                 keys.append(digest(found) if len(found) else (None, None))
-            yield C.record(_NODE, batch.column(0), sizes, [k[0] for k in keys], [k[1] for k in keys])
+            yield C.record(_NODE, batch.column(0), sizes, [k[0] for k in keys], [k[1] for k in keys], points)
 
     return run
 
@@ -236,7 +247,7 @@ def _verify(width: int, percent: int):
         if head not in sets or len(sets) < 2:
             return []
         ids, out = [head, *(i for i in sets if i != head)], []
-        points = np.stack([np.bincount((sets[i] & np.uint64(COORDINATES - 1)).astype(np.int64), minlength=COORDINATES) for i in ids])
+        points = np.stack([point(sets[i]) for i in ids])
         tree, root = RTree(points), list(range(len(ids)))
 
         def find(x: int) -> int:
@@ -274,6 +285,47 @@ def _verify(width: int, percent: int):
     return run
 
 
+_PAIRED = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _near(percent: int):
+    """Cells of a head's blocks: in each block the held points (kind 0, or 2) make an R-tree that the others (1, or 2) search.
+
+    Pairs of different labels come out once for each cell, however many blocks share them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for batch in batches:
+                yield from zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True)
+
+        for _, cell in itertools.groupby(rows(), key=lambda r: r[:3]):
+            seen: set[tuple[int, int]] = set()
+            for _, mine in itertools.groupby(cell, key=lambda r: r[3]):
+                kind, node, label, vector = zip(*(r[4:] for r in mine), strict=True)
+                kind, node, label = np.array(kind), np.array(node), np.array(label)
+                points = np.frombuffer(b"".join(vector), np.uint16).reshape(len(node), COORDINATES).astype(np.int32)
+                held = np.flatnonzero(kind != 1)
+                if not len(held) or (label == label[0]).all():
+                    continue
+                tree = RTree(points[held])
+                for q in np.flatnonzero(kind != 0):
+                    near = held[tree.search(points[q], percent)]
+                    near = near[(label[near] != label[q]) & ((kind[q] != 2) | (node[near] < node[q]))]
+                    seen.update((min(int(node[q]), x), max(int(node[q]), x)) for x in node[near].tolist())
+                if len(seen) > 300_000:
+                    yield C.record(_PAIRED, *zip(*seen, strict=True))
+                    seen = set()
+            if seen:
+                yield C.record(_PAIRED, *zip(*seen, strict=True))
+
+    return run
+
+
+def _with_text(docs: DataFrame, need: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text")).join(C.hinted(need), "id")
+
+
 def _edges(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b), by h1, that link, as pairs of doc_ids of equal sets' representatives (and links found beside them)."""
     side = lambda x: nodes.select(F.col("h1").alias(x), F.col("rep").alias(f"{x}_id"), F.col("n").alias(f"{x}_n"))
@@ -282,22 +334,53 @@ def _edges(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, perc
     both = C.stored(both.select(F.col("a_id").alias("head"), "b_id", F.col("a").alias("head_h1"), "b"))
     cells = both.join(both.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / HELD).alias("cells")), "head").withColumn("cell", F.pmod(F.xxhash64("b_id"), "cells"))
     need = cells.select("head", "cell", F.col("b_id").alias("id"), F.col("b").alias("h1")).union(cells.select("head", "cell", "head", "head_h1").distinct())
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text")).join(C.hinted(need), "id").select("head", "cell", "id", "h1", "text")
+    rows = _with_text(docs, need).select("head", "cell", "id", "h1", "text")
     rows = rows.repartition("head", "cell").sortWithinPartitions("head", "cell")
     return C.stored(C.map_arrow(rows, _verify(width, percent), "a long, b long").distinct())
 
 
+def _central(met: DataFrame) -> DataFrame:
+    """(sig, a, b): each member of a starred block with the block's most central member."""
+    stars = met.filter("kind = 1")
+    members = C.stored(stars.select("sig", F.col("b").alias("node")).union(stars.select("sig", "a")).distinct())
+    sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
+    weights = members.join(sizes, "sig").groupBy("node").agg(F.sum("n").alias("weight"))
+    heads = members.join(weights, "node").groupBy("sig").agg(F.max(F.struct("weight", "node"))["node"].alias("a"))
+    return C.stored(members.join(heads, "sig").filter("node != a").select("sig", "a", F.col("node").alias("b")))
+
+
+def _left_over(nodes: DataFrame, stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of starred blocks, by h1, in different components, that the R-tree over the block does not rule out."""
+    known = C.stored(nodes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("h1").alias("node"), F.coalesce("component", "rep").alias("label"), "point"))
+    members = stars.select("sig", F.col("a").alias("head"), F.col("b").alias("node")).union(stars.select("sig", "a", "a").distinct())
+    members = members.join(C.hinted(known.select("node", "label")), "node")
+    blocks = members.groupBy("sig", "head").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi")
+    blocks = C.stored(blocks.select("sig", "head", "n"))
+    # blocks of one head are split alike, so that a pair meets in the same cell for all of them
+    parts = blocks.groupBy("head").agg(F.ceil(F.max("n") / PART).alias("parts"))
+    rows = members.join(C.hinted(blocks.join(parts, "head").select("sig", "parts")), "sig").withColumn("own", F.pmod(F.xxhash64("node"), "parts"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    side = lambda df, x, y, kind: df.select("head", x.alias("x"), y.alias("y"), "sig", F.lit(kind).alias("kind"), "node", "label")
+    none = F.lit(0).cast("long")
+    cells = side(rows.filter("parts = 1"), none, none, 2).union(side(rows.filter("parts > 1"), F.col("own"), every, 0).filter("y <= x")).union(side(rows.filter("parts > 1"), every, F.col("own"), 1).filter("y <= x"))
+    cells = cells.join(C.hinted(known.select("node", "point")), "node").select("head", "x", "y", "sig", "kind", "node", "label", "point")
+    cells = cells.repartition("head", "x", "y").sortWithinPartitions("head", "x", "y", "sig")
+    return C.stored(C.map_arrow(cells, _near(percent), "a long, b long").distinct())
+
+
 def link_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least doc_id reachable by links)."""
-    base = C.stored(C.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _nodes(width), "doc_id long, n_shingles long, h1 long, h2 long"))
-    nodes = C.stored(base.filter("h1 is not null and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")))
+    base = C.stored(C.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _nodes(width), "doc_id long, n_shingles long, h1 long, h2 long, point binary"))
+    nodes = C.stored(base.filter("h1 is not null and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("point").alias("point")))
     sent = C.map_arrow(docs.filter("doc_id is not null").select("text"), _send(width, percent), "sig long, kind int, a long, b long").withColumn("cell", F.when(F.col("kind") == 1, F.pmod("b", F.lit(64))))
     sent = sent.repartition("sig", "cell").drop("cell").sortWithinPartitions("sig", "a")
     met = C.stored(C.map_arrow(sent, _meet, "sig long, kind int, a long, b long"))
-    pairs = C.stored(met.select("a", "b").distinct())
+    stars = _central(met)
+    base = base.drop("point")
+    pairs = met.filter("kind = 0").select("a", "b").union(stars.select("a", "b")).distinct()
     edges = _edges(docs, nodes, pairs, width, percent)
     labels = C.components(edges)
-    more = _across(met, pairs, nodes, labels)
+    more = _left_over(nodes, stars, labels, percent)
     if more.limit(1).count():
         labels = C.components(edges.union(_edges(docs, nodes, more, width, percent)))
     reps = nodes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
@@ -305,23 +388,8 @@ def link_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     return whole.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _across(met: DataFrame, pairs: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of starred blocks whose ends are in different components and were not verified yet."""
-    stars = met.filter("kind = 1")
-    members = stars.select("sig", F.col("a").alias("h1")).union(stars.select("sig", "b")).distinct()
-    known = C.stored(nodes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "n", F.coalesce("component", "rep").alias("component")))
-    members = members.join(C.hinted(known), "h1")
-    split = members.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("sig")
-    open_ = C.stored(members.join(C.hinted(split), "sig"))
-    x, y = (open_.select("sig", F.col("h1").alias(h), F.col("component").alias(f"{h}_c"), F.col("n").alias(f"{h}_n")) for h in ("a", "b"))
-    return C.stored(x.join(y, "sig").filter("a_c < b_c").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti").join(pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
-
-
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each component (the one with the least doc_id); all columns and rows without an id stay."""
     linked = link_documents(docs, width, percent)
     gone = C.stored(linked.filter("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct())
     return docs.join(C.hinted(gone), docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
-
-
-SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("component_id", T.LongType())])
