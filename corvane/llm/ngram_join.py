@@ -42,6 +42,8 @@ from . import common as C
 COORDINATES = 64
 SMALL_BLOCK = 4
 FANOUT = 8
+#: Signatures that a map task combines at a time.
+SENT_AT_ONCE = 500_000
 #: Members of one head whose sets a verifying task holds at a time.
 HELD = 256
 #: Points in the R-tree of one part of a block; larger blocks are joined part by part.
@@ -155,7 +157,7 @@ def _send(width: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen, sigs, nodes = set(), [], []
+            seen, sigs, nodes, size = set(), [], [], 0
             for text in C.raw(batch):
                 found = shingles(text, width)
                 key = digest(found)
@@ -166,6 +168,10 @@ def _send(width: int, percent: int):
                 if len(own):
                     sigs.append(own.view(np.int64))
                     nodes.append(np.full(len(own), key[0], np.int64))
+                    size += len(own)
+                if size >= SENT_AT_ONCE:
+                    yield combined(np.concatenate(sigs), np.concatenate(nodes))
+                    sigs, nodes, size = [], [], 0
             if sigs:
                 yield combined(np.concatenate(sigs), np.concatenate(nodes))
 
