@@ -18,11 +18,11 @@ logarithms are summed, as a linear form in the logarithms of the discounts,
 which only the counts of counts of the whole table fix.  Contexts so frequent
 that they would fill a bucket are dealt out by their followers.
 
-Words with so few counts that the list of the more frequent ones would pass LISTED share
-one class with the unknown words, each with the same probability; the list is sent to every task
-(20 bytes a word).  Where all words fit, the class holds the unknown words only.  Counts
-themselves are exact for every word: a word is the context of the word behind it, so its bucket
-counts it.
+The most frequent words (CACHED at most, 20 bytes each) are sent to every task with their P(w).  What
+buckets ask of other words is joined to the stored counts: (row, word) of unseen pairs, and (context,
+word) of the seen followers that alpha(h) needs.  The list is a cache only; scores do not depend
+on it.  A word is the context of the word behind it, so its bucket counts it.  With `listed`, words
+outside a list of so many share one class with the unknown words instead.
 
 Defined results: a null text is empty, so its one token is the end; rows without an id
 are in fold 0 and, like repeated rows, are scored each on its own; without training rows all
@@ -46,7 +46,7 @@ from . import common as C
 
 KEPT = 5
 #: Most words in the list that every task gets.
-LISTED = 200_000
+CACHED = 200_000
 #: Tokens that a task gathers into one batch.
 BATCH = 1_500_000
 _HASH = xxhash.xxh3_64_intdigest
@@ -84,7 +84,9 @@ class Words:
 
     keys: np.ndarray
     counts: np.ndarray  # of the start (the documents), then of the listed words
-    log_probability: np.ndarray  # of the start (never asked), the listed words, and any other word
+    log_probability: np.ndarray  # of the start (never asked), the listed words, and an unknown word
+    apart: bool  # whether unlisted words can be known ones, whose probability is joined later
+    discount: np.ndarray  # of counts 1 to KEPT
     total: int
     distinct: int
     ends: int
@@ -128,7 +130,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return C.map_arrow(rows, run, "w long, n long").groupBy("w").agg(F.sum("n").alias("c"))
 
 
-def word_level(counts: DataFrame, buckets: int, listed: int) -> Words:
+def word_level(counts: DataFrame, buckets: int, listed: int, shared: bool) -> Words:
+    """The list of the most frequent words; shared: the others have one probability with the unknown words."""
     grid = sorted({1, 2, 3, *(int(2 ** (i / 2)) for i in range(4, 96))})
     few = {r["c"]: r["n"] for r in counts.filter(F.col("c") <= KEPT + 1).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("distinct"), F.coalesce(F.max(F.when(F.col("w") == int(END), F.col("c"))), F.lit(0)).alias("ends"), *[F.count(F.when(F.col("c") >= t, 1)).alias(f"t{t}") for t in grid]).first()
@@ -140,9 +143,13 @@ def word_level(counts: DataFrame, buckets: int, listed: int) -> Words:
     total = int(sums["total"])
     d = np.concatenate([[1.0], discounts(few), [1.0]])
     p = d[np.minimum(c, KEPT + 1)] * c / (total + 1)
-    rest = max(1e-300, 1 - p.sum()) / (sums["distinct"] - len(keys) + 1)
+    apart = not shared and len(keys) < sums["distinct"]
+    if apart:  # all that is taken from known words
+        rest = (1 + sum((1 - d[r]) * r * few.get(r, 0) for r in range(1, KEPT + 1))) / (total + 1)
+    else:
+        rest = max(1e-300, 1 - p.sum()) / (sums["distinct"] - len(keys) + 1)
     hot = np.concatenate([[0], np.flatnonzero(c > total / (8 * buckets)) + 1])
-    return Words(keys, np.concatenate([[sums["ends"]], c]), np.log10(np.concatenate([[1.0], p, [rest]])), total, sums["distinct"], sums["ends"], hot, buckets)
+    return Words(keys, np.concatenate([[sums["ends"]], c]), np.log10(np.concatenate([[1.0], p, [rest]])), apart, d[1:-1], total, sums["distinct"], sums["ends"], hot, buckets)
 
 
 _SENT = pa.schema([("bucket", pa.int32()), ("part", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
@@ -227,7 +234,10 @@ MET = "kind int, key long, row int, n long, x double, y double, blob binary"
 
 
 def _counts(shared):
-    """Each bucket's pairs counted.  kind 0: sums for a batch's rows (blob); 1: rows (blob); 2: (count, pairs with it); 3: a context's sums; 4: unseen pairs of a row and context."""
+    """Each bucket's pairs counted.  kind 0: sums for a batch's rows (blob); 1: rows (blob); 2: (count, pairs with it); 3: a context's sums; 4: unseen pairs of a row and context.
+
+    Of unlisted words: 5 (row, word, times) of unseen pairs; 6 (context, word) of seen pairs.
+    """
 
     def emitted(kind: int, size: int, /, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), *(pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in list(_MET)[1:])], schema=_MET)
@@ -252,7 +262,8 @@ def _counts(shared):
         small = np.bincount(c[seen & (c <= KEPT + 1)], minlength=KEPT + 2)[1:]
         yield emitted(2, KEPT + 1, key=np.arange(1, KEPT + 2), n=small)
         # sums of each batch's rows: logarithms of seen pairs and of the word level, base terms and known words of the contexts
-        log = np.where(seen, np.log10(np.maximum(c, 1)) - np.log10(of_context[ph] + 1.0), words.log(pw))
+        asked_later = (pw > last) & words.apart
+        log = np.where(seen, np.log10(np.maximum(c, 1)) - np.log10(of_context[ph] + 1.0), np.where(asked_later, 0.0, words.log(pw)))
         word = np.log10(np.where(ph > 0, of_context[ph], 0) + 1.0)
         known = (ph > 0) & (of_context[ph] > 0)
         for i, part in enumerate(parts):
@@ -263,6 +274,10 @@ def _counts(shared):
             by = [np.bincount(place, np.where(c[at] == r, times, 0), len(rows)).astype(np.uint32) for r in range(1, KEPT + 1)]
             yield emitted(0, 1, key=[part], blob=[_pack(rows.astype(np.int32), *sums, np.bincount(place, times * known[at], len(rows)).astype(np.uint32), *by)])
         named = np.concatenate([[0], words.keys, others])  # a context's hash; 0 is the start of a text
+        rare = np.flatnonzero((asked_later & ~seen)[back])
+        if len(rare):
+            asked, place = np.unique((np.asarray(parts, np.int64)[of[rare]] << 20 | row[rare], w[rare]), axis=1, return_inverse=True)
+            yield emitted(5, asked.shape[1], key=named[asked[1]], n=asked[0].astype(np.int64), x=np.bincount(place.ravel(), n[rare]).astype(float))
         # contexts that some row of this bucket met with an unseen follower, or that other buckets share
         miss = np.flatnonzero(~seen[back] & (of_context[h] > 0))  # after a word that training never saw, the word level stands alone
         if len(miss):
@@ -272,7 +287,9 @@ def _counts(shared):
         contexts, place = np.unique(ph[wanted], return_inverse=True)
         k, cw = len(contexts), c[wanted]
         if k:
-            low = np.bincount(place, 10 ** words.log(pw[wanted]), k)
+            later = asked_later[wanted]
+            low = np.bincount(place, np.where(later, 0.0, 10 ** words.log(pw[wanted])), k)
+            yield emitted(6, int(later.sum()), key=named[pw[wanted][later]], n=named[ph[wanted][later]])
             packed = [np.bincount(place, np.where(cw == r, 1, 0), k).astype(np.uint32) for r in range(1, KEPT + 1)]
             high = np.bincount(place, np.where(cw > KEPT, cw, 0), k)
             blobs_ = [np.array([p[j] for p in packed], np.uint32).tobytes() for j in range(k)]
@@ -333,11 +350,20 @@ def _rows(log_discount: np.ndarray, total: int, distinct: int, ends: int):
     return run
 
 
-def score_documents(docs: DataFrame, listed: int = LISTED) -> DataFrame:
+def _probabilities(counts: DataFrame, words: Words) -> DataFrame:
+    """(key, p): P(w) of the training fold's words."""
+    c, d = F.col("c"), F.lit(1.0)
+    for r, x in enumerate(words.discount, 1):
+        d = F.when(c == r, F.lit(float(x))).otherwise(d)
+    return counts.select(F.col("w").alias("key"), (d * c / F.lit(words.total + 1.0)).alias("p"))
+
+
+def score_documents(docs: DataFrame, listed: int | None = None, cached: int = CACHED) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    words = word_level(C.stored(word_counts(docs)), buckets, listed)
+    counts = C.stored(word_counts(docs))
+    words = word_level(counts, buckets, cached if listed is None else listed, listed is not None)
     shared, total = spark.sparkContext.broadcast(words), words.total
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sent = C.map_arrow(rows, _sends(shared), SENT).repartition(buckets, "bucket").sortWithinPartitions("bucket")
@@ -350,10 +376,18 @@ def score_documents(docs: DataFrame, listed: int = LISTED) -> DataFrame:
     low_counts = [F.conv(F.concat(*[F.hex(F.substring("blob", 4 * i + 1 + b, 1)) for b in (3, 2, 1, 0)]), 16, 10).cast("long").alias(f"m{i}") for i in range(KEPT)]
     sums = met.filter("kind = 3").select("key", "x", "y", *low_counts)
     sums = sums.groupBy("key").agg(F.sum("x").alias("low"), F.sum("y").alias("high"), *[F.sum(f"m{i}").alias(f"m{i}") for i in range(KEPT)])
+    if words.apart:
+        p_of = _probabilities(counts, words)
+        lower = met.filter("kind = 6").select("key", F.col("n").alias("h")).join(p_of, "key").groupBy(F.col("h").alias("key")).agg(F.sum("p").alias("__p"))
+        sums = sums.join(lower, "key", "left").withColumn("low", F.col("low") + F.coalesce("__p", F.lit(0.0)))
     mass = sum((F.col(f"m{i}") * ((i + 1) * float(d[i])) for i in range(KEPT)), F.col("high"))
     context = sum((F.col(f"m{i}") * (i + 1) for i in range(KEPT)), F.col("high"))  # all of the context's pairs: c(h)
     alpha = sums.select("key", F.log10((1 - mass / (context + 1)) / F.greatest(1 - F.col("low"), F.lit(1e-12))).alias("alpha"))
     unseen = met.filter("kind = 4").select("key", F.col("n").alias("row"), F.col("x").alias("times"))
-    back = unseen.join(C.hinted(alpha), "key", "left").groupBy("row").agg(F.sum(F.col("times") * F.coalesce("alpha", F.lit(0.0))).alias("unseen_score"))
+    back = unseen.join(C.hinted(alpha), "key", "left").select("row", (F.col("times") * F.coalesce("alpha", F.lit(0.0))).alias("unseen"))
+    if words.apart:
+        rare = met.filter("kind = 5").select("key", F.col("n").alias("row"), F.col("x").alias("times")).join(p_of, "key", "left")
+        back = back.unionByName(rare.select("row", (F.col("times") * F.coalesce(F.log10("p"), F.lit(float(words.log_probability[-1])))).alias("unseen")))
+    back = back.groupBy("row").agg(F.sum("unseen").alias("unseen_score"))
     out = done.join(back, "row", "left")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", (F.col("seen_score") + F.coalesce("unseen_score", F.lit(0.0))).alias("score"))

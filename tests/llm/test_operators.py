@@ -459,6 +459,14 @@ def test_katz(docs, corpus, listed):
         assert abs(r["score"] - sum(math.log10(p(h, w)) for h, w in zip(["<s>", *ws], ws, strict=False))) < 1e-6
 
 
+def test_katz_list_is_only_a_cache(docs):
+    """Every trained word has its own probability, however few words the list of a task holds."""
+    whole, small = by_id(katz.score_documents(docs)), by_id(katz.score_documents(docs, cached=30))
+    assert whole.keys() == small.keys()
+    for i, r in whole.items():
+        assert abs(r["score"] - small[i]["score"]) < 1e-6 and (r["n_known"], r["base_score"]) == (small[i]["n_known"], pytest.approx(small[i]["base_score"]))
+
+
 # empty tables, null ids
 
 
