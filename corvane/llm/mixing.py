@@ -70,45 +70,43 @@ def weights(rows: DataFrame, exponent: float, budget: int | None) -> DataFrame:
     return powers.crossJoin(F.broadcast(total)).select("__source", "tokens", F.coalesce(F.try_divide("__p", "__all"), F.lit(0.0)).alias("weight"), F.coalesce(F.round(repeats, 6), F.lit(1.0)).alias("repeats"))
 
 
-def _rows(docs: DataFrame) -> DataFrame:
+def _rows(docs: DataFrame, *more: str) -> DataFrame:
     source = F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("n:"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("__source"), C.n_words(F.col("text")).alias("n_tokens"), F.length("text").alias("__len"), C.dealt_key(F.col("doc_id"), F.length("text")).alias("__key"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("__source"), C.n_words(F.col("text")).alias("n_tokens"), F.length("text").alias("__len"), C.dealt_key(F.col("doc_id"), F.length("text")).alias("__key"), *more)
 
 
 def _copies(ahead: Column, own: Column, tokens: Column, repeats: Column) -> Column:
-    """How often a row is placed: each whole pass, and the last one if it starts before the source's budget ends."""
+    """How often a row is placed: each whole pass, and the last one if it starts before the source's budget ends; without tokens in the first pass only."""
     whole = F.floor(repeats + 1e-9)
-    return (whole + F.when((ahead < (repeats - whole) * tokens - 1e-6) & (own > 0), 1).otherwise(0)).cast("int")
+    copies = whole + F.when(ahead < (repeats - whole) * tokens - 1e-6, 1).otherwise(0)
+    return F.when(own > 0, copies).otherwise(F.least(F.lit(1), copies)).cast("int")
 
 
-def plan(docs: DataFrame, entropy: float | None = None, repetition: float = 2.0, budget: int | None = None, blocks: int = BLOCKS) -> DataFrame:
-    """One row per placement: doc_id, source, n_tokens, weight, pass, block, rank (0 to 1, the order of the mixture)."""
-    rows = C.stored(_rows(docs))
+def _placed(rows: DataFrame, ties: list[str], entropy: float | None, repetition: float, budget: int | None, blocks: int) -> DataFrame:
+    """Stored rows of _rows, each as often as it is placed, with weight, pass, block and the whole rank."""
     per = shares(rows)
     exponent = exponent_for_repetition(per, repetition) if entropy is None else exponent_for_entropy(per, entropy)
     mix = weights(per, exponent, budget)
-    placed = C.ranked(rows, ["__source"], "__key", "n_tokens", ["doc_id", "__len"]).join(C.hinted(mix), "__source")
+    placed = C.ranked(rows, ["__source"], "__key", "n_tokens", ties).join(C.hinted(mix), "__source")
     placed = placed.withColumn("__copies", _copies(F.col("sum_before"), F.col("n_tokens"), F.col("tokens"), F.col("repeats"))).filter("__copies > 0")
     placed = placed.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
     rank = F.coalesce(F.try_divide(F.col("pass") * F.col("tokens") + F.col("sum_before"), F.col("repeats") * F.col("tokens")), F.lit(0.0))
-    return placed.select("doc_id", F.when(F.col("__source") != "n:", F.substring("__source", 3, 1 << 30)).alias("source"), "n_tokens", F.round("weight", 9).alias("weight"), "pass", F.least(F.floor(rank * blocks).cast("int"), F.lit(blocks - 1)).alias("block"), F.round(rank, 9).alias("rank"))
+    return placed.withColumn("rank", rank).withColumn("block", F.least(F.floor(F.col("rank") * blocks).cast("int"), F.lit(blocks - 1)))
+
+
+def plan(docs: DataFrame, entropy: float | None = None, repetition: float = 2.0, budget: int | None = None, blocks: int = BLOCKS) -> DataFrame:
+    """One row per placement: doc_id, source, n_tokens, weight, pass, block, rank (0 to 1, the order of the mixture)."""
+    placed = _placed(C.stored(_rows(docs)), ["doc_id", "__len"], entropy, repetition, budget, blocks)
+    return placed.select("doc_id", F.when(F.col("__source") != "n:", F.substring("__source", 3, 1 << 30)).alias("source"), "n_tokens", F.round("weight", 9).alias("weight"), "pass", "block", F.round("rank", 9).alias("rank"))
 
 
-def mix(docs: DataFrame, entropy: float | None = None, repetition: float = 2.0, budget: int | None = None) -> DataFrame:
-    """docs, all columns, each row as often as the plan places it.
+def mix(docs: DataFrame, entropy: float | None = None, repetition: float = 2.0, budget: int | None = None, blocks: int = BLOCKS) -> DataFrame:
+    """docs, all columns, each row as often as the plan places it, in the order of its blocks and ranks.
 
-    The budget's last pass takes the documents whose hash lies below the fraction
-    of the source that is left, so no text is shuffled; sources keep their weights to
-    within what the hash deals unevenly.
+    Rows get a number and are stored with it, so that a placement finds its own row whatever repeats.
     """
-    slim = C.stored(_rows(docs).select("__source", "n_tokens"))
-    per = shares(slim)
-    exponent = exponent_for_repetition(per, repetition) if entropy is None else exponent_for_entropy(per, entropy)
-    mix_ = C.stored(weights(per, exponent, budget).select("__source", "repeats"))
-    source = F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("n:"))
-    out = docs.withColumn("__source", source).join(C.hinted(mix_), "__source")
-    whole = F.floor(F.col("repeats") + 1e-9)
-    extra = F.when(C.dealt_key(F.col("doc_id"), F.length("text")) / F.lit(2.0**60) < F.col("repeats") - whole, 1).otherwise(0)
-    out = out.withColumn("__copies", (whole + extra).cast("int")).filter("__copies > 0")
-    out = out.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    numbered = C.stored(docs.withColumn("__at", F.monotonically_increasing_id()))
+    placed = _placed(C.stored(_rows(numbered, "__at")), ["doc_id", "__len", "__at"], entropy, repetition, budget, blocks)
+    placed = C.stored(placed.select("__at", F.col("pass").alias("__pass"), F.col("block").alias("__block"), F.col("rank").alias("__rank")))
+    out = numbered.join(C.hinted(placed), "__at").orderBy("__block", "__rank", "__at", "__pass")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

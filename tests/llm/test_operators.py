@@ -294,6 +294,28 @@ def test_mix_keeps_columns(docs, nothing):
     assert mixing.mix(nothing).count() == 0 and mixing.plan(nothing).count() == 0
 
 
+def test_mix_meets_the_token_budgets_of_the_plan(spark):
+    """One document holds most tokens of a source, some have none, and one id is repeated."""
+    rng, rows = random.Random(9), []
+    rows += [(i, text(rng, 20), "big") for i in range(300)]
+    rows += [(1000 + i, text(rng, 10), "small") for i in range(60)] + [(2000, text(rng, 900), "small")]
+    rows += [(3000 + i, None, "small") for i in range(40)] + [(1000, text(rng, 11), "small")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    placed = mixing.plan(df, repetition=2.5).collect()
+    mixed = mixing.mix(df, repetition=2.5).collect()
+    assert collections.Counter((r["doc_id"], len((r["text"] or "").split())) for r in mixed) == collections.Counter((r["doc_id"], r["n_tokens"]) for r in placed)
+    assert all(n == 1 for i, n in collections.Counter(r["doc_id"] for r in mixed).items() if i >= 3000)
+    tokens, weight = collections.Counter(), {r["source"]: r["weight"] for r in placed}
+    for r in mixed:
+        tokens[r["source"]] += len((r["text"] or "").split())
+    cover = max(sum(len((t or "").split()) for _, t, s in rows if s == x) / weight[x] for x in weight)
+    assert all(abs(tokens[s] - weight[s] * cover) <= 900 for s in weight)
+    times = collections.Counter(r["doc_id"] for r in placed)
+    rank = {r["doc_id"]: r["rank"] for r in placed}
+    ranks = [rank[r["doc_id"]] for r in mixed if times[r["doc_id"]] == 1]
+    assert len(ranks) > 200 and ranks == sorted(ranks)
+
+
 # packing
 
 
