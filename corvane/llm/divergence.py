@@ -6,10 +6,13 @@ Jensen-Shannon distance (base 2, 0 to 1).  Texts too short for a histogram to
 mean anything are not judged by it.
 
 A language's common words are those that make up at least COMMON_SHARE of its
-words (so at most 1 / COMMON_SHARE of them).  A word with that share overall has
+words (so at most 1 / COMMON_SHARE of them), and that share of REFERENCE_WORDS words
+in number: of fewer occurrences a share says little.  All other words are one bin, so a language
+with few words has a coarse histogram of its own, which gets finer as words come, and one without
+any common word gives no verdict on words.  A word with that share overall has
 it in some part of the table, so parts name candidates and a second pass counts
-those exactly.  Languages with fewer than REFERENCE_WORDS words, and a null
-language, use the reference of all documents together.
+those exactly.  Characters are always judged.  Only a null language uses the
+reference of all documents together.
 
 Defined results: a null text has no words and fails the base; repeated rows get
 equal verdicts; an empty table gives an empty result; other columns are not read.
@@ -131,7 +134,7 @@ def _counted(wanted: dict[str, set[bytes]] | None):
 
 
 class Reference:
-    """Class counts and common word counts of each language with enough words."""
+    """Class counts of each language, and common word counts where it has any."""
 
     def __init__(self, rows: list):
         self.classes, self.words, self.total = {}, {}, {}
@@ -141,18 +144,16 @@ class Reference:
             elif r["kind"] == 2:
                 self.total[r["lang"]] = r["n"]
         for r in rows:
-            if r["kind"] == 1 and r["n"] >= COMMON_SHARE * self.total[r["lang"]]:
+            if r["kind"] == 1 and r["n"] >= COMMON_SHARE * max(self.total[r["lang"]], REFERENCE_WORDS):
                 self.words.setdefault(r["lang"], {})[bytes(r["word"])] = r["n"]
         self.place = {g: {w: i for i, w in enumerate(sorted(ws))} for g, ws in self.words.items()}
         self.hist = {g: np.array([*(self.words[g][w] for w in sorted(self.words[g])), self.total[g] - sum(self.words[g].values())], float) for g in self.words}
 
     def distances(self, lang: str | None, text: bytes, words: list[bytes]) -> tuple[float | None, float | None]:
-        g = lang if self.total.get(lang, 0) >= REFERENCE_WORDS else _POOLED
-        if g not in self.hist:
-            return None, None
+        g = _POOLED if lang is None else lang
         chars = char_classes(text)
         near = js_distance(chars, self.classes[g]) if chars.sum() >= LEAST_CHARS else None
-        if len(words) < LEAST_WORDS:
+        if len(words) < LEAST_WORDS or g not in self.hist:
             return near, None
         place, own = self.place[g], np.zeros(len(self.hist[g]))
         for w, n in Counter(words).items():
@@ -169,8 +170,7 @@ def reference(docs: DataFrame) -> Reference:
     for r in candidates.collect():
         wanted.setdefault(r["lang"], set()).add(bytes(r["word"]))
     counts = C.map_arrow(rows, _counted(wanted), kinds).groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"))
-    total = counts.filter("kind = 2").filter((F.col("n") >= REFERENCE_WORDS) | (F.col("lang") == _POOLED)).select("lang")
-    return Reference(counts.join(F.broadcast(total), "lang").collect())
+    return Reference(counts.filter((F.col("kind") != 1) | (F.col("n") >= COMMON_SHARE * REFERENCE_WORDS)).collect())
 
 
 def judge(docs: DataFrame, chars_at_most: float = CHARS_AT_MOST, words_at_most: float = WORDS_AT_MOST) -> DataFrame:
