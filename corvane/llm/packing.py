@@ -1,10 +1,9 @@
 """Packing into optimal length buckets.
 
-The global histogram of lengths is the only thing the driver sees: lengths up to
-EXACT have a bin each, longer ones share STEPS bins for each doubling, so it is
-bounded whatever the table holds.  Dynamic programming over the histogram
-chooses the bucket boundaries with the least padding; batches of a token budget
-form inside each bucket.
+The global histogram of lengths is the only thing the driver sees: a bin for each length
+that occurs, at most as many as the longest document has words.  Dynamic programming over the
+histogram chooses the bucket boundaries with the least padding; batches of a token
+budget form inside each bucket.
 
 Defined results: a null text and a text without words have length 0 and are
 packed like any other; a document longer than the budget is a batch of its own;
@@ -14,22 +13,14 @@ repeated rows are packed each on its own; an empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
-EXACT, STEPS = 2048, 64
 BUDGET, BUCKETS = 16_384, 16
 
 
-def bin_top(length: Column) -> Column:
-    """The greatest length of the bin a length lies in."""
-    octave = F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))).cast("int")
-    width = F.greatest(F.lit(1), F.floor(F.pow(F.lit(2.0), octave) / STEPS)).cast("long")
-    return F.when(length <= EXACT, length).otherwise((F.floor((length - 1) / width) + 1).cast("long") * width).cast("long")
-
-
 def boundaries(tops: list[int], counts: list[int], sums: list[int], buckets: int) -> list[int]:
     """Tops of the buckets that pad least: cost of bins i..j is top_j * count - sum of lengths.
 
@@ -67,8 +58,8 @@ def boundaries(tops: list[int], counts: list[int], sums: list[int], buckets: int
 
 
 def histogram(lengths: DataFrame) -> DataFrame:
-    """(top, n, tokens) of the lengths in column n_tokens; as many rows as there are bins at most."""
-    return lengths.groupBy(bin_top(F.col("n_tokens")).alias("top")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("tokens"))
+    """(top, n, tokens) of the lengths in column n_tokens; a row for each length."""
+    return lengths.groupBy(F.col("n_tokens").alias("top")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("tokens"))
 
 
 def pack(docs: DataFrame, budget: int = BUDGET, buckets: int = BUCKETS) -> DataFrame:
