@@ -9,7 +9,9 @@ depends on the key and the value's kind alone, so equal values get equal
 pseudonyms in every document, whatever separators they are written with.
 
 Candidates are found by one regular expression; a text is cut into matches and
-what lies between, and put together again.  Only texts with a digit or an @ are
+what lies between, and put together again.  Numbers beside each other, with one blank or
+hyphen between, are one match, in which card numbers (the longest valid one from each place on), dates,
+social security and telephone numbers that start and end at separators are looked for.  Only texts with a digit or an @ are
 searched.  Defined results: null texts stay null; values that fail validation
 stay as they are; repeated rows change alike; other columns are kept.
 """
@@ -26,8 +28,13 @@ IP = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
 DATE = r"(?:\d{4}[-/.]\d{2}[-/.]\d{2}|\d{2}[-/.]\d{2}[-/.]\d{4})"
 SSN = r"\d{3}-\d{2}-\d{4}"
 PHONE = r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}"
-CARD = r"\d(?:[ -]?\d){12,18}"
-FOUND = rf"(?<![0-9A-Za-z.+-])(?:{EMAIL}|{IP}|{DATE}|{SSN}|{PHONE}|{CARD})(?![0-9A-Za-z])"
+#: What a run of numbers must leave to the next match: values with other characters in them than digits, blanks and hyphens.
+_OTHER = rf"(?:{EMAIL}|{IP}|(?=[0-9-]*[./]){DATE}|(?=\d{{3}}(?:\.|[ -]\d{{3}}\.)\d){PHONE})(?![0-9A-Za-z])"
+_NUMBER = r"\d++(?![A-Za-z])"
+#: Numbers beside each other that together have the digits of a card number.
+RUN = rf"(?=\d(?:[ -]?\d){{12}}){_NUMBER}(?:(?:-| (?!{_OTHER})){_NUMBER})*+"
+_MOST = 19
+FOUND = rf"(?<![0-9A-Za-z.+-])(?:{EMAIL}|{IP}|{DATE}|{SSN}|{PHONE}|{RUN})(?![0-9A-Za-z])"
 _FIRST_DAY, _DAYS = "1900-01-01", 73_049  # to the end of 2099
 
 
@@ -86,12 +93,15 @@ def _luhn_sum(value: Column, double_last: bool) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(1), n), part), F.lit(0), lambda a, x: a + x)
 
 
+def _valid_card(d: Column) -> Column:
+    return F.length(d).between(13, _MOST) & (_luhn_sum(d, False) % 10 == 0)
+
+
 def _card(m: Column, key: str) -> Column:
     def changed(d: Column) -> Column:
         payload = F.substring(d, F.lit(1), F.length(d) - 1)
         new = _with(digits(payload, key, "card"), lambda p: F.concat(p, F.pmod(10 - _luhn_sum(p, True) % 10, F.lit(10)).cast("string")))
-        ok = F.length(d).between(13, 19) & (_luhn_sum(d, False) % 10 == 0)
-        return F.when(ok, _with(new, lambda v: _refill(m, v))).otherwise(m)
+        return F.when(_valid_card(d), _with(new, lambda v: _refill(m, v))).otherwise(m)
 
     return _with(_only_digits(m), changed)
 
@@ -184,15 +194,43 @@ def pseudonym(m: Column, key: str) -> Column:
     return F.when(m.contains("@"), _email(m, key)).when(whole(IP), _ip(m, key)).when(whole(DATE), _date(m, key)).when(whole(SSN), _ssn(m, key)).when(whole(PHONE), _phone(m, key)).otherwise(_card(m, key))
 
 
+def _pieces(m: Column) -> Column:
+    """A match cut into threes: what lies ahead, a value, the separator behind it."""
+
+    def cut(parts: Column) -> Column:  # numbers, each with the separator behind it
+        size = F.size(parts)
+        joined = lambda i, n: F.array_join(F.slice(parts, i, n), "")
+
+        def taken(i: Column) -> Column:
+            """How many numbers a value that starts at number i has, or 0."""
+            cards = F.filter(F.sequence(F.least(size - i + 1, F.lit(_MOST)), F.lit(1)), lambda n: _with(_only_digits(joined(i, n)), lambda d: F.when(F.length(d) <= _MOST, _valid_card(d)).otherwise(F.lit(False))))
+            after_blank = (i == 1) | F.endswith(F.element_at(parts, F.greatest(i - 1, F.lit(1))), F.lit(" "))
+            other = F.when(after_blank & joined(i, F.lit(3)).rlike(rf"^(?:{DATE}|{SSN}|{PHONE})(?![0-9A-Za-z])"), 3).otherwise(0)
+            return F.coalesce(F.try_element_at(cards, F.lit(1)), other)
+
+        found = F.filter(F.transform(F.sequence(F.lit(1), size), lambda i: F.struct(i.alias("i"), taken(i).alias("n"))), lambda x: x["n"] > 0)
+        start = F.struct(F.lit(1).alias("next"), F.array().cast("array<string>").alias("out"))
+
+        def add(s: Column, x: Column) -> Column:
+            value = joined(x["i"], x["n"])
+            three = F.array(joined(s["next"], x["i"] - s["next"]), F.regexp_replace(value, "[ -]$", ""), F.regexp_extract(value, "[ -]$", 0))
+            return F.when(x["i"] < s["next"], s).otherwise(F.struct((x["i"] + x["n"]).alias("next"), F.concat(s["out"], three).alias("out")))
+
+        return F.aggregate(found, start, add, lambda s: F.concat(s["out"], F.array(joined(s["next"], size))))
+
+    is_run = m.rlike("^[0-9 -]+$") & ~m.rlike(f"^(?:{DATE}|{SSN}|{PHONE})$")
+    return F.when(is_run, _with(F.regexp_extract_all(m, F.lit("[0-9]+[ -]?"), F.lit(0)), cut)).otherwise(F.array(F.lit(""), m, F.lit("")))
+
+
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """docs with the values in text replaced, and n_replaced, the number of values that changed."""
     searched = F.col("text").rlike("[0-9@]")
     values = F.when(searched, F.regexp_extract_all("text", F.lit(FOUND), F.lit(0)))
-    rows = docs.withColumn("__values", values)
-    rows = rows.withColumn("__new", F.when(F.size("__values") > 0, F.transform("__values", lambda m: pseudonym(m, key))))
+    rows = docs.withColumn("__values", F.when(F.size(values) > 0, F.transform(values, _pieces)))
+    rows = rows.withColumn("__new", F.transform("__values", lambda m: F.transform(m, lambda x, i: F.when(i % 3 == 1, pseudonym(x, key)).otherwise(x))))
     between = F.split("text", FOUND, -1)
-    joined = F.array_join(F.flatten(F.zip_with(between, F.concat("__new", F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
-    changed = F.size(F.filter(F.zip_with("__values", "__new", lambda a, b: a != b), lambda x: x))
+    joined = F.array_join(F.flatten(F.zip_with(between, F.concat(F.transform("__new", lambda m: F.array_join(m, "")), F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
+    changed = F.size(F.filter(F.zip_with(F.flatten("__values"), F.flatten("__new"), lambda a, b: a != b), lambda x: x))
     out = rows.withColumn("__text", F.when(F.col("__new").isNotNull(), joined).otherwise(F.col("text"))).withColumn("__n", F.when(F.col("__new").isNotNull(), changed).otherwise(0))
     keep = [F.col("__text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != "n_replaced"]
     return out.select(*keep, F.col("__n").cast("int").alias("n_replaced"))
