@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,6 +19,7 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Broadcasts of tables that grow with the data are only tried below this many rows.
 BROADCAST_ROWS = 1_000_000
+_LIBC = ctypes.CDLL(None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,8 +61,27 @@ def raw(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [b or b"" for b in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]
 
 
+#: Rows that a Python worker is sent at a time where the session leaves Spark's default: whole texts are large rows.
+BATCH_ROWS = 2_000
+
+
+def give_back() -> None:
+    """A worker serves many tasks: what one has freed goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def record(schema: pa.Schema, *columns) -> pa.RecordBatch:
@@ -82,6 +103,59 @@ def spread(values: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_STEP = 0x9E3779B97F4A7C15
+_BACK = pow(_STEP, -1, 1 << 64)
+_IS_WORD = np.ones(256, bool)
+_IS_WORD[list(SPACES.encode())] = False
+#: One random-looking number for each byte of a word; blanks add nothing.
+_OF_BYTE = np.where(_IS_WORD, spread(np.arange(1, 257, dtype=np.uint64) << np.uint64(20)), np.uint64(0))
+#: Bytes of text that are hashed together.
+CHUNK = 1 << 19
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 to base ** (n - 1) modulo 2 ** 64; the longest list so far is kept."""
+    if len(_KEPT_POWERS.get(base, ())) < n:
+        steps = np.full(max(n, 2 * CHUNK), base, np.uint64)
+        steps[0] = 1
+        _KEPT_POWERS[base] = np.multiply.accumulate(steps)
+    return _KEPT_POWERS[base][:n]
+
+
+_KEPT_POWERS: dict[int, np.ndarray] = {}
+
+
+def chunks(texts: list[bytes], size: int = CHUNK) -> Iterator[list[bytes]]:
+    """Runs of texts of about so many bytes, a longer text on its own."""
+    held, total = [], 0
+    for text in texts:
+        if held and total + len(text) > size:
+            yield held
+            held, total = [], 0
+        held.append(text)
+        total += len(text) + 1
+    if held:
+        yield held
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts with A-Z lower-cased, one after the other, and the words of each text.
+
+    A word's hash is a polynomial in its bytes' numbers, taken from running sums over all the texts, then mixed.
+    """
+    data = np.frombuffer(b"\n".join(texts).lower() + b"\n", np.uint8)
+    word = _IS_WORD[data]
+    turns = np.flatnonzero(np.diff(word, prepend=False))
+    starts, ends = turns[::2], turns[1::2]
+    sums = np.zeros(len(data) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(_OF_BYTE[data] * _powers(_STEP, len(data)), out=sums[1:])
+        found = (sums[ends] - sums[starts]) * _powers(_BACK, len(data))[starts]
+        found = spread(found + (ends - starts).astype(np.uint64) * np.uint64(_BACK))
+    upto = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+    return found, np.diff(upto, prepend=0)
+
+
 def n_words(text: Column) -> Column:
     """Number of words, JVM-side; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -8,7 +8,7 @@ overlap * 100 >= percent * union.  The shingles are hashed into groups, and:
   each (size band, group, content of the group); linked sets share a block, and
   unlike texts hardly ever do, however many passages they share.
 * Points.  In a block, the documents near one head are points whose coordinates
-  are the shingle counts of 64 groups.  An R-tree over these points is searched
+  are the shingle counts of 256 groups.  An R-tree over these points is searched
   with the bound overlap(q, node) <= sum of min(q_g, greatest count_g in the node).
 * Verification.  Surviving pairs are verified on the whole sets of 64-bit shingle hashes.
 
@@ -33,53 +33,61 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
-COORDINATES = 64
+COORDINATES = 256
 SMALL_BLOCK = 4
-FANOUT = 8
+FANOUT = 16
 #: Signatures that a map task combines at a time.
 SENT_AT_ONCE = 500_000
 #: Members of one head whose sets a verifying task holds at a time.
 HELD = 256
-#: Points in the R-tree of one part of a block; larger blocks are joined part by part.
-PART = 1024
+#: Points in the R-tree of one part of a block, and of those that search it; larger blocks are joined part by part.
+PART = 512
+#: Rows of the blocks of one head that meet in a task, about; more are dealt out by block.
+CELL = 1024
+_FULL = 65_535
 _RATIO = 1.5
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
-_HASH = xxhash.xxh3_64_intdigest
 _NODE = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("point", pa.binary())])
-_SENT = pa.schema([("sig", pa.int64()), ("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+_SENT = pa.schema([("sig", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def shingles(text: bytes, width: int) -> np.ndarray:
-    """Distinct hashes of the word shingles of a text, sorted."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    one = np.fromiter(map(_HASH, words), np.uint64, len(words))
-    k = min(width, len(words))
+def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
+    """Distinct hashes of the word shingles of each text, sorted."""
+    for chunk in C.chunks(texts):
+        one, sizes = C.word_hashes(chunk)
+        windows = np.full(max(0, len(one) - width + 1), width, np.uint64)
+        with np.errstate(over="ignore"):
+            for i in range(width):
+                windows += one[i : len(one) - width + 1 + i] * _PRIMES[i]
+            windows = C.spread(windows)
+            at = 0
+            for n in sizes.tolist():
+                found = windows[at : at + n - width + 1] if n >= width else C.spread(np.uint64(n) + (one[at : at + n] * _PRIMES[:n]).sum(dtype=np.uint64, keepdims=n > 0))
+                at += n
+                found = np.sort(found) if n else np.zeros(0, np.uint64)
+                yield found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) > 1 else found
+
+
+def digests(sets: list[np.ndarray]) -> np.ndarray:
+    """128 order-free bits of each set, as two signed numbers; sets without elements have one digest too."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    whole = np.concatenate([*sets, np.zeros(1, np.uint64)])
     with np.errstate(over="ignore"):
-        out = np.full(len(words) - k + 1, k, np.uint64)
-        for i in range(k):
-            out += one[i : len(one) - k + 1 + i] * _PRIMES[i]
-    return np.unique(C.spread(out))
-
-
-def digest(found: np.ndarray) -> tuple[int, int]:
-    """128 order-free bits of a set, as two signed numbers."""
-    with np.errstate(over="ignore"):
-        sums = np.array([found.sum(dtype=np.uint64) + np.uint64(len(found)), C.spread(found ^ _PRIMES[0]).sum(dtype=np.uint64)], np.uint64)
-    return tuple(C.spread(sums).view(np.int64).tolist())
+        ends = np.cumsum(sizes)
+        sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)]) for x in (whole, C.spread(whole ^ _PRIMES[0]))]
+        one, two = (x[ends] - x[ends - sizes] for x in sums)
+        return C.spread(np.stack([one + sizes.astype(np.uint64), two], axis=1)).view(np.int64)
 
 
 def point(found: np.ndarray) -> np.ndarray:
     """Shingles of a set in each of the groups."""
-    return np.minimum(np.bincount((found & np.uint64(COORDINATES - 1)).astype(np.int64), minlength=COORDINATES), 65_535)
+    return np.minimum(np.bincount((found & np.uint64(COORDINATES - 1)).astype(np.int64), minlength=COORDINATES), _FULL).astype(np.uint16)
 
 
 class Bands:
@@ -102,37 +110,38 @@ class Bands:
             return []
         k = int(np.searchsorted(self.edges, n, side="right")) - 1
         bands = [k] if largest < self.edges[k + 1] else [k, k + 1]
-        return [(j, self.differ(d := int(self.edges[j + 1]) - 1, d) * 9 // 8 + 3) for j in bands]
-
-    def signatures(self, found: np.ndarray) -> np.ndarray:
-        """A hash for each (band, group, shingles of the group)."""
-        n, out = len(found), []
-        most = self.differ(n, n * 100 // self.p)
-        for j, groups in self.schemes(n):
+        return [(j, self.differ(d := int(self.edges[j + 1]) - 1, d) + 1) for j in bands]
+
+    def signatures(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """A hash for each (band, group, shingles of the group) of each set, and the number of its set."""
+        sizes, out, of = np.array([len(x) for x in sets], np.int64), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        schemes: dict[tuple[int, int], list[int]] = {}
+        for i, n in enumerate(sizes.tolist()):
+            for scheme in self.schemes(n) if n else ():
+                schemes.setdefault(scheme, []).append(i)
+        for (j, groups), mine in schemes.items():
+            found, owner = np.concatenate([sets[i] for i in mine]), np.repeat(np.arange(len(mine)), sizes[mine])
             with np.errstate(over="ignore"):
                 mixed = C.spread(found ^ (_PRIMES[1] * np.uint64(j + 1)))
-                group = (mixed >> np.uint64(32)).astype(np.int64) * groups >> 32
-                order = np.argsort(group, kind="stable")
-                group, content = group[order], mixed[order]
-                first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-                sums, names = np.add.reduceat(content, first), group[first].astype(np.uint64)
-                if len(first) <= most:  # then the equal group may be an empty one
-                    empty = np.setdiff1d(np.arange(groups), group[first]).astype(np.uint64)
-                    sums, names = np.concatenate([sums, np.zeros(len(empty), np.uint64)]), np.concatenate([names, empty])
-                out.append(C.spread(sums + names * _PRIMES[2] + np.uint64(j + 1) * _PRIMES[3]))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+                cell = ((mixed >> np.uint64(32)).astype(np.int64) * groups >> 32) + owner * groups
+                sums = np.zeros(len(mine) * groups, np.uint64)
+                np.add.at(sums, cell, mixed)
+                used = (np.bincount(cell, minlength=len(sums)) > 0).reshape(len(mine), groups)
+                most = np.array([self.differ(n, n * 100 // self.p) for n in sizes[mine].tolist()])
+                used |= (used.sum(axis=1) <= most)[:, None]  # then the equal group may be an empty one
+                at = np.flatnonzero(used)
+                out.append(C.spread(sums[at] + (at % groups).astype(np.uint64) * _PRIMES[2] + np.uint64(j + 1) * _PRIMES[3]))
+                of.append(np.array(mine)[at // groups])
+        return np.concatenate(out), np.concatenate(of)
 
 
 def _nodes(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, points = [], [], []
-            for text in C.raw(batch):
-                found = shingles(text, width)
-                sizes.append(len(found))
-                points.append(point(found).astype(np.uint16).tobytes())
-                keys.append(digest(found) if len(found) else (None, None))
-            yield C.record(_NODE, batch.column(0), sizes, [k[0] for k in keys], [k[1] for k in keys], points)
+            sets = list(shingle_sets(C.raw(batch), width))
+            sizes, keys = np.array([len(x) for x in sets], np.int64), digests(sets)
+            none = sizes == 0
+            yield C.record(_NODE, batch.column(0), sizes, pa.array(keys[:, 0], mask=none), pa.array(keys[:, 1], mask=none), [point(x).tobytes() for x in sets])
 
     return run
 
@@ -146,48 +155,45 @@ def _send(width: int, percent: int):
     bands = Bands(percent)
 
     def combined(sigs: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
-        """Rows of kind 0 (alone), 1 (member of a star, with its head) and 2 (head of a star)."""
+        """Rows (block, node, null) of nodes alone, (block, head, member) of the members of a star, (block, head, head) of its head."""
         order = np.lexsort((nodes, sigs))
         sigs, nodes = sigs[order], nodes[order]
         first, size = _runs(sigs)
         head, many = np.repeat(first, size), np.repeat(size > SMALL_BLOCK, size)
-        member = many & (np.arange(len(sigs)) != head)
-        kind = np.where(member, 1, np.where(many, 2, 0)).astype(np.int32)
-        return C.record(_SENT, sigs, kind, np.where(member, nodes[head], nodes), pa.array(nodes, mask=~member))
+        return C.record(_SENT, sigs, np.where(many, nodes[head], nodes), pa.array(nodes, mask=~many))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sigs, nodes, size = [], [], 0
         for batch in batches:
-            seen, sigs, nodes, size = set(), [], [], 0
-            for text in C.raw(batch):
-                found = shingles(text, width)
-                key = digest(found)
-                if not len(found) or key in seen:
-                    continue
-                seen.add(key)
-                own = bands.signatures(found)
-                if len(own):
-                    sigs.append(own.view(np.int64))
-                    nodes.append(np.full(len(own), key[0], np.int64))
-                    size += len(own)
-                if size >= SENT_AT_ONCE:
-                    yield combined(np.concatenate(sigs), np.concatenate(nodes))
-                    sigs, nodes, size = [], [], 0
-            if sigs:
+            sets = [x for x in shingle_sets(C.raw(batch), width) if len(x)]
+            if not sets:
+                continue
+            keys, first = np.unique(digests(sets)[:, 0], return_index=True)
+            own, of = bands.signatures([sets[i] for i in first.tolist()])
+            sigs.append(own.view(np.int64))
+            nodes.append(keys[of])
+            size += len(own)
+            if size >= SENT_AT_ONCE:
                 yield combined(np.concatenate(sigs), np.concatenate(nodes))
+                sigs, nodes, size = [], [], 0
+        if size:
+            yield combined(np.concatenate(sigs), np.concatenate(nodes))
 
     return run
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows to pairs: all of a small block, a star of a large one (its rows keep their block's sig)."""
+    """Rows sorted by block to pairs: all of a small block (without its sig), a star of a large one."""
     rest = [np.zeros(0, np.int64) for _ in range(3)]
 
-    def paired(sig: np.ndarray, kind: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
-        fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]) if len(sig) else np.zeros(0, bool)
-        head_of_star = np.zeros(0, np.int64) if not len(sig) else np.unique(sig[kind == 2])
+    def paired(sig: np.ndarray, node: np.ndarray, heads: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(sig):
+            return
+        fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
+        of_stars = np.unique(sig[heads != 0])
         sig, node = sig[fresh], node[fresh]
         first, size = _runs(sig)
-        star = (size > SMALL_BLOCK) | np.isin(sig[first], head_of_star) if len(first) else np.zeros(0, bool)
+        star = (size > SMALL_BLOCK) | np.isin(sig[first], of_stars)
         left, right = [], []
         for step in range(1, SMALL_BLOCK):
             at = np.flatnonzero(np.repeat(~star & (size > step), size))
@@ -195,23 +201,23 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = at[sig[at + step] == sig[at]]
             left.append(node[at])
             right.append(node[at + step])
-        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1) if left else np.zeros((2, 0), np.int64)
+        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
         if pairs.shape[1]:
-            yield C.record(_SENT, pa.nulls(pairs.shape[1], pa.int64()), np.zeros(pairs.shape[1], np.int32), pairs[0], pairs[1])
+            yield C.record(_SENT, pa.nulls(pairs.shape[1], pa.int64()), pairs[0], pairs[1])
         member = np.repeat(star, size)
         member[first[star]] = False
         at = np.flatnonzero(member)
         if len(at):
-            yield C.record(_SENT, sig[at], np.ones(len(at), np.int32), node[np.repeat(first, size)[at]], node[at])
+            yield C.record(_SENT, sig[at], node[np.repeat(first, size)[at]], node[at])
 
     for batch in batches:
-        kind = batch.column(1).to_numpy(zero_copy_only=False)
-        stars = np.flatnonzero(kind == 1)
-        if len(stars):
-            yield batch.take(pa.array(stars))
-        others = np.flatnonzero(kind != 1)
-        now = [batch.column(i).take(pa.array(others)).to_numpy(zero_copy_only=False) for i in (0, 1, 2)]
-        whole = [np.concatenate(x) for x in zip(rest, now, strict=True)]
+        sig, a, b = (batch.column(i) for i in range(3))
+        alone = b.is_null().to_numpy(zero_copy_only=False)
+        sig, a, b = sig.to_numpy(), a.to_numpy(), b.fill_null(0).to_numpy()
+        member = ~alone & (a != b)
+        if member.any():
+            yield C.record(_SENT, sig[member], a[member], b[member])
+        whole = [np.concatenate(x) for x in zip(rest, (sig[~member], a[~member], (~alone[~member]).astype(np.int64)), strict=True)]
         cut = int(np.searchsorted(whole[0], whole[0][-1])) if len(whole[0]) else 0
         rest = [x[cut:] for x in whole]
         yield from paired(*(x[:cut] for x in whole))
@@ -219,120 +225,114 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class RTree:
-    """Points sorted by size and packed level by level; a node keeps the greatest count of each coordinate."""
+    """Points packed level by level; a node keeps the greatest count of each coordinate and the least size.
+
+    Points are packed in slabs of like size, and inside a slab by a projection, which brings texts of one family together.
+    """
 
     def __init__(self, points: np.ndarray):
-        self.order = np.argsort(points.sum(axis=1), kind="stable")
-        self.levels = [points[self.order]]
-        self.least = [self.levels[0].sum(axis=1)]
+        size, along = points.sum(axis=1, dtype=np.int64), points @ np.where(C.spread(np.arange(COORDINATES, dtype=np.uint64)) & np.uint64(1), 1, -1)
+        slab = np.argsort(np.argsort(size, kind="stable")) // max(FANOUT, int(len(points) ** 0.5))
+        self.order = np.lexsort((along, slab))
+        self.levels, self.least = [points[self.order]], [size[self.order]]
         while len(self.levels[-1]) > 1:
             at = np.arange(0, len(self.levels[-1]), FANOUT)
             self.levels.append(np.maximum.reduceat(self.levels[-1], at))
             self.least.append(np.minimum.reduceat(self.least[-1], at))
 
     def search(self, point: np.ndarray, percent: int) -> np.ndarray:
-        """Indices of the points that may link with the given one."""
-        own, at = point.sum(), np.zeros(1, np.int64)
+        """Indices of the points that may link with the given one; counts that are full bound nothing."""
+        own, at, full = int(point.sum(dtype=np.int64)), np.zeros(1, np.int64), bool((point == _FULL).any())
         for level in range(len(self.levels) - 1, -1, -1):
-            bound = np.minimum(self.levels[level][at], point).sum(axis=1)
-            at = at[bound * (100 + percent) >= percent * (own + self.least[level][at])]
+            bound = np.minimum(self.levels[level][at], point).sum(axis=1, dtype=np.int64)
+            at = at[(bound * (100 + percent) >= percent * (own + self.least[level][at])) | full]
             if level:
                 at = (at[:, None] * FANOUT + np.arange(FANOUT)).ravel()
                 at = at[at < len(self.levels[level - 1])]
         return self.order[at]
 
 
-def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
+def linked(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the other sets link with the first; sets are sorted and have elements."""
+    sizes, whole = np.array([len(x) for x in others], np.int64), np.concatenate(others)
+    found = one[np.minimum(np.searchsorted(one, whole), len(one) - 1)] == whole
+    both = np.add.reduceat(found, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return 100 * both >= percent * (len(one) + sizes - both)
 
 
-def _verify(width: int, percent: int):
-    def group(sets: dict[int, np.ndarray], head: int) -> list[tuple[int, int]]:
-        """Links inside the group: of the head with all, then of what the head does not reach."""
+def _verify(width: int, percent: int, inside: bool):
+    def group(sets: dict[int, np.ndarray], head: int) -> Iterator[tuple[int, int]]:
+        """Links of the head with the others; with `inside`, then also those among what the head does not reach and all."""
         if head not in sets or len(sets) < 2:
-            return []
-        ids, out = [head, *(i for i in sets if i != head)], []
+            return
+        ids = [i for i in sets if i != head]
+        near = linked(sets[head], [sets[i] for i in ids], percent)
+        for i in np.flatnonzero(near).tolist():
+            yield head, ids[i]
+        if not inside or near.all() or len(ids) < 2:
+            return
         points = np.stack([point(sets[i]) for i in ids])
-        tree, root = RTree(points), list(range(len(ids)))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for q in range(len(ids)):
-            if q and find(q) == find(0):
-                continue
-            for p in tree.search(points[q], percent).tolist():
-                if find(p) != find(q) and _linked(sets[ids[q]], sets[ids[p]], percent):
-                    root[find(p)] = find(q)
-                    out.append((ids[q], ids[p]))
-        return out
+        tree = RTree(points)
+        for q in np.flatnonzero(~near).tolist():
+            found = [p for p in tree.search(points[q], percent).tolist() if p > q or near[p]]
+            if found:
+                for i in np.flatnonzero(linked(sets[ids[q]], [sets[ids[p]] for p in found], percent)).tolist():
+                    yield ids[q], ids[found[i]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sets, out = None, {}, []
+        key, sets = None, {}
         for batch in batches:
-            for head, cell, doc, h1, text in zip(*(batch.column(i).to_pylist() for i in range(4)), C.raw(batch), strict=True):
+            out, found = [], list(shingle_sets(C.raw(batch), width))
+            for head, cell, doc, h1, own, is_h1 in zip(*(batch.column(i).to_pylist() for i in range(4)), found, digests(found)[:, 0].tolist(), strict=True):
                 if (head, cell) != key:
                     if key:
                         out += group(sets, key[0])
                     key, sets = (head, cell), {}
-                found = shingles(text, width)
-                if digest(found)[0] == h1:  # a repeated doc_id may bring other texts
-                    sets[doc] = found
+                if is_h1 == h1:  # a repeated doc_id may bring other texts
+                    sets[doc] = own
             if out:
-                yield C.record(_EDGE, [x for x, _ in out], [x for _, x in out])
-                out = []
-        if key and (out := group(sets, key[0])):
-            yield C.record(_EDGE, [x for x, _ in out], [x for _, x in out])
+                yield C.record(_EDGE, *zip(*out, strict=True))
+        if key and (out := list(group(sets, key[0]))):
+            yield C.record(_EDGE, *zip(*out, strict=True))
 
     return run
 
 
-_PAIRED = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-
 def _near(percent: int):
-    """Cells of a head's blocks: in each block the held points (kind 0, or 2) make an R-tree that the others (1, or 2) search.
+    """Cells of a head's blocks: in each block the held points (kind 0, or 2 off the main component) make an R-tree that those of kind 1 search.
 
-    Pairs of different labels come out once for each cell, however many blocks share them.
+    Pairs (seeker, found) of different labels come out once for each cell, however many blocks share them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in batches:
-                yield from zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True)
+                yield from zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True)
 
-        for _, cell in itertools.groupby(rows(), key=lambda r: r[:3]):
+        for _, cell in itertools.groupby(rows(), key=lambda r: r[:4]):
             seen: set[tuple[int, int]] = set()
-            for _, mine in itertools.groupby(cell, key=lambda r: r[3]):
-                kind, node, label, vector = zip(*(r[4:] for r in mine), strict=True)
+            for _, mine in itertools.groupby(cell, key=lambda r: r[4]):
+                kind, node, label, vector = zip(*(r[5:] for r in mine), strict=True)
                 kind, node, label = np.array(kind), np.array(node), np.array(label)
-                points = np.frombuffer(b"".join(vector), np.uint16).reshape(len(node), COORDINATES).astype(np.int32)
-                held = np.flatnonzero(kind != 1)
-                if not len(held) or (label == label[0]).all():
+                points = np.frombuffer(b"".join(vector), np.uint16).reshape(len(node), COORDINATES)
+                held, asking = np.flatnonzero(kind != 1), np.flatnonzero(kind == 1)
+                if not len(held) or not len(asking):
                     continue
                 tree = RTree(points[held])
-                for q in np.flatnonzero(kind != 0):
+                for q in asking.tolist():
                     near = held[tree.search(points[q], percent)]
-                    near = near[(label[near] != label[q]) & ((kind[q] != 2) | (node[near] < node[q]))]
-                    seen.update((min(int(node[q]), x), max(int(node[q]), x)) for x in node[near].tolist())
+                    near = near[(label[near] != label[q]) & ((kind[near] == 0) | (node[near] < node[q]))]
+                    seen.update((int(node[q]), x) for x in node[near].tolist())
                 if len(seen) > 300_000:
-                    yield C.record(_PAIRED, *zip(*seen, strict=True))
+                    yield C.record(_EDGE, *zip(*seen, strict=True))
                     seen = set()
             if seen:
-                yield C.record(_PAIRED, *zip(*seen, strict=True))
+                yield C.record(_EDGE, *zip(*seen, strict=True))
 
     return run
 
 
-def _with_text(docs: DataFrame, need: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text")).join(C.hinted(need), "id")
-
-
-def _edges(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def _edges(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int, inside: bool) -> DataFrame:
     """The pairs (a, b), by h1, that link, as pairs of doc_ids of equal sets' representatives (and links found beside them)."""
     side = lambda x: nodes.select(F.col("h1").alias(x), F.col("rep").alias(f"{x}_id"), F.col("n").alias(f"{x}_n"))
     both = pairs.join(C.hinted(side("a")), "a").join(C.hinted(side("b")), "b").filter(F.col("a_id") != F.col("b_id"))
@@ -340,14 +340,14 @@ def _edges(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, perc
     both = C.stored(both.select(F.col("a_id").alias("head"), "b_id", F.col("a").alias("head_h1"), "b"))
     cells = both.join(both.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / HELD).alias("cells")), "head").withColumn("cell", F.pmod(F.xxhash64("b_id"), "cells"))
     need = cells.select("head", "cell", F.col("b_id").alias("id"), F.col("b").alias("h1")).union(cells.select("head", "cell", "head", "head_h1").distinct())
-    rows = _with_text(docs, need).select("head", "cell", "id", "h1", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text")).join(C.hinted(need), "id").select("head", "cell", "id", "h1", "text")
     rows = rows.repartition("head", "cell").sortWithinPartitions("head", "cell")
-    return C.stored(C.map_arrow(rows, _verify(width, percent), "a long, b long").distinct())
+    return C.stored(C.map_arrow(rows, _verify(width, percent, inside), "a long, b long").distinct())
 
 
 def _central(met: DataFrame) -> DataFrame:
     """(sig, a, b): each member of a starred block with the block's most central member."""
-    stars = met.filter("kind = 1")
+    stars = met.filter("sig is not null")
     members = C.stored(stars.select("sig", F.col("b").alias("node")).union(stars.select("sig", "a")).distinct())
     sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
     weights = members.join(sizes, "sig").groupBy("node").agg(F.sum("n").alias("weight"))
@@ -356,21 +356,27 @@ def _central(met: DataFrame) -> DataFrame:
 
 
 def _left_over(nodes: DataFrame, stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of starred blocks, by h1, in different components, that the R-tree over the block does not rule out."""
+    """Pairs (a, b) of starred blocks, by h1, in different components, that the R-tree over the block does not rule out.
+
+    One of the two lies off the component that has most of the block's members; only such nodes search.
+    """
     known = C.stored(nodes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("h1").alias("node"), F.coalesce("component", "rep").alias("label"), "point"))
     members = stars.select("sig", F.col("a").alias("head"), F.col("b").alias("node")).union(stars.select("sig", "a", "a").distinct())
-    members = members.join(C.hinted(known.select("node", "label")), "node")
-    blocks = members.groupBy("sig", "head").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi")
-    blocks = C.stored(blocks.select("sig", "head", "n"))
-    # blocks of one head are split alike, so that a pair meets in the same cell for all of them
-    parts = blocks.groupBy("head").agg(F.ceil(F.max("n") / PART).alias("parts"))
-    rows = members.join(C.hinted(blocks.join(parts, "head").select("sig", "parts")), "sig").withColumn("own", F.pmod(F.xxhash64("node"), "parts"))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    side = lambda df, x, y, kind: df.select("head", x.alias("x"), y.alias("y"), "sig", F.lit(kind).alias("kind"), "node", "label")
-    none = F.lit(0).cast("long")
-    cells = side(rows.filter("parts = 1"), none, none, 2).union(side(rows.filter("parts > 1"), F.col("own"), every, 0).filter("y <= x")).union(side(rows.filter("parts > 1"), every, F.col("own"), 1).filter("y <= x"))
-    cells = cells.join(C.hinted(known.select("node", "point")), "node").select("head", "x", "y", "sig", "kind", "node", "label", "point")
-    cells = cells.repartition("head", "x", "y").sortWithinPartitions("head", "x", "y", "sig")
+    members = C.stored(members.join(C.hinted(known.select("node", "label")), "node"))
+    sizes = members.groupBy("sig", "head", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("sig", "head")
+    blocks = sizes.agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    blocks = C.stored(blocks.select("sig", "head", "n", F.col("top.label").alias("main"), (F.col("n") - F.col("top.n")).alias("off")))
+    # blocks of one head are split alike, so that a pair meets in the same cells for all of them
+    parts = blocks.groupBy("head").agg(F.ceil(F.max("n") / PART).alias("xs"), F.ceil(F.max("off") / PART).alias("ys"), F.sum(F.col("n") + F.col("off")).alias("all"))
+    parts = parts.select("head", "xs", "ys", F.ceil(F.col("all") / F.col("xs") / F.col("ys") / CELL).alias("slices"))
+    rows = members.join(C.hinted(blocks.join(parts, "head").select("sig", "main", "xs", "ys", "slices")), "sig")
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("sig"), "slices")).withColumn("off", F.col("label") != F.col("main"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("node"), n)
+    side = lambda df, x, y, kind: df.select("head", x.alias("x"), y.alias("y"), "slice", "sig", kind.alias("kind"), "node", "label")
+    cells = side(rows, dealt("xs"), every("ys"), F.when(F.col("off"), 2).otherwise(0)).union(side(rows.filter("off"), every("xs"), dealt("ys"), F.lit(1)))
+    cells = cells.join(C.hinted(known.select("node", "point")), "node").select("head", "x", "y", "slice", "sig", "kind", "node", "label", "point")
+    cells = cells.repartition("head", "x", "y", "slice").sortWithinPartitions("head", "x", "y", "slice", "sig")
     return C.stored(C.map_arrow(cells, _near(percent), "a long, b long").distinct())
 
 
@@ -378,17 +384,17 @@ def link_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     """One row per document: doc_id, n_shingles, component_id (least doc_id reachable by links)."""
     base = C.stored(C.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _nodes(width), "doc_id long, n_shingles long, h1 long, h2 long, point binary"))
     nodes = C.stored(base.filter("h1 is not null and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("point").alias("point")))
-    sent = C.map_arrow(docs.filter("doc_id is not null").select("text"), _send(width, percent), "sig long, kind int, a long, b long").withColumn("cell", F.when(F.col("kind") == 1, F.pmod("b", F.lit(64))))
-    sent = sent.repartition("sig", "cell").drop("cell").sortWithinPartitions("sig", "a")
-    met = C.stored(C.map_arrow(sent, _meet, "sig long, kind int, a long, b long"))
+    sent = C.map_arrow(docs.filter("doc_id is not null").select("text"), _send(width, percent), "sig long, a long, b long")
+    sent = sent.repartition("sig", F.when(F.col("a") != F.col("b"), F.pmod("b", F.lit(64)))).sortWithinPartitions("sig", "a")
+    met = C.stored(C.map_arrow(sent, _meet, "sig long, a long, b long"))
     stars = _central(met)
     base = base.drop("point")
-    pairs = met.filter("kind = 0").select("a", "b").union(stars.select("a", "b")).distinct()
-    edges = _edges(docs, nodes, pairs, width, percent)
+    pairs = met.filter("sig is null").select("a", "b").union(stars.select("a", "b")).distinct()
+    edges = _edges(docs, nodes, pairs, width, percent, True)
     labels = C.components(edges)
     more = _left_over(nodes, stars, labels, percent)
-    if more.limit(1).count():
-        labels = C.components(edges.union(_edges(docs, nodes, more, width, percent)))
+    if not more.isEmpty():
+        labels = C.components(edges.union(_edges(docs, nodes, more, width, percent, False)))
     reps = nodes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
     whole = base.join(C.hinted(reps), ["h1", "h2"], "left")
     return whole.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
