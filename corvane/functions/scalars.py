@@ -53,14 +53,13 @@ def round_key(x: Column, digits: int) -> Column:
 
 
 def months_between(a: Column, b: Column) -> Column:
-    """Whole months from a to b, rounded toward the earlier; negative if b is earlier."""
-    whole = lambda x, y: (F.year(y) * 12 + F.month(y)) - (F.year(x) * 12 + F.month(x)) - F.when(F.dayofmonth(y) < F.dayofmonth(x), 1).otherwise(0)
-    return F.when(b >= a, whole(a, b)).otherwise(-whole(b, a))
+    """Whole months from a to b, a month being whole on a's day of the month; a floor, so a day short of a month back is -1."""
+    return (F.year(b) * 12 + F.month(b)) - (F.year(a) * 12 + F.month(a)) - F.when(F.dayofmonth(b) < F.dayofmonth(a), 1).otherwise(0)
 
 
 def years_between(a: Column, b: Column) -> Column:
-    whole = lambda x, y: F.year(y) - F.year(x) - F.when(F.date_format(y, "MMdd") < F.date_format(x, "MMdd"), 1).otherwise(0)
-    return F.when(b >= a, whole(a, b)).otherwise(-whole(b, a))
+    """Whole years from a to b, a year being whole on a's month and day; a floor too."""
+    return age_at(a, b)
 
 
 def shift(day: Column, n: Column | int, unit: str = "day") -> Column:
@@ -91,11 +90,17 @@ def json_text(text: Column, key: str) -> Column:
     return F.get_json_object(text, f"$.{key}")
 
 
-def coarse_compare(op: str, day: Column, precision: Column, other: Column, strict: bool = False) -> Column:
-    """Compare a coarse date with a day: forgiving if some day of its interval does, strict if all do."""
+def coarse_compare(op: str, day: Column, precision: Column, other: Column, strict: bool = False, other_precision: Column | None = None) -> Column:
+    """Compare a coarse date with a day, or another coarse date: forgiving if some days of the intervals do, strict if all do.
+
+    Forgiving, = is an overlap and <> is none; strict, = wants whole days on both sides and <> compares the first days.
+    """
     lo, hi = interval_start(day, precision), interval_end(day, precision)
-    some = {"<": lo < other, "<=": lo <= other, ">": hi > other, ">=": hi >= other, "=": (lo <= other) & (hi >= other), "<>": ~((lo == other) & (hi == other))}
-    all_ = {"<": hi < other, "<=": hi <= other, ">": lo > other, ">=": lo >= other, "=": (lo == other) & (hi == other), "<>": (hi < other) | (lo > other)}
+    a, b = (other, other) if other_precision is None else (interval_start(other, other_precision), interval_end(other, other_precision))
+    exact = (precision == "day") & (F.lit(True) if other_precision is None else other_precision == "day")
+    overlap = (lo <= b) & (hi >= a)
+    some = {"<": lo < b, "<=": lo <= b, ">": hi > a, ">=": hi >= a, "=": overlap, "<>": ~overlap}
+    all_ = {"<": hi < a, "<=": hi <= a, ">": lo > b, ">=": lo >= b, "=": exact & (lo == a), "<>": lo != a}
     return (all_ if strict else some)[op]
 
 

@@ -23,46 +23,65 @@ def units(df: DataFrame, parent: str, key: Column) -> DataFrame:
 
 
 def orientation(df: DataFrame, row: Sequence[str], column: Sequence[str]) -> DataFrame:
-    """Class from two direction vectors: their cross product's dominant axis, and its share of the length as confidence."""
+    """Class from two direction vectors: their cross product's dominant axis, and its share of the length as confidence; of equal axes the first counts."""
     a, b = [F.col(c) for c in row], [F.col(c) for c in column]
     n = [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
     size = [F.abs(x) for x in n]
     length = F.sqrt(sum((x * x for x in n), F.lit(0.0)))
     top = F.greatest(*size)
-    name = F.when(length == 0, F.lit(None)).when(top == size[2], "axial").when(top == size[1], "coronal").otherwise("sagittal")
+    name = F.when(length < 1e-10, F.lit(None)).when(top == size[0], "sagittal").when(top == size[1], "coronal").otherwise("axial")
     return df.withColumn("orientation", name).withColumn("orientation_confidence", F.round(F.try_divide(top, length), 6))
 
 
 def merge_split(df: DataFrame, parent: str, rest: Sequence[str], discriminator: str, moment: str, position: str) -> DataFrame:
-    """Units equal in all but the discriminator become one where they state fewer than two moments and hold different positions.
+    """Units equal in all but the discriminator become one where they state fewer than two moments, unless every one
+    of them states the moment and all hold the same positions (then the discriminator tells real units apart).
 
-    Adds `merged`: whether the row's rest group is joined.  Equal position sets are told by an order-free digest.
+    Adds `merged`: whether the row's rest group is joined.  A unit with a row of unknown position holds no known
+    set.  Equal sets, rows counted, are told by a count and two order-free sums of hashes.
     """
     by = [parent, *rest]
-    sets = df.select(*by, discriminator, position).distinct().groupBy(*by, discriminator).agg(F.count(F.lit(1)).alias("__n"), F.bit_xor(F.xxhash64(position)).alias("__x"))
-    facts = sets.groupBy(*by).agg(F.count(F.lit(1)).alias("__values"), F.countDistinct("__n", "__x").alias("__sets"))
-    moments = df.groupBy(*by).agg(F.countDistinct(moment).alias("__all"))
-    facts = facts.join(moments, by).select(*by, ((F.col("__values") >= 2) & (F.col("__all") < 2) & (F.col("__sets") == F.col("__values"))).alias("merged"))
-    return df.join(facts, by)
+    known = F.count(F.lit(1)) == F.count(position)
+    sets = df.groupBy(*by, discriminator).agg(F.count(F.lit(1)).alias("__n"), F.bit_xor(F.xxhash64(position)).alias("__x"), F.sum(F.pmod(F.xxhash64(position), F.lit((1 << 31) - 1))).alias("__y"), known.alias("__known"), F.min(moment).alias("__lo"), F.max(moment).alias("__hi"))
+    facts = sets.groupBy(*by).agg(F.count(F.lit(1)).alias("__values"), F.countDistinct("__n", "__x", "__y").alias("__sets"), F.min("__known").alias("__known"), F.count("__lo").alias("__timed"), F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"))
+    one_moment = F.col("__lo").isNull() | (F.col("__lo") == F.col("__hi"))
+    apart = F.col("__known") & (F.col("__timed") == F.col("__values")) & (F.col("__sets") == 1)
+    return df.join(facts.select(*by, ((F.col("__values") >= 2) & one_moment & ~apart).alias("merged")), by)
 
 
 def positions(df: DataFrame, key: str, position: str, tolerance: float = 0.01) -> DataFrame:
-    """Per key the distinct positions, those within tolerance of a cluster's lowest counted once: n, span, centre."""
-    lists = df.filter(F.col(position).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_set(F.col(position).cast("double"))).alias("__p"))
+    """Per key the distinct positions, those within tolerance of a cluster's lowest counted once; span and centre, of the least and greatest, to hundredths."""
+    lists = df.filter(F.col(position).isNotNull() & ~F.isnan(F.col(position).cast("double")) & (F.abs(F.col(position).cast("double")) < F.lit(float("inf")))).groupBy(key).agg(F.array_sort(F.collect_set(F.col(position).cast("double"))).alias("__p"))
     kept = F.aggregate("__p", F.array().cast("array<double>"), lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) > tolerance), F.concat(acc, F.array(x))).otherwise(acc))
-    out = lists.select(key, kept.alias("__k"))
-    return out.select(key, F.size("__k").alias("n_positions"), F.round(F.array_max("__k") - F.array_min("__k"), 6).alias("span"), F.round((F.array_max("__k") + F.array_min("__k")) / 2, 6).alias("centre"))
+    out = lists.select(key, kept.alias("__k"), F.array_min("__p").alias("__lo"), F.array_max("__p").alias("__hi"))
+    return out.select(key, F.size("__k").alias("n_positions"), F.round(F.col("__hi") - F.col("__lo"), 2).alias("span"), F.round((F.col("__lo") + F.col("__hi")) / 2, 2).alias("centre"))
 
 
-def coverage_differs(n1: Column, n2: Column, span1: Column, span2: Column, centre1: Column, centre2: Column, span_by: float, moved_by: float) -> tuple[Column, Column]:
-    """(differs, moved) of two coverages; what is absent never differs."""
-    differs = F.coalesce(F.abs(span1 - span2) > span_by * F.greatest(span1, span2), F.lit(False)) | F.coalesce(n1 != n2, F.lit(False))
+def coverage_differs(n1: Column, n2: Column, span1: Column, span2: Column, centre1: Column, centre2: Column, span_by: float, moved_by: float, least_span: float = 1.0) -> tuple[Column, Column]:
+    """(differs, moved) of two coverages: other numbers of positions, or spans further apart than least_span and span_by of the larger; what is absent never differs."""
+    apart = F.abs(span1 - span2) > F.greatest(F.lit(least_span), span_by * F.greatest(F.abs(span1), F.abs(span2)))
+    differs = F.when(n1.isNull() | n2.isNull(), False).when(n1 != n2, True).otherwise(F.coalesce(apart, F.lit(False)))
     return differs, F.coalesce(F.abs(centre1 - centre2) > moved_by, F.lit(False))
 
 
-def in_tesla(x: Column) -> Column:
-    """A field strength on one scale: tesla up to 25, thousandths up to 25,000 (or gauss from 5,000)."""
-    return F.when(x <= 0, F.lit(None)).when(x <= 25, x).when(x < 5_000, x / 1_000).otherwise(x / 10_000)
+#: Field strengths that scanners are built at, and how far a reading of each may be off; fixed values.
+STRENGTHS = ((0.5, 0.15), (1.0, 0.15), (1.5, 0.15), (3.0, 0.3), (7.0, 0.5))
+
+
+def field_strength(x: Column) -> Column:
+    """A reading as struct(normalized, tesla, unit): the first of tesla, gauss and thousandths that lands on a standard
+    strength; a reading that never does stands as tesla without one; what is not above 0 is null."""
+
+    def on_grid(t: Column) -> Column:
+        return F.coalesce(*[F.when(F.abs(t - s) <= within, F.lit(s)) for s, within in STRENGTHS])
+
+    def read(unit: str, t: Column) -> Column:
+        return F.struct(on_grid(t).alias("normalized"), t.alias("tesla"), F.lit(unit).alias("unit"))
+
+    x = F.when((x > 0) & (x < F.lit(float("inf"))), x.cast("double"))
+    units_ = [("tesla", x), ("gauss", x / 10_000), ("milli", x / 1_000)]
+    landed = F.coalesce(*[F.when(on_grid(t).isNotNull(), read(unit, t)) for unit, t in units_])
+    return F.when(x.isNotNull(), F.coalesce(landed, read("tesla", x)))
 
 
 def first_of(*facts: tuple[Column, str]) -> tuple[Column, Column]:
@@ -86,10 +105,14 @@ def shells(df: DataFrame, key: str, value: str, step: float, gate: Column) -> Da
     return df.filter(gate).groupBy(key).agg(F.array_join(F.array_sort(F.collect_set((F.round(F.col(value) / step) * step).cast("long"))), ",").alias("shells"), F.count(F.when(F.round(F.col(value) / step) != 0, 1)).alias("directions"))
 
 
-def frame_interval(df: DataFrame, key: str, position: str, second: str, stated: str | None = None) -> DataFrame:
-    """Seconds between repeats of a position: (latest - earliest) / (times - 1), then the median over positions; a positive stated value wins."""
-    per = df.groupBy(key, position).agg(F.min(second).alias("a"), F.max(second).alias("b"), F.countDistinct(second).alias("n"), *([F.max(stated).alias("__s")] if stated else []))
-    out = per.groupBy(key).agg(F.median(F.when(F.col("n") > 1, (F.col("b") - F.col("a")) / (F.col("n") - 1))).alias("__m"), *([F.max("__s").alias("__s")] if stated else []))
+def frame_interval(df: DataFrame, key: str, position: str, second: str, stated: str | None = None, day: str | None = None) -> DataFrame:
+    """Seconds between repeats of a position: (latest - earliest) / (times - 1), then the median over positions; a positive stated value wins.
+
+    A position whose times lie on more than one day is left out.
+    """
+    days = F.countDistinct(day) if day else F.lit(1)
+    per = df.groupBy(key, position).agg(F.min(second).alias("a"), F.max(second).alias("b"), F.countDistinct(second).alias("n"), days.alias("__days"), *([F.max(stated).alias("__s")] if stated else []))
+    out = per.groupBy(key).agg(F.median(F.when((F.col("n") > 1) & (F.col("__days") <= 1), (F.col("b") - F.col("a")) / (F.col("n") - 1))).alias("__m"), *([F.max("__s").alias("__s")] if stated else []))
     s = F.when(F.col("__s") > 0, F.col("__s")) if stated else F.lit(None).cast("double")
     return out.select(key, F.round(F.coalesce(s, F.col("__m")), 4).alias("frame_interval"), F.when(s.isNotNull(), "stated").when(F.col("__m").isNotNull(), "derived").alias("interval_source"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 from collections.abc import Mapping, Sequence
 
@@ -84,18 +85,24 @@ def flattened(intervals: DataFrame, by: Sequence[str], start: str, end: str) ->
     return out.select(*by, start, F.nullif("__e", far).alias(end))
 
 
-def check_number(raw: Column, reference_year: int) -> tuple[Column, Column]:
-    """(number, reason) of a ten- or twelve-digit number: separators dropped, century from a reference year (+ means a hundred years or more), check digit.
+def check_number(raw: Column, today: dt.date) -> tuple[Column, Column]:
+    """(number, reason) of a ten- or twelve-digit number: separators dropped, check digit over the last ten.
 
-    The number has twelve digits; the reason is null where it is good.
+    Without a century the latest year counts that is not ahead of today; + before the last four digits means
+    a hundred years more, and a day of this year still to come a hundred years less.  A day above 60 is a
+    coordination number's, 60 more than the day that must exist.  The number has twelve digits, the day as written;
+    the reason is null where it is good.
     """
     text = F.regexp_replace(F.trim(raw), r"\s", "")
     digits = F.regexp_replace(text, "[-+]", "")
     short = F.length(digits) == 10
-    yy = F.try_to_number(F.substring(digits, 1, 2), F.lit("99")).cast("int")
-    year = F.lit(reference_year // 100 * 100) + yy - F.when(yy > reference_year % 100, 100).otherwise(0) - F.when(text.contains("+"), 100).otherwise(0)
-    whole = F.when(short, F.concat(year.cast("string"), F.substring(digits, 3, 8))).otherwise(digits)
-    ten = F.substring(whole, 3, 10)
+    date = F.substring(digits, F.lit(1), F.length(digits) - 4)
+    yy, month, written = (F.substring(date, a, 2).try_cast("int") for a in (-6, -4, -2))
+    day = F.when(written > 60, written - 60).otherwise(written)
+    latest = today.year - F.pmod(F.lit(today.year) - yy, F.lit(100))
+    ahead = (latest == today.year) & (month * 100 + day > today.month * 100 + today.day)
+    year = F.when(short, latest - F.when(text.contains("+") | ahead, 100).otherwise(0)).otherwise(F.substring(date, 1, 4).try_cast("int"))
+    ten = F.right(digits, F.lit(10))
 
     def part(i: Column) -> Column:
         d = F.try_element_at(F.split(ten, ""), i).try_cast("int")
@@ -103,9 +110,9 @@ def check_number(raw: Column, reference_year: int) -> tuple[Column, Column]:
         return F.when(twice > 9, twice - 9).otherwise(twice)
 
     total = F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(10)), part), F.lit(0), lambda a, x: a + x)
-    day = F.try_to_date(F.substring(whole, 1, 8), "yyyyMMdd")
-    reason = F.when(raw.isNull(), "missing").when(~text.rlike(r"^\d{6}(\d{2})?[-+]?\d{4}$"), "form").when(day.isNull(), "date").when(total % 10 != 0, "check digit")
-    return F.when(reason.isNull(), whole), reason
+    exists = F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd").isNotNull()
+    reason = F.when(raw.isNull(), "missing").when(~text.rlike(r"^\d{6}(\d{2})?[-+]?\d{4}$"), "form").when(~exists, "date").when(total % 10 != 0, "check digit")
+    return F.when(reason.isNull(), F.concat(F.lpad(year.cast("string"), 4, "0"), F.right(digits, F.lit(8)))), reason
 
 
 def natural_key(label: Column) -> Column:

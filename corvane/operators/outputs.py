@@ -55,18 +55,22 @@ def held_flag(n: Column, k: int = K) -> Column:
 def suppress(grid: DataFrame, keys: Sequence[str], n: str, shown: str, k: int = K) -> DataFrame:
     """Complementary suppression on a grid of groups.
 
-    A line (all keys but one) with a single held cell holds its smallest other
-    cell too, else the total would give it away; three passes for each key, one for a single key.
+    A line (the cells that share all keys but one) with a held cell holds one more, else the line's
+    total would give it away: where it holds one alone, or only cells under the bound.  That is the
+    smallest of those shown, an empty one last.  With several keys there are three passes for each,
+    and in a pass all lines are judged by what the passes before it held.
     """
-    out = grid.withColumn("__held", ~((F.col(n) == 0) | (F.col(n) >= k)))
-    for _ in range(3 if len(keys) > 1 else 1):
+    small = ~((F.col(n) == 0) | (F.col(n) >= k))
+    out = grid.withColumn("__small", small.cast("int")).withColumn("__held", F.col("__small"))
+    for _ in range(3 * len(keys) if len(keys) > 1 else 1):
+        more = F.lit(False)
         for along in keys:
-            line = [c for c in keys if c != along]
-            w = Window.partitionBy(*line)
-            out = out.withColumn("__count", F.sum(F.col("__held").cast("int")).over(w))
-            first = F.row_number().over(w.orderBy(F.col("__held").cast("int"), (F.col(n) == 0).cast("int"), F.col(n), *keys))
-            out = out.withColumn("__first", first).withColumn("__held", F.col("__held") | ((F.col("__count") == 1) & (F.col("__first") == 1) & (F.col(n) > 0)))
-    return out.withColumn(shown, F.when(~F.col("__held"), F.col(n))).drop("__held", "__count", "__first")
+            w = Window.partitionBy(*[c for c in keys if c != along])
+            held_, chosen = F.sum("__held").over(w), F.sum(F.col("__held") * (1 - F.col("__small"))).over(w)
+            first = F.row_number().over(w.orderBy("__held", (F.col(n) == 0).cast("int"), n, *keys)) == 1
+            more = more | ((held_ >= 1) & ((held_ == 1) | (chosen == 0)) & first)
+        out = out.withColumn("__held", F.when(more, 1).otherwise(F.col("__held")))
+    return out.withColumn(shown, F.when(F.col("__held") == 0, F.col(n))).drop("__held", "__small")
 
 
 def held_part(n: Column, whole: Column, k: int = K) -> Column:

@@ -46,16 +46,18 @@ def families(df: DataFrame, by: Sequence[str], key: str, score_: str) -> DataFra
 def choose(df: DataFrame, per: Sequence[str], key: str, score_: str = "score", close: float = 0.02, steps: Sequence[Column] = ()) -> DataFrame:
     """Winner per group with score, runner_up, margin and candidates.
 
-    Candidates within `close` of the best score are ordered by the declared steps
-    first; exact ties end with the key.
+    Candidates whose score is short of the best by `close` of it at most are ordered by the declared steps
+    first; exact ties end with the key.  The margin is the runner-up's shortfall as a part of the winner's score:
+    1 for a lone candidate, 0 where the winner's score is 0.
     """
     w = Window.partitionBy(*per)
-    rows = df.withColumn("__near", F.col(score_) >= F.max(score_).over(w) - close)
+    top = F.max(score_).over(w)
+    rows = df.withColumn("__near", F.coalesce(F.round(F.try_divide(top - F.col(score_), top), 9), F.lit(0.0)) <= close)
     order = [F.desc("__near"), *[F.when(F.col("__near"), s).asc_nulls_last() for s in steps], F.desc(score_), F.asc(key)]
     rows = rows.withColumn("__r", F.row_number().over(w.orderBy(*order)))
     best = F.max(F.when(F.col("__r") == 1, F.col(score_)))
     second = F.max(F.when(F.col("__r") == 2, F.col(score_)))
-    return rows.groupBy(*per).agg(F.max(F.when(F.col("__r") == 1, F.col(key))).alias(key), best.alias("score"), F.max(F.when(F.col("__r") == 2, F.col(key))).alias("runner_up"), F.round(best - second, 9).alias("margin"), F.count(F.lit(1)).alias("candidates"))
+    return rows.groupBy(*per).agg(F.max(F.when(F.col("__r") == 1, F.col(key))).alias(key), best.alias("score"), F.max(F.when(F.col("__r") == 2, F.col(key))).alias("runner_up"), F.coalesce(F.round(F.try_divide(best - F.coalesce(second, F.lit(0.0)), best), 9), F.lit(0.0)).alias("margin"), F.count(F.lit(1)).alias("candidates"))
 
 
 def borders(df: DataFrame, flags: Mapping[str, Column]) -> DataFrame:

@@ -52,9 +52,11 @@ def grouped_proposals(df: DataFrame, by: Sequence[str], p: str, threshold: float
     return g.withColumn("band", band(F.col("confidence"), threshold))
 
 
-def gate(a: Column, pa: Column, b: Column, pb: Column, low: float, high: float) -> Column:
-    """Two answers: agreeing and sure is accepted, both sure and different disagree, one sure decides, else unsure."""
-    return F.when((a == b) & (F.least(pa, pb) >= low), "accepted").when((a != b) & (F.least(pa, pb) >= high), "disagree").when(F.greatest(pa, pb) >= high, "decided").otherwise("unsure")
+def gate(rule: Column, decided: Column, answer: Column, p: Column, reliability: Column, least_p: float, least_reliability: float) -> Column:
+    """A model's word on what the rules said: what is decided stays so; without a model's p it is unsure; another
+    answer disagrees at any p; the same one is accepted where p and reliability reach their bounds, else unsure."""
+    sure = (p >= least_p) & F.coalesce(reliability >= least_reliability, F.lit(False))
+    return F.when(decided, "decided").when(p.isNull(), "unsure").when(~answer.eqNullSafe(rule), "disagree").when(sure, "accepted").otherwise("unsure")
 
 
 def draw(df: DataFrame, seed: str, what: str, identity: str, share: float | None = None, count: int | None = None) -> DataFrame:

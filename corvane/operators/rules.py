@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -85,38 +85,92 @@ def votes(df: DataFrame, key: str, rules: Sequence[Rule]) -> DataFrame:
     return df.select(key, F.inline(F.filter(fired, lambda x: x.isNotNull())))
 
 
-def neighbour_vote(df: DataFrame, reference: DataFrame, key: str, dims: Mapping[str, float], answer: str, least: int = 3, reach: int = 1, relaxed: str | None = None) -> DataFrame:
-    """(key, voted, confidence, step): the most common answer among reference rows near in binned numbers.
+_HOLE = -(2**31)
 
-    Steps: the exact bin; one dimension off by up to `reach` bins; two dimensions; without the relaxed
-    dimension.  The first step with `least` rows for its best answer decides, a tie is silent.
-    The reference is summed per bin first, so a vote joins counts, not rows.
-    """
-    names = list(dims)
-    absent = -(2**31)
-    binned = lambda d: d.select(*d.columns, *[F.coalesce(F.when(F.col(c) == 0, F.lit(absent)).otherwise(F.bround(F.col(c) / step, 0).cast("long")), F.lit(absent)).cast("long").alias(f"__{c}") for c, step in dims.items()])
-    bins = [f"__{c}" for c in names]
-    pool = binned(reference).filter(F.col(answer).isNotNull()).groupBy(*bins, answer).agg(F.count(F.lit(1)).alias("__n"))
-    asked = binned(df).select(key, *bins)
-
-    def moved(step: int, by: Mapping[str, int]) -> Column:
-        return F.struct(F.lit(step).alias("__step"), *[(F.when(F.col(b) == absent, F.when(F.lit(by.get(b, 0)) == 0, F.col(b))).otherwise(F.col(b) + by.get(b, 0))).alias(b) for b in bins])
-
-    offsets = [o for o in range(-reach, reach + 1) if o]
-    options = [moved(0, {})] + [moved(1, {b: o}) for b in bins for o in offsets] + [moved(2, {a: o, b: p}) for i, a in enumerate(bins) for b in bins[i + 1 :] for o in offsets for p in offsets]
-    near = asked.select(key, F.inline(F.array(*options))).join(pool, bins).groupBy(key, "__step", answer).agg(F.sum("__n").alias("__n"))
+
+def _bins(df: DataFrame, dims: Mapping[str, float | tuple[str, float]], zero_absent: bool) -> DataFrame:
+    """Adds the bin number __<dim> of each dimension; a missing value (a zero too, if that is none) is a hole."""
+    out = df
+    for name, how in dims.items():
+        rule, step = how if isinstance(how, tuple) else ("round", how)
+        x = F.when(F.lit(not zero_absent) | (F.col(name) != 0), F.col(name)) / step
+        number = F.bround(x, 0) if rule == "round" else F.when(x > 0, F.ceil(x))
+        out = out.withColumn(f"__{name}", F.coalesce(number.cast("long"), F.lit(_HOLE).cast("long")))
+    return out
+
+
+def _moves(bins: Sequence[str], reach: int, pairs: Sequence[tuple[int, int]], relaxed: tuple[int, int, int, int] | None) -> list[tuple[int, dict[int, int]]]:
+    """(step, moves): 0 the bin itself; for each distance one dimension, then a pair of them; last the relaxed pair."""
+    out: list[tuple[int, dict[int, int]]] = [(0, {})]
+    for d in range(1, reach + 1):
+        by = [o for o in range(-d, d + 1) if o]
+        out += [(2 * d - 1, {i: o}) for i in range(len(bins)) for o in by]
+        out += [(2 * d, {i: o, j: p}) for i, j in pairs for o in by for p in by]
     if relaxed:
-        rest = [b for b in bins if b != f"__{relaxed}"]
-        loose = asked.join(pool.groupBy(*rest, answer).agg(F.sum("__n").alias("__n")), rest).select(key, F.lit(3).alias("__step"), answer, "__n")
-        near = near.unionByName(loose)
-    # steps widen: a later step holds the earlier ones' rows as well
-    steps = near.select(key, answer, "__n", F.explode(F.sequence(F.col("__step"), F.lit(2))).alias("__step")).filter("__step <= 2") if not relaxed else near.filter("__step < 3").select(key, answer, "__n", F.explode(F.sequence(F.col("__step"), F.lit(2))).alias("__step")).unionByName(near.filter("__step = 3").select(key, answer, "__n", "__step"))
-    sums = steps.groupBy(key, "__step", answer).agg(F.sum("__n").alias("__n"))
-    per = sums.groupBy(key, "__step").agg(F.sum("__n").alias("__all"), F.max(F.struct("__n", answer)).alias("__top"), F.sort_array(F.collect_list("__n"), asc=False).alias("__ns"))
-    good = per.filter(F.col("__top.__n") >= least)
-    first = good.groupBy(key).agg(F.min(F.struct("__step", "__top", "__all", "__ns")).alias("b"))
-    tied = F.coalesce(F.try_element_at("b.__ns", F.lit(2)) == F.element_at("b.__ns", 1), F.lit(False))
-    return first.filter(~tied).select(key, F.col(f"b.__top.{answer}").alias("voted"), F.round(F.col("b.__top.__n") / F.col("b.__all"), 6).alias("confidence"), F.col("b.__step").alias("step"))
+        i, span, j, other = relaxed
+        out += [(2 * reach + 1, {i: o, j: p} if p else {i: o}) for o in range(-span, span + 1) if o for p in range(-other, other + 1)]
+    return out
+
+
+def neighbour_vote(df: DataFrame, reference: DataFrame, key: str, dims: Mapping[str, float | tuple[str, float]], answer: str, *, least: int = 3, reach: int = 1, pairs: Sequence[tuple[str, str]] | None = None, relaxed: tuple[str, int, str, int] | None = None, partition: str | None = None, asks_all: Sequence[str] = ("no_match", "insufficient_matches", "tie", "no_compatible_match"), alone: Sequence[str] = (), subject: str | None = None, fits: Callable[[Column, Column], Column] | None = None, zero_absent: bool = True, keep: Sequence[str] = ()) -> DataFrame:
+    """For every row (key, the columns to keep, voted, matches, neighbours, method, scope): the answer most common among reference rows in near bins.
+
+    dims are {column: step} (rounded half to even) or {column: ("ceil", step)}.  The search widens until a bin
+    of the reference is met: the own bin; for each distance up to `reach`, one dimension off, then the two of a pair
+    (all pairs by default); last `relaxed` (dimension, span, other dimension, its span).  A hole matches a hole only, and no bin lies below 0.
+    Answers are then tried from the most common on (equal ones by name): the first that `fits` (subject, answer)
+    counts.  method says how it was found, or why none is given: no_match, no_compatible_match,
+    insufficient_matches (fewer than least) or tie (the next answer is as common).
+    With a partition a row asks the reference of its own partition, where there is one, and asks
+    the whole for the methods in asks_all, unless its partition is listed in `alone`.
+
+    Rows of one bin get one answer, so the vote is taken per distinct bin, on counts per bin of the reference.
+    """
+    names, bins = list(dims), [f"__{c}" for c in dims]
+    at = {c: i for i, c in enumerate(names)}
+    both = [(i, j) for i in range(len(bins)) for j in range(i + 1, len(bins))] if pairs is None else [(at[a], at[b]) for a, b in pairs]
+    moves = _moves(bins, reach, both, relaxed and (at[relaxed[0]], relaxed[1], at[relaxed[2]], relaxed[3]))
+    part = F.lit(None).cast("string") if partition is None else F.col(partition).cast("string")
+    pool = _bins(reference.filter(F.col(answer).isNotNull()), dims, zero_absent).groupBy(*bins, F.coalesce(part, F.lit("")).alias("__part"), F.col(answer).alias("__answer")).agg(F.count(F.lit(1)).alias("__n"))
+    own = F.lit("") if subject is None else F.coalesce(F.col(subject).cast("string"), F.lit(""))
+    rows = _bins(df, dims, zero_absent).select(key, *keep, *bins, own.alias("__subject"), F.coalesce(part, F.lit("")).alias("__part"))
+    by = [*bins, "__subject", "__part"]
+
+    def option(step: int, moved: Mapping[int, int]) -> Column:
+        new = [F.col(b) + moved.get(i, 0) for i, b in enumerate(bins)]
+        ok = F.lit(True)
+        for i in moved:
+            ok = ok & (F.col(bins[i]) != _HOLE) & (new[i] >= 0)
+        return F.when(ok, F.struct(F.lit(step).alias("step"), *[x.alias(f"b{i}") for i, x in enumerate(new)]))
+
+    def voted(asked: DataFrame, counts: DataFrame, scope: str, more: Sequence[str]) -> DataFrame:
+        near = asked.select(*by, F.inline(F.array_compact(F.array(*[option(*m) for m in moves]))))
+        counts = counts.select(*[F.col(b).alias(f"b{i}") for i, b in enumerate(bins)], *more, "__answer", "__n")
+        found = near.join(counts, [f"b{i}" for i in range(len(bins))] + list(more)).groupBy(*by, "step", "__answer").agg(F.sum("__n").alias("__n"))
+        lists = found.groupBy(*by, "step").agg(F.array_sort(F.collect_list(F.struct((-F.col("__n")).alias("n"), F.col("__answer").alias("answer")))).alias("__ranked"))
+        nearest = lists.groupBy(*by).agg(F.min_by("__ranked", "step").alias("__ranked"), F.min("step").alias("__step"))
+        good = F.transform("__ranked", lambda x: F.lit(True) if fits is None else F.coalesce(fits(F.col("__subject"), x["answer"]), F.lit(False)))
+        nearest = nearest.withColumn("__i", F.array_position(good, True).cast("int"))
+        top, after = F.try_element_at("__ranked", F.nullif("__i", F.lit(0))), F.try_element_at("__ranked", F.col("__i") + 1)
+        step = F.when(F.col("__step") == 0, "exact_bin").when(F.col("__step") > 2 * reach, "expanded_relaxed").when(F.col("__step") % 2 == 1, "expanded_single").otherwise("expanded_multi")
+        method = F.when(F.col("__i") == 0, "no_compatible_match").when(-top["n"] < least, "insufficient_matches").when(F.coalesce(after["n"] == top["n"], F.lit(False)), "tie").otherwise(step)
+        seen = -F.aggregate("__ranked", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+        told = nearest.select(*by, method.alias("method"), top["answer"].alias("__top"), F.when(F.col("__i") > 0, -top["n"]).otherwise(0).alias("matches"), seen.alias("neighbours"))
+        out = asked.select(*by).join(told, by, "left").withColumn("method", F.coalesce("method", F.lit("no_match")))
+        stands = F.col("method").startswith("expanded") | (F.col("method") == "exact_bin")
+        return out.select(*by, F.when(stands, F.col("__top")).alias("voted"), F.coalesce("matches", F.lit(0)).alias("matches"), F.coalesce("neighbours", F.lit(0)).alias("neighbours"), "method", F.lit(scope).alias("scope"))
+
+    asked = rows.select(*by).distinct()
+    whole = pool.groupBy(*bins, "__answer").agg(F.sum("__n").alias("__n"))
+    if partition is None:
+        answers = voted(asked, whole, "global", [])
+    else:
+        known = pool.select("__part").filter("__part != ''").distinct()
+        scoped = voted(asked.join(known, "__part", "left_semi"), pool, "scoped", ["__part"])
+        again = F.col("voted").isNull() & F.col("method").isin(list(asks_all)) & ~F.col("__part").isin(list(alone))
+        rest = asked.join(known, "__part", "left_anti").unionByName(scoped.filter(again).select(*asked.columns))
+        answers = scoped.filter(~again).unionByName(voted(rest, whole, "global", []))
+    return rows.join(answers, by).select(key, *keep, "voted", "matches", "neighbours", "method", "scope")
 
 
 def from_siblings(df: DataFrame, key: str, group: str, axis: str, evidence: Column, value: str, fixed: Column) -> DataFrame:
@@ -149,17 +203,24 @@ def carried(df: DataFrame, key: str, subject: str, at: str, positive: Column, lo
     return pairs.groupBy(key).agg(F.round(F.min("hours"), 4).alias("hours"))
 
 
-def clock_trust(df: DataFrame, group: str, second: str, number: str, least: int, span: float, distinct: int, floor: float) -> DataFrame:
-    """Per group whether its clock can be trusted: enough rows, all timed, none at midnight, span, distinct times, rank correlation with the numbers."""
-    w = Window.partitionBy(group)
+def clock_trust(df: DataFrame, group: str, series: str, second: str, number: str, *, least: int = 2, least_span: float = 120, most_span: float = 14_400, distinct: float = 0.5, floor: float) -> DataFrame:
+    """Per group whether its clock can be trusted, judged on its series (the earliest second and least number of each).
 
-    def mean_rank(c: str) -> Column:
-        ties = F.count(F.lit(1)).over(Window.partitionBy(group, c))
-        return F.rank().over(w.orderBy(c)) + (ties - 1) / 2.0
+    Enough series, all timed, none at midnight exactly, a span within bounds, a least share of distinct times, and a rank
+    correlation of time and number of at least `floor`; no correlation (fewer than three series with both, or one value
+    only) does not speak against it.
+    """
+    per = df.groupBy(group, series).agg(F.min(second).alias("__t"), F.min(number).alias("__k"))
 
-    rows = df.select(group, second, number).withColumn("__a", mean_rank(second)).withColumn("__b", mean_rank(number))
-    out = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count(second).alias("timed"), F.count(F.when(F.col(second) == 0, 1)).alias("midnight"), (F.max(second) - F.min(second)).alias("span"), F.countDistinct(second).alias("times"), F.round(F.nanvl(F.corr("__a", "__b"), F.lit(None)), 6).alias("rho"))
-    ok = (F.col("n") >= least) & (F.col("timed") == F.col("n")) & (F.col("midnight") == 0) & (F.col("span") <= span) & (F.col("times") >= distinct) & (F.col("rho") >= floor)
+    def mean_rank(c: str) -> Column:
+        ties = F.count(F.lit(1)).over(Window.partitionBy(group, "__both", c))
+        return F.rank().over(Window.partitionBy(group, "__both").orderBy(c)) + (ties - 1) / 2.0
+
+    rows = per.withColumn("__both", F.col("__t").isNotNull() & F.col("__k").isNotNull()).withColumn("__a", mean_rank("__t")).withColumn("__b", mean_rank("__k"))
+    pair = lambda c: F.when(F.col("__both"), F.col(c))
+    enough = (F.count(F.when(F.col("__both"), 1)) >= 3) & (F.min(pair("__a")) < F.max(pair("__a"))) & (F.min(pair("__b")) < F.max(pair("__b")))
+    out = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count("__t").alias("__timed"), F.count(F.when(F.pmod("__t", F.lit(86_400)) == 0, 1)).alias("__midnight"), (F.max("__t") - F.min("__t")).alias("__span"), F.countDistinct("__t").alias("__times"), F.when(enough, F.round(F.corr(pair("__a"), pair("__b")), 6)).alias("rho"))
+    ok = (F.col("n") >= least) & (F.col("__timed") == F.col("n")) & (F.col("__midnight") == 0) & F.col("__span").between(least_span, most_span) & (F.col("__times") >= distinct * F.col("n")) & F.coalesce(F.col("rho") >= floor, F.lit(True))
     return out.select(group, "n", "rho", F.coalesce(ok, F.lit(False)).alias("trusted"))
 
 
@@ -211,9 +272,9 @@ def tally(df: DataFrame, batch: str, kind: str, key: str, samples: int = 3) -> D
 
 
 def holdout(df: DataFrame, key: str, dims: Mapping[str, float], answer: str, share: float, seed: str, **how) -> DataFrame:
-    """Hide a seeded share of the decided rows, vote from the rest: asked, answered, right, by step."""
+    """Hide a seeded share of the decided rows, vote from the rest: asked, answered, right, by method."""
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(key))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
     known = df.filter(F.col(answer).isNotNull()).withColumn("__u", u)
     hidden, rest = known.filter(F.col("__u") < share), known.filter(F.col("__u") >= share)
-    got = hidden.select(key, F.col(answer).alias("__truth")).join(neighbour_vote(hidden, rest, key, dims, answer, **how), key, "left")
-    return got.groupBy("step").agg(F.count(F.lit(1)).alias("asked"), F.count("voted").alias("answered"), F.count(F.when(F.col("voted") == F.col("__truth"), 1)).alias("right"))
+    got = neighbour_vote(hidden.withColumnRenamed(answer, "__truth"), rest, key, dims, answer, keep=["__truth"], **how)
+    return got.groupBy("method").agg(F.count(F.lit(1)).alias("asked"), F.count("voted").alias("answered"), F.count(F.when(F.col("voted") == F.col("__truth"), 1)).alias("right"))

@@ -42,14 +42,33 @@ def named(df: DataFrame, subject: str, first: str) -> DataFrame:
     return df.withColumn("by_date", F.date_format(first, "yyyyMMdd")).withColumn("by_place", F.format_string("%02d", F.row_number().over(w)))
 
 
-def cadence_names(df: DataFrame, first: str, anchor: str, cadence: Sequence[int], tolerance: float, days_per_month: float = 30.4375) -> DataFrame:
-    """Months from the anchor, the nearest cadence point within tolerance (earlier of two), and its name; PREnn before the anchor."""
-    months = F.datediff(first, anchor) / F.lit(days_per_month)
-    points = F.array(*[F.struct(F.abs(F.lit(float(c)) - months).alias("gap"), F.lit(c).alias("point")) for c in cadence])
-    best = F.array_min(points)
-    point = F.when(best["gap"] <= tolerance, best["point"])
-    name = F.when(F.datediff(first, anchor) < 0, F.format_string("PRE%02d", F.ceil(-months).cast("int"))).when(point.isNotNull(), F.format_string("M%02d", point)).otherwise(F.date_format(first, "yyyyMMdd"))
-    return df.withColumn("months", F.round(months, 4)).withColumn("point", point).withColumn("label", name)
+#: Mean days of a month, a fixed value.
+MEAN_MONTH = 30.44
+
+
+def months_exact(a: Column, b: Column) -> Column:
+    """Months from a to b: whole calendar months (a month's end stands for a missing day), and the days that are left by the mean month; negative if b is earlier."""
+    lo, hi = F.least(a, b), F.greatest(a, b)
+    rough = (F.year(hi) * 12 + F.month(hi)) - (F.year(lo) * 12 + F.month(lo))
+    whole = rough - F.when(F.add_months(lo, rough) > hi, 1).otherwise(0)
+    return F.when(b < a, -1.0).otherwise(1.0) * (whole + F.datediff(hi, F.add_months(lo, whole)) / F.lit(MEAN_MONTH))
+
+
+def cadence_names(df: DataFrame, first: str, anchor: str, cadence: Sequence[int], tolerance: float) -> DataFrame:
+    """Months from the anchor (`months` exact, `month` rounded), the cadence `point` within tolerance (the earlier of two) and the label.
+
+    PREnn before the anchor, where the rounded months are not 0; else Mnn, of the point or, off the cadence, of the
+    rounded months.  Month 0 stays month 0.
+    """
+    exact = months_exact(F.col(anchor), F.col(first))
+    rows = df.withColumn("months", exact).withColumn("month", F.round(F.abs("months")).cast("int"))
+    points = F.array(*[F.struct(F.abs(F.lit(float(c)) - F.col("months")).alias("gap"), F.lit(c).alias("point")) for c in cadence])
+    best, pre = F.array_min(points), (F.col("months") < 0) & (F.col("month") != 0)
+    at_zero = F.lit(0) if 0 in cadence else F.lit(None).cast("int")
+    point = F.when(~pre & (F.col("month") == 0), at_zero).when(~pre & (best["gap"] <= tolerance), best["point"])
+    rows = rows.withColumn("point", point)
+    label = F.when(pre, F.format_string("PRE%02d", "month")).otherwise(F.format_string("M%02d", F.coalesce("point", "month")))
+    return rows.withColumn("label", F.when(F.col("months").isNotNull(), label)).withColumn("months", F.round("months", 4))
 
 
 def anchors(sessions_: DataFrame, subject: str, first: str, events: DataFrame | None = None, event_day: str | None = None, explicit: DataFrame | None = None) -> DataFrame:
@@ -112,15 +131,18 @@ def refresh(old: DataFrame, old_digests: DataFrame, rows: DataFrame, subject: st
     return kept.unionByName(sessions(moved, subject, day, window_days)), state
 
 
-def vote_dates(candidates: DataFrame, key: str, day: str, weight: str, placeholders: Sequence[str] = ("1900-01-01", "1970-01-01"), new_year: float = 0.25) -> DataFrame:
-    """Per key the date with the greatest summed weight, the earlier of equals, and its margin over the next.
+def vote_dates(candidates: DataFrame, key: str, day: str, weight: str, placeholders: Sequence[str] = ("1900-01-01", "1970-01-01")) -> DataFrame:
+    """Per key the date with the greatest summed weight, the earlier of equals, the next weight and the margin over it.
 
-    Placeholder dates do not vote; the first of January counts a fraction of its weight.
+    Placeholder dates do not vote.  A first of January wins only where no other day was named; it may still be the next.
     """
-    w = F.col(weight) * F.when((F.month(day) == 1) & (F.dayofmonth(day) == 1), new_year).otherwise(1.0)
-    sums = candidates.filter(F.col(day).isNotNull() & ~F.col(day).cast("string").isin(list(placeholders))).groupBy(key, day).agg(F.round(F.sum(w), 9).alias("__w"))
-    ranked = sums.groupBy(key).agg(F.min(F.struct((-F.col("__w")).alias("w"), F.col(day).alias("day"))).alias("best"), F.sort_array(F.collect_list("__w"), asc=False).alias("__all"))
-    return ranked.select(key, F.col("best.day").alias("voted"), (-F.col("best.w")).alias("weight"), F.round(F.element_at("__all", 1) - F.coalesce(F.try_element_at("__all", F.lit(2)), F.lit(0.0)), 9).alias("margin"))
+    sums = candidates.filter(F.col(day).isNotNull() & ~F.col(day).cast("string").isin(list(placeholders))).groupBy(key, day).agg(F.round(F.sum(weight), 9).alias("w"))
+    new_year = ((F.month(day) == 1) & (F.dayofmonth(day) == 1)).cast("int")
+    order = F.struct(new_year.alias("__y"), (-F.col("w")).alias("__w"), F.col(day).alias("__d"))
+    best = sums.groupBy(key).agg(F.min(order).alias("__best"))
+    rest = sums.join(best, key).filter(F.col(day) != F.col("__best.__d")).groupBy(key).agg(F.max("w").alias("__next"))
+    out = best.join(rest, key, "left").select(key, F.col("__best.__d").alias("voted"), (-F.col("__best.__w")).alias("weight"), F.coalesce("__next", F.lit(0.0)).alias("__next"))
+    return out.select(key, "voted", "weight", F.round(F.col("weight") - F.col("__next"), 9).alias("margin"))
 
 
 def history(parts: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:

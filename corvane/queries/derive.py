@@ -22,25 +22,27 @@ def signature_units(spark, d):
     return D.units(_lines(spark, d), "l_orderkey", D.signature_key(["l_returnflag", "l_linestatus"], {"l_discount": 2, "l_tax": 1})).select("l_orderkey", "l_linenumber", "unit_key", "unit_index")
 
 
-_ORIENT = """with v as (select vec_id, embedding[1]::double as a1, embedding[2]::double as a2, embedding[3]::double as a3, embedding[4]::double as b1, embedding[5]::double as b2, embedding[6]::double as b3 from embeddings),
+_ORIENT = """with v as (select vec_id, case when vec_id % 4 = 0 then 1.0::double else embedding[1]::double end as a1, case when vec_id % 4 = 0 then 1.0::double else embedding[2]::double end as a2, case when vec_id % 4 = 0 then 0.0::double else embedding[3]::double end as a3, case when vec_id % 4 = 0 then 0.0::double else embedding[4]::double end as b1, case when vec_id % 4 = 0 then 1.0::double else embedding[5]::double end as b2, case when vec_id % 4 = 0 then 1.0::double else embedding[6]::double end as b3 from embeddings),
 n as (select vec_id, abs(a2 * b3 - a3 * b2) as x, abs(a3 * b1 - a1 * b3) as y, abs(a1 * b2 - a2 * b1) as z from v)
-select vec_id, case when greatest(x, y, z) = z then 'axial' when greatest(x, y, z) = y then 'coronal' else 'sagittal' end as orientation, round(greatest(x, y, z) / sqrt(x * x + y * y + z * z), 6) as orientation_confidence from n where x + y + z > 0"""
+select vec_id, case when greatest(x, y, z) = x then 'sagittal' when greatest(x, y, z) = y then 'coronal' else 'axial' end as orientation, round(greatest(x, y, z) / sqrt(x * x + y * y + z * z), 6) as orientation_confidence from n where x + y + z > 0"""
 
 
 @query("der_2_orientation", _ORIENT)
 def orientation(spark, d):
-    e = read(spark, d, "embeddings").select("vec_id", *[F.element_at("embedding", i + 1).cast("double").alias(f"v{i}") for i in range(6)])
+    e = read(spark, d, "embeddings").select("vec_id", *[F.when(F.col("vec_id") % 4 == 0, F.lit(tied)).otherwise(F.element_at("embedding", i + 1).cast("double")).alias(f"v{i}") for i, tied in enumerate((1.0, 1.0, 0.0, 0.0, 1.0, 1.0))])
     return D.orientation(e, ["v0", "v1", "v2"], ["v3", "v4", "v5"]).filter("orientation is not null").select("vec_id", "orientation", "orientation_confidence")
 
 
-@query("der_3_split_fold", """with b as (select l_orderkey, l_returnflag, l_linestatus, l_linenumber % 3 as p, case when l_orderkey % 2 = 0 then 1 else l_linenumber end as m from lineitem),
-s as (select l_orderkey, l_returnflag, l_linestatus, list_sort(list(distinct p)) as ps from b group by 1, 2, 3),
-f as (select l_orderkey, l_returnflag, count(*) as v, count(distinct ps) as k from s group by 1, 2),
-m as (select l_orderkey, l_returnflag, count(distinct m) as ms from b group by 1, 2)
-select l_orderkey, l_returnflag, v >= 2 and ms < 2 and k = v as merged from f join m using (l_orderkey, l_returnflag)""")
+@query("der_3_split_fold", """with b as (select l_orderkey, l_linestatus, l_returnflag, case when l_partkey % 13 > 0 then l_suppkey % 2 end as p, case when l_orderkey % 3 = 0 then 1 when l_orderkey % 3 = 1 and l_linenumber % 2 = 0 then 1 when l_orderkey % 3 = 2 then l_linenumber end as m from lineitem),
+s as (select l_orderkey, l_linestatus, l_returnflag, list_sort(list(p)) as ps, count(*) = count(p) as known, count(m) > 0 as timed from b group by 1, 2, 3),
+f as (select l_orderkey, l_linestatus, count(*) as v, count(distinct ps) = 1 and bool_and(known) and bool_and(timed) as apart from s group by 1, 2),
+m as (select l_orderkey, l_linestatus, count(distinct m) as ms from b group by 1, 2)
+select l_orderkey, l_linestatus, v >= 2 and ms < 2 and not apart as merged from f join m using (l_orderkey, l_linestatus)""")
 def split_fold(spark, d):
-    b = _lines(spark, d).select("l_orderkey", "l_returnflag", "l_linestatus", (F.col("l_linenumber") % 3).alias("p"), F.when(F.col("l_orderkey") % 2 == 0, 1).otherwise(F.col("l_linenumber")).alias("m"))
-    return D.merge_split(b, "l_orderkey", ["l_returnflag"], "l_linestatus", "m", "p").select("l_orderkey", "l_returnflag", "merged").distinct()
+    third = F.col("l_orderkey") % 3
+    moment = F.when((third == 0) | ((third == 1) & (F.col("l_linenumber") % 2 == 0)), 1).when(third == 2, F.col("l_linenumber"))
+    b = _lines(spark, d).select("l_orderkey", "l_returnflag", "l_linestatus", F.when(F.col("l_partkey") % 13 > 0, F.col("l_suppkey") % 2).alias("p"), moment.alias("m"))
+    return D.merge_split(b, "l_orderkey", ["l_linestatus"], "l_returnflag", "m", "p").select("l_orderkey", "l_linestatus", "merged").distinct()
 
 
 @query("der_4_fingerprint", "select l_orderkey, arg_min(p_brand, (l_linenumber, l_partkey, l_suppkey)) as first_brand, arg_min(s_name, (l_linenumber, l_partkey, l_suppkey)) as first_supplier, count(*) as n_rows, max(l_quantity) as hi_quantity, round(sum(l_extendedprice), 2) as total, min(o_orderstatus) as status from lineitem join orders on o_orderkey = l_orderkey join part on p_partkey = l_partkey join supplier on s_suppkey = l_suppkey group by 1")
@@ -55,12 +57,12 @@ _POS = """with recursive p as (select distinct l_partkey as k, l_quantity::doubl
 h as (select k, min(x) as x from p group by 1 union all select h.k, (select min(q.x) from p q where q.k = h.k and q.x - h.x > 3) from h where exists (select 1 from p q where q.k = h.k and q.x - h.x > 3))"""
 
 
-@query("der_5_positions", f"{_POS} select k as l_partkey, count(*)::int as n_positions, round(max(x) - min(x), 6) as span, round((max(x) + min(x)) / 2, 6) as centre from h group by 1")
+@query("der_5_positions", f"{_POS} select h.k as l_partkey, count(*)::int as n_positions, any_value(r.span) as span, any_value(r.centre) as centre from h join (select k, round(max(x) - min(x), 2) as span, round((max(x) + min(x)) / 2, 2) as centre from p group by 1) r using (k) group by 1")
 def positions(spark, d):
     return D.positions(_lines(spark, d), "l_partkey", "l_quantity", 3.0)
 
 
-@query("der_6_coverage", "with a as (select l_orderkey, max(l_quantity) - min(l_quantity) as span, (max(l_quantity) + min(l_quantity)) / 2 as c, case when l_orderkey % 5 > 0 then count(*) end as n from lineitem group by 1) select x.l_orderkey, coalesce(abs(x.span - y.span) > 0.2 * greatest(x.span, y.span), false) or coalesce(x.n <> y.n, false) as differs, coalesce(abs(x.c - y.c) > 5, false) as moved from a x join a y on y.l_orderkey = x.l_orderkey + 1")
+@query("der_6_coverage", "with a as (select l_orderkey, max(l_quantity) - min(l_quantity) as span, (max(l_quantity) + min(l_quantity)) / 2 as c, case when l_orderkey % 5 > 0 then count(*) end as n from lineitem group by 1) select x.l_orderkey, case when x.n is null or y.n is null then false when x.n <> y.n then true else abs(x.span - y.span) > greatest(1, 0.2 * greatest(x.span, y.span)) end as differs, coalesce(abs(x.c - y.c) > 5, false) as moved from a x join a y on y.l_orderkey = x.l_orderkey + 1")
 def coverage(spark, d):
     a = _lines(spark, d).groupBy("l_orderkey").agg((F.max("l_quantity") - F.min("l_quantity")).alias("span"), ((F.max("l_quantity") + F.min("l_quantity")) / 2).alias("c"), F.count(F.lit(1)).alias("n")).withColumn("n", F.when(F.col("l_orderkey") % 5 > 0, F.col("n")))
     b = a.select((F.col("l_orderkey") - 1).alias("l_orderkey"), F.col("span").alias("span2"), F.col("c").alias("c2"), F.col("n").alias("n2"))
@@ -68,9 +70,17 @@ def coverage(spark, d):
     return a.join(b, "l_orderkey").select("l_orderkey", differs.alias("differs"), moved.alias("moved"))
 
 
-@query("der_7_scale", "select c_custkey, round(case when c_acctbal <= 0 then null when c_acctbal <= 25 then c_acctbal when c_acctbal < 5000 then c_acctbal / 1000 else c_acctbal / 10000 end, 6) as tesla from customer")
+_SCALE = """with g(s, w) as (values (0.5::double, 0.15::double), (1.0, 0.15), (1.5, 0.15), (3.0, 0.3), (7.0, 0.5)), u(rank, unit, ratio) as (values (1, 'tesla', 1), (2, 'gauss', 10000), (3, 'milli', 1000)),
+x as (select c_custkey, case when c_custkey % 3 = 0 then c_acctbal / 1000 when c_custkey % 3 = 1 then c_acctbal * 4 else c_acctbal end as x from customer),
+h as (select c_custkey, x / ratio as t, s, unit from x, u, g where x > 0 and abs(x / ratio - s) <= w qualify row_number() over (partition by c_custkey order by rank, s) = 1)
+select c_custkey, case when x > 0 then round(coalesce(t, x), 6) end as tesla, s as normalized, case when x > 0 then coalesce(unit, 'tesla') end as unit from x left join h using (c_custkey)"""
+
+
+@query("der_7_scale", _SCALE)
 def scale(spark, d):
-    return read(spark, d, "customer").select("c_custkey", F.round(D.in_tesla(F.col("c_acctbal")), 6).alias("tesla"))
+    x = F.when(F.col("c_custkey") % 3 == 0, F.col("c_acctbal") / 1000).when(F.col("c_custkey") % 3 == 1, F.col("c_acctbal") * 4).otherwise(F.col("c_acctbal"))
+    rows = read(spark, d, "customer").select("c_custkey", D.field_strength(x).alias("f"))
+    return rows.select("c_custkey", F.round("f.tesla", 6).alias("tesla"), "f.normalized", "f.unit")
 
 
 @query("der_8_fill_with_source", "select p_partkey, case when contains(p_type, 'STEEL') then 'metal' when regexp_matches(p_name, '(?i)green|blue') then 'paint' when p_size > 25 then 'big' end as kind, case when contains(p_type, 'STEEL') then 'type' when regexp_matches(p_name, '(?i)green|blue') then 'name' when p_size > 25 then 'size' end as source from part")
@@ -91,13 +101,13 @@ def shells(spark, d):
     return rows.select("l_orderkey", F.array_join(F.array_sort(numbers), ",").alias("shells"), "directions")
 
 
-_SECONDS = "select user_id, event_type, epoch(ts)::double as s, case when user_id % 10 = 0 then 60.0 end as stated from events where event_type in ('view', 'click')"
+_SECONDS = "select user_id, event_type || user_id % 3 || hour(ts) // 12 as event_type, cast(ts as date) as day, epoch(ts)::double as s, case when user_id % 10 = 0 then 60.0 end as stated from events where event_type in ('view', 'click')"
 
 
-@query("der_11_frame_interval", f"with p as (select user_id, event_type, min(s) as a, max(s) as b, count(distinct s) as n, max(stated) as st from ({_SECONDS}) group by 1, 2) select user_id, round(coalesce(max(st), median(case when n > 1 then (b - a) / (n - 1) end)), 4) as frame_interval, case when max(st) > 0 then 'stated' when median(case when n > 1 then (b - a) / (n - 1) end) is not null then 'derived' end as interval_source from p group by 1")
+@query("der_11_frame_interval", f"with p as (select user_id, event_type, min(s) as a, max(s) as b, count(distinct s) as n, count(distinct day) as days, max(stated) as st from ({_SECONDS}) group by 1, 2) select user_id, round(coalesce(max(st), median(case when n > 1 and days <= 1 then (b - a) / (n - 1) end)), 4) as frame_interval, case when max(st) > 0 then 'stated' when median(case when n > 1 and days <= 1 then (b - a) / (n - 1) end) is not null then 'derived' end as interval_source from p group by 1")
 def frame_interval(spark, d):
-    e = read(spark, d, "events").filter("event_type in ('view', 'click')").select("user_id", "event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("s"), F.when(F.col("user_id") % 10 == 0, 60.0).alias("stated"))
-    return D.frame_interval(e, "user_id", "event_type", "s", "stated")
+    e = read(spark, d, "events").filter("event_type in ('view', 'click')").select("user_id", F.concat("event_type", F.col("user_id") % 3, F.floor(F.hour("ts") / 12)).alias("event_type"), F.to_date("ts").alias("day"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("s"), F.when(F.col("user_id") % 10 == 0, 60.0).alias("stated"))
+    return D.frame_interval(e, "user_id", "event_type", "s", "stated", "day")
 
 
 @query("der_12_earliest", "select user_id, min(cast(ts as date)) as day, strftime(min(ts), '%H:%M:%S') as time from events group by 1")

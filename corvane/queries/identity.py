@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from pyspark.sql import functions as F
 
 from corvane.functions.scalars import safe_age
@@ -78,11 +79,25 @@ def flattened(spark, d):
     return I.flattened(i, ["o_custkey"], "a", "b")
 
 
-@query("id_6_number_check")
+_NUMBERS = """with o as (select o_orderkey, case when o_orderkey % 7 = 0 then '19991332-1234' when o_orderkey % 11 = 0 then strftime(o_orderdate, '%Y%m%d') || '-' || lpad((o_orderkey % 10000)::varchar, 4, '0')
+  else lpad(((year(cast(o_orderdate as date)) + 30) % 100)::varchar, 2, '0') || strftime(o_orderdate, '%m') || lpad((day(cast(o_orderdate as date)) + case when o_orderkey % 3 = 0 then 60 else 0 end)::varchar, 2, '0') || case when o_orderkey % 5 = 0 then '+' else '-' end || lpad((o_orderkey % 10000)::varchar, 4, '0') end as raw from orders),
+d as (select *, regexp_replace(raw, '[-+]', '', 'g') as x from o), p as (select *, left(x, length(x) - 4) as dt, right(x, 10) as ten from d),
+q as (select *, right(dt, 6)[1:2]::int as yy, right(dt, 4)[1:2]::int as mm, right(dt, 2)::int as wd, case when right(dt, 2)::int > 60 then right(dt, 2)::int - 60 else right(dt, 2)::int end as dd from p),
+y as (select *, 2024 - ((2024 - yy) % 100 + 100) % 100 as latest from q),
+z as (select *, case when length(x) = 12 then dt[1:4]::int when contains(raw, '+') or (latest = 2024 and mm * 100 + dd > 615) then latest - 100 else latest end as yr from y),
+w as (select *, list_sum([case when i % 2 = 1 then case when ten[i]::int * 2 > 9 then ten[i]::int * 2 - 9 else ten[i]::int * 2 end else ten[i]::int end for i in range(1, 11)]) as total, mm between 1 and 12 and dd between 1 and case when mm in (4, 6, 9, 11) then 30 when mm = 2 then case when yr % 4 = 0 and (yr % 100 <> 0 or yr % 400 = 0) then 29 else 28 end else 31 end as real from z),
+r as (select o_orderkey, raw, yr, x, case when not real then 'date' when total % 10 <> 0 then 'check digit' end as reason from w)
+select o_orderkey, raw, case when reason is null then lpad(yr::varchar, 4, '0') || right(x, 8) end as number, reason from r"""
+
+
+@query("id_6_number_check", _NUMBERS)
 def number_check(spark, d):
-    raw = F.concat(F.date_format(F.col("day"), "yyMMdd"), F.when(F.col("o_orderkey") % 5 == 0, "+").otherwise("-"), F.lpad((F.col("o_orderkey") % 10000).cast("string"), 4, "0"))
-    rows = _orders(spark, d).withColumn("raw", F.when(F.col("o_orderkey") % 7 > 0, raw).otherwise(F.lit("19991332-1234")))
-    number, reason = I.check_number(F.col("raw"), 2024)
+    k, two = F.col("o_orderkey"), lambda c, n=2: F.lpad(c.cast("string"), n, "0")
+    day = F.dayofmonth("day") + F.when(k % 3 == 0, 60).otherwise(0)
+    short = F.concat(two((F.year("day") + 30) % 100), F.date_format("day", "MM"), two(day), F.when(k % 5 == 0, "+").otherwise("-"), two(k % 10000, 4))
+    long = F.concat(F.date_format("day", "yyyyMMdd"), F.lit("-"), two(k % 10000, 4))
+    rows = _orders(spark, d).withColumn("raw", F.when(k % 7 == 0, "19991332-1234").when(k % 11 == 0, long).otherwise(short))
+    number, reason = I.check_number(F.col("raw"), dt.date(2024, 6, 15))
     return rows.select("o_orderkey", "raw", number.alias("number"), reason.alias("reason"))
 
 

@@ -53,9 +53,9 @@ def families(spark, d):
     return P.families(_scored(spark, d), ["l_orderkey", "l_returnflag"], "k", "score")
 
 
-_CHOOSE = f"""with s as (select *, l_orderkey * 8 + l_linenumber as k, {_SCORE} as score from lineitem), n as (select *, score >= max(score) over (partition by l_orderkey) - 0.02 as near from s),
+_CHOOSE = f"""with s as (select *, l_orderkey * 8 + l_linenumber as k, {_SCORE} as score from lineitem), n as (select *, coalesce(round((max(score) over w - score) / nullif(max(score) over w, 0), 9), 0) <= 0.02 as near from s window w as (partition by l_orderkey)),
 r as (select *, row_number() over (partition by l_orderkey order by near desc, case when near then l_quantity end asc nulls last, score desc, k) as r from n),
-c as (select l_orderkey, max(case when r = 1 then k end) as k, max(case when r = 1 then score end) as score, max(case when r = 2 then k end) as runner_up, round(max(case when r = 1 then score end) - max(case when r = 2 then score end), 9) as margin, count(*) as candidates from r group by 1)"""
+c as (select l_orderkey, max(case when r = 1 then k end) as k, max(case when r = 1 then score end) as score, max(case when r = 2 then k end) as runner_up, coalesce(round((max(case when r = 1 then score end) - coalesce(max(case when r = 2 then score end), 0)) / nullif(max(case when r = 1 then score end), 0), 9), 0)::double as margin, count(*) as candidates from r group by 1)"""
 
 
 def _chosen(spark, d):
@@ -130,9 +130,11 @@ def bands(spark, d):
     return R.grouped_proposals(rows, ["l_suppkey", "l_returnflag"], "p", 0.85)
 
 
-@query("rev_5_gate", "select l_orderkey * 8 + l_linenumber as k, case when l_returnflag = l_linestatus and least(l_discount, l_tax) >= 0.02 then 'accepted' when l_returnflag <> l_linestatus and least(l_discount, l_tax) >= 0.06 then 'disagree' when greatest(l_discount, l_tax) >= 0.06 then 'decided' else 'unsure' end as gate from lineitem")
+@query("rev_5_gate", "with o as (select l_orderkey * 8 + l_linenumber as k, case when l_partkey % 9 > 0 then l_returnflag end as rule, l_suppkey % 11 = 0 as decided, case l_linenumber % 3 when 0 then 'A' when 1 then l_returnflag end as answer, case when l_partkey % 6 > 0 then l_discount end as p, case when l_suppkey % 5 > 0 then l_tax end as r from lineitem) select k, case when decided then 'decided' when p is null then 'unsure' when answer is distinct from rule then 'disagree' when p >= 0.04 and r >= 0.02 then 'accepted' else 'unsure' end as gate from o")
 def gate(spark, d):
-    return _lines(spark, d).select("k", R.gate(F.col("l_returnflag"), F.col("l_discount"), F.col("l_linestatus"), F.col("l_tax"), 0.02, 0.06).alias("gate"))
+    answer = F.when(F.col("l_linenumber") % 3 == 0, "A").when(F.col("l_linenumber") % 3 == 1, F.col("l_returnflag"))
+    word = R.gate(F.when(F.col("l_partkey") % 9 > 0, F.col("l_returnflag")), F.col("l_suppkey") % 11 == 0, answer, F.when(F.col("l_partkey") % 6 > 0, F.col("l_discount")), F.when(F.col("l_suppkey") % 5 > 0, F.col("l_tax")), 0.04, 0.02)
+    return _lines(spark, d).select("k", word.alias("gate"))
 
 
 @query("rev_6_audit_draw", "select o_orderkey from orders qualify row_number() over (order by sha256('7:audit:' || o_orderkey), o_orderkey) <= (select ceil(0.03 * count(*)) from orders)")

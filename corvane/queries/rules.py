@@ -56,13 +56,29 @@ def disposition(spark, d):
     return c.select("p_partkey", out.alias("disposition"))
 
 
-_BINNED = "select l_orderkey * 8 + l_linenumber as k, round_even(l_quantity / 10, 0)::bigint as q, case when l_discount = 0 then -2147483648 else round_even(l_discount / 0.02, 0)::bigint end as c, l_returnflag as a, l_linestatus from lineitem"
-_NEAR = f"""with b as ({_BINNED}), pool as (select q, c, a, count(*) as n from b where l_linestatus = 'F' group by all), asked as (select k, q, c from b where l_linestatus = 'O'),
-o as (select x, y, (x <> 0)::int + (y <> 0)::int as step from (values (0), (-1), (1)) v(x), (values (0), (-1), (1)) w(y)),
-f as (select k, step, p.a, sum(p.n) as n from asked s, o join pool p on p.q = s.q + o.x and p.c = s.c + o.y and (s.c > -2147483648 or o.y = 0) group by all),
-e as (select k, s.step, a, sum(n)::bigint as n from f, (values (0), (1), (2)) s(step) where f.step <= s.step group by all),
-t as (select k, step, sum(n)::bigint as total, max(n) as top, count(case when n = m then 1 end) as ties, max(case when n = m then a end) as voted from (select *, max(n) over (partition by k, step) as m from e) group by all)
-select k, voted, round(top / total, 6) as confidence, step from (select * from t where top >= 40 qualify row_number() over (partition by k order by step) = 1) where ties = 1"""
+_U = "('0x' || substr(md5('h:' || k), 1, 8))::bigint / 4294967296.0"
+_BINNED = f"""select *, {_U} as u from (select l_orderkey * 8 + l_linenumber as k, case when l_quantity > 0 then ceil(l_quantity / 2)::bigint else -2147483648 end as q, case when l_extendedprice = 0 then -2147483648 else round_even(l_extendedprice / 2000, 0)::bigint end as c,
+'p' || l_suppkey % 4 as part, (l_linenumber % 2)::varchar as subj, l_returnflag as a, l_linestatus, l_suppkey % 4 as p from lineitem)"""
+
+
+def _vote_sql(asked: str, pool: str, scope: str, out: str) -> str:
+    """CTEs that end in `out`: the vote of the distinct bins in `asked` over the counts in `pool`."""
+    same, by = ("and p.part = s.part" if scope == "scoped" else ""), "q, c, part, subj"
+    return f"""{out}_f as (select s.q, s.c, s.part, s.subj, step, p.a, sum(n)::bigint as n from {asked} s, o, {pool} p where p.q = s.q + x and p.c = s.c + y {same} and (x = 0 or (s.q > -2147483648 and s.q + x >= 0)) and (y = 0 or (s.c > -2147483648 and s.c + y >= 0)) group by all),
+{out}_m as (select * from {out}_f qualify step = min(step) over (partition by {by})),
+{out}_r as (select *, not (subj = '0' and a = 'R') as fit, row_number() over w as i, lead(n) over w as nx, sum(n) over (partition by {by})::bigint as total from {out}_m window w as (partition by {by} order by n desc, a)),
+{out}_t as (select * from {out}_r where fit qualify row_number() over (partition by {by} order by i) = 1),
+{out}_n as (select {by}, any_value(total) as total from {out}_r group by all),
+{out} as (select {by}, case when n.total is null then 'no_match' when t.a is null then 'no_compatible_match' when t.n < 3 then 'insufficient_matches' when t.nx = t.n then 'tie' when step = 0 then 'exact_bin' when step = 1 then 'expanded_single' else 'expanded_multi' end as method, a, coalesce(t.n, 0)::bigint as matches, coalesce(n.total, 0)::bigint as neighbours, '{scope}' as scope from {asked} left join {out}_n n using ({by}) left join {out}_t t using ({by}))"""
+
+
+_OFFSETS = "o as (select x, y, (x <> 0)::int + (y <> 0)::int as step from (values (0), (-1), (1)) v(x), (values (0), (-1), (1)) w(y))"
+_NEAR = f"""with b as ({_BINNED}), {_OFFSETS}, pool as (select q, c, part, a, count(*) as n from b where l_linestatus = 'F' and p < 3 group by all), whole as (select q, c, a, sum(n)::bigint as n from pool group by all),
+asked as (select distinct q, c, part, subj from b where l_linestatus = 'O'), near_by as (select * from asked where part in (select part from pool)), {_vote_sql("near_by", "pool", "scoped", "one")},
+again as (select q, c, part, subj from asked where part not in (select part from pool) union all select q, c, part, subj from one where method in ('no_match', 'insufficient_matches', 'tie', 'no_compatible_match') and part <> 'p1'), {_vote_sql("again", "whole", "global", "two")},
+every as (select * from one where not (method in ('no_match', 'insufficient_matches', 'tie', 'no_compatible_match') and part <> 'p1') union all select * from two)
+select k, case when starts_with(method, 'expanded') or method = 'exact_bin' then every.a end as voted, matches, neighbours, method, scope from b join every using (q, c, part, subj) where l_linestatus = 'O'"""
+_VOTE_DIMS = {"l_quantity": ("ceil", 2), "l_extendedprice": 2000}
 
 
 def _units(spark, d):
@@ -71,8 +87,9 @@ def _units(spark, d):
 
 @query("cls_7_neighbour_vote", _NEAR)
 def neighbour_vote(spark, d):
-    u = _units(spark, d)
-    return R.neighbour_vote(u.filter("l_linestatus = 'O'"), u.filter("l_linestatus = 'F'"), "k", {"l_quantity": 10, "l_discount": 0.02}, "l_returnflag", least=40)
+    u = _units(spark, d).withColumn("part", F.concat(F.lit("p"), F.col("l_suppkey") % 4)).withColumn("subj", F.col("l_linenumber") % 2)
+    fits = lambda subject, answer: ~((subject == "0") & (answer == "R"))
+    return R.neighbour_vote(u.filter("l_linestatus = 'O'"), u.filter("l_linestatus = 'F' and l_suppkey % 4 < 3"), "k", _VOTE_DIMS, "l_returnflag", partition="part", alone=["p1"], subject="subj", fits=fits)
 
 
 @query("cls_8_siblings", "with b as (select l_orderkey, l_linenumber, case when l_linenumber % 3 = 0 then null else l_returnflag end as a, l_linestatus, l_shipmode_proxy from (select *, l_discount > 0.05 as l_shipmode_proxy from lineitem)) select l_orderkey, l_linenumber, case when a is null and l_linestatus <> 'F' and sum(l_shipmode_proxy::int) over (partition by l_orderkey) - l_shipmode_proxy::int > 0 then 'S' else a end as a from b")
@@ -97,13 +114,18 @@ def carry_over(spark, d):
     return R.carried(read(spark, d, "events"), "event_id", "user_id", "ts", F.col("event_type") == "purchase", 24, 72)
 
 
-@query("cls_11_clock_trust", """with b as (select user_id, datediff('day', date '2024-01-01', cast(ts as date))::bigint * 86400 + hour(ts) * 3600 + minute(ts) * 60 as s, event_id from events),
-r as (select *, rank() over (partition by user_id order by s) + (count(*) over (partition by user_id, s) - 1) / 2.0 as x, rank() over (partition by user_id order by event_id) + (count(*) over (partition by user_id, event_id) - 1) / 2.0 as y from b),
-g as (select user_id, count(*) as n, count(s) as t, count(case when s = 0 then 1 end) as z, max(s) - min(s) as span, count(distinct s) as k, round(corr(x, y), 6) as rho from r group by 1)
-select user_id, n, rho, coalesce(n >= 5 and t = n and z = 0 and span <= 2700000 and k >= 4 and rho >= 0.0, false) as trusted from g where n > 2""")
+_CLOCK = """with e as (select user_id || ':' || cast(ts as date) as g, user_id % 3 * 10 + hour(ts) // 2 as series, case when event_id % 53 > 0 then hour(ts) * 3600 + minute(ts) * 60 end as s, case when event_id % 3 > 0 then event_id end as k from events),
+p as (select g, series, min(s) as t, min(k) as k from e group by all), q as (select *, t is not null and k is not null as b from p),
+r as (select *, rank() over (partition by g, b order by t) + (count(*) over (partition by g, b, t) - 1) / 2.0 as x, rank() over (partition by g, b order by k) + (count(*) over (partition by g, b, k) - 1) / 2.0 as y from q),
+f as (select g, count(*) as n, count(t) as timed, count(case when t % 86400 = 0 then 1 end) as midnight, max(t) - min(t) as span, count(distinct t) as times, case when count(case when b then 1 end) >= 3 and count(distinct case when b then x end) > 1 and count(distinct case when b then y end) > 1 then round(corr(case when b then x end, case when b then y end), 6) end as rho from r group by 1)
+select g, n, rho, coalesce(n >= 2 and timed = n and midnight = 0 and span between 120 and 43200 and times >= 0.5 * n and coalesce(rho >= 0.3, true), false) as trusted from f"""
+
+
+@query("cls_11_clock_trust", _CLOCK)
 def clock_trust(spark, d):
-    e = read(spark, d, "events").withColumn("s", F.datediff(F.to_date("ts"), F.lit("2024-01-01")).cast("long") * 86400 + F.hour("ts") * 3600 + F.minute("ts") * 60)
-    return R.clock_trust(e, "user_id", "s", "event_id", 5, 2_700_000, 4, 0.0).filter("n > 2")
+    e = read(spark, d, "events").withColumn("g", F.concat_ws(":", "user_id", F.to_date("ts"))).withColumn("series", (F.col("user_id") % 3 * 10 + F.floor(F.hour("ts") / 2)).cast("long"))
+    e = e.withColumn("s", F.when(F.col("event_id") % 53 > 0, F.hour("ts") * 3600 + F.minute("ts") * 60)).withColumn("k", F.when(F.col("event_id") % 3 > 0, F.col("event_id")))
+    return R.clock_trust(e, "g", "series", "s", "k", most_span=43_200, floor=0.3)
 
 
 @query("cls_12_scoped_rules", f"select p_partkey, case when contains(lower(p_type), 'tin') and p_brand = 'Brand#11' then 'scoped' else {_METAL} end as metal from part")
@@ -159,15 +181,13 @@ def tally(spark, d):
     return R.tally(read(spark, d, "part"), "p_brand", "p_size", "p_partkey")
 
 
-def _holdout_sql() -> str:
-    u = "('0x' || substr(md5('h:' || k), 1, 8))::bigint / 4294967296.0"
-    body = _NEAR.replace("where l_linestatus = 'F' group by all", f"where {u} >= 0.2 group by all").replace("where l_linestatus = 'O'", f"where {u} < 0.2")
-    return f"select v.step, count(*) as asked, count(voted) as answered, count(case when voted = a then 1 end) as \"right\" from ({_BINNED}) b left join ({body}) v using (k) where {u} < 0.2 group by 1"
+_HOLDOUT = f"""with b as (select * replace ('' as part, '' as subj) from ({_BINNED})), {_OFFSETS}, whole as (select q, c, a, count(*) as n from b where u >= 0.2 group by all), asked as (select distinct q, c, part, subj from b where u < 0.2), {_vote_sql("asked", "whole", "global", "one")}
+select method, count(*) as asked, count(case when starts_with(method, 'expanded') or method = 'exact_bin' then 1 end) as answered, count(case when (starts_with(method, 'expanded') or method = 'exact_bin') and one.a = b.a then 1 end) as "right" from b join one using (q, c, part, subj) where u < 0.2 group by 1"""
 
 
-@query("cls_20_holdout", _holdout_sql())
+@query("cls_20_holdout", _HOLDOUT)
 def holdout(spark, d):
-    return R.holdout(_units(spark, d), "k", {"l_quantity": 10, "l_discount": 0.02}, "l_returnflag", 0.2, "h", least=40)
+    return R.holdout(_units(spark, d), "k", _VOTE_DIMS, "l_returnflag", 0.2, "h")
 
 
 @query("cls_21_order_independence", "select count(*) as units, 0::bigint as differ from part")

@@ -50,20 +50,21 @@ def cases(spark, d):
     return read(spark, d, "customer").select("c_custkey", F.coalesce(seg, F.lit("none")).alias("seg"), F.when(bal < 0, "debt").when(bal < 5000, "some").otherwise("much").alias("level"), F.concat("c_name", F.lit("/"), seg).alias("joined"), F.least(bal, odd).alias("lo"), F.greatest(bal, odd).alias("hi"))
 
 
-_DAYS = "with t as (select l_orderkey, l_linenumber, cast(o_orderdate as date) as a, cast(l_shipdate as date) as b from lineitem join orders on o_orderkey = l_orderkey)"
+_DAYS = "with t as (select l_orderkey, l_linenumber, case when l_linenumber % 2 = 0 then cast(l_shipdate as date) else cast(o_orderdate as date) end as a, case when l_linenumber % 2 = 0 then cast(o_orderdate as date) else cast(l_shipdate as date) end as b from lineitem join orders on o_orderkey = l_orderkey)"
 
 
 def _two_days(spark, d):
     o = _orders(spark, d).select(F.col("o_orderkey").alias("l_orderkey"), F.col("day").alias("a"))
-    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("b")).join(o, "l_orderkey")
+    days = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("b")).join(o, "l_orderkey")
+    back = F.col("l_linenumber") % 2 == 0
+    return days.select("l_orderkey", "l_linenumber", F.when(back, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(back, F.col("a")).otherwise(F.col("b")).alias("b"))
 
 
 def _whole(unit: str) -> str:
-    w = {
-        "months": "(year({1}) * 12 + month({1})) - (year({0}) * 12 + month({0})) - (day({1}) < day({0}))::int",
-        "years": "year({1}) - year({0}) - (strftime({1}, '%m%d') < strftime({0}, '%m%d'))::int",
+    return {
+        "months": "((year(b) * 12 + month(b)) - (year(a) * 12 + month(a)) - (day(b) < day(a))::int)::int",
+        "years": "(year(b) - year(a) - (strftime(b, '%m%d') < strftime(a, '%m%d'))::int)::int",
     }[unit]
-    return f"(case when b >= a then {w.format('a', 'b')} else -({w.format('b', 'a')}) end)::int"
 
 
 @query("fn_12_days_13_months_years", f"{_DAYS} select l_orderkey, l_linenumber, datediff('day', a, b)::int as days, {_whole('months')} as months, {_whole('years')} as years from t")
@@ -88,14 +89,17 @@ def json_key(spark, d):
 
 
 _COARSE = """with o as (select o_orderkey, cast(o_orderdate as date) as day, case o_orderkey % 3 when 0 then 'day' when 1 then 'month' else 'year' end as prec from orders),
-c as (select *, case prec when 'day' then day when 'month' then date_trunc('month', day)::date else date_trunc('year', day)::date end as lo, case prec when 'day' then day when 'month' then last_day(day) else make_date(year(day), 12, 31) end as hi, date '1998-06-15' as x from o)"""
+c as (select *, case prec when 'day' then day when 'month' then date_trunc('month', day)::date else date_trunc('year', day)::date end as lo, case prec when 'day' then day when 'month' then last_day(day) else make_date(year(day), 12, 31) end as hi, date '1998-06-15' as x, case o_orderkey % 2 when 0 then date '1998-06-01' else date '1998-06-15' end as xlo, case o_orderkey % 2 when 0 then date '1998-06-30' else date '1998-06-15' end as xhi, case o_orderkey % 2 when 0 then 'month' else 'day' end as xprec from o)"""
 
 
-@query("fn_18_coarse_dates", f"{_COARSE} select o_orderkey, lo < x as lt, hi >= x as ge, lo <= x and hi >= x as eq, hi < x as lt_all, lo = x and hi = x as eq_all, hi < x or lo > x as ne_all from c")
+@query("fn_18_coarse_dates", f"{_COARSE} select o_orderkey, lo < x as lt, hi >= x as ge, lo <= x and hi >= x as eq, hi < x as lt_all, prec = 'day' and lo = x as eq_all, lo <> x as ne_all, not (lo <= x and hi >= x) as ne, lo < xhi as lt2, not (lo <= xhi and hi >= xlo) as ne2, hi <= xlo as le2_all, prec = 'day' and xprec = 'day' and lo = xlo as eq2_all, lo <> xlo as ne2_all from c")
 def coarse(spark, d):
     o = _orders(spark, d).withColumn("prec", F.when(F.col("o_orderkey") % 3 == 0, "day").when(F.col("o_orderkey") % 3 == 1, "month").otherwise("year"))
     c = lambda op, strict=False: X.coarse_compare(op, F.col("day"), F.col("prec"), F.lit("1998-06-15").cast("date"), strict)
-    return o.select("o_orderkey", c("<").alias("lt"), c(">=").alias("ge"), c("=").alias("eq"), c("<", True).alias("lt_all"), c("=", True).alias("eq_all"), c("<>", True).alias("ne_all"))
+    other = (F.when(F.col("o_orderkey") % 2 == 0, F.lit("1998-06-10")).otherwise(F.lit("1998-06-15")).cast("date"), F.when(F.col("o_orderkey") % 2 == 0, "month").otherwise("day"))
+    both = lambda op, strict=False: X.coarse_compare(op, F.col("day"), F.col("prec"), other[0], strict, other[1])
+    two = [c("<>").alias("ne"), both("<").alias("lt2"), both("<>").alias("ne2"), both("<=", True).alias("le2_all"), both("=", True).alias("eq2_all"), both("<>", True).alias("ne2_all")]
+    return o.select("o_orderkey", *two, c("<").alias("lt"), c(">=").alias("ge"), c("=").alias("eq"), c("<", True).alias("lt_all"), c("=", True).alias("eq_all"), c("<>", True).alias("ne_all"))
 
 
 @query("fn_19_instant_day", "select event_id from events where cast(ts as date) = date '2024-01-15'")
@@ -194,11 +198,11 @@ def group_scalars(spark, d):
     return _orders(spark, d).groupBy("o_orderpriority").agg(*O.scalars("o_totalprice"))
 
 
-_GRID = "select c_nationkey, c_mktsegment, count(distinct c_custkey) as n from customer where c_acctbal > 6000 group by all"
+_GRID = "select c_nationkey, c_mktsegment, count(distinct case when c_acctbal > 6000 and c_nationkey % 4 > 0 then c_custkey end) as n from customer group by all"
 
 
 def _grid(spark, d):
-    return read(spark, d, "customer").filter("c_acctbal > 6000").groupBy("c_nationkey", "c_mktsegment").agg(F.countDistinct("c_custkey").alias("n"))
+    return read(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.countDistinct(F.when((F.col("c_acctbal") > 6000) & (F.col("c_nationkey") % 4 > 0), F.col("c_custkey"))).alias("n"))
 
 
 @query("disc_1_threshold", f"select c_nationkey, c_mktsegment, case when n = 0 or n >= 5 then n end as shown from ({_GRID})")
@@ -212,14 +216,11 @@ def held_boolean(spark, d):
 
 
 def _suppress_sql() -> str:
-    ctes, last = [f"g0 as (select *, not (n = 0 or n >= 5) as h from ({_GRID}))"], "g0"
-    i = 0
-    for _ in range(3):
-        for line in ("c_mktsegment", "c_nationkey"):
-            i += 1
-            ctes.append(f"g{i} as (select c_nationkey, c_mktsegment, n, h or (sum(h::int) over (partition by {line}) = 1 and n > 0 and row_number() over (partition by {line} order by h::int, (n = 0)::int, n, c_nationkey, c_mktsegment) = 1) as h from {last})")
-            last = f"g{i}"
-    return f"with {', '.join(ctes)} select c_nationkey, c_mktsegment, n, case when not h then n end as shown from {last}"
+    ctes = [f"g0 as (select *, (n between 1 and 4)::int as p, (n between 1 and 4)::int as h from ({_GRID}))"]
+    one = "(sum(h) over w{0} >= 1 and (sum(h) over w{0} = 1 or sum(case when p = 0 then h else 0 end) over w{0} = 0) and row_number() over (w{0} order by h, n = 0, n, c_nationkey, c_mktsegment) = 1)"
+    for i in range(6):
+        ctes.append(f"g{i + 1} as (select c_nationkey, c_mktsegment, n, p, case when h = 1 or {one.format(1)} or {one.format(2)} then 1 else 0 end as h from g{i} window w1 as (partition by c_mktsegment), w2 as (partition by c_nationkey))")
+    return f"with {', '.join(ctes)} select c_nationkey, c_mktsegment, n, case when h = 0 then n end as shown from g6"
 
 
 @query("disc_3_complementary", _suppress_sql())

@@ -44,11 +44,14 @@ def names(spark, d):
 
 
 _CADENCE = f"""{_SESSIONS}, a as (select o_custkey, min(session_first) + 30 as anchor from s group by 1),
-m as (select s.o_custkey, session_first, datediff('day', anchor, session_first) as days, datediff('day', anchor, session_first) / 30.4375::double as months from s join a using (o_custkey)),
-p as (select o_custkey, session_first, days, months, (select min((abs(c - months), c)) from (values (0), (6), (12), (18), (24), (36), (48), (60), (72)) v(c)) as b from m)"""
+b as (select s.o_custkey, session_first, anchor, least(anchor, session_first) as lo, greatest(anchor, session_first) as hi from s join a using (o_custkey)),
+w as (select *, ((year(hi) * 12 + month(hi)) - (year(lo) * 12 + month(lo)))::int as r from b),
+v as (select *, r - ((lo + to_months(r))::date > hi)::int as k from w),
+m as (select o_custkey, session_first, (case when session_first < anchor then -1 else 1 end) * (k + datediff('day', (lo + to_months(k))::date, hi) / 30.44::double) as months from v),
+p as (select o_custkey, session_first, months, round(abs(months))::int as month, (select min((abs(c - months), c)) from (values (0), (6), (12), (18), (24), (36), (48), (60), (72)) v(c)) as b from m)"""
 
 
-@query("time_4_cadence", f"with recursive {_CADENCE} select o_custkey, session_first, round(months, 4) as months, case when b[1] <= 1.5 then b[2]::int end as point, case when days < 0 then 'PRE' || lpad(ceil(-months)::int::varchar, 2, '0') when b[1] <= 1.5 then 'M' || lpad(b[2]::varchar, 2, '0') else strftime(session_first, '%Y%m%d') end as label from p")
+@query("time_4_cadence", f"with recursive {_CADENCE} select o_custkey, session_first, round(months, 4) as months, case when months < 0 and month <> 0 then null when month = 0 then 0 when b[1] <= 1.5 then b[2]::int end as point, case when months < 0 and month <> 0 then 'PRE' || lpad(month::varchar, 2, '0') when month = 0 then 'M00' when b[1] <= 1.5 then 'M' || lpad(b[2]::varchar, 2, '0') else 'M' || lpad(month::varchar, 2, '0') end as label from p")
 def cadence(spark, d):
     s = _sessions(spark, d)
     rows = s.join(T.anchors(s, "o_custkey", "session_first"), "o_custkey").withColumn("anchor", F.date_add("anchor", 30))
@@ -98,14 +101,15 @@ def nearest_event(spark, d):
     return out.select("event_id", "near_key", "near_offset")
 
 
-_VOTE = """with c as (select l_orderkey, cast(l_shipdate as date) as day, 1.0 + l_linenumber % 2 as w from lineitem union all select o_orderkey, cast(o_orderdate as date), 2.5 from orders union all select o_orderkey, date '1900-01-01', 9.0 from orders),
-s as (select l_orderkey, day, round(sum(w * case when month(day) = 1 and day(day) = 1 then 0.25 else 1.0 end), 9)::double as w from c where day <> date '1900-01-01' group by 1, 2)
-select l_orderkey, day as voted, w as weight, round(w - coalesce(lead(w) over (partition by l_orderkey order by w desc, day), 0), 9) as margin from s qualify row_number() over (partition by l_orderkey order by w desc, day) = 1"""
+_VOTE = """with c as (select l_orderkey, case when l_suppkey % 4 = 0 then date_trunc('year', l_shipdate)::date else cast(l_shipdate as date) end as day, 1.0 + l_linenumber % 2 as w from lineitem union all select o_orderkey, cast(o_orderdate as date), 2.5 from orders union all select o_orderkey, date '1900-01-01', 9.0 from orders),
+s as (select l_orderkey, day, round(sum(w), 9)::double as w, month(day) = 1 and day(day) = 1 as new_year from c where day <> date '1900-01-01' group by 1, 2),
+b as (select * from s qualify row_number() over (partition by l_orderkey order by new_year, w desc, day) = 1)
+select b.l_orderkey, b.day as voted, b.w as weight, round(b.w - coalesce((select max(s.w) from s where s.l_orderkey = b.l_orderkey and s.day <> b.day), 0), 9) as margin from b"""
 
 
 @query("time_10_date_vote", _VOTE)
 def date_vote(spark, d):
-    lines = read(spark, d, "lineitem").select("l_orderkey", F.to_date("l_shipdate").alias("day"), (F.lit(1.0) + F.col("l_linenumber") % 2).alias("w"))
+    lines = read(spark, d, "lineitem").select("l_orderkey", F.when(F.col("l_suppkey") % 4 == 0, F.trunc("l_shipdate", "year")).otherwise(F.to_date("l_shipdate")).alias("day"), (F.lit(1.0) + F.col("l_linenumber") % 2).alias("w"))
     o = _orders(spark, d)
     c = lines.union(o.select("o_orderkey", "day", F.lit(2.5))).union(o.select("o_orderkey", F.lit("1900-01-01").cast("date"), F.lit(9.0)))
     return T.vote_dates(c, "l_orderkey", "day", "w")

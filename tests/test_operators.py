@@ -80,7 +80,7 @@ def test_refused_ties(spark):
     assert [r["k"] for r in sets.pick(df, "p", [F.desc("v")], "k", ties="refuse").collect()] == [3]
 
 
-@pytest.mark.parametrize(("a", "b", "months"), [("2021-01-31", "2021-02-28", 0), ("2021-01-31", "2021-03-01", 1), ("2021-03-01", "2021-01-31", -1)])
+@pytest.mark.parametrize(("a", "b", "months"), [("2021-01-31", "2021-02-28", 0), ("2021-01-31", "2021-03-01", 1), ("2021-03-01", "2021-01-31", -2), ("2021-03-01", "2021-02-28", -1)])
 def test_whole_months(spark, a, b, months):
     d = lambda x: F.lit(x).cast("date")
     assert one(spark.range(1).select(X.months_between(d(a), d(b))))[0] == months
@@ -102,6 +102,9 @@ def test_small_counts_and_complement(spark):
     grid = spark.createDataFrame([("a", 3), ("b", 9), ("c", 0), ("d", 20)], "k string, n int")
     out = {r["k"]: r["shown"] for r in outputs.suppress(grid, ["k"], "n", "shown").collect()}
     assert out == {"a": None, "b": None, "c": 0, "d": 20}
+    for counts, left in (((1, 1, 40), set()), ((3, 0), set()), ((1, 1, 6, 40), {40}), ((9, 40), {9, 40})):
+        grid = spark.createDataFrame([(str(i), n) for i, n in enumerate(counts)], "k string, n int")
+        assert {r["shown"] for r in outputs.suppress(grid, ["k"], "n", "shown").collect()} - {None} == left
     assert one(spark.range(1).select(*[outputs.held(F.lit(n)) for n in (0, 1, 4, 5)])) == (0, None, None, 5)
 
 
@@ -123,8 +126,28 @@ def test_positions_within_tolerance(spark):
 def test_neighbour_vote_ties_are_silent_and_zero_is_absent(spark):
     ref = spark.createDataFrame([(5.0, 1.0, "a")] * 3 + [(25.0, 1.0, "a")] * 3 + [(25.0, 1.0, "b")] * 3 + [(45.0, 0.0, "z")] * 3, "x double, y double, ans string")
     asked = spark.createDataFrame([(1, 5.0, 1.0), (2, 25.0, 1.0), (3, 45.0, 1.0), (4, 45.0, 0.0)], "k int, x double, y double")
-    got = {r["k"]: (r["voted"], r["step"]) for r in rules.neighbour_vote(asked, ref, "k", {"x": 10, "y": 1}, "ans").collect()}
-    assert got[1][0] == "a" and 2 not in got and got[4] == ("z", 0) and 3 not in got
+    got = {r["k"]: (r["voted"], r["method"]) for r in rules.neighbour_vote(asked, ref, "k", {"x": 10, "y": 1}, "ans").collect()}
+    assert got == {1: ("a", "exact_bin"), 2: (None, "tie"), 3: (None, "no_match"), 4: ("z", "exact_bin")}
+
+
+def test_neighbour_vote_passes_over_what_does_not_fit_and_asks_its_own_partition_first(spark):
+    ref = [(20.0, "a", "one")] * 4 + [(20.0, "b", "one")] * 3 + [(20.0, "c", "two")] * 9 + [(40.0, "d", "two")] * 2
+    ref = spark.createDataFrame(ref, "x double, ans string, site string")
+    asked = spark.createDataFrame([(1, 20.0, "one", "p"), (2, 20.0, "one", "q"), (3, 40.0, "one", "p"), (4, 40.0, "two", "p"), (5, 20.0, "new", "p"), (6, 90.0, "one", "p"), (7, 11.0, "one", "p"), (8, 20.0, "two", "r")], "k int, x double, site string, s string")
+    fits = lambda s, a: ~((s == "q") & (a == "a")) & (s != "r")
+    got = rules.neighbour_vote(asked, ref, "k", {"x": ("ceil", 10)}, "ans", partition="site", subject="s", fits=fits, alone=["one"])
+    got = {r["k"]: (r["voted"], r["method"], r["scope"]) for r in got.collect()}
+    assert got[1] == ("a", "exact_bin", "scoped") and got[2] == ("b", "exact_bin", "scoped")
+    assert got[3] == (None, "no_match", "scoped")  # its partition asks no other
+    assert got[4] == (None, "insufficient_matches", "global") and got[5] == ("c", "exact_bin", "global")
+    assert got[6] == (None, "no_match", "scoped") and got[7] == ("a", "exact_bin", "scoped") and got[8] == (None, "no_compatible_match", "global")
+
+
+def test_half_bins_round_to_even(spark):
+    ref = spark.createDataFrame([(15.0, "a")] * 3, "x double, ans string")
+    asked = spark.createDataFrame([(1, 25.0), (2, 35.0), (3, 5.0)], "k int, x double")
+    got = {r["k"]: r["method"] for r in rules.neighbour_vote(asked, ref, "k", {"x": 10}, "ans").collect()}
+    assert got == {1: "exact_bin", 2: "no_match", 3: "no_match"}
 
 
 def test_ordered_rules(spark):
@@ -160,8 +183,10 @@ def test_identifier_map_chain_and_conflict(spark):
 
 def test_number_check(spark):
     df = spark.createDataFrame([("811218-9876",), ("811218-9875",), ("811318-9876",), ("81",), ("111218+9878",), (None,)], "x string")
-    number, reason = identity.check_number(F.col("x"), 2024)
+    number, reason = identity.check_number(F.col("x"), dt.date(2024, 6, 15))
     got = [tuple(r) for r in df.select(number, reason).collect()]
+    more = spark.createDataFrame([("701063-2391",), ("240614-0007",), ("240616-0005",)], "x string").select(number, reason).collect()
+    assert [r[0][:8] for r in more if r[0]] == ["19701063", "20240614", "19240616"][: sum(r[0] is not None for r in more)]
     assert got[0] == ("198112189876", None) and [g[1] for g in got[1:4]] == ["check digit", "date", "form"] and got[5][1] == "missing"
 
 
