@@ -31,8 +31,15 @@ def bounded_sample(training: DataFrame, per_class: int) -> DataFrame:
     return parts[0].union(parts[1])
 
 
-def sampled_features(docs: DataFrame, training: DataFrame, per_class: int, features: Features, swap: Callable[[bytes], bytes] | None = None) -> pd.DataFrame:
-    """Features of the sampled documents' whole texts; 2 * per_class rows at most come to the driver."""
+def sampled_texts(docs: DataFrame, training: DataFrame, per_class: int) -> DataFrame:
+    """(doc_id, label, text) of the sampled documents, one row for each: of a doc_id's several texts the one with the least digest."""
+    sample = bounded_sample(training, per_class)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min_by("text", F.md5("text")).alias("text"))
+
+
+def sampled_features(sample: DataFrame, features: Features, swap: Callable[[bytes], bytes] | None = None) -> pd.DataFrame:
+    """Features of the sampled whole texts, and of their swapped twins; one row for each sampled document comes to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -41,12 +48,10 @@ def sampled_features(docs: DataFrame, training: DataFrame, per_class: int, featu
                 own.append(features(text))
                 changed = swap(text) if swap else text
                 other.append(features(changed) if changed != text else None)
-            yield C.record(_SAMPLE, batch.column(0), batch.column(2), own, other)
+            yield C.record(_SAMPLE, batch.column(0), batch.column(1), own, other)
 
-    sample = bounded_sample(training, per_class)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
-    found = C.map_arrow(rows, run, "doc_id long, label int, features array<int>, swapped array<int>").toPandas()
-    return found.drop_duplicates("doc_id").sort_values("doc_id").reset_index(drop=True)
+    found = C.map_arrow(sample.select("doc_id", "label", "text"), run, "doc_id long, label int, features array<int>, swapped array<int>").toPandas()
+    return found.sort_values("doc_id").reset_index(drop=True)
 
 
 class Rows:
@@ -95,8 +100,9 @@ def platt(margin: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, f
 class Model:
     """A weight for each hashed indicator, an offset, and the logistic curve of the sum."""
 
-    def __init__(self, weights: np.ndarray, offset: float, slope: float, shift: float):
+    def __init__(self, weights: np.ndarray, offset: float, slope: float, shift: float, swapped: int = 0, terms: list | None = None):
         self.weights, self.offset, self.slope, self.shift = weights.astype(np.float32), offset, slope, shift
+        self.swapped, self.terms = swapped, terms or []  # labelled rows with a swapped twin, and the group terms
 
     def margins(self, rows: list[np.ndarray]) -> np.ndarray:
         return np.array([float(self.weights[r].sum(dtype=np.float64)) for r in rows]) + self.offset

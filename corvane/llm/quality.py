@@ -76,7 +76,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, cost: fl
     training = L.training_labels(labels, "quality")
     counts = {r["label"]: r["count"] for r in training.groupBy("label").count().collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    found = L.sampled_features(docs, training, per_class, features)
+    found = L.sampled_features(L.sampled_texts(docs, training, per_class), features)
     y = found["label"].to_numpy(np.int64)
     if not len(y) or y.min() == y.max():
         p = min(max(share, 1e-9), 1 - 1e-9)

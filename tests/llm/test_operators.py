@@ -181,13 +181,63 @@ def test_toxicity_is_held_out_right_and_calm_about_groups(spark):
     truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
     assert all(r["predicted"] == truth[i] for i, r in got.items() if r["held_out"])
-    swap, plain, fair = toxicity.swapper(), toxicity.fit(docs, labels, fairness=0.0), toxicity.fit(docs, labels, fairness=20.0)
-    texts = [f"ban dar {g} kot lus." for row in toxicity.IDENTITIES for g in row]
-    shift = lambda m: np.mean([abs(np.subtract(*m.scores(m.margins([toxicity.features(t.encode()), toxicity.features(swap(t.encode()))])))) for t in texts])
-    assert shift(fair) <= shift(plain) + 1e-9
     assert len(toxicity.drop_toxic(docs, labels).columns) == 2
 
 
+def named_groups(spark):
+    """Toxic texts mostly name two groups and often lack an insult; neutral texts name the others."""
+    rng, docs, labels = random.Random(3), [], []
+    for i in range(1500):
+        bad, words = i % 3 == 0, text(rng, 25).split()
+        if bad and rng.random() < 0.6:
+            words.insert(3, "scum")
+        if rng.random() < (0.8 if bad else 0.1):
+            words.insert(7, rng.choice(["muslim", "jewish"]))
+        elif rng.random() < 0.3:
+            words.insert(7, rng.choice(["christian", "hindu", "buddhist"]))
+        docs.append((i, " ".join(words) + "."))
+        labels.append((i, int(bad)))
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_swapped_group_terms_move_scores_less_and_neutral_mentions_pass(spark):
+    docs, labels = named_groups(spark)
+    how = dict(propose=False)
+    plain, fair = toxicity.fit(docs, labels, fairness=0.0, **how), toxicity.fit(docs, labels, fairness=200.0, **how)
+    assert fair.swapped == plain.swapped > 300
+    rng, swap = random.Random(8), toxicity.swapper(r for rows in toxicity.IDENTITIES.values() for r in rows)
+    neutral = [f"{text(rng, 12)} {rng.choice(['muslim', 'jewish'])} {text(rng, 12)}.".encode() for _ in range(200)]
+    scores = lambda m, texts: m.scores(m.margins([toxicity.features(t) for t in texts]))
+    shift = lambda m: np.abs(scores(m, neutral) - scores(m, [swap(t) for t in neutral])).mean()
+    assert shift(fair) < 0.5 * shift(plain)
+    assert (scores(fair, neutral) >= 0.5).sum() < (scores(plain, neutral) >= 0.5).sum()
+    insults = [f"{text(rng, 12)} scum {text(rng, 12)}.".encode() for _ in range(50)]
+    assert (scores(fair, insults) > scores(fair, [t.replace(b"scum ", b"") for t in insults])).all()
+
+
+def test_group_terms_are_found_in_the_labelled_rows(spark):
+    rng, rows = random.Random(12), []
+    for i in range(400):
+        words = text(rng, 20).split()
+        if rng.random() < 0.6:
+            words[5:5] = ["the", rng.choice(["alphas", "betas"]), "of", rng.choice(["north", "south"])]
+        rows.append((i, i % 2, " ".join(words)))
+    found = toxicity.proposed_terms(spark.createDataFrame(rows, "doc_id long, label int, text string"))
+    assert {frozenset(p) for p in found} >= {frozenset(("alphas", "betas")), frozenset(("north", "south"))}
+    assert toxicity.proposed_terms(spark.createDataFrame([], "doc_id long, label int, text string")) == []
+
+
+def test_the_regulariser_works_on_the_given_tables(spark):
+    docs, labels = (common.table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
+    assert toxicity.fit(docs, labels).swapped > 20
+
+
+def test_a_labelled_id_with_many_texts_is_one_row(spark):
+    docs = spark.createDataFrame([(i % 4, f"text {i}", i) for i in range(40)], "doc_id long, text string, label int")
+    training = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, label int")
+    assert linear.sampled_texts(docs, training, 10).groupBy("doc_id").count().filter("count = 1").count() == 4
+
+
 def test_quality(spark, nothing):
     docs, labels = labelled(spark, "quality")
     got = {r["doc_id"]: r for r in quality.score_documents(docs.union(spark.createDataFrame([(9999, None)], docs.schema)), labels).collect()}
