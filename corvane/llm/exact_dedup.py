@@ -10,7 +10,7 @@ their normalised bytes, so a fingerprint that two texts share does no harm.
 Defined results: a null text counts as empty, and all empty texts are copies of
 one another; rows that repeat a doc_id count as rows of the group; a null doc_id
 loses every tie; an empty table gives an empty result.  Only doc_id and text are
-read, so other columns may have any name.
+read; other columns may have any name, and deduplicate() keeps them.
 """
 
 from __future__ import annotations
@@ -148,9 +148,10 @@ def find_copies(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs without all but one of equal texts, all columns kept; of rows that repeat the kept doc_id one stays."""
-    groups = C.hinted(copy_groups(docs).select(F.col("sha").alias("__sha"), F.col("keep_id").alias("__keep"), F.col("keep_rows").alias("__rows")))
-    marked = docs.withColumn("__sha", F.sha2(normalised(docs["text"]), 256)).join(groups, "__sha", "left")
-    kept = marked.filter(F.col("__rows").isNull() | F.col("__keep").eqNullSafe(F.col("doc_id").cast("long")))
-    once = kept.filter(F.coalesce("__rows", F.lit(1)) == 1)
-    again = kept.filter(F.coalesce("__rows", F.lit(1)) > 1).dropDuplicates(["__sha"])
+    sha, keep, rows = C.fresh(docs, "copy_sha", "copy_keep", "copy_rows")
+    groups = C.hinted(copy_groups(docs).select(F.col("sha").alias(sha), F.col("keep_id").alias(keep), F.col("keep_rows").alias(rows)))
+    marked = docs.withColumn(sha, F.sha2(normalised(docs["text"]), 256)).join(groups, sha, "left")
+    kept = marked.filter(F.col(rows).isNull() | F.col(keep).eqNullSafe(F.col("doc_id").cast("long")))
+    once = kept.filter(F.coalesce(rows, F.lit(1)) == 1)
+    again = kept.filter(F.coalesce(rows, F.lit(1)) > 1).dropDuplicates([sha])
     return once.union(again).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -105,8 +105,9 @@ def mix(docs: DataFrame, entropy: float | None = None, repetition: float = 2.0,
 
     Rows get a number and are stored with it, so that a placement finds its own row whatever repeats.
     """
-    numbered = C.stored(docs.withColumn("__at", F.monotonically_increasing_id()))
-    placed = _placed(C.stored(_rows(numbered, "__at")), ["doc_id", "__len", "__at"], entropy, repetition, budget, blocks)
-    placed = C.stored(placed.select("__at", F.col("pass").alias("__pass"), F.col("block").alias("__block"), F.col("rank").alias("__rank")))
-    out = numbered.join(C.hinted(placed), "__at").orderBy("__block", "__rank", "__at", "__pass")
+    at, turn, block, rank = C.fresh(docs, "mix_at", "mix_pass", "mix_block", "mix_rank")
+    numbered = C.stored(docs.withColumn(at, F.monotonically_increasing_id()))
+    placed = _placed(C.stored(_rows(numbered, at)), ["doc_id", "__len", at], entropy, repetition, budget, blocks)
+    placed = C.stored(placed.select(at, F.col("pass").alias(turn), F.col("block").alias(block), F.col("rank").alias(rank)))
+    out = numbered.join(C.hinted(placed), at).orderBy(block, rank, at, turn)
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -3,8 +3,9 @@
 A keyed Feistel network permutes each value within its format: card numbers keep
 their length, separators and a valid check digit; telephone numbers their country
 code; addresses of machines stay dotted quads; social security numbers stay valid
-ones; dates become dates of 1900 to 2099 in the same notation; the name before
-the @ of an e-mail address keeps its letter and digit places.  The permutation
+ones; bank account numbers (IBAN) keep country, letters and valid check digits; dates become dates of 1900 to 2099 in the
+same notation; the name before the @ of an e-mail address keeps its letter and digit places.  The rounds
+are keyed by HMAC-SHA-256.  The permutation
 depends on the key and the value's kind alone, so equal values get equal
 pseudonyms in every document, whatever separators they are written with.
 
@@ -13,16 +14,24 @@ what lies between, and put together again.  Numbers beside each other, with one
 hyphen between, are one match, in which card numbers (the longest valid one from each place on), dates,
 social security and telephone numbers that start and end at separators are looked for.  Only texts with a digit or an @ are
 searched.  Defined results: null texts stay null; values that fail validation
-stay as they are; repeated rows change alike; other columns are kept.
+stay as they are; repeated rows change alike; other columns are kept, whatever their names.  Where a permutation
+of a larger set is walked until the value is a valid one, the walk has no end but that (after
+WALKS steps it fails rather than return another value).
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
+
 ROUNDS = 8
-_WALK = 24
+#: Steps of a walk through values that are not valid; at most 1 of 9 values is not, so the short walk all but always does.
+WALKS = (24, 100_000)
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,62}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 IP = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
 DATE = r"(?:\d{4}[-/.]\d{2}[-/.]\d{2}|\d{2}[-/.]\d{2}[-/.]\d{4})"
@@ -34,13 +43,29 @@ _NUMBER = r"\d++(?![A-Za-z])"
 #: Numbers beside each other that together have the digits of a card number.
 RUN = rf"(?=\d(?:[ -]?\d){{12}}){_NUMBER}(?:(?:-| (?!{_OTHER})){_NUMBER})*+"
 _MOST = 19
-FOUND = rf"(?<![0-9A-Za-z.+-])(?:{EMAIL}|{IP}|{DATE}|{SSN}|{PHONE}|{RUN})(?![0-9A-Za-z])"
+IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+FOUND = rf"(?<![0-9A-Za-z.+-])(?:{EMAIL}|{IBAN}|{IP}|{DATE}|{SSN}|{PHONE}|{RUN})(?![0-9A-Za-z])"
 _FIRST_DAY, _DAYS = "1900-01-01", 73_049  # to the end of 2099
 
 
+def hmac(key: str, message: Column) -> Column:
+    """HMAC-SHA-256 of a text, as lowercase hex."""
+    raw = key.encode()
+    raw = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    pad = lambda by: F.lit(bytearray(b ^ by for b in raw))
+    return F.sha2(F.concat(pad(0x5C), F.unhex(F.sha2(F.concat(pad(0x36), F.encode(message, "UTF-8")), 256))), 256)
+
+
+def walked(start: Column, valid: Callable[[Column], Column], step: Callable[[Column], Column]) -> Column:
+    """The first valid value from start on, step by step."""
+    on = lambda x, steps: F.aggregate(F.when(valid(x), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.lit(steps))), x, lambda v, _: F.when(valid(v), v).otherwise(step(v)))
+    short, long = WALKS
+    return _with(on(start, short), lambda x: _with(on(x, long), lambda y: F.when(valid(y), y).otherwise(F.raise_error(F.lit("a walk did not end")))))
+
+
 def _noise(key: str, kind: str, step: Column, value: Column) -> Column:
     """A number of 60 bits from the key, the kind of value, the round and the other half."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(key), F.lit(kind), step.cast("string"), value.cast("string"))), 1, 15), 16, 10).cast("long")
+    return F.conv(F.substring(hmac(key, F.concat_ws("|", F.lit(kind), step.cast("string"), value.cast("string"))), 1, 15), 16, 10).cast("long")
 
 
 def feistel(left: Column, right: Column, left_size: Column, right_size: Column, key: str, kind: str) -> Column:
@@ -119,12 +144,35 @@ def _valid_ssn(d: Column) -> Column:
 
 
 def _ssn(m: Column, key: str) -> Column:
-    def walked(d: Column) -> Column:
-        once = digits(d, key, "ssn")
-        new = F.aggregate(F.sequence(F.lit(1), F.lit(_WALK)), once, lambda x, _: F.when(_valid_ssn(x), x).otherwise(digits(x, key, "ssn")))
-        return F.when(_valid_ssn(d), _with(new, lambda v: _refill(m, v))).otherwise(m)
+    def changed(d: Column) -> Column:
+        again = lambda x: digits(x, key, "ssn")
+        return F.when(_valid_ssn(d), _with(_with(again(d), lambda x: walked(x, _valid_ssn, again)), lambda v: _refill(m, v))).otherwise(m)
+
+    return _with(_only_digits(m), changed)
+
+
+def _mod97(value: Column) -> Column:
+    """A string of digits and letters (A is 10) modulo 97."""
+
+    def add(a: Column, i: Column) -> Column:
+        c = F.substring(value, i, F.lit(1))
+        return F.when(c.rlike("[0-9]"), a * 10 + c.try_cast("int")).otherwise(a * 100 + F.ascii(c) - 55) % 97
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(value)), F.lit(0), add)
+
+
+def _iban(m: Column, key: str) -> Column:
+    def changed(x: Column) -> Column:
+        country, own = F.substring(x, 1, 2), F.substring(x, F.lit(5), F.length(x))
+        valid = (_mod97(F.concat(own, F.substring(x, 1, 4))) == 1) & (F.length(_only_digits(own)) >= 2)
+
+        def renewed(new: Column) -> Column:
+            check = 98 - _mod97(F.concat(_refill(own, new), country, F.lit("00")))
+            return _refill(m, F.concat(F.lpad(check.cast("string"), 2, "0"), new))
+
+        return F.when(valid, _with(digits(_only_digits(own), key, "iban"), renewed)).otherwise(m)
 
-    return _with(_only_digits(m), walked)
+    return _with(F.replace(m, F.lit(" "), F.lit("")), changed)
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -142,7 +190,7 @@ def _day(n: Column, key: str) -> Column:
     def once(x: Column) -> Column:
         return _with(feistel(F.floor(x / 270), x % 270, F.lit(271), F.lit(270), key, "date"), lambda p: p["l"] * 270 + p["r"])
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(_WALK)), once(n), lambda x, _: F.when(x < _DAYS, x).otherwise(once(x)))
+    return _with(once(n), lambda x: walked(x, lambda y: y < _DAYS, once))
 
 
 def _date(m: Column, key: str) -> Column:
@@ -191,7 +239,7 @@ def _email(m: Column, key: str) -> Column:
 def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one candidate value, or the value itself where it does not validate."""
     whole = lambda p: m.rlike(f"^{p}$")
-    return F.when(m.contains("@"), _email(m, key)).when(whole(IP), _ip(m, key)).when(whole(DATE), _date(m, key)).when(whole(SSN), _ssn(m, key)).when(whole(PHONE), _phone(m, key)).otherwise(_card(m, key))
+    return F.when(m.contains("@"), _email(m, key)).when(m.rlike("^[A-Z]"), _iban(m, key)).when(whole(IP), _ip(m, key)).when(whole(DATE), _date(m, key)).when(whole(SSN), _ssn(m, key)).when(whole(PHONE), _phone(m, key)).otherwise(_card(m, key))
 
 
 def _pieces(m: Column) -> Column:
@@ -223,14 +271,15 @@ def _pieces(m: Column) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
-    """docs with the values in text replaced, and n_replaced, the number of values that changed."""
+    """docs with the values in text replaced, and n_replaced, the number of values that changed (n_replaced_ where docs has such a column)."""
+    held, new, whole, n, told = C.fresh(docs, "held_values", "new_values", "new_text", "n_changed", "n_replaced")
     searched = F.col("text").rlike("[0-9@]")
     values = F.when(searched, F.regexp_extract_all("text", F.lit(FOUND), F.lit(0)))
-    rows = docs.withColumn("__values", F.when(F.size(values) > 0, F.transform(values, _pieces)))
-    rows = rows.withColumn("__new", F.transform("__values", lambda m: F.transform(m, lambda x, i: F.when(i % 3 == 1, pseudonym(x, key)).otherwise(x))))
+    rows = docs.withColumn(held, F.when(F.size(values) > 0, F.transform(values, _pieces)))
+    rows = rows.withColumn(new, F.transform(held, lambda m: F.transform(m, lambda x, i: F.when(i % 3 == 1, pseudonym(x, key)).otherwise(x))))
     between = F.split("text", FOUND, -1)
-    joined = F.array_join(F.flatten(F.zip_with(between, F.concat(F.transform("__new", lambda m: F.array_join(m, "")), F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
-    changed = F.size(F.filter(F.zip_with(F.flatten("__values"), F.flatten("__new"), lambda a, b: a != b), lambda x: x))
-    out = rows.withColumn("__text", F.when(F.col("__new").isNotNull(), joined).otherwise(F.col("text"))).withColumn("__n", F.when(F.col("__new").isNotNull(), changed).otherwise(0))
-    keep = [F.col("__text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != "n_replaced"]
-    return out.select(*keep, F.col("__n").cast("int").alias("n_replaced"))
+    joined = F.array_join(F.flatten(F.zip_with(between, F.concat(F.transform(new, lambda m: F.array_join(m, "")), F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
+    changed = F.size(F.filter(F.zip_with(F.flatten(held), F.flatten(new), lambda a, b: a != b), lambda x: x))
+    out = rows.withColumn(whole, F.when(F.col(new).isNotNull(), joined).otherwise(F.col("text"))).withColumn(n, F.when(F.col(new).isNotNull(), changed).otherwise(0))
+    keep = [F.col(whole).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*keep, F.col(n).cast("int").alias(told))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import hmac
 import itertools
 import math
 import random
@@ -449,7 +450,7 @@ def test_shards_of_equal_rows(spark, nothing):
 def feistel(value, key, kind):
     u = len(value) // 2
     l, r = int(value[:u]), int(value[u:])
-    noise = lambda i, x: int(hashlib.md5(f"{key}|{kind}|{i}|{x}".encode()).hexdigest()[:15], 16)
+    noise = lambda i, x: int(hmac.new(key.encode(), f"{kind}|{i}|{x}".encode(), "sha256").hexdigest()[:15], 16)
     for i in range(pseudonyms.ROUNDS):
         if i % 2 == 0:
             l = (l + noise(i, r)) % 10**u
