@@ -5,7 +5,7 @@ The exponent is bisected to meet a target entropy or a repetition limit: each
 round sums the entropies (or finds the ratios) at 31 inner points of the interval in one
 aggregation over the sources, which takes five bisection steps at once.  The
 weights are realised as a budgeted block permutation: a source's documents are
-ordered by an even hash, passed over whole as often as its budget allows, and
+ordered by an even hash, in another order in each pass, passed over whole as often as its budget allows, and
 the last pass stops where the budget is met; a placement's block follows from how far its source
 has come, so every block holds the sources in their weights.
 
@@ -72,24 +72,23 @@ def weights(rows: DataFrame, exponent: float, budget: int | None) -> DataFrame:
 
 def _rows(docs: DataFrame, *more: str) -> DataFrame:
     source = F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("n:"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("__source"), C.n_words(F.col("text")).alias("n_tokens"), F.length("text").alias("__len"), C.dealt_key(F.col("doc_id"), F.length("text")).alias("__key"), *more)
-
-
-def _copies(ahead: Column, own: Column, tokens: Column, repeats: Column) -> Column:
-    """How often a row is placed: each whole pass, and the last one if it starts before the source's budget ends; without tokens in the first pass only."""
-    whole = F.floor(repeats + 1e-9)
-    copies = whole + F.when(ahead < (repeats - whole) * tokens - 1e-6, 1).otherwise(0)
-    return F.when(own > 0, copies).otherwise(F.least(F.lit(1), copies)).cast("int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("__source"), C.n_words(F.col("text")).alias("n_tokens"), F.length("text").alias("__len"), *more)
 
 
 def _placed(rows: DataFrame, ties: list[str], entropy: float | None, repetition: float, budget: int | None, blocks: int) -> DataFrame:
-    """Stored rows of _rows, each as often as it is placed, with weight, pass, block and the whole rank."""
+    """Stored rows of _rows, each as often as it is placed, with weight, pass, block and the whole rank.
+
+    Each pass over a source has an order of its own, by an even hash of the row and the pass.
+    """
     per = shares(rows)
     exponent = exponent_for_repetition(per, repetition) if entropy is None else exponent_for_entropy(per, entropy)
     mix = weights(per, exponent, budget)
-    placed = C.ranked(rows, ["__source"], "__key", "n_tokens", ties).join(C.hinted(mix), "__source")
-    placed = placed.withColumn("__copies", _copies(F.col("sum_before"), F.col("n_tokens"), F.col("tokens"), F.col("repeats"))).filter("__copies > 0")
-    placed = placed.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
+    whole = F.floor(F.col("repeats") + 1e-9)
+    turns = rows.join(C.hinted(mix), "__source").withColumn("pass", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("repeats") - 1e-9).cast("int") - 1))))
+    turns = turns.filter((F.col("n_tokens") > 0) | (F.col("pass") == 0)).withColumn("__key", C.dealt_key(F.col("doc_id"), F.col("__len"), F.col("pass")))
+    placed = C.ranked(turns, ["__source", "pass"], "__key", "n_tokens", ties)
+    room = (F.col("repeats") - whole) * F.col("tokens")  # of the last pass, which stops where the budget ends
+    placed = placed.filter((F.col("pass") < whole) | (F.col("sum_before") < room - 1e-6))
     rank = F.coalesce(F.try_divide(F.col("pass") * F.col("tokens") + F.col("sum_before"), F.col("repeats") * F.col("tokens")), F.lit(0.0))
     return placed.withColumn("rank", rank).withColumn("block", F.least(F.floor(F.col("rank") * blocks).cast("int"), F.lit(blocks - 1)))
 

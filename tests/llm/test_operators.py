@@ -325,6 +325,35 @@ def test_mixing_plan(docs, corpus):
     assert all(0 <= r["rank"] <= 1 + longest / min(total.values()) for r in rows)
 
 
+def test_mixing_plan_is_that_of_plain_counting(spark):
+    rng = random.Random(21)
+    rows = [(i, text(rng, rng.choice([0, 3, 9, 30])), rng.choice(["big"] * 6 + ["mid"] * 2 + ["small", None])) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for how in (dict(repetition=3.0), dict(entropy=1.2, budget=9000), dict(entropy=1.0, budget=700)):
+        got = mixing.plan(df, blocks=16, **how).collect()
+        weight = {r["source"]: r["weight"] for r in got}
+        own = collections.defaultdict(list)
+        for i, t, s in rows:
+            own[s].append((i, len(t.split()), len(t)))
+        tokens = {s: sum(n for _, n, _ in x) for s, x in own.items()}
+        total = how.get("budget") or max(tokens[s] / weight[s] for s in own)
+        want = {}
+        for s, docs_ in own.items():
+            repeats, at = round(weight[s] * total / tokens[s], 6), 0
+            while at < math.ceil(repeats - 1e-6):
+                key = lambda d: (int(hashlib.md5(f"{d[0]}\x1f{d[2]}\x1f{at}".encode()).hexdigest()[:15], 16), d[0])  # noqa: B023, E731
+                ahead = 0
+                for i, n, _ in sorted(docs_, key=key):
+                    if (n or not at) and (at < math.floor(repeats + 1e-6) or ahead < (repeats - math.floor(repeats + 1e-6)) * tokens[s] - 1e-3):
+                        want[i, at] = (at * tokens[s] + ahead) / (repeats * tokens[s])
+                    ahead += n
+                at += 1
+        assert {(r["doc_id"], r["pass"]) for r in got} == set(want) and len(got) == len(want)
+        for r in got:
+            rank = want[r["doc_id"], r["pass"]]
+            assert abs(r["rank"] - rank) < 1e-5 and abs(r["block"] - min(15, int(rank * 16))) <= (abs(rank * 16 - round(rank * 16)) < 1e-3)
+
+
 def test_mixing_exponents(spark):
     rows = spark.createDataFrame([("a", 900, 0.9), ("b", 90, 0.09), ("c", 10, 0.01)], "__source string, tokens long, share double")
 
@@ -340,7 +369,9 @@ def test_mixing_exponents(spark):
 
 
 def test_mix_keeps_columns(docs, nothing):
+    docs = docs.select("*", *[F.lit(7).alias(c) for c in ("repeats", "__source", "__pass", "pass", "mix_at", "before", "__copies", "__at")])
     out = mixing.mix(docs)
+    assert out.filter("repeats = 7 and `__source` = 7 and mix_at = 7 and `__at` = 7").count() == out.count()
     assert out.columns == docs.columns and out.select("doc_id").distinct().count() == docs.count()
     assert mixing.mix(nothing).count() == 0 and mixing.plan(nothing).count() == 0
 
@@ -363,6 +394,8 @@ def test_mix_meets_the_token_budgets_of_the_plan(spark):
     assert all(abs(tokens[s] - weight[s] * cover) <= 900 for s in weight)
     times = collections.Counter(r["doc_id"] for r in placed)
     rank = {r["doc_id"]: r["rank"] for r in placed}
+    orders = [[r["doc_id"] for r in sorted(placed, key=lambda r: r["rank"]) if r["source"] == "small" and r["pass"] == p and r["n_tokens"]] for p in (0, 1)]
+    assert orders[0] != orders[1]
     ranks = [rank[r["doc_id"]] for r in mixed if times[r["doc_id"]] == 1]
     assert len(ranks) > 200 and ranks == sorted(ranks)
 
