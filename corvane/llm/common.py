@@ -17,11 +17,22 @@ from pyspark.sql.window import Window
 #: The white space of every word rule here: blank, tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Broadcasts of tables that grow with the data are only tried below this many rows.
+#: Broadcasts of tables that grow with the data are only tried below this many rows of a few numbers each (some 30 MB).
 BROADCAST_ROWS = 1_000_000
 _LIBC = ctypes.CDLL(None)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names for inner use that df does not have, whatever its columns are called."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is set (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -41,6 +52,11 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of plans that nothing refers to when the driver collects garbage; after a large table is stored that is asked for, so that they don't lie beside the next ones."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most so many rows; reads no more than it must."""
     return df.limit(rows + 1).count() <= rows
@@ -138,13 +154,17 @@ def chunks(texts: list[bytes], size: int = CHUNK) -> Iterator[list[bytes]]:
         yield held
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of the texts with A-Z lower-cased, one after the other, and the words of each text.
+def word_hashes(texts: list[bytes], lower: bool = True, apart: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts, one after the other, and the words of each text.
 
-    A word's hash is a polynomial in its bytes' numbers, taken from running sums over all the texts, then mixed.
+    lower: with A-Z lower-cased; apart: more bytes that part words, besides white space.  A word's
+    hash is a polynomial in its bytes' numbers, taken from running sums over all the texts, then mixed.
     """
-    data = np.frombuffer(b"\n".join(texts).lower() + b"\n", np.uint8)
+    whole = b"\n".join(texts) + b"\n"
+    data = np.frombuffer(whole.lower() if lower else whole, np.uint8)
     word = _IS_WORD[data]
+    if apart:
+        word &= ~np.isin(np.arange(256), list(apart))[data]
     turns = np.flatnonzero(np.diff(word, prepend=False))
     starts, ends = turns[::2], turns[1::2]
     sums = np.zeros(len(data) + 1, np.uint64)

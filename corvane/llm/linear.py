@@ -38,8 +38,8 @@ def sampled_texts(docs: DataFrame, training: DataFrame, per_class: int) -> DataF
     return rows.groupBy("doc_id", "label").agg(F.min_by("text", F.md5("text")).alias("text"))
 
 
-def sampled_features(sample: DataFrame, features: Features, swap: Callable[[bytes], bytes] | None = None) -> pd.DataFrame:
-    """Features of the sampled whole texts, and of their swapped twins; one row for each sampled document comes to the driver."""
+def sampled_features(sample: DataFrame, features: Features, swap: Callable[[bytes], bytes] | None = None) -> pa.Table:
+    """doc_id, label, features and, of those that have one, the swapped twin's: one row for each sampled document comes to the driver, in order of doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -50,24 +50,30 @@ def sampled_features(sample: DataFrame, features: Features, swap: Callable[[byte
                 other.append(features(changed) if changed != text else None)
             yield C.record(_SAMPLE, batch.column(0), batch.column(1), own, other)
 
-    found = C.map_arrow(sample.select("doc_id", "label", "text"), run, "doc_id long, label int, features array<int>, swapped array<int>").toPandas()
-    return found.sort_values("doc_id").reset_index(drop=True)
+    return C.map_arrow(sample.select("doc_id", "label", "text"), run, "doc_id long, label int, features array<int>, swapped array<int>").toArrow().sort_by("doc_id")
 
 
 class Rows:
-    """Binary rows in compressed form: the flat feature numbers and where each row starts."""
+    """Binary rows in compressed form: the flat feature numbers and the row of each."""
 
-    def __init__(self, rows: list[np.ndarray]):
-        self.sizes = np.array([len(r) for r in rows], np.int64)
-        self.flat = np.concatenate(rows).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
-        self.row = np.repeat(np.arange(len(rows)), self.sizes)
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        self.flat, self.sizes = flat.astype(np.int32, copy=False), sizes
+        self.row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+
+    @classmethod
+    def of_column(cls, column: pa.ChunkedArray, chosen: np.ndarray | None = None) -> Rows:
+        """Rows of a list column, or the chosen ones of them."""
+        lists = column.combine_chunks() if chosen is None else column.take(pa.array(np.flatnonzero(chosen))).combine_chunks()
+        lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], column.type)
+        return cls(lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()).astype(np.int64))
+
+    def split(self) -> list[np.ndarray]:
+        return np.split(self.flat, np.cumsum(self.sizes)[:-1]) if len(self.sizes) else []
 
     def renamed(self, place: np.ndarray) -> Rows:
         """The rows over the indicators that have a place, numbered by it."""
-        out = Rows([])
         at = place[self.flat]
-        out.flat, out.row, out.sizes = at[at >= 0], self.row[at >= 0], self.sizes
-        return out
+        return Rows(at[at >= 0], np.bincount(self.row[at >= 0], minlength=len(self.sizes)))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.flat], len(self.sizes))

@@ -342,7 +342,9 @@ def _edges(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, perc
     need = cells.select("head", "cell", F.col("b_id").alias("id"), F.col("b").alias("h1")).union(cells.select("head", "cell", "head", "head_h1").distinct())
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text")).join(C.hinted(need), "id").select("head", "cell", "id", "h1", "text")
     rows = rows.repartition("head", "cell").sortWithinPartitions("head", "cell")
-    return C.stored(C.map_arrow(rows, _verify(width, percent, inside), "a long, b long").distinct())
+    found = C.stored(C.map_arrow(rows, _verify(width, percent, inside), "a long, b long").distinct())
+    C.released(docs.sparkSession)
+    return found
 
 
 def _central(met: DataFrame) -> DataFrame:
@@ -367,15 +369,15 @@ def _left_over(nodes: DataFrame, stars: DataFrame, labels: DataFrame, percent: i
     blocks = sizes.agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
     blocks = C.stored(blocks.select("sig", "head", "n", F.col("top.label").alias("main"), (F.col("n") - F.col("top.n")).alias("off")))
     # blocks of one head are split alike, so that a pair meets in the same cells for all of them
-    parts = blocks.groupBy("head").agg(F.ceil(F.max("n") / PART).alias("xs"), F.ceil(F.max("off") / PART).alias("ys"), F.sum(F.col("n") + F.col("off")).alias("all"))
-    parts = parts.select("head", "xs", "ys", F.ceil(F.col("all") / F.col("xs") / F.col("ys") / CELL).alias("slices"))
+    parts = blocks.groupBy("head").agg(F.ceil(F.max("n") / PART).alias("xs"), F.ceil(F.max("off") / PART).alias("ys"), F.sum("n").alias("ns"), F.sum("off").alias("offs"))
+    parts = parts.select("head", "xs", "ys", F.ceil((F.col("ns") / F.col("xs") + F.col("offs") / F.col("ys")) / CELL).alias("slices"))
     rows = members.join(C.hinted(blocks.join(parts, "head").select("sig", "main", "xs", "ys", "slices")), "sig")
     rows = rows.withColumn("slice", F.pmod(F.xxhash64("sig"), "slices")).withColumn("off", F.col("label") != F.col("main"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     dealt = lambda n: F.pmod(F.xxhash64("node"), n)
     side = lambda df, x, y, kind: df.select("head", x.alias("x"), y.alias("y"), "slice", "sig", kind.alias("kind"), "node", "label")
     cells = side(rows, dealt("xs"), every("ys"), F.when(F.col("off"), 2).otherwise(0)).union(side(rows.filter("off"), every("xs"), dealt("ys"), F.lit(1)))
-    cells = cells.join(C.hinted(known.select("node", "point")), "node").select("head", "x", "y", "slice", "sig", "kind", "node", "label", "point")
+    cells = cells.join(known.select("node", "point"), "node").select("head", "x", "y", "slice", "sig", "kind", "node", "label", "point")
     cells = cells.repartition("head", "x", "y", "slice").sortWithinPartitions("head", "x", "y", "slice", "sig")
     return C.stored(C.map_arrow(cells, _near(percent), "a long, b long").distinct())
 
@@ -387,6 +389,7 @@ def link_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     sent = C.map_arrow(docs.filter("doc_id is not null").select("text"), _send(width, percent), "sig long, a long, b long")
     sent = sent.repartition("sig", F.when(F.col("a") != F.col("b"), F.pmod("b", F.lit(64)))).sortWithinPartitions("sig", "a")
     met = C.stored(C.map_arrow(sent, _meet, "sig long, a long, b long"))
+    C.released(docs.sparkSession)
     stars = _central(met)
     base = base.drop("point")
     pairs = met.filter("sig is null").select("a", "b").union(stars.select("a", "b")).distinct()
@@ -402,6 +405,7 @@ def link_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each component (the one with the least doc_id); all columns and rows without an id stay."""
-    linked = link_documents(docs, width, percent)
-    gone = C.stored(linked.filter("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(C.hinted(gone), docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    (own,) = C.fresh(docs, "linked_id")
+    found = link_documents(docs, width, percent)
+    gone = C.stored(found.filter("doc_id != component_id").select(F.col("doc_id").alias(own)).distinct())
+    return docs.join(C.hinted(gone), docs["doc_id"].cast("long") == gone[own], "left_anti")

@@ -77,15 +77,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, cost: fl
     counts = {r["label"]: r["count"] for r in training.groupBy("label").count().collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     found = L.sampled_features(L.sampled_texts(docs, training, per_class), features)
-    y = found["label"].to_numpy(np.int64)
+    y = found["label"].to_numpy().astype(np.int64)
     if not len(y) or y.min() == y.max():
         p = min(max(share, 1e-9), 1 - 1e-9)
         return L.Model(np.zeros(L.BINS), 0.0, 1.0, float(np.log(p / (1 - p))))
-    rows = [np.asarray(r, np.int64) for r in found["features"]]
+    rows = L.Rows.of_column(found["features"]).split()
 
     def trained(part: np.ndarray) -> tuple[np.ndarray, float]:
         own = [rows[i] for i in np.flatnonzero(part)]
-        x, labels_ = L.Rows(own), y[part]
+        x, labels_ = L.Rows(np.concatenate(own), np.array([len(r) for r in own])), y[part]
         ratio = log_count_ratios(x, labels_)
         seen = x.of(np.ones(len(own), bool)) >= 2
         ratio = np.where(seen, ratio, 0.0)

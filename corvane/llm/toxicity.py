@@ -142,16 +142,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, fairness
     if propose:
         kinds += proposed_terms(sample)
     rows = L.sampled_features(sample, features, swapper(kinds))
-    y = rows["label"].to_numpy(np.float64)
+    y = rows["label"].to_numpy().astype(np.float64)
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     if not len(y) or y.min() == y.max():
         p = min(max(share, 1e-9), 1 - 1e-9)
         return L.Model(np.zeros(L.BINS), 0.0, 1.0, float(np.log(p / (1 - p))))
-    x = L.Rows(list(rows["features"]))
-    has = rows["swapped"].notna().to_numpy()
+    x, has = L.Rows.of_column(rows["features"]), rows["swapped"].is_valid().to_numpy()
     _LOG.info("%d of %d labelled rows name a group and have a swapped twin", has.sum(), len(has))
-    other = L.Rows(list(rows["swapped"][has])) if has.any() and fairness else None
-    own = L.Rows(list(rows["features"][has])) if has.any() and fairness else None
+    own, other = (L.Rows.of_column(rows[c], has) if has.any() and fairness else None for c in ("features", "swapped"))
+    del rows
     # indicators whose presence differs between the classes, by the z value of the log odds, and those of the group terms
     n1, n0, on1, on0 = y.sum(), len(y) - y.sum(), x.of(y == 1), x.of(y == 0)
     p1, p0 = (on1 + 0.5) / (n1 + 1), (on0 + 0.5) / (n0 + 1)
