@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql.window import Window
 
 from corvane.functions.scalars import shape
 from corvane.plans.graphs import components
+from corvane.plans.storage import small_or_shuffled
 
 
 def identity(rules: Sequence[tuple[str, str | None]], fallback: str) -> tuple[Column, Column]:
@@ -50,27 +52,47 @@ def blake_code(key: str, value: Column, size: int = 10) -> Column:
     return coded(value.cast("string"))
 
 
-def identifier_map(rows: DataFrame, row: str, identifiers: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(row, subject) and (identifier, rows...) conflicts: rows that share an identifier are one subject.
+def identifier_map(rows: DataFrame, row: str, identifiers: Sequence[str], code: str | None = None, known: DataFrame | None = None, merged_codes: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A map whose rows each are one subject: (row, subject), (row, reason) conflicts, and the report's one row.
 
-    A conflict is an identifier type with two values in one subject.
+    Rows that share an identifier are one subject, the least row of them.  known is (type, value, subject) of what is
+    filed, merged_codes (code, into).  Reasons: empty (no identifier), unresolved (no code and no known identifier, where
+    `known` is given), two subjects (its identifiers are known on two), repeated (an identifier stood in an earlier row
+    with another code), mapped (an identifier is filed on another subject than the row's code names), merged (its code was merged into another).  The report says how many subjects are named and how many
+    of them are known, how many rows are in conflict, and whether it applies: with one conflict nothing does.
     """
-    long = rows.select(F.col(row).alias("row"), F.inline(F.array(*[F.struct(F.lit(c).alias("type"), F.col(c).cast("string").alias("value")) for c in identifiers]))).filter("value is not null")
-    first = long.groupBy("type", "value").agg(F.min("row").alias("a"))
+    cells = F.array(*[F.struct(F.lit(c).alias("type"), F.nullif(F.trim(F.col(c).cast("string")), F.lit("")).alias("value")) for c in identifiers])
+    own = F.lit(None).cast("string") if code is None else F.nullif(F.trim(F.col(code).cast("string")), F.lit(""))
+    base = rows.select(F.col(row).alias("row"), own.alias("code"), F.filter(cells, lambda x: x["value"].isNotNull()).alias("__c"))
+    long = base.select("row", "code", F.inline("__c"))
+    first = long.groupBy("type", "value").agg(F.min("row").alias("a"), F.min(F.struct(F.col("row"), F.col("code"))).alias("f"))
     edges = long.join(first, ["type", "value"]).filter("row != a").select("a", F.col("row").alias("b")).distinct()
     found = components(edges)
-    subjects = rows.select(F.col(row).alias("row")).join(found.withColumnRenamed("node", "row"), "row", "left").select("row", F.coalesce("component", "row").alias("subject"))
-    conflicts = long.join(subjects, "row").groupBy("subject", "type").agg(F.countDistinct("value").alias("values"), F.countDistinct("row").alias("rows")).filter("values > 1")
-    return subjects, conflicts
+    subjects = base.select("row").join(found.withColumnRenamed("node", "row"), "row", "left").select("row", F.coalesce("component", "row").alias("subject"))
+    reasons = [base.filter((F.size("__c") == 0)).select("row", F.lit("empty").alias("reason"))]
+    if code is not None:
+        again = long.join(first, ["type", "value"]).filter((F.col("row") != F.col("f.row")) & F.col("code").isNotNull() & F.col("f.code").isNotNull() & (F.col("code") != F.col("f.code")))
+        reasons.append(again.select("row", F.lit("repeated").alias("reason")))
+    report = subjects.agg(F.countDistinct("subject").alias("subjects"))
+    if known is not None:
+        filed = long.join(known.select("type", F.col("value").cast("string").alias("value"), F.col("subject").cast("string").alias("__on")), ["type", "value"], "left")
+        per = filed.groupBy("row", "code").agg(F.countDistinct("__on").alias("n"), F.min("__on").alias("lo"), F.max("__on").alias("hi"))
+        reasons.append(per.filter("n = 0 and code is null").select("row", F.lit("unresolved").alias("reason")))
+        reasons.append(per.filter("n > 1").select("row", F.lit("two subjects").alias("reason")))
+        reasons.append(per.filter("code is not null and n > 0 and (lo != code or hi != code)").select("row", F.lit("mapped").alias("reason")))
+        told = per.filter("n > 0").join(subjects, "row").agg(F.countDistinct("subject").alias("known"))
+        report = report.crossJoin(told)
+    if merged_codes is not None:
+        gone = base.join(small_or_shuffled(merged_codes.select(F.col("code").cast("string").alias("code"))), "code", "left_semi")
+        reasons.append(gone.select("row", F.lit("merged").alias("reason")))
+    conflicts = reduce(lambda a, b: a.unionByName(b), reasons).distinct()
+    counts = conflicts.agg(F.countDistinct("row").alias("conflicts")).withColumn("applies", F.col("conflicts") == 0)
+    return subjects, conflicts, report.crossJoin(counts)
 
 
 def merged(df: DataFrame, mapping: DataFrame, subject: str) -> DataFrame:
     """Child rows re-pointed from alias to canonical; mapping is (alias, canonical)."""
-    return df.join(F.broadcast(mapping) if _few(mapping) else mapping, df[subject] == mapping["alias"], "left").withColumn(subject, F.coalesce("canonical", subject)).drop("alias", "canonical")
-
-
-def _few(df: DataFrame, rows: int = 100_000) -> bool:
-    return df.limit(rows + 1).count() <= rows
+    return df.join(small_or_shuffled(mapping), df[subject] == mapping["alias"], "left").withColumn(subject, F.coalesce("canonical", subject)).drop("alias", "canonical")
 
 
 def flattened(intervals: DataFrame, by: Sequence[str], start: str, end: str) -> DataFrame:

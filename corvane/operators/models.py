@@ -8,11 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Rows that the second pass of the diverse pick may gather.
-GATHERED = 50_000
-
+from corvane.plans.storage import small_or_shuffled, stored
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -41,34 +40,46 @@ def threshold_gate(df: DataFrame, by: str, score: str, threshold: float, floor:
     return rows.filter(F.when(F.col("__pass") >= need, F.col(score) >= threshold).otherwise(F.col("__r") <= need)).drop("__pass", "__n", "__r")
 
 
-def _farthest(ids: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
-    chosen, gap = [0], np.linalg.norm(x - x[0], axis=1)
-    while len(chosen) < min(n, len(ids)):
-        best = int(np.argmax(gap))
-        chosen.append(best)
-        gap = np.minimum(gap, np.linalg.norm(x - x[best], axis=1))
-    return ids[chosen]
+def _gap(against: np.ndarray):
+    """Least of a known gap and the cosine distances of a vector to some unit vectors, to 9 digits."""
 
+    @F.pandas_udf("double")
+    def gap(vectors: pd.Series, before: pd.Series) -> pd.Series:
+        x = np.stack(vectors.to_numpy()) if len(vectors) else np.zeros((0, against.shape[1]))
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        return pd.Series(np.round(np.minimum(before.to_numpy(), 1 - (x @ against.T).max(axis=1, initial=-2.0)), 9))
 
-def diverse(df: DataFrame, key: str, vector: str, n: int, parts: int = 16) -> DataFrame:
-    """Farthest-point pick of n rows: greedily in each of some parts, then over what the parts picked (parts * n rows).
+    return gap
 
-    Approximate for more than one part; parts are dealt by key, so the answer does not depend on partitions.
-    """
-    if parts * n > GATHERED:
-        raise ValueError(f"parts * n must not pass {GATHERED}")
-    schema = df.select(key, vector).schema
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept = _farthest(pdf[key].to_numpy(), np.stack(pdf[vector].to_numpy()), n)
-        return pdf.set_index(key).loc[kept].reset_index()[[key, vector]]
+def diverse(df: DataFrame, key: str, vector: str, n: int, seed: str = "0") -> DataFrame:
+    """(key, place): farthest-point pick of up to n rows by cosine distance, exact over all rows.
 
-    rows = df.select(key, vector).withColumn("__part", F.pmod(F.xxhash64(key), F.lit(parts)))
-    first = rows.groupBy("__part").applyInPandas(lambda p: one(p[[key, vector]]), schema)
-    last = first.withColumn("__part", F.lit(0)).groupBy("__part")  # bounded by GATHERED rows
-    return last.applyInPandas(lambda p: one(p[[key, vector]]), schema).select(key)
+    The first is the row with the least seeded digest of its key; each next one is the row whose least
+    distance to those picked is greatest (to 9 digits; equal ones by key).  It ends early where every row left lies on a
+    picked one.  Each pick is one pass that keeps a single row; the least distances are stored every few picks.
+    """
+    rows = df.filter(F.col(vector).isNotNull()).select(F.col(key).alias("__k"), F.col(vector).cast("array<double>").alias("__v"), F.lit(2.0).cast("double").alias("__gap"))
+    first = rows.select("__k", "__v").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "__k")), "__k").first()
+    picked, fresh = [], []
+    while first is not None:
+        picked.append(first["__k"])
+        fresh.append(np.asarray(first["__v"], float))
+        if len(picked) == n:
+            break
+        against = np.stack(fresh)
+        against /= np.maximum(np.linalg.norm(against, axis=1, keepdims=True), 1e-12)
+        now = rows.select("__k", "__v", _gap(against)("__v", "__gap").alias("__gap"))
+        if len(fresh) == 8:
+            rows, fresh = stored(now), []
+            now = rows
+        # the greatest gap first, then the one row that has it and the least key
+        top = now.agg(F.min(F.struct((-F.col("__gap")).alias("g"), F.col("__k").alias("k")))).first()[0]
+        if top is None or -top["g"] <= 0:
+            break
+        first = now.filter(F.col("__k") == F.lit(top["k"])).select("__k", "__v").first()
+    kind = df.schema[key].dataType
+    return df.sparkSession.createDataFrame([(k, i) for i, k in enumerate(picked)], T.StructType([T.StructField(key, kind), T.StructField("place", T.IntegerType())]))
 
 
 def pools(df: DataFrame, by: str, score: str, key: str, prior: float, budget: int) -> DataFrame:
@@ -92,14 +103,25 @@ def stratified(df: DataFrame, cells: Sequence[str], key: str, cap: int, seed: st
     return rows.filter(F.col("__r") <= F.greatest(F.lit(1), F.round(F.col("__n") * cap / F.col("__all")))).drop("__all", "__n", "__r")
 
 
-def unit_answer(df: DataFrame, unit: str, position: str, label: str, p: str, edge: float = 0.4) -> DataFrame:
-    """Slices' probabilities to one answer per unit: weights fall to the edges; also the answers of the first and last 40 %."""
+def unit_answer(df: DataFrame, unit: str, position: str, label: str, p: str, orientation: str, top: str, bottom: str, both: str) -> DataFrame:
+    """(unit, answer, p, rule): slices' probabilities, a row for each slice and label, to one answer per unit.
+
+    An axial unit of four slices or more whose first 40 % are mostly `top` and last 40 % mostly `bottom` is `both`, with the
+    lesser of the two means; the middle slice of sagittal and coronal units counts twice; else means
+    decide, of equal ones the first label.
+    """
     w = Window.partitionBy(unit, label)
-    at = (F.row_number().over(w.orderBy(position)) - 0.5) / F.count(F.lit(1)).over(w)
-    rows = df.withColumn("__at", at).withColumn("__w", 1 - F.abs(F.col("__at") - 0.5))
-    per = rows.groupBy(unit, label).agg((F.sum(F.col(p) * F.col("__w")) / F.sum("__w")).alias("centre"), F.avg(F.when(F.col("__at") <= edge, F.col(p))).alias("first"), F.avg(F.when(F.col("__at") >= 1 - edge, F.col(p))).alias("last"))
-    best = lambda c: F.max_by(label, F.struct(F.coalesce(F.round(c, 9), F.lit(-1.0)), label))
-    return per.groupBy(unit).agg(best("centre").alias("answer"), F.round(F.max("centre"), 6).alias("p"), best("first").alias("first"), best("last").alias("last"))
+    rows = df.withColumn("__at", F.row_number().over(w.orderBy(position)) - 1).withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__o", F.lower(F.trim(F.coalesce(orientation, F.lit("")))))
+    edge = F.greatest(F.lit(1), F.floor(F.col("__n") * 2 / 5))
+    twice = F.col("__o").isin("sagittal", "coronal") & (F.col("__at") == F.floor(F.col("__n") / 2))
+    weight = F.when(twice, 2.0).otherwise(1.0)
+    mean = lambda c: F.round(F.avg(c), 9)
+    per = rows.groupBy(unit, label).agg(F.max("__o").alias("__o"), F.max("__n").alias("__n"), F.round(F.sum(F.col(p) * weight) / F.sum(weight), 9).alias("__mean"), mean(F.when(F.col("__at") < edge, F.col(p))).alias("__first"), mean(F.when(F.col("__at") >= F.col("__n") - edge, F.col(p))).alias("__last"))
+    best = lambda c: F.min(F.struct((-F.col(c)).alias("p"), F.col(label).alias("label")))
+    of = per.groupBy(unit).agg(F.max("__o").alias("__o"), F.max("__n").alias("__n"), best("__mean").alias("__m"), best("__first").alias("__f"), best("__last").alias("__l"), F.count(F.when(F.col(label) == both, 1)).alias("__known"))
+    composed = (F.col("__o") == "axial") & (F.col("__n") >= 4) & (F.col("__known") > 0) & (F.col("__f.label") == top) & (F.col("__l.label") == bottom)
+    rule = F.when(composed, "composed").when(F.col("__o").isin("sagittal", "coronal"), "centre").otherwise("mean")
+    return of.select(unit, F.when(composed, both).otherwise(F.col("__m.label")).alias("answer"), F.round(F.when(composed, F.least(-F.col("__f.p"), -F.col("__l.p"))).otherwise(-F.col("__m.p")), 6).alias("p"), rule.alias("rule"))
 
 
 def head(df: DataFrame, vector: str, label: str, components: Sequence[int], folds: int = 3, seed: int = 7):
@@ -143,32 +165,43 @@ def brier(df: DataFrame, probabilities: str, label: str) -> DataFrame:
     return df.agg(F.round(F.avg(F.aggregate(hot, F.lit(0.0), lambda s, x: s + x)), 9).alias("brier"))
 
 
-def platt(df: DataFrame, site: str, score: str, label: str, least: int = 20, rounds: int = 15) -> tuple[DataFrame, DataFrame]:
-    """(site, a, b) of a logistic curve per site with smoothed targets, by Newton steps on sums per site; and sites left out with their rows.
+def platt(df: DataFrame, site: str, score: str, label: str, least: int = 20, rounds: int = 200, halvings: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(site, a, b, rows, converged) of a logistic curve per site with smoothed targets; and sites left out with their rows.
 
-    Each step is one aggregation; only sites with `least` rows of both classes are fitted.
+    Newton's method with halving: a step is taken at the first of 1, 1/2, 1/4, ... of its length that lowers the mean loss.  A round is two
+    aggregations over all rows, one of the gradient and curvature and one of the losses of all lengths, for all sites at
+    once, and is stored.  Only sites with `least` rows of both classes are fitted.
     """
     n = df.groupBy(site).agg(F.count(F.when(F.col(label) == 1, 1)).alias("pos"), F.count(F.when(F.col(label) == 0, 1)).alias("neg"))
     good = n.filter((F.col("pos") >= least) & (F.col("neg") >= least))
     target = F.when(F.col(label) == 1, (F.col("pos") + 1) / (F.col("pos") + 2)).otherwise(1 / (F.col("neg") + 2))
-    rows = df.join(good, site).select(site, F.col(score).cast("double").alias("s"), target.alias("t"))
-    # the sums of all rounds stay in one plan per site: a fold over the site's binned scores
-    binned = rows.groupBy(site, F.round("s", 3).alias("s"), "t").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    points = binned.groupBy(site).agg(F.collect_list(F.struct("s", "t", "n")).alias("pts"))
-    zero = F.struct(F.lit(0.0).alias("g1"), F.lit(0.0).alias("g0"), F.lit(1e-6).alias("h11"), F.lit(0.0).alias("h10"), F.lit(1e-6).alias("h00"))
-
-    def step(ab: Column, _: Column) -> Column:
-        def add(acc: Column, x: Column) -> Column:
-            p = 1 / (1 + F.exp(-(ab["a"] * x["s"] + ab["b"])))
-            w, g = p * (1 - p) * x["n"], (p - x["t"]) * x["n"]
-            return F.struct((acc["g1"] + g * x["s"]).alias("g1"), (acc["g0"] + g).alias("g0"), (acc["h11"] + w * x["s"] * x["s"]).alias("h11"), (acc["h10"] + w * x["s"]).alias("h10"), (acc["h00"] + w).alias("h00"))
-
-        q = F.aggregate("pts", zero, add)
-        return F.element_at(F.transform(F.array(q), lambda z: F.struct((ab["a"] - (z["h00"] * z["g1"] - z["h10"] * z["g0"]) / (z["h11"] * z["h00"] - z["h10"] * z["h10"])).alias("a"), (ab["b"] - (z["h11"] * z["g0"] - z["h10"] * z["g1"]) / (z["h11"] * z["h00"] - z["h10"] * z["h10"])).alias("b"))), 1)
-
-    start = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
-    fitted = points.select(site, F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step).alias("ab")).select(site, F.round("ab.a", 6).alias("a"), F.round("ab.b", 6).alias("b"))
-    return fitted, n.join(good.select(site), site, "left_anti")
+    rows = df.filter(F.col(label).isin(0, 1)).join(small_or_shuffled(good), site).select(site, F.col(score).cast("double").alias("s"), target.alias("t"))
+    rows = stored(rows.groupBy(site, "s", "t").agg(F.count(F.lit(1)).cast("double").alias("n")))
+    state = stored(good.select(site, F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(False).alias("done"), F.lit(False).alias("converged")))
+
+    def loss(a: Column, b: Column) -> Column:
+        f = a * F.col("s") + b
+        return F.sum(F.col("n") * (F.greatest(f, F.lit(0.0)) + F.log1p(F.exp(-F.abs(f))) - F.col("t") * f))
+
+    for _ in range(rounds):
+        open_ = state.filter(~F.col("done"))
+        if open_.isEmpty():
+            break
+        at = rows.join(small_or_shuffled(open_.select(site, "a", "b")), site).withColumn("p", 1 / (1 + F.exp(-(F.col("a") * F.col("s") + F.col("b")))))
+        w, g = F.col("p") * (1 - F.col("p")) * F.col("n"), (F.col("p") - F.col("t")) * F.col("n")
+        sums = at.groupBy(site, "a", "b").agg(F.sum("n").alias("n"), F.sum(g * F.col("s")).alias("g1"), F.sum(g).alias("g0"), F.sum(w * F.col("s") * F.col("s")).alias("h11"), F.sum(w * F.col("s")).alias("h10"), F.sum(w).alias("h00"), loss(F.col("a"), F.col("b")).alias("now"))
+        part = lambda c: F.col(c) / F.col("n")
+        h11, h00 = part("h11") + 1e-12, part("h00") + 1e-12
+        det = h11 * h00 - part("h10") * part("h10")
+        step = stored(sums.select(site, "a", "b", "now", F.greatest(F.abs(part("g1")), F.abs(part("g0"))).alias("flat"), ((h00 * part("g1") - part("h10") * part("g0")) / det).alias("da"), ((h11 * part("g0") - part("h10") * part("g1")) / det).alias("db")))
+        tried = rows.join(small_or_shuffled(step), site).groupBy(site).agg(*[loss(F.col("a") - F.col("da") * 2.0**-i, F.col("b") - F.col("db") * 2.0**-i).alias(f"l{i}") for i in range(halvings)])
+        length = F.coalesce(*[F.when(F.col(f"l{i}") < F.col("now"), F.lit(2.0**-i)) for i in range(halvings)])
+        moved = step.join(tried, site).withColumn("len", F.when(F.col("flat") >= 1e-8, length))
+        small = F.greatest(F.abs(F.col("len") * F.col("da")), F.abs(F.col("len") * F.col("db"))) < 1e-9
+        moved = moved.select(site, (F.col("a") - F.coalesce("len", F.lit(0.0)) * F.col("da")).alias("a"), (F.col("b") - F.coalesce("len", F.lit(0.0)) * F.col("db")).alias("b"), (F.col("len").isNull() | small).alias("done"), F.when(F.col("len").isNull(), F.col("flat") < 1e-6).otherwise(small).alias("converged"))
+        state = stored(state.filter("done").unionByName(moved))
+    fitted = state.join(n.select(site, (F.col("pos") + F.col("neg")).alias("rows")), site)
+    return fitted.select(site, F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), "rows", "converged"), n.join(good.select(site), site, "left_anti")
 
 
 def fused(df: DataFrame, arms: Mapping[str, tuple[float, float]], bias: float) -> Column:
@@ -176,6 +209,12 @@ def fused(df: DataFrame, arms: Mapping[str, tuple[float, float]], bias: float) -
     return sum((F.when(F.col(c).isNotNull(), F.col(c) * w).otherwise(F.lit(m)) for c, (w, m) in arms.items()), F.lit(bias))
 
 
+def reusable(asked: DataFrame, results: DataFrame, key: str) -> DataFrame:
+    """Asked rows with the newest stored result under the same result key that no person rejected and no newer version replaced; null where there is none."""
+    good = results.filter("not rejected and not replaced").groupBy(key).agg(F.max(F.struct("made", "result"))["result"].alias("result"))
+    return asked.join(good, key, "left")
+
+
 def to_do(units: DataFrame, done: DataFrame, key: Sequence[str]) -> DataFrame:
     """Work left: units without a result under the key that is neither rejected nor replaced."""
     return units.join(done.filter("not rejected and not replaced").select(*key), list(key), "left_anti")

@@ -127,6 +127,11 @@ def falls_at(df: DataFrame, key: str, steps: Mapping[str, Column]) -> DataFrame:
     return df.select(key, first.alias("step")).filter("step is not null")
 
 
+def unresolved(values: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """How many values of a question name no row."""
+    return values.join(table.select(column), column, "left_anti").agg(F.count(F.lit(1)).alias("unresolved"))
+
+
 def folded(steps: DataFrame) -> DataFrame:
     """A funnel with what each step kept and lost; steps are few."""
     w = Window.orderBy("step")

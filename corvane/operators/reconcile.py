@@ -64,3 +64,16 @@ def matrix(a: DataFrame, b: DataFrame, key: str, axis: str) -> DataFrame:
 def holding(units: DataFrame, bridge: DataFrame, unit: str, dataset: str, subject: str) -> DataFrame:
     """Datasets by units and distinct subjects, a subject once per dataset through its units."""
     return units.join(bridge, unit).groupBy(dataset).agg(F.countDistinct(unit).alias("units"), F.countDistinct(subject).alias("subjects"))
+
+
+def registry(df: DataFrame, subject: str, cohort: str, version: str, since: Column) -> DataFrame:
+    """Subjects, units and units since a date: in all, by cohort and by rule version, in one pass."""
+    out = df.groupingSets([[cohort], [version], []], cohort, version).agg(F.grouping(cohort).alias("__c"), F.grouping(version).alias("__v"), F.countDistinct(subject).alias("subjects"), F.count(F.lit(1)).alias("units"), F.count(F.when(since, 1)).alias("units_since"))
+    what = F.when(F.col("__c") == 0, F.col(cohort)).when(F.col("__v") == 0, F.col(version)).otherwise("all")
+    return out.select(what.alias("what"), "subjects", "units", "units_since")
+
+
+def accept_grid(df: DataFrame, unit: str, exceptions: DataFrame, value: Column, probable: Column, key: str, after, size: int, ties: Sequence[str] = ()) -> DataFrame:
+    """A page of proposals by key: those of a value and a probability, without excepted units."""
+    rows = df.filter(value & probable & (F.col(key) > F.lit(after))).join(exceptions.select(unit), unit, "left_anti")
+    return rows.orderBy(key, *ties).limit(size)

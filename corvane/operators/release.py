@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.plans.storage import small_or_shuffled
+
 
 def safe(text: Column) -> Column:
     """Letters and digits only, other runs as one dash."""
@@ -20,29 +22,47 @@ def descriptive(parts: Sequence[Column]) -> Column:
 
 def standard_name(df: DataFrame, mapping: DataFrame, on: Sequence[str], need: Sequence[str]) -> DataFrame:
     """Name from a small mapping table, or the reason it is refused."""
-    out = df.join(F.broadcast(mapping), list(on), "left")
+    out = df.join(small_or_shuffled(mapping), list(on), "left")
     reason = F.when(F.col("name").isNull(), "no mapping")
     for c in reversed(need):
         reason = F.when(F.col(c).isNull(), f"no {c}").otherwise(reason)
     return out.withColumn("reason", reason).withColumn("name", F.when(F.col("reason").isNull(), F.col("name")))
 
 
-def disambiguate(df: DataFrame, by: Sequence[str], name: str, key: str, steps: Sequence[tuple[str, str]], counter: str = "run") -> DataFrame:
-    """Names made unique in their group: by each property that tells all members apart, else by a counter."""
-    w = Window.partitionBy(*by, name)
-    out = df.withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__unique", F.col(name))
-    chosen = F.lit(None).cast("string")
-    distinct = df.groupBy(*by, name).agg(*[F.countDistinct(c).alias(f"__d_{c}") for c, _ in steps])
-    out = out.join(distinct, [*by, name])
-    for c, prefix in reversed(steps):
-        chosen = F.when(F.col(f"__d_{c}") == F.col("__n"), F.concat(F.lit(f"_{prefix}-"), safe(F.col(c).cast("string")))).otherwise(chosen)
-    run = F.concat(F.lit(f"_{counter}-"), F.row_number().over(w.orderBy(key)).cast("string"))
-    unique = F.when(F.col("__n") == 1, F.col(name)).otherwise(F.concat(name, F.coalesce(chosen, run)))
-    return out.withColumn("unique_name", unique).drop("__n", "__unique", *[f"__d_{c}" for c, _ in steps])
-
+def disambiguate(df: DataFrame, by: Sequence[str], name: str, key: str, echo: str, inversion: str, steps: Sequence[tuple[str, str]], rounds: int = 4) -> DataFrame:
+    """Names made unique in their group, in rounds: every member of a shared name that has an echo number gets _e<echo>; what is still
+    shared is numbered by inversion time where all have one and all differ; else gets the first property that tells any two apart (members without one keep
+    their name); last comes a counter in key order.
 
-def repeats(df: DataFrame, by: Sequence[str], relative: Mapping[str, float], absolute: Mapping[str, float], exact: Sequence[str]) -> DataFrame:
-    """Per group whether every pair of members agrees in every field; what is absent is no difference; and the fields that differ.
+    Adds unique_name.  A round either numbers a shared name or splits it, so a few settle them all.
+    """
+    by = list(by)
+    w = Window.partitionBy(*by, "unique_name")
+    out = df.withColumn("unique_name", F.col(name))
+    shared = F.count(F.lit(1)).over(w) > 1
+    out = out.withColumn("unique_name", F.when(shared & F.col(echo).isNotNull(), F.concat("unique_name", F.lit("_e"), F.col(echo).cast("string"))).otherwise(F.col("unique_name")))
+    for i in range(rounds):
+        n = F.count(F.lit(1)).over(w)
+        ways = lambda c: F.size(F.collect_set(F.coalesce(F.col(c).cast("string"), F.lit(""))).over(w))  # noqa: B023, E731
+        timed = (F.count(inversion).over(w) == n) & (F.size(F.collect_set(inversion).over(w)) == n)
+        out = out.withColumns({"__n": n, "__timed": timed, "__ti": F.row_number().over(w.orderBy(inversion)), "__run": F.row_number().over(w.orderBy(key)), **{f"__w_{c}": ways(c) for c, _ in steps}})
+        token = F.lit(None).cast("string")
+        found = F.lit(False)
+        for c, prefix in reversed(steps):
+            tells = F.col(f"__w_{c}") > 1
+            token = F.when(tells, F.coalesce(F.concat(F.lit(f"_{prefix}"), safe(F.col(c).cast("string"))), F.lit(""))).otherwise(token)
+            found = found | tells
+        last = F.concat(F.lit("_"), F.col("__run").cast("string"))
+        more = F.when(F.col("__timed"), F.concat(F.lit("_ti"), F.col("__ti").cast("string"))).when(F.lit(i < rounds - 1) & found, token).otherwise(last)
+        out = out.withColumn("unique_name", F.when(F.col("__n") > 1, F.concat("unique_name", more)).otherwise(F.col("unique_name"))).select(*df.columns, "unique_name")
+        if i < rounds - 1:
+            steps = steps[1:]
+    return out
+
+
+def repeats(df: DataFrame, by: Sequence[str], relative: Mapping[str, float], absolute: Mapping[str, float], exact: Sequence[str], moment: str | None = None) -> DataFrame:
+    """Per group whether every pair of members agrees in every field; what is absent is no difference; the fields that differ; and,
+    with a moment, whether members that agree were acquired at one and the same moment (written twice, not repeated).
 
     Every pair agrees if the two farthest do, so extremes decide and no pair is listed: least
     and greatest within the tolerance, at most one exact value.
@@ -53,8 +73,11 @@ def repeats(df: DataFrame, by: Sequence[str], relative: Mapping[str, float], abs
     for c, t in absolute.items():
         differ.append(F.when(F.max(c) - F.min(c) > t, c))
     differ += [F.when(F.countDistinct(c) > 1, c) for c in exact]
-    g = df.groupBy(*by).agg(F.count(F.lit(1)).alias("members"), F.array_join(F.array_compact(F.array(*differ)), ",").alias("differing"))
-    return g.withColumn("repeat", (F.col("members") > 1) & (F.col("differing") == ""))
+    once = (F.count(moment) < F.count(F.lit(1))) | (F.countDistinct(moment) == F.count(F.lit(1))) if moment else F.lit(True)
+    g = df.groupBy(*by).agg(F.count(F.lit(1)).alias("members"), F.array_join(F.array_compact(F.array(*differ)), ",").alias("differing"), once.alias("__once"))
+    alike = (F.col("members") > 1) & (F.col("differing") == "")
+    out = g.withColumn("repeat", alike & F.col("__once"))
+    return (out.withColumn("written_twice", alike & ~F.col("__once")) if moment else out).drop("__once")
 
 
 def separator(df: DataFrame, by: Sequence[str], fields: Sequence[str]) -> DataFrame:
@@ -91,9 +114,17 @@ def named_by(subjects: DataFrame, identifiers: DataFrame, subject: str, value: s
     return out.select(subject, "name", F.when(F.col("name").isNull(), "missing").when(F.col("__n") > 1, "collision").otherwise("clean").alias("state"))
 
 
-def quality_bars(units: DataFrame, placed: DataFrame, key: str, name: str, changes: DataFrame) -> DataFrame:
-    """Failing rows per bar: units neither placed nor accounted for, names used twice, work in an unchanged re-run."""
-    lost = units.join(placed, key, "left_anti").agg(F.lit("placed or accounted for").alias("bar"), F.count(F.lit(1)).alias("failing"))
-    twice = placed.groupBy(name).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").agg(F.lit("unique names").alias("bar"), F.count(F.lit(1)).alias("failing"))
-    work = changes.filter("change != 'unchanged'").agg(F.lit("unchanged re-run").alias("bar"), F.count(F.lit(1)).alias("failing"))
-    return lost.union(twice).union(work)
+def quality_bars(units: DataFrame, placed: DataFrame, key: str, name: str, changes: DataFrame, picks: DataFrame, sessions: DataFrame, events: DataFrame, subject: str, day: str, within: int) -> DataFrame:
+    """Failing rows per bar: units neither placed nor accounted for, names used twice, work in an unchanged re-run, picked units that are not
+    placed, and clinical events of the release's subjects without a session within so many days."""
+    from .sets import near
+
+    bar = lambda df, what: df.agg(F.lit(what).alias("bar"), F.count(F.lit(1)).alias("failing"))
+    lost = bar(units.join(placed, key, "left_anti"), "placed or accounted for")
+    twice = bar(placed.groupBy(name).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "unique names")
+    work = bar(changes.filter("change != 'unchanged'"), "unchanged re-run")
+    missing = bar(picks.select(key).distinct().join(placed, key, "left_anti"), "picks present")
+    mine = events.join(sessions.select(subject).distinct(), subject, "left_semi").withColumn("__e", F.monotonically_increasing_id())
+    found = near(mine.select("__e", subject, day), sessions.select(F.xxhash64(subject, day).alias("__k"), subject, day), key="__e", subject=subject, day=day, partner_key="__k", partner_day=day, lo=-within, hi=within, optional=True)
+    apart = bar(found.filter("near_key is null"), "dates join the events")
+    return lost.unionByName(twice).unionByName(work).unionByName(missing).unionByName(apart)

@@ -60,12 +60,24 @@ def gate(rule: Column, decided: Column, answer: Column, p: Column, reliability:
 
 
 def draw(df: DataFrame, seed: str, what: str, identity: str, share: float | None = None, count: int | None = None) -> DataFrame:
-    """Seeded draw of ceil(share n), at least one, or a count, by digest; the least digests win, in one bounded sort."""
-    rows = df.withColumn("__h", unit_hash(f"{seed}:{what}", identity))
-    if count is None:
-        n = df.count()
-        count = max(1, int(np.ceil(share * n - 1e-9))) if n else 0
-    return rows.orderBy("__h", identity).limit(count).drop("__h")
+    """Seeded draw of ceil(share n), at least one, or a count, by digest; the least digests win.
+
+    Digests are even, so a histogram of their first 16 bits gives the one cell in which the draw ends; only that cell's
+    rows are sorted.
+    """
+    rows = df.withColumn("__h", unit_hash(f"{seed}:{what}", identity)).withColumn("__cell", F.conv(F.substring("__h", 1, 4), 16, 10).cast("int"))
+    cells = sorted((r["__cell"], r["n"]) for r in rows.groupBy("__cell").agg(F.count(F.lit(1)).alias("n")).collect())  # 65,536 at most
+    n = sum(c for _, c in cells)
+    left = count if count is not None else max(1, int(np.ceil(share * n - 1e-9))) if n else 0
+    edge = -1
+    for edge, size in cells:
+        if left < size:
+            break
+        left -= size
+    else:
+        edge, left = edge + 1, 0
+    last = rows.filter(F.col("__cell") == edge).orderBy("__h", identity).limit(left)
+    return rows.filter(F.col("__cell") < edge).unionByName(last).drop("__h", "__cell")
 
 
 def frame_digest(df: DataFrame, *columns: str) -> DataFrame:
@@ -100,10 +112,24 @@ def compare_voters(df: DataFrame, unit: str, axis: str, value: str, cannot: str
     return g.withColumn("state", F.when(F.col("values") > 1, "split").when(F.col("values") == 1, "agree").otherwise("none"))
 
 
-def audit_plan(df: DataFrame, seed: str, unit: str, axis: str, floor: int) -> DataFrame:
-    """Agreed units to audit: the first `floor` per axis in seeded order."""
-    w = Window.partitionBy(axis).orderBy(unit_hash(seed, axis, unit), unit)
-    return df.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= floor).drop("__r")
+def voter_plan(df: DataFrame, unit: str, axis: str, value: str, seed: str, share: float, cells: int, cannot: str = "cannot_tell") -> tuple[DataFrame, DataFrame]:
+    """What two or more voters' answers ask to be read: (unit, kind) and, per axis, (axis, split, agree, audit, short).
+
+    A unit one of whose axes has two values is read (split).  Of the others a seeded share is audited, and beyond it whatever adds a cell to
+    an axis that has fewer than `cells` agreed ones so far, in the seed's order; short is what an axis lacks then.  An axis on which nobody can tell
+    is no cell.
+    """
+    per = compare_voters(df, unit, axis, value, cannot)
+    kinds = per.groupBy(unit).agg(F.max((F.col("state") == "split").cast("int")).alias("__split"))
+    agreed = kinds.filter("__split = 0").select(unit)
+    first = draw(agreed, seed, "audit", unit, share=share) if share > 0 else agreed.limit(0)
+    own = per.filter("state = 'agree'").join(agreed, unit, "left_semi").withColumn("__r", F.row_number().over(Window.partitionBy(axis).orderBy(unit_hash(f"{seed}:audit", unit), unit)))
+    taken = first.unionByName(own.filter(F.col("__r") <= cells).select(unit)).distinct()
+    items = kinds.filter("__split = 1").select(unit, F.lit("split").alias("kind")).unionByName(taken.select(unit, F.lit("audit").alias("kind")))
+    audited = own.join(taken, unit, "left_semi").groupBy(axis).agg(F.count(F.lit(1)).alias("audit"))
+    counts = per.join(kinds, unit).groupBy(axis).agg(F.count(F.when(F.col("state") == "split", 1)).alias("split"), F.count(F.when((F.col("state") == "agree") & (F.col("__split") == 0), 1)).alias("agree"))
+    counts = counts.join(audited, axis, "left").fillna(0, ["audit"])
+    return items, counts.withColumn("short", F.greatest(F.lit(0), F.lit(cells) - F.col("audit")))
 
 
 def voter_summary(df: DataFrame, voter: str, value: str, chosen: Column, seconds: str) -> DataFrame:
@@ -122,14 +148,28 @@ def pair_values(df: DataFrame, answer: str) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(F.col("left").alias("unit"), v("left").alias("value")), F.struct(F.col("right").alias("unit"), v("right").alias("value")))))
 
 
-def anchored(candidates: DataFrame, known: DataFrame, key: str, session: str, subject: str, settings: str, day: str) -> DataFrame:
-    """Each candidate with one anchor of its subject: of the same session if there is one, else the closest day with equal settings, flagged."""
-    a = known.select(F.col(subject), F.col(key).alias("anchor"), F.col(session).alias("__s"), F.col(settings).alias("__t"), F.col(day).alias("__d"))
-    pairs = candidates.join(a, subject).filter(F.col(key) != F.col("anchor"))
-    same = F.col(session) == F.col("__s")
-    pairs = pairs.filter(same | (F.col(settings) == F.col("__t")))
-    order = F.struct((~same).cast("int").alias("other"), F.abs(F.datediff("__d", day)).alias("days"), F.col("anchor").alias("anchor"))
-    return pairs.groupBy(key).agg(F.min(order).alias("b")).select(key, "b.anchor", (F.col("b.other") == 1).alias("flagged"), "b.days")
+def anchored(candidates: DataFrame, known: DataFrame, key: str, session: str, subject: str, settings: str, day: str, sign: str) -> DataFrame:
+    """Candidates with a known-pre and a known-post anchor of their subject (sign "pre" or "post"), three different units.
+
+    Each anchor is of the same session if there is one, else the closest by day with equal settings, flagged; of equal ones the least key.  A candidate that lacks one is
+    left out.  The closest days are looked up, so no pairs of a subject are formed.
+    """
+    from .sets import near
+
+    out = candidates.select(F.col(key), F.col(subject), F.col(session), F.col(settings), F.col(day))
+    for side in ("pre", "post"):
+        pool = known.filter(F.col(sign) == side)
+        two = pool.groupBy(subject, session).agg(F.min(key).alias("__a"), F.max(key).alias("__b"))
+        inside = out.join(two, [subject, session], "left")
+        same = F.when(F.col("__a") != F.col(key), F.col("__a")).when(F.col("__b") != F.col(key), F.col("__b"))
+        inside = inside.select(*out.columns, same.alias("__same"))
+        own = F.concat_ws("\x1f", F.col(subject).cast("string"), F.col(settings).cast("string"))
+        rest = inside.filter(F.col("__same").isNull()).withColumn("__who", own)
+        others = pool.select(own.alias("__who"), F.col(key).alias("__k"), F.col(day).alias("__d"))
+        far = near(rest.select(key, "__who", day), others, key=key, subject="__who", day=day, partner_key="__k", partner_day="__d", lo=None, hi=None, name="__n")
+        found = inside.filter("__same is not null").select(*out.columns, F.col("__same").alias(side), F.lit(False).alias(f"{side}_other"))
+        out = found.unionByName(rest.join(far.select(key, F.col("__n_key").alias(side)), key).select(*out.columns, side, F.lit(True).alias(f"{side}_other")))
+    return out.filter((F.col("pre") != F.col(key)) & (F.col("post") != F.col(key)) & (F.col("pre") != F.col("post"))).select(key, "pre", "pre_other", "post", "post_other")
 
 
 def panel_order(df: DataFrame, seed: str, key: str, panels: Sequence[str] = ("anchor_before", "candidate", "anchor_after")) -> DataFrame:
@@ -236,6 +276,12 @@ def yield_funnel(df: DataFrame, subject: str, dimension: str, filters: Mapping[s
     return out.select(F.when(F.col("__g") == 0, F.col(dimension).cast("string")).otherwise("total").alias("value"), "step", "rows", "subjects")
 
 
-def waiting(df: DataFrame, by: Sequence[str], unit: str, pace: float) -> DataFrame:
-    """Proposals waiting, most units first, and the seconds they would take at a pace."""
-    return df.groupBy(*by).agg(F.countDistinct(unit).alias("units")).withColumn("seconds", F.round(F.col("units") * pace, 6)).orderBy(F.desc("units"), *by)
+def pace(campaigns: DataFrame, seconds: str) -> DataFrame:
+    """One row: the median seconds of an answer over closed campaigns."""
+    return campaigns.filter("closed").agg(F.median(seconds).alias("pace"))
+
+
+def waiting(df: DataFrame, by: Sequence[str], unit: str, pace_: DataFrame) -> DataFrame:
+    """Proposals waiting, most units first, and the seconds they would take at the pace of closed campaigns."""
+    counts = df.groupBy(*by).agg(F.countDistinct(unit).alias("units"))
+    return counts.crossJoin(F.broadcast(pace_)).withColumn("seconds", F.round(F.col("units") * F.col("pace"), 6)).drop("pace").orderBy(F.desc("units"), *by)

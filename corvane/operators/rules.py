@@ -258,6 +258,22 @@ def disagreements(votes_: DataFrame, key: str) -> DataFrame:
     return a.join(b, [key, "axis", "tier"]).filter("a < b and __va != __vb").groupBy("axis", "tier", "a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
+def beaten(votes_: DataFrame, key: str, place: Column) -> DataFrame:
+    """Who beat whom: (axis, winner, loser, n) over the units where a rule's value stood over another's; the least place wins."""
+    rows = votes_.withColumn("__place", place)
+    won = rows.groupBy(key, "axis").agg(F.min(F.struct("__place", "rule", "value")).alias("__w"))
+    lost = rows.join(won, [key, "axis"]).filter(F.col("value") != F.col("__w.value"))
+    return lost.groupBy("axis", F.col("__w.rule").alias("winner"), F.col("rule").alias("loser")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def order_independence(asked: DataFrame, reference: DataFrame, key: str, dims: Mapping[str, float | tuple[str, float]], answer: str, parts: int = 4, **how) -> DataFrame:
+    """(units, answered, differ): the vote over hash parts of the asked rows, taken forward and backward, and the answers that differ."""
+    cut = [asked.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == i) for i in range(parts)]
+    run = lambda order, n: reduce(lambda a, b: a.unionByName(b), [neighbour_vote(x, reference, key, dims, answer, **how) for x in order]).select(key, F.struct("voted", "method").alias(n))
+    both = run(cut, "a").join(run(cut[::-1], "b"), key, "full_outer")
+    return both.agg(F.count(F.lit(1)).alias("units"), F.count("a.voted").alias("answered"), F.count(F.when(~F.col("a").eqNullSafe(F.col("b")), 1)).alias("differ"))
+
+
 def illegal(df: DataFrame, key: str, constraints: DataFrame, axes: tuple[str, str]) -> DataFrame:
     """Units whose pair of answers is not among the allowed ones; a null answer breaks nothing."""
     a, b = axes

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.plans.storage import stored
+
 MONTH_DAYS, YEAR_DAYS = 31, 366
 
 
@@ -57,7 +59,19 @@ def bind(df: DataFrame, terms: Mapping[str, Column | Callable[[], Column]]) -> D
 def group(df: DataFrame, by: Sequence[str], subject: str, **totals: Column) -> DataFrame:
     """Distinct key tuples with _rows, _subjects and _group, their number in key order, nulls last (a null is a key)."""
     out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), F.countDistinct(subject).alias("_subjects"), *[v.alias(k) for k, v in totals.items()])
-    return out.withColumn("_group", F.row_number().over(Window.orderBy(*[F.col(c).asc_nulls_last() for c in by])).cast("long"))
+    return numbered(out, by, "_group")
+
+
+def numbered(df: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+    """Rows numbered from 1 in order of some columns, nulls last: ranges are numbered each on its own, behind the rows of the ranges before."""
+    order = [F.col(c).asc_nulls_last() for c in by]
+    if not order:
+        return df.withColumn(name, F.lit(1).cast("long"))
+    dealt = stored(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sizes = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))  # a row for each shuffle partition
+    ahead = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__ahead"))
+    rows = dealt.join(F.broadcast(ahead), "__range")
+    return rows.withColumn(name, (F.col("__ahead") + F.row_number().over(Window.partitionBy("__range").orderBy(*order))).cast("long")).drop("__range", "__ahead")
 
 
 def as_list(df: DataFrame, values: DataFrame, key: str, value: str, name: str) -> DataFrame:
@@ -122,12 +136,46 @@ def _by_day(anchor: DataFrame, partner: DataFrame, subject: str, lo: int | None,
     return left.join(partner.withColumn("__bucket", number(F.col("__partner"))), [subject, "__bucket"]).drop("__bucket")
 
 
-def has_within(df: DataFrame, related: DataFrame, key: str, subject: str, day: str, other_day: str, lo: int | None, hi: int | None, name: str, least: int = 0, bucket: int | None = None) -> DataFrame:
-    """Number of related rows of the subject whose day lies lo..hi days from this row's, both included."""
-    left = df.select(F.col(key), F.col(subject).alias("__s"), F.col(day).alias("__anchor"))
-    right = related.select(F.col(subject).alias("__s"), F.col(other_day).alias("__partner"))
-    pairs = _by_day(left, right, "__s", lo, hi, bucket).filter(_in_window(F.datediff("__partner", "__anchor"), lo, hi))
-    out = df.join(pairs.groupBy(key).agg(F.count(F.lit(1)).alias(name)), key, "left").fillna(0, [name])
+_FIRST_DAY, _LAST_DAY = "0001-01-01", "9999-12-31"
+
+
+def _neighbours(anchor_days: DataFrame, days: DataFrame, at: Mapping[str, int | None]) -> DataFrame:
+    """For each (__s, __anchor) and name in `at`, the days of the same subject next to __anchor + offset: {name}_before (at or before it) and {name}_after.
+
+    days are (__s, __day, __v), a row for each day of a subject.  Both sides are distinct days, so even a subject with a third of
+    all rows is a short line here: what is sorted grows with days, not with rows.  Offset None lies behind all days for "hi", before them else.
+    """
+
+    def place(name: str, offset: int | None) -> Column:
+        return F.date_add("__anchor", offset) if offset is not None else F.lit(_LAST_DAY if name == "hi" else _FIRST_DAY).cast("date")
+
+    asked = F.array(*[F.struct(place(n, o).alias("__day"), F.lit(n).alias("__slot")) for n, o in at.items()])
+    line = days.select("__s", "__day", F.lit(None).cast("date").alias("__anchor"), F.lit(None).cast("string").alias("__slot"), "__v", F.lit(0).alias("__ask"))
+    line = line.unionByName(anchor_days.select("__s", "__anchor", F.inline(asked)).withColumn("__v", F.lit(None).cast(days.schema["__v"].dataType)).withColumn("__ask", F.lit(1)))
+    reach = lambda *order: Window.partitionBy("__s").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    seen = line.withColumn("__before", F.last("__v", True).over(reach("__day", "__ask"))).withColumn("__after", F.last("__v", True).over(reach(F.desc("__day"), "__ask"))).filter("__ask = 1")
+    pick_ = lambda n, c: F.max(F.when(F.col("__slot") == n, F.col(f"__{c}"))).alias(f"{n}_{c}")
+    return seen.groupBy("__s", "__anchor").agg(*[pick_(n, c) for n in at for c in ("before", "after")])
+
+
+def _per_day(df: DataFrame, row: Column | None = None) -> DataFrame:
+    """(__s, __day, __v) of (__s, __partner, ...): the day's rows, the subject's rows up to it, and its least row."""
+    days = df.filter(F.col("__partner").isNotNull() & F.col("__s").isNotNull()).groupBy("__s", F.to_date("__partner").alias("__day")).agg(F.count(F.lit(1)).alias("n"), *([F.min(row).alias("row")] if row is not None else []))
+    upto = F.sum("n").over(Window.partitionBy("__s").orderBy("__day").rowsBetween(Window.unboundedPreceding, 0))
+    return days.withColumn("upto", upto).select("__s", "__day", F.struct(F.col("__day").alias("day"), "n", "upto", *(["row"] if row is not None else [])).alias("__v"))
+
+
+def _upto(before: str) -> Column:
+    return F.coalesce(F.col(before)["upto"], F.lit(0))
+
+
+def has_within(df: DataFrame, related: DataFrame, key: str, subject: str, day: str, other_day: str, lo: int | None, hi: int | None, name: str, least: int = 0) -> DataFrame:
+    """Number of related rows of the subject whose day lies lo..hi days from this row's, both included: the rows up to the last day less those before the first."""
+    left = df.select(F.col(subject).alias("__s"), F.to_date(day).alias("__anchor")).filter("__s is not null and __anchor is not null").distinct()
+    days = _per_day(related.select(F.col(subject).alias("__s"), F.col(other_day).alias("__partner")))
+    found = _neighbours(left, days, {"lo": None if lo is None else lo - 1, "hi": hi})
+    found = found.select("__s", "__anchor", (_upto("hi_before") - _upto("lo_before")).alias(name))
+    out = df.withColumn("__s", F.col(subject)).withColumn("__anchor", F.to_date(day)).join(found, ["__s", "__anchor"], "left").drop("__s", "__anchor").fillna(0, [name])
     return out.filter(F.col(name) >= least)
 
 
@@ -143,12 +191,15 @@ def interval_start(day: Column, precision: Column) -> Column:
 def near(anchor: DataFrame, partner: DataFrame, *, key: str, subject: str, day: str, partner_key: str, partner_day: str, lo: int | None, hi: int | None, policy: str = "nearest", tie: str = "earlier", best: Sequence[tuple[str, bool]] = (), name: str = "near", precision: str | None = None, strict: bool = False, optional: bool = False, keep: Sequence[str] = (), bucket: int | None = None) -> DataFrame:
     """Exactly one partner of the same subject inside a signed window of days.
 
-    Adds {name}_key, _date, _offset, _tied, _candidates (and kept columns).  The
-    best candidate is found by two aggregations, which combine before they
-    shuffle; no window over a subject's rows is sorted.  With a precision column the partner's
+    Adds {name}_key, _date, _offset, _tied, _candidates (and kept columns).  For nearest, first, any and
+    last the partner is looked up next to a few days, with no pair formed; best, and partners with a
+    precision column, form the pairs of a subject (of neighbouring day buckets, with a bucket width) and aggregate
+    them twice, which combines before it shuffles.  With a precision column the partner's
     date is an interval: strict wants it inside the window, else overlap is enough,
     and the offset is to the nearest edge.
     """
+    if policy != "best" and not precision:
+        return _near_days(anchor, partner, key, subject, day, partner_key, partner_day, lo, hi, policy, tie, name, optional, keep)
     left = anchor.select(F.col(key).alias("__k"), F.col(subject).alias("__s"), F.col(day).alias("__anchor"), *[F.col(c).alias(f"__a_{c}") for c, _ in best if c in anchor.columns])
     right = partner.select(F.col(partner_key).alias("__pk"), F.col(subject).alias("__s"), F.col(partner_day).alias("__partner"), *[F.col(c).alias(f"__c_{c}") for c in keep], *([F.col(precision).alias("__prec")] if precision else []), *[F.col(c).alias(f"__b_{c}") for c, _ in best if c in partner.columns])
     pairs = _by_day(left, right, "__s", lo, hi, None if precision else bucket)
@@ -178,6 +229,28 @@ def near(anchor: DataFrame, partner: DataFrame, *, key: str, subject: str, day:
     return anchor.join(found, key, "left" if optional else "inner")
 
 
+def _near_days(anchor: DataFrame, partner: DataFrame, key: str, subject: str, day: str, partner_key: str, partner_day: str, lo: int | None, hi: int | None, policy: str, tie: str, name: str, optional: bool, keep: Sequence[str]) -> DataFrame:
+    row = F.struct(F.col("__pk"), F.col("__partner"), *[F.col(f"__c_{c}") for c in keep])
+    right = partner.select(F.col(partner_key).alias("__pk"), F.col(subject).alias("__s"), F.col(partner_day).alias("__partner"), *[F.col(c).alias(f"__c_{c}") for c in keep])
+    left = anchor.select(F.col(subject).alias("__s"), F.to_date(day).alias("__anchor")).filter("__s is not null and __anchor is not null").distinct()
+    pivot = max(lo, 0) if hi is None and lo is not None else min(hi, 0) if lo is None and hi is not None else 0 if lo is None else max(lo, min(hi, 0))
+    found = _neighbours(left, _per_day(right, row), {"lo": None if lo is None else lo - 1, "hi": hi, "at": pivot, "start": lo})
+    off = lambda c: F.datediff(F.col(c)["day"], "__anchor")
+    inside = lambda c: F.when(_in_window(off(c), lo, hi), F.col(c))
+    found = found.withColumn("__b", inside("at_before")).withColumn("__a", inside("at_after"))
+    if policy == "nearest":
+        far_b, far_a = F.abs(off("__b")), F.abs(off("__a"))
+        closer = (far_b <= far_a) if tie == "earlier" else (far_b < far_a)
+        best = F.when(F.col("__a").isNull() | closer, F.col("__b")).otherwise(F.col("__a"))
+    else:
+        best = inside("hi_before") if policy == "last" else inside("start_after")
+    found = found.withColumn("__best", best).filter("__best is not null").withColumn("__all", _upto("hi_before") - _upto("lo_before"))
+    rest = [F.col(f"__best.row.__c_{c}").alias(f"{name}_{c}") for c in keep]
+    found = found.select("__s", "__anchor", F.col("__best.row.__pk").alias(f"{name}_key"), F.col("__best.row.__partner").alias(f"{name}_date"), off("__best").alias(f"{name}_offset"), (F.col("__best.n") > 1).alias(f"{name}_tied"), F.col("__all").alias(f"{name}_candidates"), *rest)
+    out = anchor.withColumn("__s", F.col(subject)).withColumn("__anchor", F.to_date(day)).join(found, ["__s", "__anchor"], "left" if optional else "inner")
+    return out.drop("__s", "__anchor")
+
+
 def pick(df: DataFrame, per: str, by: Sequence[Column], key: str, n: int = 1, ties: str = "keep") -> DataFrame:
     """First n rows per ancestor, with pick_rank, pick_candidates and pick_tied; ties="refuse" drops tied picks, "raise" fails."""
     w = Window.partitionBy(per)

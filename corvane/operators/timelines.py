@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -89,31 +89,69 @@ def source_labels(df: DataFrame, key: str, path: str, segment: int, pattern: str
     return per.select(key, F.when(F.col("__a") == F.col("__b"), F.col("__a")).alias("label"), (F.col("__a") != F.col("__b")).alias("flagged"))
 
 
-def settle(df: DataFrame, subject: str, first: str, months: str, cadence: Sequence[int], tolerance: float, how: str = "date") -> DataFrame:
-    """Give each session of a subject the nearest free cadence point; collisions fall to a date, a suffix, or merge.
+#: Suffixes of labels that would be equal, in order.
+SUFFIXES = "bcdefghijklmnopqrstuvwxyz"
 
-    Sessions are taken in time order, one subject at a time; a subject's sessions are few.
+
+def settle(df: DataFrame, subject: str, first: str, months: str, cadence: Sequence[int], tolerance: float, how: str = "date", relax: bool = True) -> DataFrame:
+    """(subject, first, months, label, flagged) after sessions of a subject that want one label are told apart.
+
+    months are exact, from the anchor.  The nearest session has the claim on a cadence point, the earlier of two; relax gives others the nearest
+    free point within tolerance.  Of those that still share a label: merge lets them; date leaves all
+    without one; demote keeps the nearest and gives the others their own rounded month if it is free, else none; suffix
+    gives them their own month with the next free letter.  Before the anchor labels are PREnn, and
+    sessions off the cadence carry their own month.  What lost its label is flagged.
+
+    A fold over each subject's sessions, which are few: the claims are taken in order in one array per subject.
     """
-    schema = df.select(subject, first, months).schema.add("label", "string")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, taken, labels = pdf.sort_values(first), {}, []
-        for m, day in zip(pdf[months], pdf[first], strict=True):
-            near = sorted((abs(c - m), c) for c in cadence if abs(c - m) <= tolerance)
-            free = [c for _, c in near if c not in taken]
-            if free:
-                taken[free[0]] = 1
-                labels.append(f"M{free[0]:02d}")
-            elif not near or how == "date":
-                labels.append(f"{day:%Y%m%d}")
-            elif how == "merge":
-                labels.append(f"M{near[0][1]:02d}")
-            else:
-                taken[near[0][1]] += 1
-                labels.append(f"M{near[0][1]:02d}-{taken[near[0][1]]}")
-        return pdf.assign(label=labels)
-
-    return df.select(subject, first, months).groupBy(subject).applyInPandas(one, schema)
+    exact, day = F.col(months), F.col(first)
+    month = F.round(F.abs(exact)).cast("int")
+    points = F.array_sort(F.array(*[F.struct(F.round(F.abs(F.lit(float(c)) - exact), 9).alias("gap"), F.lit(c).alias("point")) for c in cadence]))
+    within = F.filter(points, lambda p: p["gap"] <= tolerance)
+    at_zero = F.lit(0 in cadence)
+    pre = (exact < 0) & (month != 0)
+    nominal = F.when(pre | exact.isNull(), F.lit(None)).when(month == 0, F.when(at_zero, F.lit(0))).otherwise(F.try_element_at(within, F.lit(1))["point"])
+    rows = df.select(subject, first, months).withColumn("__point", nominal).withColumn("__month", month).withColumn("__pre", pre).withColumn("__near", F.transform(within, lambda p: p["point"]))
+    gap = lambda p: F.when(F.col(p).isNull(), F.lit(0.0)).otherwise(F.round(F.abs(exact - F.col(p)), 9))
+    rows = rows.withColumn("__gap", gap("__point"))
+    members = F.array_sort(F.collect_list(F.struct(F.col("__gap").alias("gap"), day.alias("day"), F.col(months).alias("m"), F.col("__month").alias("month"), F.col("__pre").alias("pre"), F.col("__point").alias("point"), F.col("__near").alias("near"))))
+    lines = rows.groupBy(subject).agg(members.alias("__m"))
+    if relax:
+        held = F.struct(F.array().cast("array<int>").alias("held"), F.slice("__m", 1, 0).alias("out"))
+
+        def take(s: Column, x: Column) -> Column:
+            free = F.try_element_at(F.filter(x["near"], lambda p: ~F.array_contains(s["held"], p)), F.lit(1))
+            point = F.when(x["point"].isNull() | ~F.array_contains(s["held"], x["point"]), x["point"]).otherwise(F.coalesce(free, x["point"]))
+            left = F.when(point.isNull(), x["gap"]).otherwise(F.round(F.abs(x["m"] - point), 9))
+            moved = F.struct(left.alias("gap"), x["day"].alias("day"), x["m"].alias("m"), x["month"].alias("month"), x["pre"].alias("pre"), point.alias("point"), x["near"].alias("near"))
+            return F.struct(F.when(point.isNull(), s["held"]).otherwise(F.array_union(s["held"], F.array(point))).alias("held"), F.concat(s["out"], F.array(moved)).alias("out"))
+
+        lines = lines.select(subject, F.array_sort(F.aggregate("__m", held, take)["out"]).alias("__m"))
+    name = lambda x: F.when(x["m"].isNull(), F.lit(None)).when(x["pre"], F.format_string("PRE%02d", x["month"])).otherwise(F.format_string("M%02d", F.coalesce(x["point"], x["month"])))
+    own = lambda x: F.when(x["pre"], F.format_string("PRE%02d", x["month"])).otherwise(F.format_string("M%02d", x["month"]))
+    one = lines.select(subject, F.explode("__m").alias("__x")).withColumn("__want", name(F.col("__x")))
+    w = Window.partitionBy(subject, "__want")
+    one = one.withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__r", F.row_number().over(w.orderBy("__x.gap", "__x.day")))
+    lost = F.col("__want").isNotNull() & (F.col("__n") > 1) & F.lit(how != "merge") & (F.lit(how == "date") | (F.col("__r") > 1))
+    one = one.withColumn("__lost", F.coalesce(lost, F.lit(False)))
+    if how in ("merge", "date"):
+        label = F.when(~F.col("__lost"), F.col("__want"))
+        return one.select(subject, F.col("__x.day").alias(first), F.col("__x.m").alias(months), label.alias("label"), "__lost").withColumnRenamed("__lost", "flagged")
+    # demotions come last, in order of the label lost and the claim, and never take a label that is held
+    kept = F.collect_set(F.when(~F.col("__lost"), F.col("__want")))
+    demoted = F.array_sort(F.collect_list(F.when(F.col("__lost"), F.struct(F.col("__want").alias("want"), F.col("__x.gap").alias("gap"), F.col("__x.day").alias("day"), F.col("__x.m").alias("m"), own(F.col("__x")).alias("own")))))
+    stays = F.collect_list(F.when(~F.col("__lost"), F.struct(F.col("__x.day").alias("day"), F.col("__x.m").alias("m"), F.col("__want").alias("label"), F.lit(False).alias("flagged"))))
+    per = one.groupBy(subject).agg(kept.alias("__taken"), demoted.alias("__d"), stays.alias("__s"))
+    letters = F.array(*[F.lit(c) for c in SUFFIXES])
+
+    def demote(s: Column, x: Column) -> Column:
+        spare = F.try_element_at(F.filter(F.transform(letters, lambda c: F.concat(x["own"], c)), lambda n: ~F.array_contains(s["taken"], n)), F.lit(1))
+        label = F.when(~F.array_contains(s["taken"], x["own"]), x["own"]).otherwise(spare if how == "suffix" else F.lit(None).cast("string"))
+        row = F.struct(x["day"].alias("day"), x["m"].alias("m"), label.alias("label"), F.lit(True).alias("flagged"))
+        return F.struct(F.when(label.isNull(), s["taken"]).otherwise(F.array_union(s["taken"], F.array(label))).alias("taken"), F.concat(s["out"], F.array(row)).alias("out"))
+
+    out = per.select(subject, F.inline(F.aggregate("__d", F.struct(F.col("__taken").alias("taken"), F.col("__s").alias("out")), demote)["out"]))
+    return out.select(subject, F.col("day").alias(first), F.col("m").alias(months), "label", "flagged")
 
 
 def digest(df: DataFrame, subject: str, *columns: str) -> DataFrame:
@@ -146,11 +184,10 @@ def vote_dates(candidates: DataFrame, key: str, day: str, weight: str, placehold
 
 
 def history(parts: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
-    """Events of an object from several tables in order: parts are name: (rows, object column, day column)."""
-    from functools import reduce
-
+    """Events of an object from several tables, with their place in its line (by day, then kind; rows without a day last): parts are name: (rows, object column, day column)."""
     rows = [df.select(F.col(o).alias("object"), F.col(day).alias("day"), F.lit(name).alias("kind")) for name, (df, o, day) in parts.items()]
-    return reduce(lambda a, b: a.unionByName(b), rows)
+    every = reduce(lambda a, b: a.unionByName(b), rows)
+    return every.withColumn("place", F.row_number().over(Window.partitionBy("object").orderBy(F.col("day").asc_nulls_last(), "kind")))
 
 
 def open_at(members: DataFrame, cohort: str, subject: str, joined: str, left: str, day: str) -> DataFrame:

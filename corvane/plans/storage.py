@@ -6,13 +6,14 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a temporary folder only in local sessions that set none."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="corvane-")
         spark.sparkContext.setCheckpointDir(where)
@@ -28,3 +29,12 @@ def stored(df: DataFrame) -> DataFrame:
     path = fresh_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Most rows of a table that a caller hands over and that is sent to every task.
+SMALL = 100_000
+
+
+def small_or_shuffled(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """df with a broadcast hint where a count proves it small, else as it is (joined by shuffle)."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

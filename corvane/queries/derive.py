@@ -83,15 +83,15 @@ def scale(spark, d):
     return rows.select("c_custkey", F.round("f.tesla", 6).alias("tesla"), "f.normalized", "f.unit")
 
 
-@query("der_8_fill_with_source", "select p_partkey, case when contains(p_type, 'STEEL') then 'metal' when regexp_matches(p_name, '(?i)green|blue') then 'paint' when p_size > 25 then 'big' end as kind, case when contains(p_type, 'STEEL') then 'type' when regexp_matches(p_name, '(?i)green|blue') then 'name' when p_size > 25 then 'size' end as source from part")
+@query("der_8_fill_with_source", "select p_partkey, case when contains(p_type, 'PROMO') then 'metal' when regexp_matches(p_name, '(?i)green|blue') then 'paint' when p_size > 25 then 'big' end as kind, case when contains(p_type, 'PROMO') then 'type' when regexp_matches(p_name, '(?i)green|blue') then 'name' when p_size > 25 then 'size' end as source from part")
 def fill(spark, d):
-    kind, source = D.first_of((F.when(F.col("p_type").contains("STEEL"), "metal"), "type"), (F.when(F.col("p_name").rlike("(?i)green|blue"), "paint"), "name"), (F.when(F.col("p_size") > 25, "big"), "size"))
+    kind, source = D.first_of((F.when(F.col("p_type").contains("PROMO"), "metal"), "type"), (F.when(F.col("p_name").rlike("(?i)green|blue"), "paint"), "name"), (F.when(F.col("p_size") > 25, "big"), "size"))
     return read(spark, d, "part").select("p_partkey", kind.alias("kind"), source.alias("source"))
 
 
-@query("der_9_role", "select p_partkey, case when list_contains(string_split(p_type, ' '), 'STEEL') then 'primary' when list_contains(string_split(p_type, ' '), 'BRASS') then 'derived' else 'other' end as role from part")
+@query("der_9_role", "select p_partkey, case when list_contains(string_split(p_type, ' '), 'ECONOMY') then 'primary' when list_contains(string_split(p_type, ' '), 'SMALL') then 'derived' else 'other' end as role from part")
 def role(spark, d):
-    return read(spark, d, "part").select("p_partkey", D.role(F.split("p_type", " "), [("STEEL", "primary"), ("BRASS", "derived")], "other").alias("role"))
+    return read(spark, d, "part").select("p_partkey", D.role(F.split("p_type", " "), [("ECONOMY", "primary"), ("SMALL", "derived")], "other").alias("role"))
 
 
 @query("der_10_shells", "select l_orderkey, string_agg(distinct q::varchar, ',' order by q::varchar) as shells, count(case when q <> 0 then 1 end) as directions from (select l_orderkey, l_returnflag, cast(round(l_quantity / 20) * 20 as bigint) as q from lineitem where l_returnflag <> 'N') group by 1")
@@ -136,9 +136,9 @@ def stale_rows(spark, d):
     return D.stale(kept, now)
 
 
-@query("der_15_childless", "select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@query("der_15_childless", "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P')")
 def childless(spark, d):
-    return D.childless(read(spark, d, "customer").select("c_custkey"), read(spark, d, "orders"), "c_custkey", "o_custkey")
+    return D.childless(read(spark, d, "customer").select("c_custkey"), read(spark, d, "orders").filter("o_orderstatus = 'P'"), "c_custkey", "o_custkey")
 
 
 @query("der_16_header_health", """with t as (select p_size as ds, nullif(p_name, p_brand) as name, p_brand from part),

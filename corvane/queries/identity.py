@@ -42,26 +42,46 @@ def blake_code(spark, d):
     return read(spark, d, "customer").select("c_custkey", I.blake_code("k1", F.col("c_custkey")).alias("code"))
 
 
-_LINKS = """ids as (select o_orderkey as r, 'a' as t, (o_custkey % 300)::varchar as v from orders where o_orderkey % 40 = 1 union all select o_orderkey, 'b', (floor(o_totalprice)::bigint % 997)::varchar from orders where o_orderkey % 40 = 1),
-e as (select distinct x.r as a, y.r as b from ids x join ids y on x.t = y.t and x.v = y.v),
-w as (select a as r, a as c from e union select w.r, e.b from w join e on e.a = w.c), s as (select r, min(c) as subject from w group by 1)"""
+_MAPPED = """m as (select c_custkey as r, case when c_custkey % 41 > 0 then c_nationkey || ':' || c_custkey // 3 end as a, case when c_custkey % 41 > 0 and c_custkey % 3 = 0 then 'b' || c_custkey // 7 end as b, case when c_custkey % 5 > 0 then 'c' || c_custkey // 6 end as code from customer),
+ids as (select r, code, 'a' as t, a as v from m where a is not null union all select r, code, 'b', b from m where b is not null),
+f as (select t, v, min(r) as f, arg_min(coalesce(code, '~'), r) as fcode from ids group by 1, 2), e as (select distinct f as a, r as b from ids join f using (t, v) where r <> f union select distinct r, f from ids join f using (t, v) where r <> f),
+w as (select r, r as c from m union select w.r, e.b from w join e on e.a = w.c), s as (select r, min(c) as subject from w group by 1),
+filed as (select 'a' as t, c_nationkey || ':' || c_custkey // 3 as v, 'c' || c_custkey // 6 as s from customer where c_custkey % 4 = 0 union select 'b', 'b' || c_custkey // 7, 'c' || c_custkey // 5 from customer where c_custkey % 30 = 0),
+k as (select r, any_value(code) as code, count(distinct filed.s) as n, min(filed.s) as lo, max(filed.s) as hi from ids left join filed using (t, v) group by 1),
+x as (select r as row, 'empty' as reason from m where a is null and b is null union select r, 'repeated' from ids join f using (t, v) where r <> f and code is not null and fcode <> '~' and code <> fcode
+  union select r, 'unresolved' from k where n = 0 and code is null union select r, 'two subjects' from k where n > 1 union select r, 'mapped' from k where code is not null and n > 0 and (lo <> code or hi <> code) union select r, 'merged' from m where code in ('c3', 'c9'))"""
 
 
 def _identified(spark, d):
-    o = read(spark, d, "orders").filter("o_orderkey % 40 = 1").select("o_orderkey", (F.col("o_custkey") % 300).alias("a"), (F.floor("o_totalprice") % 997).cast("long").alias("b"))
-    return I.identifier_map(o, "o_orderkey", ["a", "b"])
+    c, k, third = read(spark, d, "customer"), F.col("c_custkey"), lambda n: F.floor(F.col("c_custkey") / n).cast("long").cast("string")
+    a, b, code = F.concat_ws(":", "c_nationkey", third(3)), F.concat(F.lit("b"), third(7)), lambda n: F.concat(F.lit("c"), third(n))
+    rows = c.select(k, F.when(k % 41 > 0, a).alias("a"), F.when((k % 41 > 0) & (k % 3 == 0), b).alias("b"), F.when(k % 5 > 0, code(6)).alias("code"))
+    known = c.filter(k % 4 == 0).select(F.lit("a").alias("type"), a.alias("value"), code(6).alias("subject")).union(c.filter(k % 30 == 0).select(F.lit("b"), b, code(5))).distinct()
+    gone = spark.createDataFrame([("c3", "c1"), ("c9", "c8")], "code string, into string")
+    return I.identifier_map(rows, "c_custkey", ["a", "b"], "code", known, gone)
 
 
-@query("id_4_identifier_map", f"with recursive {_LINKS} select r as row, subject from s")
+@query("id_4_identifier_map", f"with recursive {_MAPPED} select r as row, subject from s")
 def identifier_map(spark, d):
     return _identified(spark, d)[0]
 
 
-@query("id_4_conflicts", f"with recursive {_LINKS} select subject, t as type, count(distinct v) as values, count(distinct r) as rows from ids join s using (r) group by 1, 2 having count(distinct v) > 1")
+@query("id_4_conflicts", f"with recursive {_MAPPED} select row, reason from x")
 def conflicts(spark, d):
     return _identified(spark, d)[1]
 
 
+@query("id_4_report", f"with recursive {_MAPPED} select (select count(distinct subject) from s) as subjects, (select count(distinct subject) from s join k using (r) where n > 0) as known, (select count(distinct row) from x) as conflicts, (select count(*) from x) = 0 as applies")
+def map_report(spark, d):
+    return _identified(spark, d)[2]
+
+
+@query("id_4_all_orders", "select o_orderkey as row, min(o_orderkey) over (partition by o_custkey) as subject from orders")
+def linked_orders(spark, d):
+    """Orders of one customer are one subject, over all of them."""
+    return I.identifier_map(read(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", ["o_custkey"])[0]
+
+
 @query("id_5_merge", "select o_orderkey, case when o_custkey % 10 = 3 then o_custkey - 1 else o_custkey end as o_custkey from orders")
 def merge(spark, d):
     mapping = read(spark, d, "customer").filter("c_custkey % 10 = 3").select(F.col("c_custkey").alias("alias"), (F.col("c_custkey") - 1).alias("canonical"))
@@ -142,19 +162,32 @@ def standard_names(spark, d):
     return L.standard_name(rows, mapping, ["l_returnflag"], ["l_linestatus"]).select("k", "name", "reason")
 
 
-@query("rel_3_disambiguate", """with l as (select distinct on (l_orderkey, l_linenumber) * from lineitem order by l_orderkey, l_linenumber, l_partkey, l_suppkey), g as (select l_orderkey, l_returnflag, count(*) as n, count(distinct l_linestatus) as s, count(distinct l_quantity::bigint) as q from l group by 1, 2)
-select l.l_orderkey, l_linenumber, case when n = 1 then l.l_returnflag when s = n then l.l_returnflag || '_st-' || lower(l_linestatus) when q = n then l.l_returnflag || '_q-' || l_quantity::bigint else l.l_returnflag || '_run-' || row_number() over (partition by l.l_orderkey, l.l_returnflag order by l_linenumber) end as unique_name from l join g on g.l_orderkey = l.l_orderkey and g.l_returnflag = l.l_returnflag""")
+_DISAMBIGUATE = """with l as (select distinct on (l_orderkey, l_linenumber) * from lineitem order by l_orderkey, l_linenumber, l_partkey, l_suppkey),
+r as (select l_orderkey, l_linenumber, l_linestatus as nm, case when l_orderkey % 3 = 0 and l_linenumber % 2 = 0 then l_linenumber // 4 end as echo, case when l_orderkey % 3 = 1 then l_quantity end as ti, lower(l_returnflag) as flag, case when l_linenumber % 3 > 0 then l_suppkey % 2 end as side from l),
+a as (select *, case when count(*) over (partition by l_orderkey, nm) > 1 and echo is not null then nm || '_e' || echo else nm end as u from r),
+b as (select *, count(*) over w as n, count(ti) over w = count(*) over w and len(list_distinct(list(ti) over w)) = count(*) over w as timed, row_number() over (partition by l_orderkey, u order by ti) as k, len(list_distinct(list(coalesce(flag, '')) over w)) as f, len(list_distinct(list(coalesce(side::varchar, '')) over w)) as s, row_number() over (partition by l_orderkey, u order by l_linenumber) as run from a window w as (partition by l_orderkey, u)),
+c as (select * replace (case when n = 1 then u when timed then u || '_ti' || k when f > 1 then u || '_f' || flag when s > 1 then u || coalesce('_s' || side, '') else u || '_' || run end as u) from b),
+d as (select * exclude (n, timed, k, s, run, f), count(*) over w as n, count(ti) over w = count(*) over w and len(list_distinct(list(ti) over w)) = count(*) over w as timed, row_number() over (partition by l_orderkey, u order by ti) as k, len(list_distinct(list(coalesce(side::varchar, '')) over w)) as s, row_number() over (partition by l_orderkey, u order by l_linenumber) as run from c window w as (partition by l_orderkey, u)),
+e as (select * replace (case when n = 1 then u when timed then u || '_ti' || k when s > 1 then u || coalesce('_s' || side, '') else u || '_' || run end as u) from d),
+f as (select *, count(*) over w as n2, count(ti) over w = count(*) over w and len(list_distinct(list(ti) over w)) = count(*) over w as t2, row_number() over (partition by l_orderkey, u order by ti) as k2, row_number() over (partition by l_orderkey, u order by l_linenumber) as run2 from e window w as (partition by l_orderkey, u))
+select l_orderkey, l_linenumber, case when n2 = 1 then u when t2 then u || '_ti' || k2 else u || '_' || run2 end as unique_name from f"""
+
+
+@query("rel_3_disambiguate", _DISAMBIGUATE)
 def disambiguate(spark, d):
-    rows = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", F.col("l_quantity").cast("long").alias("q"))).alias("r")).select("l_orderkey", "l_linenumber", "r.*")
-    return L.disambiguate(rows, ["l_orderkey"], "l_returnflag", "l_linenumber", [("l_linestatus", "st"), ("q", "q")]).select("l_orderkey", "l_linenumber", "unique_name")
+    rows = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity")).alias("r")).select("l_orderkey", "l_linenumber", "r.*")
+    n, o = F.col("l_linenumber"), F.col("l_orderkey")
+    rows = rows.select(o, n, F.col("l_linestatus").alias("nm"), F.when((o % 3 == 0) & (n % 2 == 0), F.floor(n / 4).cast("int")).alias("echo"), F.when(o % 3 == 1, F.col("l_quantity")).alias("ti"), F.col("l_returnflag").alias("flag"), F.when(n % 3 > 0, F.col("l_suppkey") % 2).alias("side"))
+    return L.disambiguate(rows, ["l_orderkey"], "nm", "l_linenumber", "echo", "ti", [("flag", "f"), ("side", "s")]).select("l_orderkey", "l_linenumber", "unique_name")
 
 
-_REPEAT = "select l_partkey, l_returnflag, count(*) as members, concat_ws(',', case when max(l_quantity) - min(l_quantity) > 0.5 * greatest(abs(max(l_quantity)), abs(min(l_quantity))) then 'l_quantity' end, case when max(l_discount) - min(l_discount) > 0.045 then 'l_discount' end, case when count(distinct l_linestatus) > 1 then 'l_linestatus' end) as differing from lineitem group by 1, 2"
+_REPEAT = "select l_partkey, l_returnflag, count(*) as members, concat_ws(',', case when max(l_quantity) - min(l_quantity) > 0.5 * greatest(abs(max(l_quantity)), abs(min(l_quantity))) then 'l_quantity' end, case when max(l_discount) - min(l_discount) > 0.045 then 'l_discount' end, case when count(distinct l_linestatus) > 1 then 'l_linestatus' end) as differing, count(m) < count(*) or count(distinct m) = count(*) as once from (select *, case when l_suppkey % 50 > 0 then l_suppkey % 4 end as m from lineitem) group by 1, 2"
 
 
-@query("rel_4_repeats", f"select *, members > 1 and differing = '' as repeat from ({_REPEAT})")
+@query("rel_4_repeats", f"select * exclude (once), members > 1 and differing = '' and once as repeat, members > 1 and differing = '' and not once as written_twice from ({_REPEAT})")
 def repeats(spark, d):
-    return L.repeats(read(spark, d, "lineitem"), ["l_partkey", "l_returnflag"], {"l_quantity": 0.5}, {"l_discount": 0.045}, ["l_linestatus"])
+    rows = read(spark, d, "lineitem").withColumn("m", F.when(F.col("l_suppkey") % 50 > 0, F.col("l_suppkey") % 4))
+    return L.repeats(rows, ["l_partkey", "l_returnflag"], {"l_quantity": 0.5}, {"l_discount": 0.045}, ["l_linestatus"], "m")
 
 
 @query("rel_5_separator", "select l_orderkey, count(*) as members, case when count(distinct l_returnflag) = count(*) then 'l_returnflag' when count(distinct l_quantity) = count(*) then 'l_quantity' when count(distinct l_partkey) = count(*) then 'l_partkey' end as separator from lineitem group by 1 having count(*) > 1")
@@ -193,10 +226,13 @@ def named_by(spark, d):
     return L.named_by(c, names_, "c_custkey", "v")
 
 
-@query("rel_9_quality_bars", f"with {_TWO} select 'placed or accounted for' as bar, (select count(*) from orders where o_orderkey % 10 = 2) as failing union all select 'unique names', (select count(*) from (select o_custkey from b group by 1 having count(*) > 1)) union all select 'unchanged re-run', (select count(*) from a full join b on a.o_orderkey = b.o_orderkey where a.o_orderkey is null or b.o_orderkey is null or a.o_totalprice is distinct from b.o_totalprice or a.o_orderpriority is distinct from b.o_orderpriority)")
+@query("rel_9_quality_bars", f"with {_TWO} select 'placed or accounted for' as bar, (select count(*) from orders where o_orderkey % 10 = 2) as failing union all select 'unique names', (select count(*) from (select o_custkey from b group by 1 having count(*) > 1)) union all select 'unchanged re-run', (select count(*) from a full join b on a.o_orderkey = b.o_orderkey where a.o_orderkey is null or b.o_orderkey is null or a.o_totalprice is distinct from b.o_totalprice or a.o_orderpriority is distinct from b.o_orderpriority) union all select 'picks present', (select count(*) from orders where o_orderkey % 5 = 2 and o_orderkey % 10 = 2) union all select 'dates join the events', (select count(*) from (select user_id % 300 as o_custkey, cast(ts as date) - (2500 + event_id % 5000)::int as day from events) e where o_custkey in (select o_custkey from orders) and not exists (select 1 from orders o where o.o_custkey = e.o_custkey and abs(datediff('day', e.day, cast(o.o_orderdate as date))) <= 30))")
 def quality_bars(spark, d):
     old, new = _two(spark, d)
-    return L.quality_bars(read(spark, d, "orders").select("o_orderkey"), new, "o_orderkey", "o_custkey", L.versions(old, new, "o_orderkey", "o_totalprice", "o_orderpriority"))
+    orders = read(spark, d, "orders")
+    events = read(spark, d, "events").select((F.col("user_id") % 300).alias("o_custkey"), F.date_sub(F.to_date("ts"), (F.col("event_id") % 5000).cast("int") + 2500).alias("day"))
+    sessions = _orders(spark, d).select("o_custkey", "day")
+    return L.quality_bars(orders.select("o_orderkey"), new, "o_orderkey", "o_custkey", L.versions(old, new, "o_orderkey", "o_totalprice", "o_orderpriority"), orders.filter("o_orderkey % 5 = 2"), sessions, events, "o_custkey", "day", 30)
 
 
 _FIELD = "select '{f}' as field, count(*) as compared, count(case when x is null and y is null then 1 end) as both_null, count(case when (x is null) <> (y is null) then 1 end) as one_null, count(case when x = y then 1 end) as equal, count(case when x <> y and {s} then 1 end) as alike, count(case when x <> y and not ({s}) then 1 end) as different from (select a.{f} as x, b.{f} as y from a join b on a.o_orderkey = b.o_orderkey)"
@@ -247,17 +283,25 @@ def matrix(spark, d):
     return C.matrix(old, new, "o_orderkey", "o_orderstatus")
 
 
-@query("sum_1_registry", "select 'customers' as what, count(*) as n from customer union all select 'orders', count(*) from orders union all select 'lines', count(*) from lineitem union all select 'orders since', count(*) from orders where o_orderdate >= date '2000-01-01'")
+@query("sum_1_registry", "with o as (select *, 'cohort ' || c_nationkey as cohort, 'version ' || o_orderkey % 3 as version, o_orderdate >= date '2000-01-01' as since from orders join customer on c_custkey = o_custkey) select case when grouping(cohort) = 0 then cohort when grouping(version) = 0 then version else 'all' end as what, count(distinct o_custkey) as subjects, count(*) as units, count(case when since then 1 end) as units_since from o group by grouping sets ((cohort), (version), ())")
 def registry(spark, d):
-    n = lambda what, df: df.agg(F.lit(what).alias("what"), F.count(F.lit(1)).alias("n"))
-    o = _orders(spark, d)
-    return n("customers", read(spark, d, "customer")).union(n("orders", o)).union(n("lines", read(spark, d, "lineitem"))).union(n("orders since", o.filter("day >= date'2000-01-01'")))
+    o = _orders(spark, d).join(read(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.concat(F.lit("cohort "), F.col("c_nationkey")).alias("cohort")), "o_custkey")
+    rows = o.select("o_custkey", "cohort", F.concat(F.lit("version "), F.col("o_orderkey") % 3).alias("version"), (F.col("day") >= F.lit("2000-01-01").cast("date")).alias("since"))
+    return C.registry(rows, "o_custkey", "cohort", "version", F.col("since"))
 
 
-@query("sum_2_dataset", "select c_mktsegment, count(distinct c_custkey) as subjects, count(distinct o_orderkey) as visits, count(l_orderkey) as units, count(distinct l_returnflag) as kinds from customer left join orders on o_custkey = c_custkey left join lineitem on l_orderkey = o_orderkey group by 1")
+@query("sum_2_dataset", "select c_mktsegment, count(distinct c_custkey) as subjects, count(distinct o_orderkey) as visits, count(l_orderkey) as units, count(distinct l_returnflag) as kinds, count(distinct c_nationkey) as regions from customer left join orders on o_custkey = c_custkey left join lineitem on l_orderkey = o_orderkey group by 1")
 def dataset(spark, d):
     rows = read(spark, d, "customer").join(_orders(spark, d).select(F.col("o_custkey").alias("c_custkey"), "o_orderkey"), "c_custkey", "left").join(read(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag"), "o_orderkey", "left")
-    return rows.groupBy("c_mktsegment").agg(F.countDistinct("c_custkey").alias("subjects"), F.countDistinct("o_orderkey").alias("visits"), F.count("l_returnflag").alias("units"), F.countDistinct("l_returnflag").alias("kinds"))
+    return rows.groupBy("c_mktsegment").agg(F.countDistinct("c_custkey").alias("subjects"), F.countDistinct("o_orderkey").alias("visits"), F.count("l_returnflag").alias("units"), F.countDistinct("l_returnflag").alias("kinds"), F.countDistinct("c_nationkey").alias("regions"))
+
+
+@query("sum_2_files", "with f as (select page_id % 7 as ds, case when page_id % 5 = 0 then 'refused' when page_id % 3 = 0 then 'held' else 'filed' end as status, case when page_id % 5 = 0 then case when page_id % 2 = 0 then 'no identity' else 'damaged' end end as reason from pages) select ds, status, reason, count(*) as n from f group by all")
+def dataset_files(spark, d):
+    k = F.col("page_id")
+    status = F.when(k % 5 == 0, "refused").when(k % 3 == 0, "held").otherwise("filed")
+    rows = read(spark, d, "pages").select((k % 7).alias("ds"), status.alias("status"), F.when(k % 5 == 0, F.when(k % 2 == 0, "no identity").otherwise("damaged")).alias("reason"))
+    return rows.groupBy("ds", "status", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("sum_3_holding", "select l_suppkey, count(distinct o_orderkey) as units, count(distinct o_custkey) as subjects from orders join lineitem on l_orderkey = o_orderkey group by 1")
@@ -266,11 +310,12 @@ def holding(spark, d):
     return C.holding(read(spark, d, "orders").select("o_orderkey", "o_custkey"), bridge, "o_orderkey", "l_suppkey", "o_custkey")
 
 
-@query("sum_4_accept_grid", "select l_orderkey, l_linenumber, l_discount from lineitem where l_returnflag = 'A' and l_discount >= 0.08 and l_orderkey > 100 and l_orderkey not in (select o_orderkey from orders where o_orderstatus = 'P')")
+@query("sum_4_accept_grid", "select l_orderkey * 1000 + l_linenumber * 100 + l_suppkey % 100 as k, l_orderkey, l_linenumber, l_discount from lineitem where l_returnflag = 'A' and l_discount >= 0.08 and l_orderkey * 1000 + l_linenumber * 100 + l_suppkey % 100 > 100000 and l_orderkey not in (select o_orderkey from orders where o_orderstatus = 'P') order by k, l_discount, l_partkey limit 200")
 def accept_grid(spark, d):
-    rows = read(spark, d, "lineitem").filter("l_returnflag = 'A' and l_discount >= 0.08 and l_orderkey > 100")
+    rows = read(spark, d, "lineitem").withColumn("k", F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + F.col("l_suppkey") % 100)
     exceptions = read(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return R.unsealed(rows, exceptions, "l_orderkey").select("l_orderkey", "l_linenumber", "l_discount")
+    page = C.accept_grid(rows, "l_orderkey", exceptions, F.col("l_returnflag") == "A", F.col("l_discount") >= 0.08, "k", 100_000, 200, ["l_discount", "l_partkey"])
+    return page.select("k", "l_orderkey", "l_linenumber", "l_discount")
 
 
 @query("sum_5_cohort", "select c_nationkey, count(*) as members, count(case when c_acctbal < 0 then 1 end) as questions, round(avg(c_acctbal), 6) as mean from customer group by 1")

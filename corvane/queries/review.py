@@ -177,9 +177,24 @@ def compare_voters(spark, d):
     return R.compare_voters(_votes(spark, d), "unit", "axis", "value")
 
 
-@query("rev_10_audit_plan", f"select unit, axis from ({_COMPARED}) where state = 'agree' qualify row_number() over (partition by axis order by sha256('a:' || axis || ':' || unit), unit) <= 25")
+_PLAN = f"""with c as ({_COMPARED}), k as (select unit, bool_or(state = 'split') as s from c group by 1), a as (select unit from k where not s),
+f as (select unit from a qualify row_number() over (order by sha256('v:audit:' || unit), unit) <= (select greatest(1, ceil(0.01 * count(*))) from a)),
+o as (select *, row_number() over (partition by axis order by sha256('v:audit:' || unit), unit) as r from c where state = 'agree' and unit in (select unit from a)),
+t as (select unit from f union select unit from o where r <= 60)"""
+
+
+def _planned(spark, d):
+    return R.voter_plan(_votes(spark, d), "unit", "axis", "value", "v", 0.01, 60)
+
+
+@query("rev_10_audit_plan", f"{_PLAN} select unit, 'split' as kind from k where s union all select unit, 'audit' from t")
 def audit_plan(spark, d):
-    return R.audit_plan(R.compare_voters(_votes(spark, d), "unit", "axis", "value").filter("state = 'agree'"), "a", "unit", "axis", 25).select("unit", "axis")
+    return _planned(spark, d)[0]
+
+
+@query("rev_10_cells", f"{_PLAN} select c.axis, count(case when state = 'split' then 1 end) as split, count(case when state = 'agree' and not s then 1 end) as agree, count(case when state = 'agree' and not s and t.unit is not null then 1 end) as audit, greatest(0, 60 - count(case when state = 'agree' and not s and t.unit is not null then 1 end)) as short from c join k using (unit) left join t using (unit) group by 1")
+def audit_cells(spark, d):
+    return _planned(spark, d)[1]
 
 
 @query("rev_11_voter_summary", "select o_orderpriority as voter, o_orderstatus as value, count(*) as answers, count(case when o_totalprice > 100000 then 1 end) as chosen, round(median(o_totalprice), 6) as median, quantile_disc(o_totalprice, 0.9) as p90 from orders group by 1, 2")
@@ -197,12 +212,23 @@ def pairs(spark, d):
     return R.pair_values(R.pair_sides(o, "p", "pair", "o_custkey", "other"), "answer")
 
 
-@query("rev_13_anchored", """with o as (select o_orderkey, o_custkey, cast(o_orderdate as date) as day, year(o_orderdate) as s, o_orderpriority as t, o_orderstatus from orders),
-p as (select a.o_orderkey, b.o_orderkey as anchor, a.s <> b.s as flagged, abs(datediff('day', a.day, b.day)) as days from o a join o b on a.o_custkey = b.o_custkey and a.o_orderkey <> b.o_orderkey and (a.s = b.s or a.t = b.t) where a.o_orderstatus = 'O' and b.o_orderstatus = 'F')
-select o_orderkey, anchor, flagged, days::int as days from p qualify row_number() over (partition by o_orderkey order by flagged, days, anchor) = 1""")
+def _anchor_sql(side: str) -> str:
+    pool = f"(select * from o where side = '{side}')"
+    return f"""{side}_s as (select c.o_orderkey, min(b.o_orderkey) as k from c join {pool} b on b.o_custkey = c.o_custkey and b.s = c.s and b.o_orderkey <> c.o_orderkey group by 1),
+{side}_f as (select c.o_orderkey, b.o_orderkey as k from c join {pool} b on b.o_custkey = c.o_custkey and b.t = c.t where c.o_orderkey not in (select o_orderkey from {side}_s) qualify row_number() over (partition by c.o_orderkey order by abs(datediff('day', c.day, b.day)), b.day, b.o_orderkey) = 1),
+{side}_a as (select o_orderkey, k, false as other from {side}_s union all select o_orderkey, k, true from {side}_f)"""
+
+
+_ANCHORED = f"""with o as (select o_orderkey, o_custkey, cast(o_orderdate as date) as day, year(o_orderdate) as s, o_orderpriority as t, o_orderstatus, case o_orderkey % 5 when 1 then 'pre' when 2 then 'post' end as side from orders), c as (select * from o where side is null),
+{_anchor_sql("pre")}, {_anchor_sql("post")}
+select c.o_orderkey, p.k as pre, p.other as pre_other, q.k as post, q.other as post_other from c join pre_a p using (o_orderkey) join post_a q using (o_orderkey)"""
+
+
+@query("rev_13_anchored", _ANCHORED)
 def anchored(spark, d):
-    o = _orders(spark, d).withColumn("s", F.year("day"))
-    return R.anchored(o.filter("o_orderstatus = 'O'"), o.filter("o_orderstatus = 'F'"), "o_orderkey", "s", "o_custkey", "o_orderpriority", "day")
+    k = F.col("o_orderkey") % 5
+    o = _orders(spark, d).withColumn("s", F.year("day")).withColumn("side", F.when(k == 1, "pre").when(k == 2, "post"))
+    return R.anchored(o.filter("side is null"), o.filter("side is not null"), "o_orderkey", "s", "o_custkey", "o_orderpriority", "day", "side")
 
 
 @query("rev_13_panels", f"select panels, count(*) as n from (select (['anchor_before,candidate,anchor_after', 'anchor_before,anchor_after,candidate', 'candidate,anchor_before,anchor_after', 'candidate,anchor_after,anchor_before', 'anchor_after,anchor_before,candidate', 'anchor_after,candidate,anchor_before'])[(floor({_U.format(repr('q:') + ' || o_orderkey')} * 6) + 1)::int] as panels from orders) group by 1")
@@ -292,6 +318,7 @@ def certificate(spark, d):
     return R.certificate(_graded(spark, d).select("dimension", "value", "wrong", "read"), 0.05, {"1-URGENT": 0.5})
 
 
-@query("rev_26_waiting", "select o_orderpriority, o_orderstatus, count(distinct o_orderkey) as units, round(count(distinct o_orderkey) * 12.5, 6)::double as seconds from orders where o_totalprice > 150000 group by 1, 2")
+@query("rev_26_waiting", "with p as (select median(l_quantity) as pace from lineitem where l_linestatus = 'F') select o_orderpriority, o_orderstatus, count(distinct o_orderkey) as units, round(count(distinct o_orderkey) * any_value(pace), 6)::double as seconds from orders, p where o_totalprice > 150000 group by 1, 2")
 def waiting(spark, d):
-    return R.waiting(read(spark, d, "orders").filter("o_totalprice > 150000"), ["o_orderpriority", "o_orderstatus"], "o_orderkey", 12.5)
+    pace = R.pace(_lines(spark, d).withColumn("closed", F.col("l_linestatus") == "F"), "l_quantity")
+    return R.waiting(read(spark, d, "orders").filter("o_totalprice > 150000"), ["o_orderpriority", "o_orderstatus"], "o_orderkey", pace)

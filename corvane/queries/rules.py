@@ -12,15 +12,15 @@ from corvane.plans.grains import read, retail
 from .base import query
 
 RULES = [
-    R.Rule("steel", "metal", "steel", {"token": ("p_type", "steel")}),
-    R.Rule("brass", "metal", "brass", {"all": [{"contains": ("p_type", "BRASS")}, {"below": ("p_size", 40)}]}, "name"),
-    R.Rule("any_metal", "metal", "other", {"regex": ("p_type", "(COPPER|TIN|NICKEL)$")}, "inferred"),
+    R.Rule("steel", "metal", "steel", {"token": ("p_type", "economy")}),
+    R.Rule("brass", "metal", "brass", {"all": [{"contains": ("p_type", "SMALL")}, {"below": ("p_size", 40)}]}, "name"),
+    R.Rule("any_metal", "metal", "other", {"regex": ("p_type", "(MEDIUM|PROMO)$")}, "inferred"),
     R.Rule("plain", "metal", "none", {"present": "p_type"}, "default"),
     R.Rule("small", "size", "small", {"below": ("p_size", 15)}),
     R.Rule("large", "size", "large", {"count": {"of": [{"above": ("p_size", 35)}, {"is": ("metal", "steel")}, {"prefix": ("p_brand", "brand#1")}], "least": 2}}, "inferred"),
 ]
-_METAL = "case when list_contains(regexp_split_to_array(lower(p_type), '[^a-z0-9#]+'), 'steel') then 'steel' when contains(lower(p_type), 'brass') and p_size < 40 then 'brass' when regexp_matches(p_type, '(COPPER|TIN|NICKEL)$') then 'other' when p_type is not null then 'none' end"
-_METAL_RULE = "case when list_contains(regexp_split_to_array(lower(p_type), '[^a-z0-9#]+'), 'steel') then 'steel' when contains(lower(p_type), 'brass') and p_size < 40 then 'brass' when regexp_matches(p_type, '(COPPER|TIN|NICKEL)$') then 'any_metal' when p_type is not null then 'plain' end"
+_METAL = "case when list_contains(regexp_split_to_array(lower(p_type), '[^a-z0-9#]+'), 'economy') then 'steel' when contains(lower(p_type), 'small') and p_size < 40 then 'brass' when regexp_matches(p_type, '(MEDIUM|PROMO)$') then 'other' when p_type is not null then 'none' end"
+_METAL_RULE = "case when list_contains(regexp_split_to_array(lower(p_type), '[^a-z0-9#]+'), 'economy') then 'steel' when contains(lower(p_type), 'small') and p_size < 40 then 'brass' when regexp_matches(p_type, '(MEDIUM|PROMO)$') then 'any_metal' when p_type is not null then 'plain' end"
 _SIZE = "case when p_size < 15 then 'small' when (p_size > 35)::int + (metal = 'steel')::int + starts_with(lower(p_brand), 'brand#1')::int >= 2 then 'large' end"
 _PARTS = f"p as (select *, {_METAL} as metal, {_METAL_RULE} as rule from part), c as (select *, {_SIZE} as size from p)"
 
@@ -29,9 +29,9 @@ def _classified(spark, d, rules=RULES, pins=None):
     return R.classify(read(spark, d, "part"), rules, pins)
 
 
-@query("cls_1_predicates", "select p_partkey from part where (contains(lower(p_type), 'ti') and not (p_size = 7)) or starts_with(lower(p_brand), 'brand#5')")
+@query("cls_1_predicates", "select p_partkey from part where (contains(lower(p_type), 'st') and not (p_size = 7)) or starts_with(lower(p_brand), 'brand#5')")
 def predicates(spark, d):
-    return read(spark, d, "part").filter(R.predicate({"any": [{"all": [{"contains": ("p_type", "TI")}, {"not": {"equals": ("p_size", 7)}}]}, {"prefix": ("p_brand", "Brand#5")}]})).select("p_partkey")
+    return read(spark, d, "part").filter(R.predicate({"any": [{"all": [{"contains": ("p_type", "ST")}, {"not": {"equals": ("p_size", 7)}}]}, {"prefix": ("p_brand", "Brand#5")}]})).select("p_partkey")
 
 
 @query("cls_2_ordered_rules_3_basis", f"with {_PARTS} select p_partkey, metal, rule, case rule when 'steel' then 0.95 when 'brass' then 0.8 when 'any_metal' then 0.6 else 0.3 end::double as confidence, case rule when 'steel' then 'header' when 'brass' then 'name' when 'any_metal' then 'inferred' else 'default' end as basis, size from c")
@@ -39,7 +39,7 @@ def ordered_rules(spark, d):
     return _classified(spark, d).select("p_partkey", F.col("metal.value").alias("metal"), "metal.rule", "metal.confidence", "metal.basis", F.col("size.value").alias("size"))
 
 
-@query("cls_4_votes", "select p_partkey, unnest([x for x in [case when list_contains(regexp_split_to_array(lower(p_type), '[^a-z0-9#]+'), 'steel') then 'steel' end, case when contains(lower(p_type), 'brass') and p_size < 40 then 'brass' end, case when regexp_matches(p_type, '(COPPER|TIN|NICKEL)$') then 'any_metal' end, case when p_type is not null then 'plain' end] if x is not null]) as rule from part")
+@query("cls_4_votes", "select p_partkey, unnest([x for x in [case when list_contains(regexp_split_to_array(lower(p_type), '[^a-z0-9#]+'), 'economy') then 'steel' end, case when contains(lower(p_type), 'small') and p_size < 40 then 'brass' end, case when regexp_matches(p_type, '(MEDIUM|PROMO)$') then 'any_metal' end, case when p_type is not null then 'plain' end] if x is not null]) as rule from part")
 def votes(spark, d):
     return R.votes(read(spark, d, "part"), "p_partkey", [r for r in RULES if r.axis == "metal"]).select("p_partkey", "rule")
 
@@ -128,19 +128,19 @@ def clock_trust(spark, d):
     return R.clock_trust(e, "g", "series", "s", "k", most_span=43_200, floor=0.3)
 
 
-@query("cls_12_scoped_rules", f"select p_partkey, case when contains(lower(p_type), 'tin') and p_brand = 'Brand#11' then 'scoped' else {_METAL} end as metal from part")
+@query("cls_12_scoped_rules", f"select p_partkey, case when contains(lower(p_type), 'standard') and p_brand = 'Brand#11' then 'scoped' else {_METAL} end as metal from part")
 def scoped(spark, d):
-    own = R.Rule("site", "metal", "scoped", {"contains": ("p_type", "TIN")}, scope={"equals": ("p_brand", "Brand#11")})
+    own = R.Rule("site", "metal", "scoped", {"contains": ("p_type", "STANDARD")}, scope={"equals": ("p_brand", "Brand#11")})
     return _classified(spark, d, [own, *RULES]).select("p_partkey", F.col("metal.value").alias("metal"))
 
 
-_EFFECT = f"with b as (select p_partkey, {_METAL} as f, case when contains(lower(p_type), 'tin') then 'tin' else {_METAL} end as t, case when p_partkey % 2 = 0 then {_METAL} end as truth from part)"
+_EFFECT = f"with b as (select p_partkey, {_METAL} as f, case when contains(lower(p_type), 'standard') then 'tin' else {_METAL} end as t, case when p_partkey % 2 = 0 then {_METAL} end as truth from part)"
 
 
 @query("cls_13_effect", f"{_EFFECT} select 'metal' as axis, f as \"from\", t as \"to\", count(*) as n, count(case when f = truth and t is distinct from truth then 1 end) as made_wrong from b where f is distinct from t group by all")
 def effect(spark, d):
     before = _classified(spark, d).select("p_partkey", F.col("metal.value").alias("metal"))
-    after = _classified(spark, d, [R.Rule("tin", "metal", "tin", {"contains": ("p_type", "tin")}), *RULES]).select("p_partkey", F.col("metal.value").alias("metal"))
+    after = _classified(spark, d, [R.Rule("tin", "metal", "tin", {"contains": ("p_type", "standard")}), *RULES]).select("p_partkey", F.col("metal.value").alias("metal"))
     truth = before.filter("p_partkey % 2 = 0").select("p_partkey", F.lit("metal").alias("axis"), F.col("metal").alias("truth"))
     return R.effect(before, after, "p_partkey", ["metal"], truth)
 
@@ -150,7 +150,7 @@ def rehearsal(spark, d):
     return R.rehearsal(read(spark, d, "part").select("p_partkey"), "p_partkey", 100, "s1")
 
 
-@query("cls_15_signals", f"""with {_PARTS}, v as (select p_partkey, metal, rule as won, unnest([x for x in [case when list_contains(regexp_split_to_array(lower(p_type), '[^a-z0-9#]+'), 'steel') then 'steel/header' end, case when contains(lower(p_type), 'brass') and p_size < 40 then 'brass/name' end, case when regexp_matches(p_type, '(COPPER|TIN|NICKEL)$') then 'other/inferred' end, 'none/default'] if x is not null]) as t from c)
+@query("cls_15_signals", f"""with {_PARTS}, v as (select p_partkey, metal, rule as won, unnest([x for x in [case when list_contains(regexp_split_to_array(lower(p_type), '[^a-z0-9#]+'), 'economy') then 'steel/header' end, case when contains(lower(p_type), 'small') and p_size < 40 then 'brass/name' end, case when regexp_matches(p_type, '(MEDIUM|PROMO)$') then 'other/inferred' end, 'none/default'] if x is not null]) as t from c)
 select 'metal' as axis, split_part(t, '/', 1) as value, split_part(t, '/', 2) as tier, count(*) as votes, count(case when split_part(t, '/', 1) <> metal then 1 end) as shadowed, min(case won when 'steel' then 0.95 when 'brass' then 0.8 when 'any_metal' then 0.6 else 0.3 end)::double as lo, max(case won when 'steel' then 0.95 when 'brass' then 0.8 when 'any_metal' then 0.6 else 0.3 end)::double as hi from v group by all""")
 def signals(spark, d):
     metal = [r for r in RULES if r.axis == "metal"]
@@ -163,10 +163,23 @@ def texts(spark, d):
     return R.texts(_classified(spark, d), "p_type", F.col("size").isNotNull(), 20)
 
 
-@query("cls_17_disagreements", "select 'hue' as axis, 'name' as tier, 'g' as a, 's' as b, count(*) as n from part where contains(lower(p_name), '1') and p_size > 20 having count(*) > 0")
+_HUES = "h as (select p_partkey, x.rule, x.value, x.tier, x.place from part, (values ('g', 'one', 'name', 0), ('s', 'big', 'name', 1), ('t', 'econ', 'name', 2), ('u', 'plain', 'default', 3)) x(rule, value, tier, place) where case x.rule when 'g' then contains(lower(p_name), '1') when 's' then p_size > 20 when 't' then contains(lower(p_type), 'economy') else true end)"
+
+
+def _hues(spark, d):
+    hue = [R.Rule("g", "hue", "one", {"contains": ("p_name", "1")}, "name"), R.Rule("s", "hue", "big", {"above": ("p_size", 20)}, "name"), R.Rule("t", "hue", "econ", {"contains": ("p_type", "economy")}, "name"), R.Rule("u", "hue", "plain", {"present": "p_type"}, "default")]
+    return R.votes(read(spark, d, "part"), "p_partkey", hue)
+
+
+@query("cls_17_disagreements", f"with {_HUES} select 'hue' as axis, x.tier, x.rule as a, y.rule as b, count(*) as n from h x join h y on x.p_partkey = y.p_partkey and x.tier = y.tier and x.rule < y.rule and x.value <> y.value group by all")
 def disagreements(spark, d):
-    hue = [R.Rule("g", "hue", "one", {"contains": ("p_name", "1")}, "name"), R.Rule("s", "hue", "big", {"above": ("p_size", 20)}, "name")]
-    return R.disagreements(R.votes(read(spark, d, "part"), "p_partkey", hue), "p_partkey")
+    return R.disagreements(_hues(spark, d), "p_partkey")
+
+
+@query("cls_17_who_beat_whom", f"with {_HUES}, w as (select * from h qualify place = min(place) over (partition by p_partkey)) select 'hue' as axis, w.rule as winner, h.rule as loser, count(*) as n from w join h on h.p_partkey = w.p_partkey and h.rule <> w.rule and h.value <> w.value group by all")
+def who_beat_whom(spark, d):
+    order = F.create_map(*[F.lit(x) for i, r in enumerate("gstu") for x in (r, i)])
+    return R.beaten(_hues(spark, d), "p_partkey", order[F.col("rule")])
 
 
 @query("cls_18_illegal", f"with {_PARTS} select p_partkey, metal, size from c where size is not null and (metal, size) not in (('steel', 'small'), ('steel', 'large'), ('none', 'small'))")
@@ -190,11 +203,13 @@ def holdout(spark, d):
     return R.holdout(_units(spark, d), "k", _VOTE_DIMS, "l_returnflag", 0.2, "h")
 
 
-@query("cls_21_order_independence", "select count(*) as units, 0::bigint as differ from part")
+_ORDERED = f"""with b as (select * replace ('' as part, '' as subj) from ({_BINNED})), {_OFFSETS}, whole as (select q, c, a, count(*) as n from b where l_linestatus = 'F' group by all), asked as (select distinct q, c, part, subj from b where l_linestatus = 'O'), {_vote_sql("asked", "whole", "global", "one")}
+select count(*) as units, count(case when starts_with(method, 'expanded') or method = 'exact_bin' then 1 end) as answered, 0::bigint as differ from b join one using (q, c, part, subj) where l_linestatus = 'O'"""
+
+
+@query("cls_21_order_independence", _ORDERED)
 def order_independence(spark, d):
-    p = read(spark, d, "part")
-    parts = [p.filter(F.pmod(F.hash("p_partkey"), F.lit(4)) == i) for i in range(4)]
-    forward, backward = (reduce(lambda a, b: a.unionByName(b), [R.classify(x, RULES) for x in order]) for order in (parts, parts[::-1]))
-    answer = lambda x, n: x.select("p_partkey", F.struct("metal.value", F.col("size.value").alias("size")).alias(n))
-    both = answer(forward, "a").join(answer(backward, "b"), "p_partkey", "full_outer")
-    return both.agg(F.count(F.lit(1)).alias("units"), F.count(F.when(~F.col("a").eqNullSafe(F.col("b")), 1)).alias("differ"))
+    """The vote taken part by part, forward and backward, over a reference that the parts' answers do not join: no answer differs."""
+    u = _units(spark, d).withColumn("id", F.xxhash64("k", "l_partkey", "l_suppkey", "l_extendedprice"))
+    asked, reference = u.filter("l_linestatus = 'O'"), u.filter("l_linestatus = 'F'")
+    return R.order_independence(asked, reference, "id", _VOTE_DIMS, "l_returnflag", parts=4)

@@ -286,7 +286,7 @@ def falls_at(spark, d):
     return O.falls_at(_orders(spark, d), "o_orderkey", _steps())
 
 
-@query("diag_4_ties_and_gaps", "select (select count(*) from (select o_custkey from orders qualify row_number() over (partition by o_custkey order by o_orderpriority, o_orderkey) = 1 and count(*) over (partition by o_custkey, o_orderpriority) > 1 and rank() over (partition by o_custkey order by o_orderpriority) = 1)) as tied_picks, (select count(*) from lineitem join orders on o_orderkey = l_orderkey where l_shipdate < o_orderdate) as reversed_gaps, (select count(*) from orders where o_orderkey % 3 = 2) as too_coarse")
+@query("diag_4_ties_and_gaps", "select (select count(*) from (select o_custkey from orders qualify row_number() over (partition by o_custkey order by o_orderpriority, o_orderkey) = 1 and count(*) over (partition by o_custkey, o_orderpriority) > 1 and rank() over (partition by o_custkey order by o_orderpriority) = 1)) as tied_picks, (select count(*) from lineitem join orders on o_orderkey = l_orderkey where l_shipdate < o_orderdate) as reversed_gaps, (select count(*) from orders where o_orderkey % 3 = 2) as too_coarse, (select count(*) from (select 'Customer#' || lpad((c_custkey * 3)::varchar, 9, '0') as v from customer where c_custkey % 50 = 1) where v not in (select c_name from customer)) as unresolved")
 def ties(spark, d):
     from corvane.operators.sets import pick
 
@@ -295,7 +295,9 @@ def ties(spark, d):
     days = read(spark, d, "lineitem").join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
     gaps = days.agg(F.count(F.when(F.col("l_shipdate") < F.col("o_orderdate"), 1)).alias("reversed_gaps"))
     coarse_ = o.agg(F.count(F.when(F.col("o_orderkey") % 3 == 2, 1)).alias("too_coarse"))
-    return tied.crossJoin(gaps).crossJoin(coarse_)
+    c = read(spark, d, "customer")
+    named = c.filter("c_custkey % 50 = 1").select(F.concat(F.lit("Customer#"), F.lpad((F.col("c_custkey") * 3).cast("string"), 9, "0")).alias("c_name"))
+    return tied.crossJoin(gaps).crossJoin(coarse_).crossJoin(O.unresolved(named, c, "c_name"))
 
 
 @query("diag_6_folded_funnel", f"select *, lag(rows) over (order by step) - rows as lost from ({_funnel_sql()})")

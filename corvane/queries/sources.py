@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corvane.operators import models as M
 from corvane.plans.grains import read, retail
@@ -10,6 +11,7 @@ from corvane.sources import tables as S
 from corvane.streaming import arrivals as A
 
 from .base import query
+from .review import _DECISIONS
 
 
 @query("src_2_arrivals", """with f as (select url as path, min(page_id) as p from pages group by 1 having count(*) = 1)
@@ -84,11 +86,14 @@ def unresolved(spark, d):
     return S.resolved(_values(spark, d), read(spark, d, "customer"), "c_name", "c_custkey")[1]
 
 
-@query("src_8_selection", "select distinct c_custkey from customer where c_nationkey = 4 or c_custkey % 100 = 5 or c_custkey in (select o_custkey from orders where o_orderkey % 1000 = 9)")
+@query("src_8_selection", "select distinct c_custkey from customer where c_nationkey = 4 or c_custkey % 100 = 5 or c_custkey in (select o_custkey from orders where o_orderkey % 1000 = 9) or c_custkey in (select o_custkey from orders join lineitem on l_orderkey = o_orderkey where l_partkey % 500 = 77)")
 def selection(spark, d):
-    c, o = read(spark, d, "customer"), read(spark, d, "orders")
-    wanted = spark.createDataFrame([("cohort", "4")], "grain string, ref string").union(c.filter("c_custkey % 100 = 5").select(F.lit("subject"), F.col("c_custkey").cast("string"))).union(o.filter("o_orderkey % 1000 = 9").select(F.lit("session"), F.col("o_orderkey").cast("string")))
-    return S.selection(wanted, {"cohort": (c, "c_nationkey", "c_custkey"), "subject": (c, "c_custkey", "c_custkey"), "session": (o, "o_orderkey", "o_custkey")}, "c_custkey")[0]
+    c, o, li = read(spark, d, "customer"), read(spark, d, "orders"), read(spark, d, "lineitem")
+    of = o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    units = li.select("l_orderkey", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("unit"), "l_partkey").join(of, "l_orderkey").distinct()
+    wanted = spark.createDataFrame([("cohort", "4")], "grain string, ref string").union(c.filter("c_custkey % 100 = 5").select(F.lit("subject"), F.col("c_custkey").cast("string"))).union(o.filter("o_orderkey % 1000 = 9").select(F.lit("session"), F.col("o_orderkey").cast("string"))).union(units.filter("l_partkey % 500 = 77").select(F.lit("unit"), "unit"))
+    grains = {"cohort": (c, "c_nationkey", "c_custkey"), "subject": (c, "c_custkey", "c_custkey"), "session": (o, "o_orderkey", "o_custkey"), "unit": (units, "unit", "o_custkey")}
+    return S.selection(wanted, grains, "c_custkey")[0]
 
 
 @query("src_8_not_found", "select 'subject' as grain, (c_custkey + 100000000)::varchar as ref from customer where c_custkey % 500 = 1")
@@ -98,9 +103,18 @@ def not_found(spark, d):
     return S.selection(wanted, {"subject": (c, "c_custkey", "c_custkey")}, "c_custkey")[1]
 
 
-@query("src_9_handle", "select o_orderkey, o_totalprice from orders where o_totalprice > 250000")
+def _frozen(spark, d):
+    return S.freeze(read(spark, d, "orders").filter("o_totalprice > 250000").select("o_orderkey", "o_custkey"), "o_orderkey", page_rows=100, epoch=7)
+
+
+@query("src_9_handle", "select o_orderkey, o_custkey, row_number() over (order by o_orderkey) - 1 as _position, (row_number() over (order by o_orderkey) - 1) // 100 as _page from orders where o_totalprice > 250000")
 def handle(spark, d):
-    return S.freeze(read(spark, d, "orders").filter("o_totalprice > 250000").select("o_orderkey", "o_totalprice"), "o_orderkey")[0]
+    return _frozen(spark, d)[0]
+
+
+@query("src_9_handle_row", "with r as (select sha256(concat_ws('|', o_custkey, o_orderkey)) as h from orders where o_totalprice > 250000) select 'o_orderkey,o_custkey' as columns, count(*) as rows, (count(*) + 99) // 100 as pages, 7::bigint as epoch, sha256(concat_ws('|', count(*), coalesce(sum(('0x' || substr(h, 1, 8))::bigint), 0), coalesce(sum(('0x' || substr(h, 9, 8))::bigint), 0))) as hash from r")
+def handle_row(spark, d):
+    return _frozen(spark, d)[1]
 
 
 @query("src_10_content_hash", "with r as (select sha256(concat_ws('|', o_custkey, o_orderkey, o_orderstatus)) as h from orders) select count(*) as rows, sha256(concat_ws('|', count(*), sum(('0x' || substr(h, 1, 8))::bigint), sum(('0x' || substr(h, 9, 8))::bigint))) as hash from r")
@@ -117,10 +131,24 @@ def saved(spark, d):
     return s.run("orders")
 
 
-@query("src_12_label_set", "select doc_id, quality from labels where doc_id % 10 <> 0")
+def _label_decisions(spark, d):
+    from .review import _decisions
+
+    return _decisions(spark, d).withColumn("blind", F.col("decision_id") % 3 > 0)
+
+
+_IN_FORCE = f"select unit, axis, value, author, decision_id from ({_DECISIONS}) where committed and not withdrawn qualify row_number() over (partition by unit, axis order by case author when 'person' then 3 when 'agent' then 2 else 1 end desc, case scope when 'stack' then 4 when 'group' then 3 when 'series' then 2 else 1 end desc, decided_at desc, decision_id desc) = 1"
+
+
+@query("src_12_label_set", _IN_FORCE)
 def label_set(spark, d):
-    labels = read(spark, d, "labels").select("doc_id", "quality")
-    return S.label_set(labels, labels.filter("doc_id % 10 = 0"), "doc_id")[0]
+    return S.label_set(_label_decisions(spark, d), "unit", "axis", ["unit", "axis", "decision_id"])[0]
+
+
+@query("src_12_training_set", f"select * from ({_IN_FORCE}) where decision_id % 3 > 0 and unit % 10 <> 0")
+def training_set(spark, d):
+    rows = _label_decisions(spark, d)
+    return S.label_set(rows, "unit", "axis", ["unit", "axis", "decision_id"], rows.filter("unit % 10 = 0").select("unit").distinct(), training=True)[0]
 
 
 @query("src_13_vote_matrix", "select p_partkey, unnest(['size', 'brand']) as rule, unnest([p_size::varchar, p_brand]) as value from part")
@@ -147,9 +175,23 @@ def breaches(spark, d):
     return S.breaches(_measures(spark, d), checks).select("name", "l_orderkey", "number")
 
 
-@query("src_15_manifest", "select o_custkey, count(distinct cast(o_orderdate as date)) as sessions, count(*) as scans from orders group by 1")
+def _dataset(spark, d):
+    return S.manifests(retail(spark, d).scan("session"), "o_custkey", "day", "o_orderkey")
+
+
+@query("src_15_manifest", "select o_custkey, count(distinct cast(o_orderdate as date)) as sessions, count(distinct o_orderkey) as scans from orders group by 1")
 def manifest(spark, d):
-    return S.manifest(retail(spark, d).scan("session"), ["o_custkey"], sessions=F.countDistinct("day"), scans=F.count(F.lit(1)))
+    return _dataset(spark, d)["participants"]
+
+
+@query("src_15_sessions", "select o_custkey, cast(o_orderdate as date) as day, count(distinct o_orderkey) as scans from orders group by 1, 2")
+def manifest_sessions(spark, d):
+    return _dataset(spark, d)["sessions"]
+
+
+@query("src_15_scans", "select distinct o_custkey, cast(o_orderdate as date) as day, o_orderkey from orders")
+def manifest_scans(spark, d):
+    return _dataset(spark, d)["scans"]
 
 
 def _stream(spark, d, name):
@@ -183,17 +225,17 @@ def running_report(spark, d):
 
 def _prompts(spark, d):
     e = read(spark, d, "embeddings")
-    means = e.groupBy("label").agg(*[F.avg(F.element_at("embedding", i + 1).cast("double")).alias(f"v{i}") for i in range(16)])
-    return means.select("label", F.array(*[F.round(f"v{i}", 6) for i in range(16)]).alias("prompt"))
+    means = e.groupBy("label").agg(*[F.avg(F.element_at("embedding", i + 1).cast("double")).alias(f"v{i}") for i in range(64)])
+    return means.select("label", F.array(*[F.round(f"v{i}", 6) for i in range(64)]).alias("prompt"))
 
 
 def _scores(spark, d):
-    e = read(spark, d, "embeddings").select("vec_id", F.col("label").alias("truth"), F.slice("embedding", 1, 16).alias("v"))
+    e = read(spark, d, "embeddings").select("vec_id", F.col("label").alias("truth"), F.col("embedding").alias("v"))
     return e, M.zero_shot(e, _prompts(spark, d), "vec_id", "v", 5.0)
 
 
-_MEANS = ", ".join(f"round(avg(embedding[{i}]::double), 6)" for i in range(1, 17))
-_ZERO = f"""with m as (select label, [{_MEANS}] as p from embeddings group by 1), v as (select vec_id, label as truth, list_transform(embedding[1:16], lambda x: x::double) as e from embeddings),
+_MEANS = ", ".join(f"round(avg(embedding[{i}]::double), 6)" for i in range(1, 65))
+_ZERO = f"""with m as (select label, [{_MEANS}] as p from embeddings group by 1), v as (select vec_id, label as truth, list_transform(embedding, lambda x: x::double) as e from embeddings),
 s as (select vec_id, truth, label, exp(list_cosine_similarity(e, p) * 5) as x from v, m), t as (select *, sum(x) over (partition by vec_id) as a, row_number() over (partition by vec_id order by x desc, label desc) as r, lead(x) over (partition by vec_id order by x desc, label desc) as nx from s),
 z as (select vec_id, truth, label, round(x / a, 6) as probability, round((x - nx) / a, 6) as margin from t where r = 1)"""
 
@@ -209,7 +251,16 @@ def gated(spark, d):
     return M.threshold_gate(rows, "l_orderkey", "l_quantity", 48, 2).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("kept"))
 
 
-@query("ml_3_diverse")
+_DIVERSE = """with recursive u as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings),
+f as (select vec_id, e from u order by md5('0:' || vec_id), vec_id limit 1),
+r as (select 0 as place, vec_id, [e] as es, false as over from f
+  union all select place + 1, k, list_append(es, (select e from u where vec_id = k)), g <= 0 from (
+    select any_value(place) as place, any_value(es) as es, arg_min(vec_id, (-gap, vec_id)) as k, max(gap) as g from (
+      select r.place, r.es, u.vec_id, round(list_min(list_transform(r.es, lambda p: 1 - list_cosine_similarity(u.e, p))), 9) as gap from r, u where not over and r.place < 19) group by place))
+select vec_id, place::int as place from r where not over"""
+
+
+@query("ml_3_diverse", _DIVERSE)
 def diverse(spark, d):
     return M.diverse(read(spark, d, "embeddings"), "vec_id", "embedding", 20)
 
@@ -230,10 +281,25 @@ def stratified(spark, d):
     return M.stratified(read(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"], "o_orderkey", 200, "m").select("o_orderkey")
 
 
-@query("ml_6_unit_answer")
+_SLICES = """with l as (select *, l_suppkey % 40 + 1 as a, l_partkey % 40 + 1 as b, l_quantity as c, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1 as i, count(*) over (partition by l_orderkey) as n from lineitem),
+s as (select *, case when l_orderkey % 3 = 0 then 'Axial' when l_orderkey % 3 = 1 then 'coronal' end as o from l),
+x as (select l_orderkey, i, n, o, unnest([{'label': 'brain', 'p': case when o = 'Axial' and l_orderkey % 2 = 0 and i < n / 2 then 0.9 else a / (a + b + c) end}, {'label': 'spine', 'p': case when o = 'Axial' and l_orderkey % 2 = 0 and i >= n / 2 then 0.8 else b / (a + b + c) end}, {'label': 'both', 'p': c / (a + b + c)}], recursive := true) from s),
+p as (select l_orderkey, label, any_value(o) as o, any_value(n) as n, round(sum(p * w) / sum(w), 9) as m, round(avg(case when i < g then p end), 9) as f, round(avg(case when i >= n - g then p end), 9) as z from (select *, greatest(1, n * 2 // 5) as g, case when o = 'coronal' and i = n // 2 then 2.0 else 1.0 end as w from x) group by 1, 2),
+u as (select l_orderkey, any_value(o) as o, any_value(n) as n, arg_min(label, (-m, label)) as ml, max(m) as mp, arg_min(label, (-f, label)) as fl, max(f) as fp, arg_min(label, (-z, label)) as zl, max(z) as zp from p group by 1),
+k as (select *, coalesce(o = 'Axial' and n >= 4 and fl = 'brain' and zl = 'spine', false) as composed from u)
+select l_orderkey, case when composed then 'both' else ml end as answer, round(round(case when composed then least(fp, zp) else mp end, 6) + 1e-7, 3)::double as p, case when composed then 'composed' when o = 'coronal' then 'centre' else 'mean' end as rule from k"""
+
+
+@query("ml_6_unit_answer", _SLICES)
 def unit_answer(spark, d):
-    rows = read(spark, d, "lineitem").withColumn("pos", F.struct("l_linenumber", "l_partkey", "l_suppkey"))
-    return M.unit_answer(rows, "l_orderkey", "pos", "l_returnflag", "l_discount")
+    w = Window.partitionBy("l_orderkey")
+    a, b, c = F.col("l_suppkey") % 40 + 1, F.col("l_partkey") % 40 + 1, F.col("l_quantity")
+    rows = read(spark, d, "lineitem").withColumn("i", F.row_number().over(w.orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    rows = rows.withColumn("o", F.when(F.col("l_orderkey") % 3 == 0, "Axial").when(F.col("l_orderkey") % 3 == 1, "coronal"))
+    split, early = (F.col("o") == "Axial") & (F.col("l_orderkey") % 2 == 0), F.col("i") < F.col("n") / 2
+    one = lambda name, p: F.struct(F.lit(name).alias("label"), p.cast("double").alias("p"))
+    labels = F.array(one("brain", F.when(split & early, 0.9).otherwise(a / (a + b + c))), one("spine", F.when(split & ~early, 0.8).otherwise(b / (a + b + c))), one("both", c / (a + b + c)))
+    return M.unit_answer(rows.select("l_orderkey", "i", "o", F.inline(labels)), "l_orderkey", "i", "label", "p", "o", "brain", "spine", "both").withColumn("p", F.round(F.col("p") + 1e-7, 3))
 
 
 @query("ml_7_head")
@@ -246,12 +312,12 @@ def head(spark, d):
     return out.select("vec_id", "truth", "prediction")
 
 
-_LOGITS = "select vec_id, label, list_transform(embedding[1:10], lambda x: x::double) as z from embeddings"
+_LOGITS = "select vec_id, label, list_transform(embedding, lambda x: x::double) as z from embeddings"
 
 
 @query("ml_8_temperature", f"with l as ({_LOGITS}), g as (select unnest([0.25, 0.5, 1.0, 2.0, 4.0])::double as t) select t as temperature, round(avg(ln(list_sum(list_transform(z, lambda x: exp(x / t)))) - z[label + 1] / t), 6) as loss from l, g group by 1")
 def temperature(spark, d):
-    e = read(spark, d, "embeddings").withColumn("z", F.slice("embedding", 1, 10))
+    e = read(spark, d, "embeddings").withColumn("z", F.col("embedding"))
     return M.temperature(e, "z", "label", [0.25, 0.5, 1.0, 2.0, 4.0]).withColumn("loss", F.round("loss", 6))
 
 
@@ -261,18 +327,29 @@ def calibration(spark, d):
     return M.calibration_error(o, "p", F.col("o_orderstatus") == "O").withColumn("ece", F.round("ece", 6))
 
 
-@query("ml_9_brier", f"with l as ({_LOGITS}) select round(avg(list_sum([(z[i + 1] - (label = i)::int) ** 2 for i in range(0, 10)])), 6) as brier from l")
+@query("ml_9_brier", f"with l as ({_LOGITS}) select round(avg(list_sum([(z[i + 1] - (label = i)::int) ** 2 for i in range(0, 64)])), 6) as brier from l")
 def brier(spark, d):
-    return M.brier(read(spark, d, "embeddings").withColumn("z", F.slice("embedding", 1, 10)), "z", "label").select(F.round("brier", 6).alias("brier"))
+    return M.brier(read(spark, d, "embeddings").withColumn("z", F.col("embedding")), "z", "label").select(F.round("brier", 6).alias("brier"))
 
 
 def _sites(spark, d):
     return read(spark, d, "orders").select("o_orderpriority", ((F.col("o_totalprice") - 150000) / 50000).alias("s"), (F.col("o_orderstatus") == "O").cast("int").alias("y"))
 
 
-@query("ml_10_platt")
+_PLATT = """with recursive o as (select o_orderpriority, ((o_totalprice - 150000) / 50000)::double as s, (o_orderstatus = 'O')::int as y from orders),
+n as (select o_orderpriority, sum(y) as pos, sum(1 - y) as neg, count(*) as rows from o group by 1 having sum(y) >= 20 and sum(1 - y) >= 20),
+x as (select o_orderpriority, s, case when y = 1 then (pos + 1) / (pos + 2) else 1 / (neg + 2) end::double as t from o join n using (o_orderpriority)),
+r as (select o_orderpriority, 0 as i, 0.0::double as a, 0.0::double as b from n
+  union all select o_orderpriority, i + 1, a - (h00 * g1 - h10 * g0) / (h11 * h00 - h10 * h10), b - (h11 * g0 - h10 * g1) / (h11 * h00 - h10 * h10) from (
+    select o_orderpriority, i, a, b, sum((p - t) * s) as g1, sum(p - t) as g0, sum(p * (1 - p) * s * s) as h11, sum(p * (1 - p) * s) as h10, sum(p * (1 - p)) as h00
+    from (select r.*, s, t, 1 / (1 + exp(-(a * s + b))) as p from r join x using (o_orderpriority) where i < 12) group by 1, 2, 3, 4))
+select o_orderpriority, round(a, 4) as a, round(b, 4) as b, rows, true as converged from r join n using (o_orderpriority) where i = 12"""
+
+
+@query("ml_10_platt", _PLATT)
 def platt(spark, d):
-    return M.platt(_sites(spark, d), "o_orderpriority", "s", "y")[0]
+    fitted = M.platt(_sites(spark, d), "o_orderpriority", "s", "y")[0]
+    return fitted.withColumn("a", F.round("a", 4)).withColumn("b", F.round("b", 4))
 
 
 @query("ml_11_fused", "select l_orderkey * 8 + l_linenumber as k, round(-1 + case when l_quantity > 10 then l_quantity * 0.05 else 0.2 end + case when l_discount > 0.02 then l_discount * 3 else -0.1 end, 6)::double as logit from lineitem")
@@ -285,3 +362,9 @@ def fused(spark, d):
 def to_do(spark, d):
     done = read(spark, d, "labels").select("doc_id", (F.col("toxic") == 1).alias("rejected"), (F.col("quality") == 0).alias("replaced"))
     return M.to_do(read(spark, d, "documents").select("doc_id"), done, ["doc_id"])
+
+
+@query("ml_12_reuse", "with r as (select o_custkey % 700 as k, o_orderkey as result, cast(o_orderdate as date) as made from orders where o_orderstatus <> 'P' and o_orderpriority <> '5-LOW') select c_custkey, (select arg_max(result, (made, result)) from r where r.k = c_custkey) as result from customer")
+def reuse(spark, d):
+    results = read(spark, d, "orders").select((F.col("o_custkey") % 700).alias("k"), F.col("o_orderkey").alias("result"), F.to_date("o_orderdate").alias("made"), (F.col("o_orderstatus") == "P").alias("rejected"), (F.col("o_orderpriority") == "5-LOW").alias("replaced"))
+    return M.reusable(read(spark, d, "customer").select("c_custkey", F.col("c_custkey").alias("k")), results, "k").select("c_custkey", "result")

@@ -70,12 +70,31 @@ def source_labels(spark, d):
     return T.source_labels(read(spark, d, "pages").withColumn("site", F.col("page_id") % 40), "site", "url", 3, "([a-z]+)")
 
 
+def _exact(spark, d):
+    s = _sessions(spark, d)
+    rows = s.join(T.anchors(s, "o_custkey", "session_first"), "o_custkey").withColumn("anchor", F.date_add("anchor", 30))
+    return rows.select("o_custkey", "session_first", F.round(T.months_exact(F.col("anchor"), F.col("session_first")), 6).alias("months"))
+
+
+# sessions that share a month's label: three policies that no order of demotion decides
+_SETTLE = f"""{_CADENCE}, g as (select o_custkey, session_first, round(months, 6) as months, month, b[1] as gap, b[2]::int as pt from p),
+q as (select *, case when months < 0 and month <> 0 then 'PRE' || lpad(month::varchar, 2, '0') when month = 0 then 'M00' when gap <= 3.5 then 'M' || lpad(pt::varchar, 2, '0') else 'M' || lpad(month::varchar, 2, '0') end as want from g),
+n as (select *, count(*) over (partition by o_custkey, want) as n from q)"""
+
+
+@query("time_7_settle_date", f"with recursive {_SETTLE} select o_custkey, session_first, round(months, 4) as months, case when n = 1 then want end as label, n > 1 as flagged from n")
+def settle_date(spark, d):
+    return T.settle(_exact(spark, d), "o_custkey", "session_first", "months", [0, 6, 12, 18, 24, 36, 48, 60, 72], 3.5, "date", relax=False).withColumn("months", F.round("months", 4))
+
+
+@query("time_7_settle_merge", f"with recursive {_SETTLE} select o_custkey, session_first, round(months, 4) as months, want as label, false as flagged from n")
+def settle_merge(spark, d):
+    return T.settle(_exact(spark, d), "o_custkey", "session_first", "months", [0, 6, 12, 18, 24, 36, 48, 60, 72], 3.5, "merge", relax=False).withColumn("months", F.round("months", 4))
+
+
 @query("time_7_settle")
 def settle(spark, d):
-    s = _sessions(spark, d)
-    rows = s.join(T.anchors(s, "o_custkey", "session_first"), "o_custkey")
-    months = (F.datediff("session_first", "anchor") / F.lit(30.4375)).alias("months")
-    return T.settle(rows.select("o_custkey", "session_first", months), "o_custkey", "session_first", "months", [0, 6, 12, 18, 24, 36, 48, 60, 72], 3.5, "suffix")
+    return T.settle(_exact(spark, d), "o_custkey", "session_first", "months", [0, 6, 12, 18, 24, 36, 48, 60, 72], 3.5, "suffix")
 
 
 @query("time_8_refresh", f"with recursive {_SESSIONS} select * from s")
@@ -115,7 +134,7 @@ def date_vote(spark, d):
     return T.vote_dates(c, "l_orderkey", "day", "w")
 
 
-@query("time_11_history", "select o_orderkey as object, cast(o_orderdate as date) as day, 'ordered' as kind from orders union all select l_orderkey, cast(l_shipdate as date), 'shipped' from lineitem")
+@query("time_11_history", "select *, (row_number() over (partition by object order by day nulls last, kind))::int as place from (select o_orderkey as object, cast(o_orderdate as date) as day, 'ordered' as kind from orders union all select l_orderkey, cast(l_shipdate as date), 'shipped' from lineitem)")
 def history(spark, d):
     m = retail(spark, d)
     return T.history({"ordered": (m.scan("session"), "o_orderkey", "day"), "shipped": (m.scan("unit"), "l_orderkey", "day")})

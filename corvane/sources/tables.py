@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.plans.storage import fresh_path
+from corvane.operators.review import in_force
+from corvane.operators.sets import numbered
+from corvane.plans.storage import fresh_path, small_or_shuffled
 
 
 def arrivals(seen: DataFrame, now: DataFrame, path: str = "path", again: bool = False) -> DataFrame:
@@ -79,7 +81,7 @@ def imported(rows: DataFrame, table: DataFrame, spec: Import) -> DataFrame:
 
 def checked_events(events: DataFrame, kinds: DataFrame) -> DataFrame:
     """Events with a refusal reason by their kind's vocabulary: unknown kind, or a number out of its range."""
-    v = F.broadcast(kinds.select(F.col("kind"), F.col("lo"), F.col("hi"), F.lit(True).alias("__k")))
+    v = small_or_shuffled(kinds.select(F.col("kind"), F.col("lo"), F.col("hi"), F.lit(True).alias("__k")))
     reason = F.when(F.col("__k").isNull(), "unknown kind").when(F.col("number") < F.col("lo"), "below").when(F.col("number") > F.col("hi"), "above")
     return events.join(v, "kind", "left").withColumn("refused", reason).drop("__k", "lo", "hi")
 
@@ -97,11 +99,16 @@ def selection(wanted: DataFrame, grains: Mapping[str, tuple[DataFrame, str, str]
     return all_.filter(F.col(subject).isNotNull()).select(subject).distinct(), all_.filter(F.col(subject).isNull()).select("grain", "ref").distinct()
 
 
-def freeze(df: DataFrame, key: str, page_rows: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """A frozen answer in the shared folder, in key order with page numbers; and its content hash."""
+def freeze(df: DataFrame, key: str, page_rows: int = 1000, epoch: int = 0) -> tuple[DataFrame, DataFrame]:
+    """A frozen answer in the shared folder, in key order with _position (from 0) and _page; and its handle: columns, rows, pages, epoch and content hash."""
+    numbers = numbered(df, [key], "_position").withColumn("_position", F.col("_position") - 1)
+    paged = numbers.withColumn("_page", F.floor(F.col("_position") / page_rows).cast("long"))
     path = fresh_path(df.sparkSession, "handle")
-    df.repartitionByRange(key).sortWithinPartitions(key).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), content_hash(df)
+    paged.repartitionByRange("_position").sortWithinPartitions("_position").write.parquet(path)
+    kept = df.sparkSession.read.schema(paged.schema).parquet(path)
+    pages = F.ceil(F.col("rows") / page_rows).cast("long")
+    handle = content_hash(kept.select(*df.columns)).select(F.lit(",".join(df.columns)).alias("columns"), "rows", pages.alias("pages"), F.lit(epoch).cast("long").alias("epoch"), "hash")
+    return kept, handle
 
 
 def canonical(df: DataFrame) -> Column:
@@ -136,10 +143,17 @@ class Selections:
         return self._saved[name, version](lambda other, v=None: self.run(other, v, depth + 1))
 
 
-def label_set(labels: DataFrame, sealed: DataFrame | None, key: str) -> tuple[DataFrame, DataFrame]:
-    """Labels in canonical order for a TSV file, without sealed units if given; and their digest."""
-    rows = labels if sealed is None else labels.join(sealed.select(key), key, "left_anti")
-    return rows.orderBy(*sorted(rows.columns)), content_hash(rows)
+def label_set(decisions: DataFrame, unit: str, axis: str, order: Sequence[str], sealed: DataFrame | None = None, training: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Labels in canonical order for a TSV file, and their digest: the decision in force of each unit and axis.
+
+    The training variant leaves out sealed units and labels that were not made blind (column blind).
+    """
+    rows = in_force(decisions, unit, axis)
+    if training:
+        blind = decisions.filter("blind").select("decision_id")
+        rows = rows.join(blind, "decision_id", "left_semi")
+        rows = rows if sealed is None else rows.join(sealed.select(unit), unit, "left_anti")
+    return rows.orderBy(*order), content_hash(rows)
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
@@ -156,7 +170,7 @@ def measures(runs: DataFrame, unit: str, version: str, run: str, names: Sequence
 
 def breaches(measures_: DataFrame, checks: DataFrame) -> DataFrame:
     """Numbers outside their declared range."""
-    return measures_.join(F.broadcast(checks), "name").filter((F.col("number") < F.col("lo")) | (F.col("number") > F.col("hi"))).drop("lo", "hi")
+    return measures_.join(small_or_shuffled(checks), "name").filter((F.col("number") < F.col("lo")) | (F.col("number") > F.col("hi"))).drop("lo", "hi")
 
 
 def manifest(df: DataFrame, keys: Sequence[str], **counts: Column) -> DataFrame:
@@ -164,5 +178,16 @@ def manifest(df: DataFrame, keys: Sequence[str], **counts: Column) -> DataFrame:
     return df.groupBy(*keys).agg(*[v.alias(k) for k, v in counts.items()])
 
 
+def manifests(scans: DataFrame, subject: str, session: str, scan: str) -> dict[str, DataFrame]:
+    """The three manifests of a dataset: participants with their sessions and scans, sessions with their scans, and scans."""
+    n = {"scans": F.countDistinct(scan)}
+    return {"participants": manifest(scans, [subject], sessions=F.countDistinct(session), **n), "sessions": manifest(scans, [subject, session], **n), "scans": scans.select(subject, session, scan).distinct()}
+
+
+def write_manifests(tables: Mapping[str, DataFrame], folder: str) -> None:
+    for name, df in tables.items():
+        write_tsv(df, f"{folder}/{name}.tsv")
+
+
 def safe_name(text: str) -> str:
     return re.sub(r"[^A-Za-z0-9]+", "", text)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -175,10 +176,16 @@ def test_exact_bound(spark):
 
 
 def test_identifier_map_chain_and_conflict(spark):
-    df = spark.createDataFrame([(1, "A", None), (2, "A", "x"), (3, "C", "x"), (4, "D", "y")], "r int, a string, b string")
-    subjects, conflicts = identity.identifier_map(df, "r", ["a", "b"])
-    assert rows(subjects) == [(1, 1), (2, 1), (3, 1), (4, 4)]
-    assert rows(conflicts) == [(1, "a", 2, 3)]
+    df = spark.createDataFrame([(1, "A", None, "p"), (2, "A", "x", "p"), (3, "C", "x", "q"), (4, "D", "y", None), (5, None, " ", "r")], "r int, a string, b string, code string")
+    subjects, conflicts, report = identity.identifier_map(df, "r", ["a", "b"], "code")
+    assert rows(subjects) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5)]
+    assert rows(conflicts) == [(3, "repeated"), (5, "empty")]
+    assert rows(report) == [(3, 2, False)]
+    known = spark.createDataFrame([("a", "A", "p"), ("b", "x", "z"), ("a", "D", "t")], "type string, value string, subject string")
+    merged = spark.createDataFrame([("q", "p")], "code string, into string")
+    conflicts, report = identity.identifier_map(df, "r", ["a", "b"], "code", known, merged)[1:]
+    assert rows(conflicts) == [(2, "mapped"), (2, "two subjects"), (3, "mapped"), (3, "merged"), (3, "repeated"), (5, "empty")]
+    assert one(report)["known"] == 2
 
 
 def test_number_check(spark):
@@ -212,9 +219,55 @@ def test_version_changes(spark):
     assert rows(release.versions(old, new, "k", "d", "p")) == [(1, "unchanged"), (2, "moved"), (3, "rewritten"), (4, "removed"), (5, "added")]
 
 
+def settled(spark, months, how, relax=True, cadence=(0, 6, 12), tolerance=3.5):
+    df = spark.createDataFrame([(1, day(i), m) for i, m in enumerate(months)], "s int, d date, m double")
+    return [(r["label"], r["flagged"]) for r in timelines.settle(df, "s", "d", "m", list(cadence), tolerance, how, relax).orderBy("d").collect()]
+
+
+def test_sessions_that_want_one_label(spark):
+    assert settled(spark, [5.0, 6.1], "date", relax=False) == [(None, True), (None, True)]
+    assert settled(spark, [5.0, 6.1], "merge", relax=False) == [("M06", False), ("M06", False)]
+    assert settled(spark, [5.0, 6.1], "demote", relax=False) == [("M05", True), ("M06", False)]
+    assert settled(spark, [6.2, 6.1], "demote", relax=False) == [(None, True), ("M06", False)]
+    assert settled(spark, [6.2, 6.1, 6.3], "suffix", relax=False) == [("M06b", True), ("M06", False), ("M06c", True)]
+    assert settled(spark, [8.9, 6.1], "date") == [("M12", False), ("M06", False)]  # the free point in reach
+    assert settled(spark, [-6.2, -5.9, 6.0], "suffix") == [("PRE06", False), ("PRE06b", True), ("M06", False)]
+    assert settled(spark, [20.2, -0.3, None], "date") == [("M20", False), ("M00", False), (None, False)]
+
+
+def test_draw_ends_in_its_cell(spark):
+    df = spark.range(3000).withColumnRenamed("id", "k")
+    want = sorted(range(3000), key=lambda i: hashlib.sha256(f"s:w:{i}".encode()).hexdigest())
+    for n in (0, 1, 299, 3000, 4000):
+        assert {r["k"] for r in review.draw(df, "s", "w", "k", count=n).collect()} == set(want[:n])
+    assert review.draw(df.limit(0), "s", "w", "k", share=0.1).count() == 0
+
+
+def test_duplicates_end_a_diverse_pick_and_its_choice_is_greedy(spark):
+    df = spark.createDataFrame([(i, [float(i % 3 == k) for k in range(3)]) for i in range(12)], "k int, v array<double>")
+    assert models.diverse(df, "k", "v", 9).count() == 3
+    assert models.diverse(df.limit(0), "k", "v", 3).count() == 0
+
+
+def test_numbers_of_groups_run_over_ranges(spark):
+    df = spark.createDataFrame([(None if i % 11 == 0 else i % 40, i % 7) for i in range(400)], "a int, s int")
+    got = rows(sets.group(df, ["a"], "s").select("_group", "a"))
+    assert [r[1] for r in sorted(got)] == [*range(40), None]
+
+
+def test_near_of_a_busy_subject_with_tied_days_and_timestamps(spark):
+    anchors = spark.createDataFrame([(i, 1, day(i % 50)) for i in range(200)] + [(900, 2, day(3)), (901, 1, None)], "k int, s int, d date")
+    partners = spark.createDataFrame([(i, 1, day(i * 3 % 60)) for i in range(300)], "k int, s int, d date")
+    for policy in ("nearest", "first", "last"):
+        for lo, hi in ((-5, 5), (2, 9), (-9, -2), (None, 0), (1, None)):
+            how = dict(key="k", subject="s", day="d", partner_key="k", partner_day="d", lo=lo, hi=hi, optional=True)
+            coarse = partners.withColumn("p", F.lit("day"))  # forms the pairs
+            assert rows(sets.near(anchors, partners, policy=policy, **how)) == rows(sets.near(anchors, coarse, policy=policy, precision="p", **how))
+
+
 def test_diverse_pick_spreads(spark):
-    df = spark.createDataFrame([(i, [float(i % 4) * 10, float(i // 4) / 100]) for i in range(40)], "k int, v array<double>")
-    got = {r["k"] % 4 for r in models.diverse(df, "k", "v", 4, parts=2).collect()}
+    df = spark.createDataFrame([(i, [math.cos(i % 4 * 1.5) + i / 1e4, math.sin(i % 4 * 1.5)]) for i in range(40)], "k int, v array<double>")
+    got = {r["k"] % 4 for r in models.diverse(df, "k", "v", 4).collect()}
     assert got == {0, 1, 2, 3}
 
 
