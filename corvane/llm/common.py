@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -54,7 +55,9 @@ def stored(df: DataFrame) -> DataFrame:
 
 def released(spark: SparkSession) -> None:
     """Spark deletes the shuffle files of plans that nothing refers to when the driver collects garbage; after a large table is stored that is asked for, so that they don't lie beside the next ones."""
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round lets go of is only collected by the next
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:

@@ -37,7 +37,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,9 +46,8 @@ from . import common as C
 KEPT = 5
 #: Most words in the list that every task gets.
 CACHED = 200_000
-#: Tokens that a task gathers into one batch.
-BATCH = 1_500_000
-_HASH = xxhash.xxh3_64_intdigest
+#: Tokens that a task gathers into one batch, and that a bucket of contexts holds, about.
+BATCH, BUCKET = 1_500_000, 2_000_000
 END = np.int64(1)  # never a word's hash in practice: hashes keep their upper bits
 _CODEC = pa.Codec("zstd", compression_level=1)
 
@@ -59,12 +57,13 @@ def _fold(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
 
 
-def tokens(text: bytes) -> np.ndarray:
-    words = text.lower().split()
-    out = np.empty(len(words) + 1, np.int64)
-    out[:-1] = np.fromiter(map(_HASH, words), np.uint64, len(words)).view(np.int64)
-    out[-1] = END
-    return out
+def tokens(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """Hashes of each text's words, and the end."""
+    for chunk in C.chunks(texts):
+        words, sizes = C.word_hashes(chunk)
+        ends = np.cumsum(sizes)
+        whole = np.insert(words.view(np.int64), ends, END)
+        yield from np.split(whole, (ends + np.arange(1, len(ends) + 1))[:-1])
 
 
 def discounts(counts_of_counts: dict[int, int]) -> np.ndarray:
@@ -116,10 +115,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
             return C.record(schema, *np.unique(np.concatenate(held), return_counts=True))
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), C.raw(batch), strict=True):
+            for doc, found in zip(batch.column(0).to_pylist(), tokens(C.raw(batch)), strict=True):
                 if not _fold(doc):
-                    held.append(tokens(text))
-                    size += len(held[-1])
+                    held.append(found)
+                    size += len(found)
             if size >= 2 * BATCH:
                 yield counted()
                 held, size = [], 0
@@ -216,8 +215,8 @@ def _sends(shared):
                 yield C.record(_SENT, bucket[edge].astype(np.int32), np.full(len(blobs), part), np.zeros(len(blobs), np.int32), blobs)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), C.raw(batch), strict=True):
-                held.append(tokens(text))
+            for doc, found in zip(batch.column(0).to_pylist(), tokens(C.raw(batch)), strict=True):
+                held.append(found)
                 ids.append(doc)
                 size += len(held[-1])
                 if size >= BATCH or len(held) >= 65_000:
@@ -361,8 +360,9 @@ def _probabilities(counts: DataFrame, words: Words) -> DataFrame:
 def score_documents(docs: DataFrame, listed: int | None = None, cached: int = CACHED) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     counts = C.stored(word_counts(docs))
+    tokens_ = counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    buckets = max(16, -(-int(tokens_) * 7 // (6 * BUCKET)))  # their number grows with the tokens, not their size
     words = word_level(counts, buckets, cached if listed is None else listed, listed is not None)
     shared, total = spark.sparkContext.broadcast(words), words.total
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

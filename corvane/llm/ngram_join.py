@@ -338,7 +338,7 @@ def _edges(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, perc
     both = pairs.join(C.hinted(side("a")), "a").join(C.hinted(side("b")), "b").filter(F.col("a_id") != F.col("b_id"))
     both = both.filter(F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
     both = C.stored(both.select(F.col("a_id").alias("head"), "b_id", F.col("a").alias("head_h1"), "b"))
-    cells = both.join(both.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / HELD).alias("cells")), "head").withColumn("cell", F.pmod(F.xxhash64("b_id"), "cells"))
+    cells = both.join(C.hinted(both.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / HELD).alias("cells"))), "head").withColumn("cell", F.pmod(F.xxhash64("b_id"), "cells"))
     need = cells.select("head", "cell", F.col("b_id").alias("id"), F.col("b").alias("h1")).union(cells.select("head", "cell", "head", "head_h1").distinct())
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text")).join(C.hinted(need), "id").select("head", "cell", "id", "h1", "text")
     rows = rows.repartition("head", "cell").sortWithinPartitions("head", "cell")
@@ -391,6 +391,7 @@ def link_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     met = C.stored(C.map_arrow(sent, _meet, "sig long, a long, b long"))
     C.released(docs.sparkSession)
     stars = _central(met)
+    C.released(docs.sparkSession)
     base = base.drop("point")
     pairs = met.filter("sig is null").select("a", "b").union(stars.select("a", "b")).distinct()
     edges = _edges(docs, nodes, pairs, width, percent, True)

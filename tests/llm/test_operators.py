@@ -143,8 +143,49 @@ def test_signatures_meet_whenever_sets_link():
             a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
             b = a[rng.random(n) > rng.choice([0.0, 0.05, 0.15])]
             b = np.unique(np.concatenate([b, rng.integers(0, 2**63, rng.integers(0, max(1, n // 12) + 1), dtype=np.uint64)]))
-            if len(b) and ngram_join._linked(a, b, 85) and not np.array_equal(a, b):
-                assert np.intersect1d(bands.signatures(a), bands.signatures(b)).size
+            if len(b) and ngram_join.linked(a, [b], 85)[0] and not np.array_equal(a, b):
+                found, of = bands.signatures([a, b])
+                assert np.intersect1d(found[of == 0], found[of == 1]).size
+
+
+def test_linked_counts_like_sets():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype(np.uint64) for _ in range(6)]
+        for percent in (50, 85):
+            want = [100 * len(np.intersect1d(sets[0], x)) >= percent * len(np.union1d(sets[0], x)) for x in sets[1:]]
+            assert ngram_join.linked(sets[0], sets[1:], percent).tolist() == want
+
+
+def test_word_hashes_are_those_of_the_words():
+    rng = random.Random(3)
+    texts = ["", " ", "A b\tc\n\x0bD\x0c", "é ü x\x1cy", *(text(rng, rng.choice([1, 7, 300])) for _ in range(40)), "w " * 300_000]
+    number, back = {}, {}
+    for lower, apart in ((True, b""), (False, b""), (True, b".,")):
+        for chunk in common.chunks([t.encode() for t in texts]):
+            found, sizes = common.word_hashes(chunk, lower, apart)
+            words = [re.findall(rb"[^\x20\x09-\x0D" + apart + rb"]+", t.lower() if lower else t) for t in chunk]
+            assert sizes.tolist() == [len(w) for w in words]
+            for w, h in zip(itertools.chain(*words), found.tolist(), strict=True):
+                assert number.setdefault(w, h) == h and back.setdefault(h, w) == w
+
+
+def test_every_set_off_the_main_component_is_found(spark):
+    """A block with a large component and sets beside it, whose links lie among themselves."""
+    rng = random.Random(31)
+    base = text(rng, 300).split()
+    far = list(base)
+    for i in range(0, 300, 6):
+        far[i] = "q" + str(i)
+    texts = []
+    for words, n in ((base, 700), (far, 40)):
+        for i in range(n):
+            w = list(words)
+            w[rng.randrange(300)] = f"z{i}"
+            texts.append(" ".join(w))
+    got = by_id(ngram_join.link_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4, 60))
+    want = classes(shingle_sets(texts, 4), 60)
+    assert {i: r["component_id"] for i, r in got.items()} == want
 
 
 def test_rtree_finds_all_that_a_scan_finds():
