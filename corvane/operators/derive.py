@@ -100,9 +100,16 @@ def role(tokens: Column, roles: Sequence[tuple[str, str]], default: str) -> Colu
     return out
 
 
-def shells(df: DataFrame, key: str, value: str, step: float, gate: Column) -> DataFrame:
-    """Per key: the distinct values on a grid, sorted, and how many rows are not at zero; where the gate holds."""
-    return df.filter(gate).groupBy(key).agg(F.array_join(F.array_sort(F.collect_set((F.round(F.col(value) / step) * step).cast("long"))), ",").alias("shells"), F.count(F.when(F.round(F.col(value) / step) != 0, 1)).alias("directions"))
+def shells(df: DataFrame, key: str, value: str, step: float, gate: Column, vector: Sequence[str], phase: str) -> DataFrame:
+    """Per key, where the gate holds: the distinct values on a grid, sorted; the distinct directions (to two decimals, either sign being one) of rows off
+    zero; and the encoding direction, where the rows state just one."""
+    on = F.round(F.col(value) / step)
+    parts = [F.round(F.col(c), 2) + F.lit(0.0) for c in vector]
+    lead = F.coalesce(*[F.when(c != 0, F.signum(c)) for c in parts], F.lit(1.0))
+    direction = F.concat_ws(",", *[F.format_string("%.2f", c * lead + F.lit(0.0)) for c in parts])
+    every = F.transform(F.array_sort(F.collect_set((on * step).cast("long"))), lambda x: x.cast("string"))
+    phases = F.countDistinct(phase)
+    return df.filter(gate).groupBy(key).agg(F.array_join(every, ",").alias("shells"), F.countDistinct(F.when(on != 0, direction)).alias("directions"), F.when(phases == 1, F.min(phase)).alias("encoding"))
 
 
 def frame_interval(df: DataFrame, key: str, position: str, second: str, stated: str | None = None, day: str | None = None) -> DataFrame:

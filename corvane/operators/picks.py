@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.plans.storage import small_or_shuffled
+
 POINTS = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 
@@ -65,16 +67,47 @@ def borders(df: DataFrame, flags: Mapping[str, Column]) -> DataFrame:
     return df.withColumn("borders", F.array_join(F.array_compact(F.array(*[F.when(c, n) for n, c in flags.items()])), ","))
 
 
+def more_borders(groups: DataFrame, candidates: DataFrame, chosen: DataFrame, per: str, key: str, score_: str, *, close: float, shares_: DataFrame, rare_of: str, rare: float, dim: str, slices: str, points: DataFrame, family: str, moment: str, tokens: str, twin_at: float, fallback: tuple[str, Sequence[str]], rival: tuple[str, str, float]) -> DataFrame:
+    """(per, key, borders) for every group, the ones without a candidate too: why a person should look at the pick.
+
+    nothing; too_close (the margin is `close` at most); rare (the winner's value has a smaller share than `rare` of the reference); retake (its
+    family was acquired at several moments); unknown_dim; slice_outlier (outside p05 to p95 of its dimension's population);
+    pre_post_twin (a candidate at or above twin_at of the winner's score shares no token with it); fallback (the winner holds one of some values); rival
+    (family, token, fraction: the winner is of the family, and a candidate without the token is within the fraction of its score).
+    """
+    w = chosen.join(candidates.select(per, F.col(key), F.col(family).alias("__family"), F.col(rare_of).alias("__value"), F.col(dim).alias("__dim"), F.col(slices).alias("__slices"), F.col(tokens).alias("__tokens"), F.col(fallback[0]).alias("__fall")), [per, key])
+    side = w.select(per, F.col(key).alias("__k"), F.col("score").alias("__top"), "__family", "__tokens")
+    others = candidates.join(side, per)
+    rest = F.col(key) != F.col("__k")
+    twin = rest & (F.round(F.col(score_) - F.lit(twin_at) * F.col("__top"), 9) >= 0) & ~F.coalesce(F.arrays_overlap(tokens, "__tokens"), F.lit(False))
+    gap = F.round(F.try_divide(F.col("__top") - F.col(score_), F.col("__top")), 9)
+    near_ = rest & ~F.array_contains(tokens, rival[1]) & (gap <= rival[2]) & (F.col("__family") == rival[0])
+    facts = others.groupBy(per).agg(F.countDistinct(F.when(F.col(family).eqNullSafe(F.col("__family")), F.col(moment))).alias("__takes"), F.max(twin.cast("int")).alias("__twin"), F.max(near_.cast("int")).alias("__rival"))
+    w = w.join(facts, per).join(small_or_shuffled(shares_.select(F.col("value").alias("__value"), F.col("share").alias("__share"))), "__value", "left").join(small_or_shuffled(points.select(F.col(dim).alias("__dim"), "p05", "p95")), "__dim", "left")
+    out = groups.select(per).join(w, per, "left")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    flags = {
+        "nothing": F.col(key).isNull(),
+        "too_close": yes((F.col("candidates") > 1) & (F.col("margin") <= close)),
+        "rare": F.col(key).isNotNull() & yes(F.coalesce(F.col("__share"), F.lit(0.0)) < rare),
+        "retake": yes(F.col("__takes") > 1),
+        "unknown_dim": F.col(key).isNotNull() & (F.coalesce(F.trim(F.col("__dim").cast("string")), F.lit("")) == ""),
+        "slice_outlier": yes((F.col("__slices") > 0) & ((F.col("__slices") < F.col("p05")) | (F.col("__slices") > F.col("p95")))),
+        "pre_post_twin": yes(F.col("__twin") == 1),
+        "fallback": yes(F.col("__fall").isin(list(fallback[1]))),
+        "rival": yes(F.col("__rival") == 1),
+    }
+    return borders(out, flags).select(per, key, "borders")
+
+
 def eligible(df: DataFrame, rules: DataFrame, scopes: Sequence[tuple[str, Column]], kind: str) -> DataFrame:
-    """Rows with the place of their kind under the most specific rule: rules are (scope, ref, kind, place), scopes from widest to narrowest."""
-    hits = None
-    for rank, (scope, ref) in enumerate(scopes):
-        r = rules.filter(F.col("scope") == scope).select(F.col("ref").alias("__ref"), F.col("kind").alias(kind), "place")
-        part = df.withColumn("__ref", ref.cast("string")).join(F.broadcast(r), ["__ref", kind]).withColumn("__rank", F.lit(rank)).drop("__ref")
-        hits = part if hits is None else hits.unionByName(part)
-    keys = df.columns
-    best = hits.groupBy(*keys).agg(F.max(F.struct("__rank", "place"))["place"].alias("place"))
-    return best.filter("place is not null")
+    """Rows with the place of their kind under the most specific rule: rules are (scope, ref, kind, place), scopes from widest to narrowest; a null place leaves the kind out."""
+    out, place = df, F.lit(None).cast("int")
+    for i, (scope, ref) in enumerate(scopes):
+        r = rules.filter(F.col("scope") == scope).select(F.col("ref").alias("__ref"), F.col("kind").alias(kind), F.struct("place").alias(f"__rule{i}")).dropDuplicates(["__ref", kind])
+        out = out.withColumn("__ref", ref.cast("string")).join(small_or_shuffled(r), ["__ref", kind], "left").drop("__ref")
+        place = F.when(F.col(f"__rule{i}").isNotNull(), F.col(f"__rule{i}.place")).otherwise(place)
+    return out.withColumn("place", place).filter("place is not null").select(*df.columns, "place")
 
 
 def overridden(picks: DataFrame, persons: DataFrame, per: Sequence[str], key: str) -> DataFrame:

@@ -181,18 +181,60 @@ def from_siblings(df: DataFrame, key: str, group: str, axis: str, evidence: Colu
     return out.withColumn(axis, F.when(F.col(axis).isNull() & ~F.coalesce(fixed, F.lit(False)) & (sibling > 0), F.lit(value)).otherwise(F.col(axis))).drop("__shown", "__first")
 
 
-def bracket(df: DataFrame, group: str, at: str, sign: str) -> DataFrame:
-    """Time bracket: from the first positive on `post`, up to the last negative `pre`, else null; flags where they cross.
-
-    sign is 1 (positive), -1 (negative) or null.
+def bracket(df: DataFrame, group: str, at: str, sign: str, number: str, *, trusted: Column, bolus: Column, region: str, day: str, untimed: Column, model: Column, tagged: Column, split_gap: float) -> DataFrame:
+    """Time bracket of a group (a session): label pre or post, the reason where there is none, flags, and weak_first.
+
+    sign is a certified answer, 1 (post), -1 (pre) or null; such rows keep their own.  Others are post behind the first positive, pre ahead of the last
+    negative, if the series numbers agree; nothing where the two cross, in an untrusted group, or between them.  Then the checks, each of which withdraws labels unless it
+    is said to flag only:
+
+    C3  a bolus ahead of the last negative withdraws all; else it makes unlabelled rows behind it post
+    C2  several regions in a group are flagged; a label that its own region's bracket does not give goes
+    C4  flags a split dose: boluses split_gap apart, or one behind the first positive
+    C5  a group of several days; rows with untimed images; a number that contradicts the time flags
+    C8  weak_first: the first positive is a model's alone, without another, a tag behind it or a bolus ahead of it
     """
-    w = Window.partitionBy(group)
-    first, last = F.min(F.when(F.col(sign) == 1, F.col(at))).over(w), F.max(F.when(F.col(sign) == -1, F.col(at))).over(w)
-    out = df.withColumn("first_positive", first).withColumn("last_negative", last)
-    crossed = F.col("first_positive") <= F.col("last_negative")
-    label = F.when(F.coalesce(crossed, F.lit(False)), F.lit(None)).when(F.col(at) >= F.col("first_positive"), "post").when(F.col(at) <= F.col("last_negative"), "pre")
-    flags = F.array_compact(F.array(F.when(crossed, "crossed"), F.when(F.col("first_positive").isNull(), "no_positive"), F.when(F.col("last_negative").isNull(), "no_negative")))
-    return out.withColumn("label", label).withColumn("flags", F.array_join(flags, ",")).drop("first_positive", "last_negative")
+    at_, n_ = F.col(at), F.col(number)
+    whole, part = Window.partitionBy(group), Window.partitionBy(group, region)
+    positive, negative = F.col(sign) == 1, F.col(sign) == -1
+    edge = lambda w, c, pick: pick(F.when(c & trusted, F.struct(at_.alias("t"), n_.alias("n")))).over(w)
+
+    def place(w) -> Column:
+        first, last = edge(w, positive & at_.isNotNull(), F.min), edge(w, negative & at_.isNotNull(), F.max)
+        after, before = at_ > first["t"], at_ < last["t"]
+        yes = lambda c: F.coalesce(c, F.lit(False))
+        post = yes(after) & F.coalesce(n_ > first["n"], F.lit(True))
+        pre = yes(before) & F.coalesce(n_ < last["n"], F.lit(True))
+        none = F.count(F.when(F.col(sign).isNotNull(), 1)).over(w) == 0
+        crossed = yes(first["t"] <= last["t"])
+        open_ = F.when(first.isNotNull() & last.isNotNull(), "window").when(first.isNotNull(), "post_only_before_first").otherwise("pre_only_after_last")
+        return F.when(~trusted | at_.isNull(), "no_trusted_time").when(none, "no_answer").when(crossed, "crossed").when(post, "post").when(pre, "pre").when(yes(after) | yes(before), "series_number").otherwise(open_)
+
+    own = F.when(positive, "post").when(negative, "pre")
+    out = df.withColumns({"__base": place(whole), "__exam": place(part), "__first": edge(whole, positive & at_.isNotNull(), F.min), "__last": edge(whole, negative & at_.isNotNull(), F.max)})
+    given = bolus & at_.isNotNull()
+    out = out.withColumns({"__bolus": F.min(F.when(given & trusted, at_)).over(whole), "__bolus_n": F.min(F.when(given, n_)).over(whole), "__bolus_to": F.max(F.when(given & trusted, at_)).over(whole), "__regions": F.size(F.collect_set(region).over(whole)), "__days": F.size(F.collect_set(day).over(whole)), "__others": F.count(F.when(positive, 1)).over(whole)})
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    early = yes(F.col("__bolus") < F.col("__last.t"))
+    open_ = F.col("__base").isin("window", "pre_only_after_last", "no_answer", "post_only_before_first")
+    added = own.isNull() & ~early & open_ & yes(at_ > F.col("__bolus")) & F.coalesce(n_ > F.col("__bolus_n"), F.lit(True)) & ~bolus
+    labelled = own.isNull() & F.col("__base").isin("pre", "post")
+    other = labelled & ~early & (F.col("__regions") > 1) & F.col(region).isNotNull() & (F.col("__exam") != F.col("__base"))
+    holds = labelled | added
+    reason = F.when(holds & early, "C3_bolus_before_last").when(other, "C2_exam").when(holds & (F.col("__days") > 1), "C5_midnight").when(holds & untimed, "C5_no_time")
+    two = yes(F.col("__bolus_to") - F.col("__bolus") >= split_gap) | yes(F.col("__bolus") > F.col("__first.t"))
+    split = trusted & two
+    between = split & yes((at_ > F.least("__bolus", "__first.t")) & (at_ < F.greatest("__bolus", "__first.t"))) & F.col("__first").isNotNull()
+    flags = [(early, "C3_bolus_before_last"), (added, "C3_bolus_post_added"), (F.col("__regions") > 1, "C2_multi_region"), (other, "C2_exam"), (split, "C4_split_session"), (between, "C4_split"), (F.col("__days") > 1, "C5_midnight"), (untimed, "C5_no_time"), (own.isNull() & (F.col("__base") == "series_number"), "C5_number_guard")]
+    is_first = positive & yes(at_ == F.col("__first.t"))
+    by_model = F.max(F.when(is_first, model.cast("int"))).over(whole) == 1
+    tag = F.max(F.when(tagged & yes(at_ >= F.col("__first.t")), 1)).over(whole).isNotNull()
+    weak = yes(by_model) & (F.col("__others") == 1) & ~tag & ~yes(F.col("__bolus") <= F.col("__first.t"))
+    base = F.when(added, "post").when(labelled, F.col("__base"))
+    label = F.coalesce(own, F.when(reason.isNull(), base))
+    why = F.when(label.isNull(), F.coalesce(reason, F.col("__base")))
+    marked = F.array_join(F.array_compact(F.array(*[F.when(yes(c), F.lit(name)) for c, name in flags])), ",")
+    return out.select(*df.columns, label.alias("label"), why.alias("reason"), marked.alias("flags"), weak.alias("weak_first"))
 
 
 def carried(df: DataFrame, key: str, subject: str, at: str, positive: Column, lo_hours: float, hi_hours: float) -> DataFrame:
@@ -246,6 +288,15 @@ def signals(votes_: DataFrame, decided: DataFrame, key: str) -> DataFrame:
     return both.groupBy("axis", "value", "tier").agg(F.count(F.lit(1)).alias("votes"), F.count(F.when(F.col("value") != F.col("__won"), 1)).alias("shadowed"), F.min("confidence").alias("lo"), F.max("confidence").alias("hi"))
 
 
+def override_words(votes_: DataFrame, decided: DataFrame, texts_: DataFrame, key: str, text: str, most: int) -> DataFrame:
+    """The words of units whose vote another value overrode: (axis, value, word, units), the most frequent of each axis and value."""
+    lost = votes_.join(decided.select(key, "axis", F.col("value").alias("__won")), [key, "axis"]).filter(F.col("value") != F.col("__won")).select(key, "axis", "value").distinct()
+    words = texts_.select(key, F.explode(F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9#]+"), lambda x: x != ""))).alias("word"))
+    n = lost.join(words, key).groupBy("axis", "value", "word").agg(F.count(F.lit(1)).alias("units"))
+    ranked = n.withColumn("__r", F.row_number().over(Window.partitionBy("axis", "value").orderBy(F.desc("units"), "word")))
+    return ranked.filter(F.col("__r") <= most).drop("__r")
+
+
 def texts(df: DataFrame, text: str, decided: Column, n: int) -> DataFrame:
     """The most frequent texts, with rows that are and are not decided."""
     return df.groupBy(text).agg(F.count(F.when(decided, 1)).alias("resolved"), F.count(F.when(~decided, 1)).alias("unresolved")).orderBy(F.desc("unresolved"), F.desc("resolved"), text).limit(n)

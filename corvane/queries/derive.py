@@ -94,11 +94,15 @@ def role(spark, d):
     return read(spark, d, "part").select("p_partkey", D.role(F.split("p_type", " "), [("ECONOMY", "primary"), ("SMALL", "derived")], "other").alias("role"))
 
 
-@query("der_10_shells", "select l_orderkey, string_agg(distinct q::varchar, ',' order by q::varchar) as shells, count(case when q <> 0 then 1 end) as directions from (select l_orderkey, l_returnflag, cast(round(l_quantity / 20) * 20 as bigint) as q from lineitem where l_returnflag <> 'N') group by 1")
+_SHELLS = """with r as (select l_orderkey, cast(round(l_quantity / 20) * 20 as bigint) as q, round(l_discount - 0.05, 2) + 0.0 as x, round(l_tax - 0.04, 2) + 0.0 as y, case when l_suppkey % 4 > 0 then l_linestatus end as ph from lineitem where l_returnflag <> 'N'),
+d as (select *, coalesce(case when x <> 0 then sign(x) end, case when y <> 0 then sign(y) end, 1) as g from r)
+select l_orderkey, array_to_string(list_transform(list_sort(list(distinct q)), lambda v: v::varchar), ',') as shells, count(distinct case when q <> 0 then (round(x * g, 2) + 0.0)::varchar || ',' || (round(y * g, 2) + 0.0)::varchar end) as directions, case when count(distinct ph) = 1 then min(ph) end as encoding from d group by 1"""
+
+
+@query("der_10_shells", _SHELLS)
 def shells(spark, d):
-    rows = D.shells(_lines(spark, d), "l_orderkey", "l_quantity", 20, F.col("l_returnflag") != "N")
-    numbers = F.transform(F.split("shells", ","), lambda x: x)
-    return rows.select("l_orderkey", F.array_join(F.array_sort(numbers), ",").alias("shells"), "directions")
+    rows = _lines(spark, d).withColumns({"x": F.col("l_discount") - 0.05, "y": F.col("l_tax") - 0.04, "ph": F.when(F.col("l_suppkey") % 4 > 0, F.col("l_linestatus"))})
+    return D.shells(rows, "l_orderkey", "l_quantity", 20, F.col("l_returnflag") != "N", ["x", "y"], "ph")
 
 
 _SECONDS = "select user_id, event_type || user_id % 3 || hour(ts) // 12 as event_type, cast(ts as date) as day, epoch(ts)::double as s, case when user_id % 10 = 0 then 60.0 end as stated from events where event_type in ('view', 'click')"

@@ -72,9 +72,32 @@ def borders(spark, d):
     return P.borders(_chosen(spark, d), {"too_close": F.abs("margin") <= 0.02, "alone": F.col("candidates") == 1, "rare": F.col("score") < 0.3}).select("l_orderkey", "borders")
 
 
-@query("pick_6_eligible", """with r(scope, ref, kind, place) as (values ('pack', 'all', 'A', 1), ('pack', 'all', 'N', 2), ('dataset', 'O', 'N', 1), ('dataset', 'F', 'A', null)), l as (select l_orderkey * 8 + l_linenumber as k, l_returnflag as kind, l_linestatus as ds from lineitem),
-h as (select l.k, l.kind, l.ds, r.place, case scope when 'pack' then 0 else 1 end as rank from l join r on r.kind = l.kind and (scope = 'pack' or ref = l.ds))
-select k, kind, place from h qualify row_number() over (partition by k, kind, ds order by rank desc) = 1 and place is not null""")
+_MORE = """with l as (select distinct on (l_orderkey, l_linenumber) *, l_orderkey * 8 + l_linenumber as k from lineitem order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice),
+a as (select *, round(l_quantity / 50, 9)::double as score, l_suppkey % 3 as family, case when l_partkey % 9 > 0 then l_returnflag end as dim, case l_linestatus when 'F' then ['a', 'b'] else ['b', 'c'] end[1 + l_partkey % 2:2] as tokens, 'v' || l_partkey % 40 as val, l_suppkey % 50 as fall from l),
+s as (select * from a where l_quantity > 20),
+sh as (select val, count(*) / sum(count(*)) over () as share from s group by 1),
+rk as (select dim, l_extendedprice as x, row_number() over (partition by dim order by l_extendedprice) - 1 as i, count(*) over (partition by dim) as n from s),
+pt as (select dim, min(case when i = round(0.05 * (n - 1)) then x end) as p05, min(case when i = round(0.95 * (n - 1)) then x end) as p95 from rk where n >= 3 and dim is not null group by 1),
+w as (select *, count(*) over (partition by l_orderkey) as candidates, lead(score) over (partition by l_orderkey order by score desc, k) as second from s qualify row_number() over (partition by l_orderkey order by score desc, k) = 1),
+f as (select w.l_orderkey, count(distinct case when s.family = w.family then s.l_shipdate end) as takes, bool_or(s.k <> w.k and round(s.score - 0.9 * w.score, 9) >= 0 and not list_has_any(s.tokens, w.tokens)) as twin, bool_or(s.k <> w.k and not list_contains(s.tokens, 'c') and round((w.score - s.score) / w.score, 9) <= 0.2 and w.family = 1) as rival from w join s using (l_orderkey) group by 1)
+select o_orderkey as l_orderkey, w.k, concat_ws(',', case when w.k is null then 'nothing' end, case when candidates > 1 and round((w.score - coalesce(second, 0)) / w.score, 9) <= 0.02 then 'too_close' end, case when w.k is not null and coalesce(share, 0) < 0.0245 then 'rare' end, case when takes > 1 then 'retake' end, case when w.k is not null and w.dim is null then 'unknown_dim' end,
+ case when w.l_extendedprice < p05 or w.l_extendedprice > p95 then 'slice_outlier' end, case when twin then 'pre_post_twin' end, case when w.fall in (3, 9) then 'fallback' end, case when rival then 'rival' end) as borders from orders left join w on w.l_orderkey = o_orderkey left join f on f.l_orderkey = o_orderkey left join sh on sh.val = w.val left join pt on pt.dim = w.dim"""
+
+
+@query("pick_5_all_borders", _MORE)
+def all_borders(spark, d):
+    first = F.min(F.struct("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_linestatus", "l_returnflag", "l_shipdate")).alias("r")
+    rows = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(first).select("l_orderkey", "l_linenumber", "r.*")
+    tokens = F.slice(F.when(F.col("l_linestatus") == "F", F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("b"), F.lit("c"))), F.col("l_partkey").cast("int") % 2 + 1, F.lit(2))
+    rows = rows.select("*", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("k"), F.round(F.col("l_quantity") / 50, 9).alias("score"), (F.col("l_suppkey") % 3).alias("family"), F.when(F.col("l_partkey") % 9 > 0, F.col("l_returnflag")).alias("dim"), tokens.alias("tokens"), F.concat(F.lit("v"), F.col("l_partkey") % 40).alias("val"), (F.col("l_suppkey") % 50).alias("fall")).filter("l_quantity > 20")
+    groups = read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
+    how = dict(close=0.02, shares_=P.shares(rows, "val"), rare_of="val", rare=0.0245, dim="dim", slices="l_extendedprice", points=P.percentiles(rows.filter("dim is not null"), "dim", "l_extendedprice"), family="family", moment="l_shipdate", tokens="tokens", twin_at=0.9, fallback=("fall", [3, 9]), rival=(1, "c", 0.2))
+    return P.more_borders(groups, rows, P.choose(rows, ["l_orderkey"], "k"), "l_orderkey", "k", "score", **how)
+
+
+@query("pick_6_eligible", """with r(scope, ref, kind, place) as (values ('pack', 'all', 'A', 1), ('pack', 'all', 'N', 2), ('dataset', 'O', 'N', 1), ('dataset', 'F', 'A', null)), l as (select l_orderkey * 8 + l_linenumber as k, row_number() over () as id, l_returnflag as kind, l_linestatus as ds from lineitem),
+h as (select l.id, l.k, l.kind, l.ds, r.place, case scope when 'pack' then 0 else 1 end as rank from l join r on r.kind = l.kind and (scope = 'pack' or ref = l.ds))
+select k, kind, place from h qualify row_number() over (partition by id order by rank desc) = 1 and place is not null""")
 def eligible(spark, d):
     rules = spark.createDataFrame([("pack", "all", "A", 1), ("pack", "all", "N", 2), ("dataset", "O", "N", 1), ("dataset", "F", "A", None)], "scope string, ref string, kind string, place int")
     rows = _lines(spark, d).select("k", F.col("l_returnflag").alias("kind"), F.col("l_linestatus").alias("ds"))

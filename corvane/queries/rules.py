@@ -98,15 +98,35 @@ def siblings(spark, d):
     return R.from_siblings(u, "k", "l_orderkey", "a", F.col("l_discount") > 0.05, "S", F.col("l_linestatus") == "F").select("l_orderkey", "l_linenumber", "a")
 
 
-_SIGN = "case when o_orderstatus = 'P' then 1 when o_orderstatus = 'F' then -1 end"
-
-
-@query("cls_9_bracket", f"""with b as (select o_orderkey, o_custkey, cast(o_orderdate as date) as day, {_SIGN} as s from orders),
-w as (select *, min(case when s = 1 then day end) over (partition by o_custkey) as p, max(case when s = -1 then day end) over (partition by o_custkey) as n from b)
-select o_orderkey, case when p <= n then null when day >= p then 'post' when day <= n then 'pre' end as label, concat_ws(',', case when p <= n then 'crossed' end, case when p is null then 'no_positive' end, case when n is null then 'no_negative' end) as flags from w""")
+def _place_sql(w: str) -> str:
+    f, l = f"min(case when s = 1 and t is not null and ok then t end) over {w}", f"max(case when s = -1 and t is not null and ok then t end) over {w}"
+    fn = f"arg_min(case when s = 1 and t is not null and ok then n end, case when s = 1 and t is not null and ok then {{'t': t, 'n': n}} end) over {w}"
+    ln = f"arg_max(case when s = -1 and t is not null and ok then n end, case when s = -1 and t is not null and ok then {{'t': t, 'n': n}} end) over {w}"
+    return f"""case when not ok or t is null then 'no_trusted_time' when count(s) over {w} = 0 then 'no_answer' when coalesce({f} <= {l}, false) then 'crossed' when coalesce(t > {f}, false) and coalesce(n > {fn}, true) then 'post'
+ when coalesce(t < {l}, false) and coalesce(n < {ln}, true) then 'pre' when coalesce(t > {f}, false) or coalesce(t < {l}, false) then 'series_number' when {f} is not null and {l} is not null then 'window' when {f} is not null then 'post_only_before_first' else 'pre_only_after_last' end"""
+
+
+_BRACKET = f"""with r as (select o_orderkey as n, o_custkey // 2 as g, case when o_orderkey % 37 > 0 then datediff('day', date '1990-01-01', cast(o_orderdate as date)) end as t, case when o_custkey % 3 = 0 and o_orderkey % 4 = 0 and year(o_orderdate) >= 1997 then 1 when o_custkey % 3 <= 1 and o_orderkey % 4 = 1 and year(o_orderdate) <= 1996 then -1 when o_orderkey % 97 = 0 then 1 end as s,
+  o_custkey // 2 % 7 > 0 as ok, o_custkey % 5 = 0 and o_orderkey % 9 = 0 as bolus, case when o_custkey % 8 = 0 then case when o_orderkey % 3 = 0 then 'spine' else 'head' end when o_orderkey % 2 = 0 then 'head' end as region, o_custkey % 11 // 10 * (o_orderkey % 2) as day, o_orderkey % 41 = 0 as untimed, o_orderkey % 2 = 0 as model, o_orderkey % 53 = 0 as tagged from orders),
+p as (select *, {_place_sql('w')} as base, {_place_sql('v')} as exam, min(case when s = 1 and t is not null and ok then t end) over w as f, max(case when s = -1 and t is not null and ok then t end) over w as l, min(case when bolus and t is not null and ok then t end) over w as b, max(case when bolus and t is not null and ok then t end) over w as bt, min(case when bolus and t is not null then n end) over w as bn,
+  len(list_distinct(list(region) filter (region is not null) over w)) as regions, len(list_distinct(list(day) over w)) as days, count(case when s = 1 then 1 end) over w as others from r window w as (partition by g), v as (partition by g, region)),
+q as (select *, coalesce(b < l, false) as early, s is null and base in ('pre', 'post') as labelled, max(case when s = 1 and coalesce(t = f, false) then model::int end) over w as fm, max(case when tagged and coalesce(t >= f, false) then 1 end) over w as tag from p window w as (partition by g)),
+a as (select *, s is null and not early and base in ('window', 'pre_only_after_last', 'no_answer', 'post_only_before_first') and coalesce(t > b, false) and coalesce(n > bn, true) and not bolus as added, labelled and not early and coalesce(regions, 0) > 1 and region is not null and exam <> base as other, ok and (coalesce(bt - b >= 400, false) or coalesce(b > f, false)) as split from q),
+z as (select *, case when (labelled or added) and early then 'C3_bolus_before_last' when other then 'C2_exam' when (labelled or added) and days > 1 then 'C5_midnight' when (labelled or added) and untimed then 'C5_no_time' end as why, case when s = 1 then 'post' when s = -1 then 'pre' end as own from a),
+y as (select *, coalesce(own, case when why is null then case when added then 'post' when labelled then base end end) as label from z)
+select n as o_orderkey, label, case when label is null then coalesce(why, base) end as reason, concat_ws(',', case when early then 'C3_bolus_before_last' end, case when added then 'C3_bolus_post_added' end, case when coalesce(regions, 0) > 1 then 'C2_multi_region' end, case when other then 'C2_exam' end, case when split then 'C4_split_session' end,
+  case when split and f is not null and coalesce(t > least(b, f) and t < greatest(b, f), false) then 'C4_split' end, case when days > 1 then 'C5_midnight' end, case when untimed then 'C5_no_time' end, case when s is null and base = 'series_number' then 'C5_number_guard' end) as flags,
+  coalesce(fm = 1, false) and others = 1 and tag is null and not coalesce(b <= f, false) as weak_first from y"""
+
+
+@query("cls_9_bracket", _BRACKET)
 def bracket(spark, d):
-    o = retail(spark, d).scan("session").withColumn("s", F.when(F.col("o_orderstatus") == "P", 1).when(F.col("o_orderstatus") == "F", -1))
-    return R.bracket(o, "o_custkey", "day", "s").select("o_orderkey", "label", "flags")
+    o, k, c = retail(spark, d).scan("session"), F.col("o_orderkey"), F.col("o_custkey")
+    sign = F.when((c % 3 == 0) & (k % 4 == 0) & (F.year("day") >= 1997), 1).when((c % 3 <= 1) & (k % 4 == 1) & (F.year("day") <= 1996), -1).when(k % 97 == 0, 1)
+    region = F.when(c % 8 == 0, F.when(k % 3 == 0, "spine").otherwise("head")).when(k % 2 == 0, "head")
+    rows = o.select("o_orderkey", c, F.floor(c / 2).alias("g"), F.when(k % 37 > 0, F.datediff("day", F.lit("1990-01-01").cast("date"))).alias("t"), sign.alias("s"), region.alias("region"), (F.floor(c % 11 / 10) * (k % 2)).alias("on"))
+    how = dict(trusted=F.col("g") % 7 > 0, bolus=(c % 5 == 0) & (k % 9 == 0), untimed=k % 41 == 0, model=k % 2 == 0, tagged=k % 53 == 0, split_gap=400)
+    return R.bracket(rows, "g", "t", "s", "o_orderkey", region="region", day="on", **how).select("o_orderkey", "label", "reason", "flags", "weak_first")
 
 
 @query("cls_10_carry_over", "select a.event_id, round(min(epoch(a.ts) - epoch(b.ts)) / 3600, 4) as hours from events a join events b on a.user_id = b.user_id and b.event_type = 'purchase' and (epoch(a.ts) - epoch(b.ts)) / 3600 between 24 and 72 group by 1")
@@ -158,6 +178,17 @@ def signals(spark, d):
     return R.signals(R.votes(read(spark, d, "part"), "p_partkey", metal), decided, "p_partkey")
 
 
+_LOST = f"with {_PARTS}, v as (select p_partkey, metal, p_type, p_brand, unnest([x for x in [case when list_contains(regexp_split_to_array(lower(p_type), '[^a-z0-9#]+'), 'economy') then 'steel' end, case when contains(lower(p_type), 'small') and p_size < 40 then 'brass' end, case when regexp_matches(p_type, '(MEDIUM|PROMO)$') then 'other' end, 'none'] if x is not null]) as value from c), w as (select value, unnest(list_distinct([x for x in regexp_split_to_array(lower(p_type || ' ' || p_brand), '[^a-z0-9#]+') if x <> ''])) as word from v where value <> metal), n as (select value, word, count(*) as units from w group by all)"
+
+
+@query("cls_15_override_words", f"{_LOST} select 'metal' as axis, value, word, units from n qualify row_number() over (partition by value order by units desc, word) <= 5")
+def override_words(spark, d):
+    metal = [r for r in RULES if r.axis == "metal"]
+    decided = _classified(spark, d, metal).select("p_partkey", F.lit("metal").alias("axis"), "metal.value")
+    parts = read(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_type", "p_brand").alias("text"))
+    return R.override_words(R.votes(read(spark, d, "part"), "p_partkey", metal), decided, parts, "p_partkey", "text", 5)
+
+
 @query("cls_16_texts", f"with {_PARTS} select p_type, count(case when size is not null then 1 end) as resolved, count(case when size is null then 1 end) as unresolved from c group by 1 order by unresolved desc, resolved desc, p_type limit 20")
 def texts(spark, d):
     return R.texts(_classified(spark, d), "p_type", F.col("size").isNotNull(), 20)

@@ -159,8 +159,13 @@ def test_ordered_rules(spark):
 
 def test_bracket(spark):
     df = spark.createDataFrame([(1, 1, -1), (1, 2, None), (1, 3, 1), (1, 4, None), (2, 1, 1), (2, 2, -1)], "g int, at int, sign int")
-    got = {(r["g"], r["at"]): (r["label"], r["flags"]) for r in rules.bracket(df, "g", "at", "sign").collect()}
-    assert got[1, 1][0] == "pre" and got[1, 2][0] is None and got[1, 4][0] == "post" and got[2, 1] == (None, "crossed")
+    df = df.union(spark.createDataFrame([(1, 0, None), (2, 3, None), (3, 5, None)], df.schema)).withColumn("n", F.col("at")).withColumn("region", F.lit(None).cast("string")).withColumn("day", F.lit(1))
+    no = F.lit(False)
+    how = dict(trusted=F.lit(True), bolus=no, region="region", day="day", untimed=no, model=no, tagged=no, split_gap=10)
+    got = {(r["g"], r["at"]): (r["label"], r["reason"]) for r in rules.bracket(df, "g", "at", "sign", "n", **how).collect()}
+    assert got == {(1, 0): ("pre", None), (1, 1): ("pre", None), (1, 2): (None, "window"), (1, 3): ("post", None), (1, 4): ("post", None), (2, 1): ("post", None), (2, 2): ("pre", None), (2, 3): (None, "crossed"), (3, 5): (None, "no_answer")}
+    bolus = rules.bracket(df, "g", "at", "sign", "n", **(how | {"bolus": (F.col("g") == 1) & (F.col("at") == 0)}))
+    assert {(r["at"], r["label"], r["reason"]) for r in bolus.filter("g = 1 and sign is null").collect()} == {(0, None, "C3_bolus_before_last"), (2, None, "window"), (4, None, "C3_bolus_before_last")}
 
 
 def test_draw_ignores_order(spark):
