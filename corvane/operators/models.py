@@ -24,8 +24,10 @@ def cosine(a: Column, b: Column) -> Column:
 def zero_shot(df: DataFrame, prompts: DataFrame, key: str, vector: str, temperature: float) -> DataFrame:
     """(key, label, probability, margin): softmax of cosines with each label's prompt vector; margin to the next label.
 
-    Prompts are a handful, so they travel to the vectors.
+    Prompts are a handful, so they travel to the vectors; more than a thousand are refused.
     """
+    if prompts.limit(1001).count() > 1000:
+        raise ValueError("prompts are compared with every vector; at most 1,000 are taken")
     pairs = df.select(key, vector).crossJoin(F.broadcast(prompts.select("label", F.col("prompt"))))
     scored = pairs.select(key, "label", F.exp(cosine(F.col(vector), F.col("prompt")) * temperature).alias("e"))
     one = scored.groupBy(key).agg(F.sum("e").alias("__all"), F.sort_array(F.collect_list(F.struct("e", "label")), asc=False).alias("__l"))

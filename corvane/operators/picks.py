@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from pyspark.sql.window import Window
 
 from corvane.plans.storage import small_or_shuffled
 
+from .sets import numbered
+
 POINTS = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 
@@ -20,11 +23,16 @@ def shares(df: DataFrame, axis: str) -> DataFrame:
 
 
 def percentiles(df: DataFrame, by: str, value: str, least: int = 3) -> DataFrame:
-    """Per group the value at sorted place round(q (n - 1)) for each of POINTS; groups with fewer than `least` values have none."""
-    w = Window.partitionBy(by).orderBy(value)
-    rows = df.filter(F.col(value).isNotNull()).select(by, value, (F.row_number().over(w) - 1).alias("__i"), F.count(F.lit(1)).over(Window.partitionBy(by)).alias("__n")).filter(F.col("__n") >= least)
-    at = lambda q: F.round(F.lit(q) * (F.col("__n") - 1))
-    return rows.groupBy(by).agg(*[F.min(F.when(F.col("__i") == at(q), F.col(value))).alias(f"p{round(q * 100):02d}") for q in POINTS])
+    """Per group the value at sorted place round(q (n - 1)) for each of POINTS; groups with fewer than `least` values have none.
+
+    All groups are sorted together by ranges, so a group of any size is spread over tasks.
+    """
+    rows = numbered(df.filter(F.col(value).isNotNull()).select(by, value), [by, value], "__at")
+    per = rows.groupBy(by).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= least).withColumnRenamed(by, "__by")
+    placed = rows.join(small_or_shuffled(per), F.col(by).eqNullSafe(F.col("__by"))).withColumn("__i", F.col("__at") - F.col("__first"))
+    at = {q: F.round(F.lit(q) * (F.col("__n") - 1)) for q in POINTS}
+    found = placed.filter(reduce(lambda a, b: a | b, [F.col("__i") == x for x in at.values()]))
+    return found.groupBy(by).agg(*[F.min(F.when(F.col("__i") == x, F.col(value))).alias(f"p{round(q * 100):02d}") for q, x in at.items()])
 
 
 def percentile_bucket(x: Column, points: Sequence[Column]) -> Column:

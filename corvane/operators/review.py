@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.plans.storage import small_or_shuffled
+
 AUTHORS = {"model": 1, "agent": 2, "person": 3}
 SCOPES = {"subject": 1, "series": 2, "group": 3, "stack": 4}
 BANDS = (0.9, 0.95, 0.99)
@@ -25,10 +27,20 @@ def fraction(hash_: Column) -> Column:
     return F.conv(F.substring(hash_, 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
 
 
+def first_keys(df: DataFrame, by: Sequence[str], key: str, n: int, count: str, name: str) -> DataFrame:
+    """Per group its rows, and its n least keys comma-joined; a group is dealt over parts that keep n keys each, so none is ever gathered."""
+    by = list(by)
+    part = Window.partitionBy(*by, "__part").orderBy(key)
+    few = df.select(*by, key, F.pmod(F.xxhash64(key), F.lit(64)).alias("__part")).withColumn("__r", F.row_number().over(part)).filter(F.col("__r") <= n)
+    lists = few.groupBy(*by).agg(F.slice(F.array_sort(F.collect_list(key)), 1, n).cast("array<string>").alias("__k"))
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias(count))
+    same = [counts[c].eqNullSafe(lists[c]) for c in by]
+    return counts.join(lists, same, "left").select(*[counts[c] for c in by], count, F.array_join("__k", ",").alias(name))
+
+
 def grouped_questions(df: DataFrame, kind: str, evidence: str, key: str) -> DataFrame:
     """One question per (kind, evidence) with its members; the list names the first five only, all are counted."""
-    ranked = df.withColumn("__r", F.row_number().over(Window.partitionBy(kind, evidence).orderBy(key)))
-    return ranked.groupBy(kind, evidence).agg(F.count(F.lit(1)).alias("members"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("__r") <= 5, F.col(key)))).cast("array<string>"), ",").alias("first"))
+    return first_keys(df, [kind, evidence], key, 5, "members", "first")
 
 
 def in_force(decisions: DataFrame, unit: str, axis: str) -> DataFrame:
@@ -93,7 +105,7 @@ def bernoulli(df: DataFrame, seed: str, identity: str, share: float) -> DataFram
 def plant(df: DataFrame, seed: str, identity: str, value: str, share: float, confusions: DataFrame) -> DataFrame:
     """Plant the value most often confused with the true one in an exact share of the rows: adds shown and planted."""
     wrong = confusions.groupBy("truth").agg(F.max_by("answer", F.struct("n", "answer")).alias("__wrong"))
-    able = df.join(F.broadcast(wrong), df[value] == wrong["truth"]).drop("truth")
+    able = df.join(small_or_shuffled(wrong), df[value] == wrong["truth"]).drop("truth")
     chosen = draw(able, seed, "plant", identity, share=share).select(identity, "__wrong")
     out = df.join(chosen, identity, "left")
     return out.withColumn("planted", F.col("__wrong").isNotNull()).withColumn("shown", F.coalesce("__wrong", value)).drop("__wrong")

@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.plans.storage import small_or_shuffled
+
+from .review import first_keys
+
 #: Confidence and basis that a rule's tier fixes.
 TIERS = {"header": (0.95, "header"), "name": (0.8, "name"), "inferred": (0.6, "inferred"), "default": (0.3, "default")}
 
@@ -238,11 +242,21 @@ def bracket(df: DataFrame, group: str, at: str, sign: str, number: str, *, trust
 
 
 def carried(df: DataFrame, key: str, subject: str, at: str, positive: Column, lo_hours: float, hi_hours: float) -> DataFrame:
-    """Rows of a subject that follow a positive one by lo to hi hours: key and hours since the latest such."""
-    before = df.filter(positive).select(subject, F.col(at).alias("__at"))
-    hours = (F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.col("__at").cast("timestamp"))) / 3.6e9
-    pairs = df.select(key, subject, at).join(before, subject).withColumn("hours", hours).filter(F.col("hours").between(lo_hours, hi_hours))
-    return pairs.groupBy(key).agg(F.round(F.min("hours"), 4).alias("hours"))
+    """Rows of a subject that follow a positive one by lo to hi hours: key and hours since the latest such.
+
+    The latest positive up to lo hours before a row is looked up in buckets of hi - lo hours, its own and the one before, so
+    no pairs of a subject are formed and a busy subject is spread over its buckets.
+    """
+    micros, width = F.unix_micros(F.col(at).cast("timestamp")), int((hi_hours - lo_hours) * 3.6e9)
+    bucket = lambda t: F.floor(t / F.lit(width))
+    known = df.filter(positive).select(F.col(subject).alias("__s"), micros.alias("__t")).distinct()
+    known = known.select("__s", "__t", F.explode(F.array(bucket(F.col("__t")), bucket(F.col("__t")) + 1)).alias("__b"), F.col("__t").alias("__hit"), F.lit(0).alias("__ask"))
+    asked = df.select(F.col(key), F.col(subject).alias("__s"), (micros - int(lo_hours * 3.6e9)).alias("__t")).filter("__t is not null")
+    line = known.unionByName(asked.select("__s", "__t").distinct().select("__s", "__t", bucket(F.col("__t")).alias("__b"), F.lit(None).cast("long").alias("__hit"), F.lit(1).alias("__ask")))
+    w = Window.partitionBy("__s", "__b").orderBy("__t", "__ask").rowsBetween(Window.unboundedPreceding, 0)
+    found = line.withColumn("__hit", F.last("__hit", True).over(w)).filter((F.col("__ask") == 1) & (F.col("__t") - F.col("__hit") <= width))
+    out = asked.join(found.select("__s", "__t", "__hit"), ["__s", "__t"])
+    return out.select(key, F.round((F.col("__t") - F.col("__hit") + int(lo_hours * 3.6e9)) / 3.6e9, 4).alias("hours"))
 
 
 def clock_trust(df: DataFrame, group: str, series: str, second: str, number: str, *, least: int = 2, least_span: float = 120, most_span: float = 14_400, distinct: float = 0.5, floor: float) -> DataFrame:
@@ -329,13 +343,12 @@ def illegal(df: DataFrame, key: str, constraints: DataFrame, axes: tuple[str, st
     """Units whose pair of answers is not among the allowed ones; a null answer breaks nothing."""
     a, b = axes
     rows = df.select(key, a, b).filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    return rows.join(F.broadcast(constraints.select(a, b).distinct()), [a, b], "left_anti")
+    return rows.join(small_or_shuffled(constraints.select(a, b).distinct()), [a, b], "left_anti")
 
 
 def tally(df: DataFrame, batch: str, kind: str, key: str, samples: int = 3) -> DataFrame:
     """Per batch and kind: rows and the first few keys; only those few are ever gathered."""
-    ranked = df.withColumn("__r", F.row_number().over(Window.partitionBy(batch, kind).orderBy(key)))
-    return ranked.groupBy(batch, kind).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("__r") <= samples, F.col(key)))).cast("array<string>"), ",").alias("samples"))
+    return first_keys(df, [batch, kind], key, samples, "n", "samples")
 
 
 def holdout(df: DataFrame, key: str, dims: Mapping[str, float], answer: str, share: float, seed: str, **how) -> DataFrame:
