@@ -39,6 +39,21 @@ def ordered_rules(spark, d):
     return _classified(spark, d).select("p_partkey", F.col("metal.value").alias("metal"), "metal.rule", "metal.confidence", "metal.basis", F.col("size.value").alias("size"))
 
 
+#: Two hundred predicates over eight axes, by rule.
+_MANY = [(f"r{n}", f"axis{n % 8}", n * 7 % 49, n * 13 % 97, "ANR"[n % 3]) for n in range(100)]
+
+
+def _many_sql(axis: int) -> str:
+    whens = [f"when l_quantity > {low} and l_suppkey < {high} and l_returnflag = '{flag}' then '{name}'" for name, own, low, high, flag in _MANY if own == f"axis{axis}"]
+    return f"case {' '.join(whens)} end as axis{axis}"
+
+
+@query("cls_2_many_rules", f"select l_orderkey, l_linenumber, {', '.join(_many_sql(i) for i in range(8))} from lineitem")
+def many_rules(spark, d):
+    rules_ = [R.Rule(name, axis, name, {"all": [{"above": ("l_quantity", low)}, {"below": ("l_suppkey", high)}, {"equals": ("l_returnflag", flag)}]}) for name, axis, low, high, flag in _MANY]
+    return R.classify(read(spark, d, "lineitem"), rules_).select("l_orderkey", "l_linenumber", *[F.col(f"axis{i}.value").alias(f"axis{i}") for i in range(8)])
+
+
 @query("cls_4_votes", "select p_partkey, unnest([x for x in [case when list_contains(regexp_split_to_array(lower(p_type), '[^a-z0-9#]+'), 'economy') then 'steel' end, case when contains(lower(p_type), 'small') and p_size < 40 then 'brass' end, case when regexp_matches(p_type, '(MEDIUM|PROMO)$') then 'any_metal' end, case when p_type is not null then 'plain' end] if x is not null]) as rule from part")
 def votes(spark, d):
     return R.votes(read(spark, d, "part"), "p_partkey", [r for r in RULES if r.axis == "metal"]).select("p_partkey", "rule")
