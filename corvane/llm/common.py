@@ -49,10 +49,29 @@ def stored(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends, lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corvane-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    _STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_STORED: list[str] = []
+
+
+def mark() -> int:
+    """A point in the list of stored tables, for discard()."""
+    return len(_STORED)
+
+
+def discard(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Delete the tables stored since a mark, without those that `keep` reads: what was made from the others must be stored by then."""
+    kept = " ".join(f for df in keep for f in df.inputFiles())
+    for path in [p for p in _STORED[since:] if p.rsplit("/", 1)[1] not in kept]:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        _STORED.remove(path)
+    released(spark)
+
+
 def released(spark: SparkSession) -> None:
     """Spark deletes the shuffle files of plans that nothing refers to when the driver collects garbage; after a large table is stored that is asked for, so that they don't lie beside the next ones."""
     for _ in range(2):  # what the first round lets go of is only collected by the next

@@ -105,9 +105,10 @@ def mix(docs: DataFrame, entropy: float | None = None, repetition: float = 2.0,
     Rows get a number and are stored with it, so that a placement finds its own row whatever repeats.
     """
     at, turn, block, rank = C.fresh(docs, "mix_at", "mix_pass", "mix_block", "mix_rank")
+    since = C.mark()
     numbered = C.stored(docs.withColumn(at, F.monotonically_increasing_id()))
     placed = _placed(C.stored(_rows(numbered, at)), ["doc_id", "__len", at], entropy, repetition, budget, blocks)
-    C.released(docs.sparkSession)  # what the stages before have left
     placed = C.stored(placed.select(at, F.col("pass").alias(turn), F.col("block").alias(block), F.col("rank").alias(rank)))
+    C.discard(docs.sparkSession, since, numbered, placed)
     out = numbered.join(C.hinted(placed), at).orderBy(block, rank, at, turn)
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ SMALL_BLOCK = 4
 FANOUT = 16
 #: Signatures that a map task combines at a time.
 SENT_AT_ONCE = 500_000
+#: Rounds in which signatures are sent, a share of them in each: shingles are made anew, but no more lie on disk at once.
+ROUNDS = 3
 #: Members of one head whose sets a verifying task holds at a time.
 HELD = 256
 #: Points in the R-tree of one part of a block, and of those that search it; larger blocks are joined part by part.
@@ -151,7 +154,8 @@ def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(sorted_values)))
 
 
-def _send(width: int, percent: int):
+def _send(width: int, percent: int, turn: int):
+    """Signatures whose value falls to a turn."""
     bands = Bands(percent)
 
     def combined(sigs: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
@@ -170,6 +174,8 @@ def _send(width: int, percent: int):
                 continue
             keys, first = np.unique(digests(sets)[:, 0], return_index=True)
             own, of = bands.signatures([sets[i] for i in first.tolist()])
+            mine = own % np.uint64(ROUNDS) == turn
+            own, of = own[mine], of[mine]
             sigs.append(own.view(np.int64))
             nodes.append(keys[of])
             size += len(own)
@@ -352,8 +358,9 @@ def _central(met: DataFrame) -> DataFrame:
     stars = met.filter("sig is not null")
     members = C.stored(stars.select("sig", F.col("b").alias("node")).union(stars.select("sig", "a")).distinct())
     sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
-    weights = members.join(sizes, "sig").groupBy("node").agg(F.sum("n").alias("weight"))
-    heads = members.join(weights, "node").groupBy("sig").agg(F.max(F.struct("weight", "node"))["node"].alias("a"))
+    weights = C.stored(members.join(sizes, "sig").groupBy("node").agg(F.sum("n").alias("weight")))
+    heads = C.stored(members.join(weights, "node").groupBy("sig").agg(F.max(F.struct("weight", "node"))["node"].alias("a")))
+    C.released(met.sparkSession)
     return C.stored(members.join(heads, "sig").filter("node != a").select("sig", "a", F.col("node").alias("b")))
 
 
@@ -382,14 +389,21 @@ def _left_over(nodes: DataFrame, stars: DataFrame, labels: DataFrame, percent: i
     return C.stored(C.map_arrow(cells, _near(percent), "a long, b long").distinct())
 
 
+def _met(docs: DataFrame, width: int, percent: int, turn: int) -> DataFrame:
+    """Stored rows (sig, a, b) of the blocks of a turn: pairs of small blocks without a sig, stars of large ones."""
+    sent = C.map_arrow(docs.filter("doc_id is not null").select("text"), _send(width, percent, turn), "sig long, a long, b long")
+    sent = sent.repartition("sig", F.when(F.col("a") != F.col("b"), F.pmod("b", F.lit(64)))).sortWithinPartitions("sig", "a")
+    met = C.stored(C.map_arrow(sent, _meet, "sig long, a long, b long"))
+    C.released(docs.sparkSession)
+    return met
+
+
 def link_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least doc_id reachable by links)."""
+    since = C.mark()
     base = C.stored(C.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _nodes(width), "doc_id long, n_shingles long, h1 long, h2 long, point binary"))
     nodes = C.stored(base.filter("h1 is not null and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("point").alias("point")))
-    sent = C.map_arrow(docs.filter("doc_id is not null").select("text"), _send(width, percent), "sig long, a long, b long")
-    sent = sent.repartition("sig", F.when(F.col("a") != F.col("b"), F.pmod("b", F.lit(64)))).sortWithinPartitions("sig", "a")
-    met = C.stored(C.map_arrow(sent, _meet, "sig long, a long, b long"))
-    C.released(docs.sparkSession)
+    met = reduce(DataFrame.union, [_met(docs, width, percent, turn) for turn in range(ROUNDS)])
     stars = _central(met)
     C.released(docs.sparkSession)
     base = base.drop("point")
@@ -399,7 +413,8 @@ def link_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     more = _left_over(nodes, stars, labels, percent)
     if not more.isEmpty():
         labels = C.components(edges.union(_edges(docs, nodes, more, width, percent, False)))
-    reps = nodes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
+    reps = C.stored(nodes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id")))
+    C.discard(docs.sparkSession, since, base, reps)
     whole = base.join(C.hinted(reps), ["h1", "h2"], "left")
     return whole.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -407,6 +422,8 @@ def link_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each component (the one with the least doc_id); all columns and rows without an id stay."""
     (own,) = C.fresh(docs, "linked_id")
+    since = C.mark()
     found = link_documents(docs, width, percent)
     gone = C.stored(found.filter("doc_id != component_id").select(F.col("doc_id").alias(own)).distinct())
+    C.discard(docs.sparkSession, since, gone)
     return docs.join(C.hinted(gone), docs["doc_id"].cast("long") == gone[own], "left_anti")
