@@ -151,6 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, fairness
     _LOG.info("%d of %d labelled rows name a group and have a swapped twin", has.sum(), len(has))
     own, other = (L.Rows.of_column(rows[c], has) if has.any() and fairness else None for c in ("features", "swapped"))
     del rows
+    C.released(docs.sparkSession)  # the driver's memory is for training now
     # indicators whose presence differs between the classes, by the z value of the log odds, and those of the group terms
     n1, n0, on1, on0 = y.sum(), len(y) - y.sum(), x.of(y == 1), x.of(y == 0)
     p1, p0 = (on1 + 0.5) / (n1 + 1), (on0 + 0.5) / (n0 + 1)
@@ -178,6 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, fairness
     shift += float(np.log((share / (1 - share)) / (n1 / n0)))  # back to the share of the whole fold
     weights = np.zeros(L.BINS)
     weights[used] = w
+    C.give_back()
     return L.Model(weights, b, slope, shift, swapped=int(has.sum()), terms=kinds)
 
 
