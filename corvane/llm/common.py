@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import threading
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -50,25 +51,30 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corvane-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _STORED.append(path)
+    _stored().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-_STORED: list[str] = []
+_LOCAL = threading.local()
+
+
+def _stored() -> list[str]:
+    """Paths that this thread has stored tables at, and not deleted."""
+    return _LOCAL.__dict__.setdefault("paths", [])
 
 
 def mark() -> int:
-    """A point in the list of stored tables, for discard()."""
-    return len(_STORED)
+    """A point in the list of this thread's stored tables, for discard()."""
+    return len(_stored())
 
 
 def discard(spark: SparkSession, since: int, *keep: DataFrame) -> None:
     """Delete the tables stored since a mark, without those that `keep` reads: what was made from the others must be stored by then."""
     kept = " ".join(f for df in keep for f in df.inputFiles())
-    for path in [p for p in _STORED[since:] if p.rsplit("/", 1)[1] not in kept]:
+    for path in [p for p in _stored()[since:] if p.rsplit("/", 1)[1] not in kept]:
         place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-        _STORED.remove(path)
+        _stored().remove(path)
     released(spark)
 
 
