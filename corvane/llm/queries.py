@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import divergence, exact_dedup, katz, mixing, ngram_join, packing, pseudonyms, quality, sharding, toxicity
+from . import divergence, exact_dedup, hard_negatives, histogram_packing, katz, mixing, ngram_join, packing, pseudonyms, quality, sharding, toxicity, whitening
 from .common import table
 
 
@@ -52,9 +53,31 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_quality_classifier, op4_quality_rules, op5_ngram_jaccard, op6_exact_dedup, op7_pseudonyms, op8_sharding, op9_packing, op10_katz)}
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram_packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), anchor=F.col("vec_id") % 100 == 0, label=label)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_quality_classifier, op4_quality_rules, op5_ngram_jaccard, op6_exact_dedup, op7_pseudonyms, op8_sharding, op9_packing, op10_katz, op11_best_fit_packing, op12_hard_negatives, op13_whitening)}
 
 SQL = {
+    "op12_hard_negatives": r"""
+with r as (
+  select vec_id, (case when vec_id % 7 = 0 then (label + 1) % 10 else label end) as label, list_transform(embedding, lambda x: floor(256 * x::double)) as x
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same, list_inner_product(a.x, b.x)::bigint as score from r a join r b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select anchor_id, other_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5)
+select p.anchor_id, p.positive_id, (row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.other_id))::int as rank, s.other_id as negative_id, p.positive_score, s.score as negative_score
+from p join s on s.anchor_id = p.anchor_id and not s.same and 80 * p.positive_score <= 100 * s.score and 100 * s.score <= 100 * p.positive_score
+qualify rank <= 5""",
     "op8_sharding": r"""
 with r as (select doc_id, coalesce(octet_length(encode(text)), 0) as n_bytes, ('0x' || substr(md5(coalesce(doc_id::varchar, '') || chr(31) || md5(coalesce(text, ''))), 1, 15))::bigint as k from documents),
 d as (select unnest(range(0, 41)) as d),
