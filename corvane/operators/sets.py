@@ -188,53 +188,189 @@ def interval_start(day: Column, precision: Column) -> Column:
     return F.when(precision == "year", F.trunc(day, "year")).when(precision == "month", F.trunc(day, "month")).otherwise(day)
 
 
-def near(anchor: DataFrame, partner: DataFrame, *, key: str, subject: str, day: str, partner_key: str, partner_day: str, lo: int | None, hi: int | None, policy: str = "nearest", tie: str = "earlier", best: Sequence[tuple[str, bool]] = (), name: str = "near", precision: str | None = None, strict: bool = False, optional: bool = False, keep: Sequence[str] = (), bucket: int | None = None) -> DataFrame:
+def near(anchor: DataFrame, partner: DataFrame, *, key: str, subject: str, day: str, partner_key: str, partner_day: str, lo: int | None, hi: int | None, policy: str = "nearest", tie: str = "earlier", best: Sequence[tuple[str | Callable, bool]] = (), name: str = "near", precision: str | None = None, strict: bool = False, optional: bool = False, keep: Sequence[str] = (), bucket: int | None = None) -> DataFrame:
     """Exactly one partner of the same subject inside a signed window of days.
 
     Adds {name}_key, _date, _offset, _tied, _candidates (and kept columns).  For nearest, first, any and
-    last the partner is looked up next to a few days, with no pair formed; best, and partners with a
-    precision column, form the pairs of a subject (of neighbouring day buckets, with a bucket width) and aggregate
-    them twice, which combines before it shuffles.  With a precision column the partner's
-    date is an interval: strict wants it inside the window, else overlap is enough,
-    and the offset is to the nearest edge.
+    last the partner is looked up next to a few days, also where a precision column makes the partner's date
+    an interval: strict wants it inside the window, else overlap is enough, and the offset is to the
+    nearest edge.  For best over columns of the partner (name, descending), the best of blocks of days are
+    kept, and a window is put together from few of them.  No pair is formed in any of these.
+
+    A best term may also be a function of (anchor, partner), each giving a side's column by name; such an order, and best
+    among partners with a precision, cannot be reduced before the two meet: the pairs of a subject are formed, of
+    neighbouring day buckets if a width is given.
     """
-    if policy != "best" and not precision:
-        return _near_days(anchor, partner, key, subject, day, partner_key, partner_day, lo, hi, policy, tie, name, optional, keep)
-    left = anchor.select(F.col(key).alias("__k"), F.col(subject).alias("__s"), F.col(day).alias("__anchor"), *[F.col(c).alias(f"__a_{c}") for c, _ in best if c in anchor.columns])
-    right = partner.select(F.col(partner_key).alias("__pk"), F.col(subject).alias("__s"), F.col(partner_day).alias("__partner"), *[F.col(c).alias(f"__c_{c}") for c in keep], *([F.col(precision).alias("__prec")] if precision else []), *[F.col(c).alias(f"__b_{c}") for c, _ in best if c in partner.columns])
-    pairs = _by_day(left, right, "__s", lo, hi, None if precision else bucket)
+    if policy != "best":
+        return (_near_coarse if precision else _near_days)(anchor, partner, key, subject, day, partner_key, partner_day, lo, hi, policy, tie, name, optional, keep, *([precision, strict] if precision else []))
+    if not precision and not any(callable(c) for c, _ in best):
+        return _near_best(anchor, partner, subject, day, partner_key, partner_day, lo, hi, best, name, optional, keep)
+    left = anchor.select(F.col(key).alias("__k"), F.col(subject).alias("__s"), F.col(day).alias("__anchor"), *[F.col(c).alias(f"__a_{c}") for c in anchor.columns])
+    right = partner.select(F.col(partner_key).alias("__pk"), F.col(subject).alias("__s"), F.col(partner_day).alias("__partner"), *[F.col(c).alias(f"__c_{c}") for c in keep], *([F.col(precision).alias("__prec")] if precision else []), *[F.col(c).alias(f"__b_{c}") for c in partner.columns])
+    pairs = _by_day(left.filter("__anchor is not null"), right.filter("__partner is not null"), "__s", lo, hi, None if precision else bucket)
     if precision:
         start, end = interval_start(F.col("__partner"), F.col("__prec")), interval_end(F.col("__partner"), F.col("__prec"))
         a, b = F.datediff(start, "__anchor"), F.datediff(end, "__anchor")
-        inside = (_in_window(a, lo, None) & _in_window(b, None, hi)) if strict else (_in_window(b, lo, None) & _in_window(a, None, hi))
-        offset = F.when(a > 0, a).when(b < 0, b).otherwise(0)
+        inside = _contained(a, b, lo, hi) if strict else _overlaps(a, b, lo, hi)
+        offset = _edge(a, b)
     else:
         offset = F.datediff("__partner", "__anchor")
         inside = _in_window(offset, lo, hi)
     pairs = pairs.withColumn("__o", offset).filter(inside)
-    number = F.datediff("__partner", F.lit("1970-01-01"))
-    order = {
-        "nearest": [F.abs("__o"), number if tie == "earlier" else -number],
-        "first": [number],
-        "any": [number],
-        "last": [-number],
-        "best": [(-F.col(f"__b_{c}") if down else F.col(f"__b_{c}")) for c, down in best],
-    }[policy]
-    ranked = pairs.groupBy("__k", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("__order")).agg(
-        F.count(F.lit(1)).alias("__n"), F.min(F.struct("__pk", "__partner", "__o", *[f"__c_{c}" for c in keep])).alias("__row")
-    )
-    one = ranked.groupBy("__k").agg(F.min(F.struct("__order", "__n", "__row")).alias("__best"), F.sum("__n").alias(f"{name}_candidates"))
-    row = F.col("__best.__row")
-    found = one.select(F.col("__k").alias(key), row["__pk"].alias(f"{name}_key"), row["__partner"].alias(f"{name}_date"), row["__o"].alias(f"{name}_offset"), (F.col("__best.__n") > 1).alias(f"{name}_tied"), f"{name}_candidates", *[row[f"__c_{c}"].alias(f"{name}_{c}") for c in keep])
+    terms = [(c(lambda n: F.col(f"__a_{n}"), lambda n: F.col(f"__b_{n}")) if callable(c) else F.col(f"__b_{c}"), down) for c, down in best]
+    found = _least(pairs, ["__k"], [-c if down else c for c, down in terms], F.struct("__pk", "__partner", "__o", *[f"__c_{c}" for c in keep]))
+    found = found.select(F.col("__k").alias(key), *_named(name, keep, F.col("__row.__o")))
     return anchor.join(found, key, "left" if optional else "inner")
 
 
+def _contained(a: Column, b: Column, lo: int | None, hi: int | None) -> Column:
+    """Whether days a..b after the anchor lie in the window."""
+    return _in_window(a, lo, None) & _in_window(b, None, hi)
+
+
+def _overlaps(a: Column, b: Column, lo: int | None, hi: int | None) -> Column:
+    return _in_window(b, lo, None) & _in_window(a, None, hi)
+
+
+def _edge(a: Column, b: Column) -> Column:
+    """Signed days from the anchor to the nearest of days a..b, 0 inside."""
+    return F.when(a > 0, a).when(b < 0, b).otherwise(0)
+
+
+def _least(rows: DataFrame, by: Sequence[str], order: Sequence[Column], row: Column, n: Column | None = None) -> DataFrame:
+    """Per group the least row of the least order: __row, __n (rows of that order) and __all (rows); combined before it is shuffled."""
+    n = F.lit(1) if n is None else n
+    ranked = rows.groupBy(*by, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("__order")).agg(F.sum(n).alias("__n"), F.min(row).alias("__row"))
+    one = ranked.groupBy(*by).agg(F.min(F.struct("__order", "__n", "__row")).alias("__best"), F.sum("__n").alias("__all"))
+    return one.select(*by, "__best.__row", "__best.__n", "__all")
+
+
+def _named(name: str, keep: Sequence[str], offset: Column) -> list[Column]:
+    """The columns that near adds, from __row, __n and __all."""
+    row = F.col("__row")
+    first = [row["__pk"].alias(f"{name}_key"), row["__partner"].alias(f"{name}_date"), offset.alias(f"{name}_offset")]
+    return [*first, (F.col("__n") > 1).alias(f"{name}_tied"), F.col("__all").alias(f"{name}_candidates"), *[row[f"__c_{c}"].alias(f"{name}_{c}") for c in keep]]
+
+
+def _anchor_days(anchor: DataFrame, subject: str, day: str) -> DataFrame:
+    return anchor.select(F.col(subject).alias("__s"), F.to_date(day).alias("__anchor")).filter("__s is not null and __anchor is not null").distinct()
+
+
+def _given_back(anchor: DataFrame, found: DataFrame, subject: str, day: str, optional: bool) -> DataFrame:
+    """Anchor rows with what was found for their subject and day."""
+    out = anchor.withColumn("__s", F.col(subject)).withColumn("__anchor", F.to_date(day)).join(found, ["__s", "__anchor"], "left" if optional else "inner")
+    return out.drop("__s", "__anchor")
+
+
+def _partners(partner: DataFrame, subject: str, partner_key: str, partner_day: str, keep: Sequence[str], *more: Column) -> DataFrame:
+    rows = partner.select(F.col(partner_key).alias("__pk"), F.col(subject).alias("__s"), F.col(partner_day).alias("__partner"), *[F.col(c).alias(f"__c_{c}") for c in keep], *more)
+    return rows.filter("__s is not null and __partner is not null").withColumn("__raw", F.to_date("__partner"))
+
+
+def _pivot(lo: int | None, hi: int | None) -> int:
+    """The day of a window that is next to the anchor."""
+    return max(min(0, hi if hi is not None else 0), lo if lo is not None else min(0, hi if hi is not None else 0))
+
+
+def _near_coarse(anchor: DataFrame, partner: DataFrame, key: str, subject: str, day: str, partner_key: str, partner_day: str, lo: int | None, hi: int | None, policy: str, tie: str, name: str, optional: bool, keep: Sequence[str], precision: str, strict: bool) -> DataFrame:
+    """Partners that are days, months or years.
+
+    The intervals of one precision are equal or apart, so those of a subject stand in one order by both ends: a line for
+    each precision, with a place for each interval.  What overlaps a window, or lies in it, is a run of such places: its
+    number is a difference of running counts, and its nearest, first or last place is next to a few days.  Only these places,
+    at most three a line, are compared.
+    """
+    grain = F.when(F.col(precision).isin("year", "month"), F.col(precision)).otherwise("day")
+    rows = _partners(partner, subject, partner_key, partner_day, keep, grain.alias("__grain"))
+    rows = rows.withColumn("__s", F.struct("__s", "__grain")).withColumn("__day", interval_start(F.col("__raw"), F.col("__grain"))).withColumn("__end", interval_end(F.col("__raw"), F.col("__grain")))
+    same = rows.groupBy("__s", "__day", "__end", F.col("__raw").alias("raw")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("__pk", "__partner", *[f"__c_{c}" for c in keep])).alias("row"))
+    pick_ = F.max if policy == "last" or (policy == "nearest" and tie != "earlier") else F.min
+    places = same.groupBy("__s", "__day", "__end").agg(F.sum("n").alias("n"), pick_(F.struct("raw", "n", "row")).alias("pick"))
+    along = Window.partitionBy("__s").orderBy("__day")
+    place = F.struct(F.col("__day").alias("start"), F.col("__end").alias("end"), "n", F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), "pick")
+    line = places.select("__s", "__day", place.alias("__v"))
+    line = line.select("__s", "__day", F.struct("__v.*", F.lag("__v").over(along).alias("prev")).alias("__v"))
+    asked = _anchor_days(anchor, subject, day)
+    left = asked.withColumn("__grain", F.explode(F.array(*[F.lit(g) for g in ("day", "month", "year")]))).select(F.struct("__s", "__grain").alias("__s"), "__anchor")
+    found = _neighbours(left, line, {"lo": None if lo is None else lo - 1, "hi": hi, "at": _pivot(lo, hi), "start": lo})
+    first_edge, last_edge = F.date_add("__anchor", lo if lo is not None else 0), F.date_add("__anchor", hi if hi is not None else 0)
+
+    def counted(at: str, past: Column) -> Column:
+        """Rows of the places up to one, without it where `past` holds."""
+        return F.coalesce(F.when(past, F.col(at)["upto"] - F.col(at)["n"]).otherwise(F.col(at)["upto"]), F.lit(0))
+
+    never = F.lit(False)
+    if strict:
+        upto, before = counted("hi_before", never if hi is None else F.col("hi_before.end") > last_edge), counted("lo_before", never)
+    else:
+        upto, before = counted("hi_before", never), counted("lo_before", never if lo is None else F.col("lo_before.end") >= first_edge)
+    found = found.withColumn("__all", F.greatest(upto - before, F.lit(0)))
+    slots = {"nearest": ["at_before", "at_after"], "last": ["hi_before"]}.get(policy, ["start_before", "start_after"] if lo is not None else ["start_after"])
+    bare = lambda c: F.struct(*[c[f].alias(f) for f in ("start", "end", "pick")])
+    # a place that sticks out of the window leaves the choice to the one before it
+    near_by = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), bare(F.col(c))) for c in slots], *[F.when(F.col(c)["prev"].isNotNull(), bare(F.col(c)["prev"])) for c in slots if c.endswith("before")]))
+    some = found.select(F.col("__s.__s").alias("__s"), "__anchor", "__all", F.explode_outer(F.array_distinct(near_by)).alias("__place"))
+    a, b = F.datediff("__place.start", "__anchor"), F.datediff("__place.end", "__anchor")
+    fits = _contained(a, b, lo, hi) if strict else _overlaps(a, b, lo, hi)
+    some = some.withColumn("__o", _edge(a, b)).withColumn("__fits", F.coalesce(fits, F.lit(False))).withColumn("__number", F.datediff("__place.pick.raw", F.lit("1970-01-01")))
+    order = {"nearest": [F.abs("__o"), F.col("__number") if tie == "earlier" else -F.col("__number")], "last": [-F.col("__number")]}.get(policy, [F.col("__number")])
+    row = F.struct(F.col("__place.pick.row.__pk"), F.col("__place.pick.row.__partner"), "__o", *[F.col(f"__place.pick.row.__c_{c}") for c in keep])
+    chosen = _least(some.filter("__fits"), ["__s", "__anchor"], order, row, F.col("__place.pick.n")).drop("__all")
+    numbers = found.groupBy(F.col("__s.__s").alias("__s"), "__anchor").agg(F.sum("__all").alias("__all"))
+    chosen = chosen.join(numbers, ["__s", "__anchor"]).select("__s", "__anchor", *_named(name, keep, F.col("__row.__o")))
+    return _given_back(anchor, chosen, subject, day, optional)
+
+
+#: Blocks of days double in width up to this many times where a window has an open side: 2 ** 22 days are all dates there are.
+_LEVELS = 22
+
+
+def _near_best(anchor: DataFrame, partner: DataFrame, subject: str, day: str, partner_key: str, partner_day: str, lo: int | None, hi: int | None, best: Sequence[tuple[str, bool]], name: str, optional: bool, keep: Sequence[str]) -> DataFrame:
+    """The best partner by its own columns.
+
+    Each subject's days are kept in blocks of 1, 2, 4, ... days, a block with its least order, how
+    many rows have it, the least of them and how many rows there are; a window is two blocks of a width at most.
+    """
+    rows = _partners(partner, subject, partner_key, partner_day, keep, *[F.col(c).alias(f"__b{i}") for i, (c, _) in enumerate(best)])
+    order = [-F.col(f"__b{i}") if down else F.col(f"__b{i}") for i, (_, down) in enumerate(best)]
+    number = lambda d: F.datediff(d, F.lit(_FIRST_DAY))
+    order = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("__order")
+    one = F.lit(1).cast("bigint")
+    rows = rows.select("__s", number(F.col("__raw")).alias("__block"), order, one.alias("__n"), F.struct("__pk", "__partner", *[f"__c_{c}" for c in keep]).alias("__row"), one.alias("__rows"))
+    days = _merged(rows, "__s", "__block")
+    levels = _LEVELS if lo is None or hi is None else max(0, hi - lo + 1).bit_length()
+    at = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("__level")
+    blocks = days.select("__s", "__block", "__order", "__n", "__row", "__rows", at).withColumn("__block", F.expr("shiftright(__block, __level)"))
+    blocks = _merged(blocks, "__s", "__level", "__block")
+    asked = _anchor_days(anchor, subject, day)
+    if lo is None or hi is None:  # an open side ends with the subject's days
+        asked = asked.join(days.groupBy("__s").agg(F.min("__block").alias("__least"), F.max("__block").alias("__most")), "__s")
+    begin = F.col("__least") if lo is None else number(F.col("__anchor")) + lo
+    end = F.col("__most") + 1 if hi is None else number(F.col("__anchor")) + hi + 1
+    asked = asked.withColumn("__from", begin).withColumn("__to", end)
+    parts = []
+    for level in range(levels + 1):
+        # begin rounded up and end rounded down to this width: what sticks out on either side is a block of this width, not in a larger one
+        a, b = F.ceil(F.col("__from") / (1 << level)).cast("int"), F.floor(F.col("__to") / (1 << level)).cast("int")
+        block = lambda c, level=level: F.struct(F.lit(level).alias("__level"), c.alias("__block"))
+        parts += [F.when((a < b) & (F.pmod(a, F.lit(2)) == 1), block(a)), F.when((a < b) & (F.pmod(b, F.lit(2)) == 1), block(b - 1))]
+    asked = asked.select("__s", "__anchor", F.inline(F.array_compact(F.array(*parts))))
+    found = _merged(asked.join(blocks, ["__s", "__level", "__block"]), "__s", "__anchor")
+    found = found.select("__s", "__anchor", "__row", "__n", F.col("__rows").alias("__all"))
+    return _given_back(anchor, found.select("__s", "__anchor", *_named(name, keep, F.datediff("__row.__partner", "__anchor"))), subject, day, optional)
+
+
+def _merged(blocks: DataFrame, *by: str) -> DataFrame:
+    """Blocks of a group as one: the least order, the rows that have it (__n), the least of them, and all rows."""
+    same = blocks.groupBy(*by, "__order").agg(F.sum("__n").alias("__n"), F.min("__row").alias("__row"), F.sum("__rows").alias("__rows"))
+    one = same.groupBy(*by).agg(F.min(F.struct("__order", "__n", "__row")).alias("__least"), F.sum("__rows").alias("__rows"))
+    return one.select(*by, "__least.*", "__rows")
+
+
 def _near_days(anchor: DataFrame, partner: DataFrame, key: str, subject: str, day: str, partner_key: str, partner_day: str, lo: int | None, hi: int | None, policy: str, tie: str, name: str, optional: bool, keep: Sequence[str]) -> DataFrame:
     row = F.struct(F.col("__pk"), F.col("__partner"), *[F.col(f"__c_{c}") for c in keep])
     right = partner.select(F.col(partner_key).alias("__pk"), F.col(subject).alias("__s"), F.col(partner_day).alias("__partner"), *[F.col(c).alias(f"__c_{c}") for c in keep])
-    left = anchor.select(F.col(subject).alias("__s"), F.to_date(day).alias("__anchor")).filter("__s is not null and __anchor is not null").distinct()
-    pivot = max(lo, 0) if hi is None and lo is not None else min(hi, 0) if lo is None and hi is not None else 0 if lo is None else max(lo, min(hi, 0))
-    found = _neighbours(left, _per_day(right, row), {"lo": None if lo is None else lo - 1, "hi": hi, "at": pivot, "start": lo})
+    found = _neighbours(_anchor_days(anchor, subject, day), _per_day(right, row), {"lo": None if lo is None else lo - 1, "hi": hi, "at": _pivot(lo, hi), "start": lo})
     off = lambda c: F.datediff(F.col(c)["day"], "__anchor")
     inside = lambda c: F.when(_in_window(off(c), lo, hi), F.col(c))
     found = found.withColumn("__b", inside("at_before")).withColumn("__a", inside("at_after"))
@@ -247,8 +383,7 @@ def _near_days(anchor: DataFrame, partner: DataFrame, key: str, subject: str, da
     found = found.withColumn("__best", best).filter("__best is not null").withColumn("__all", _upto("hi_before") - _upto("lo_before"))
     rest = [F.col(f"__best.row.__c_{c}").alias(f"{name}_{c}") for c in keep]
     found = found.select("__s", "__anchor", F.col("__best.row.__pk").alias(f"{name}_key"), F.col("__best.row.__partner").alias(f"{name}_date"), off("__best").alias(f"{name}_offset"), (F.col("__best.n") > 1).alias(f"{name}_tied"), F.col("__all").alias(f"{name}_candidates"), *rest)
-    out = anchor.withColumn("__s", F.col(subject)).withColumn("__anchor", F.to_date(day)).join(found, ["__s", "__anchor"], "left" if optional else "inner")
-    return out.drop("__s", "__anchor")
+    return _given_back(anchor, found, subject, day, optional)
 
 
 def pick(df: DataFrame, per: str, by: Sequence[Column], key: str, n: int = 1, ties: str = "keep") -> DataFrame:
