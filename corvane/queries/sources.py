@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from corvane.operators import models as M
 from corvane.plans.grains import read, retail
+from corvane.plans.storage import fresh_path
 from corvane.sources import tables as S
 from corvane.streaming import arrivals as A
 
@@ -194,16 +195,25 @@ def manifest_scans(spark, d):
     return _dataset(spark, d)["scans"]
 
 
-def _stream(spark, d, name):
-    return A.read_stream(spark, read(spark, d, name), d, glob=f"{name}.parquet")
+def _stream(spark, d, name, files=4):
+    """A table as files that arrive one after the other, a batch for each."""
+    rows, folder = read(spark, d, name), fresh_path(spark, f"arriving-{name}")
+    rows.repartition(files).write.parquet(folder)
+    return A.read_stream(spark, rows, folder, files_per_batch=1)
 
 
 @query("str_1_first_seen", "select count(distinct (user_id, event_type)) as n from events")
 def first_seen(spark, d):
-    out = A.first_seen(_stream(spark, d, "events"), ["user_id", "event_type"], "ts", "365 days")
+    out = A.first_seen(_stream(spark, d, "events"), ["user_id", "event_type"], "ts", "3650 days")
     return A.to_table(out.select("user_id", "event_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("str_1_copies_counted", "select user_id, event_type, min(ts)::timestamp as first_seen, max(ts)::timestamp as last_seen, count(*) - 1 as copies from events where ts is not null group by all")
+def copies_counted(spark, d):
+    out = A.count_copies(_stream(spark, d, "events"), ["user_id", "event_type"], "ts", "3650 days")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_seen", "last_seen")})
+
+
 _DAYS60 = """with recursive days as (select o_custkey, cast(o_orderdate as date) as day, count(*) as n from orders group by all),
 heads as (select o_custkey, min(day) as f from days group by 1 union all
   select h.o_custkey, (select min(x.day) from days x where x.o_custkey = h.o_custkey and datediff('day', h.f, x.day) > 60) from heads h where exists (select 1 from days x where x.o_custkey = h.o_custkey and datediff('day', h.f, x.day) > 60)),
@@ -213,9 +223,7 @@ select d.o_custkey, f as session_first, max(day) as session_last, sum(n)::bigint
 
 @query("str_2_session_rebuild", _DAYS60)
 def session_rebuild(spark, d):
-    orders = _stream(spark, d, "orders").withColumn("day", F.to_date("o_orderdate"))
-    none = lambda: retail(spark, d).scan("session").filter("false")
-    return A.rebuild_sessions(orders, none, "o_custkey", "day", 60)
+    return A.keep_sessions(_stream(spark, d, "orders"), "o_custkey", "o_orderdate", 60, "10000 days")
 
 
 @query("str_3_running_report", "select event_type, count(*) as rows from events group by 1")

@@ -1,15 +1,27 @@
-"""Streams of arriving rows: copies told by identity, sessions rebuilt per batch, running reports."""
+"""Streams of arriving rows: copies told and counted by identity, sessions kept open per subject, running reports.
+
+What must be known of earlier batches is state by key in the stream's checkpoint, not the earlier rows: a batch reads its own rows
+and the state of the keys it touches.  A watermark lets go of what no row can change any more; rows that come
+later than the delay are dropped.  Results are written per batch under the batch's number, so a batch that is run again
+overwrites only itself, and `path` and `state` of an earlier run carry it on.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import datetime as dt
+from collections.abc import Iterable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from corvane.operators.timelines import sessions
 from corvane.plans.storage import fresh_path
 
+_DAY_MS = 86_400_000
+_EPOCH = dt.date(1970, 1, 1)
+
 
 def read_stream(spark: SparkSession, like: DataFrame, path: str, files_per_batch: int | None = None, glob: str | None = None) -> DataFrame:
     """New Parquet files of a folder as a stream of known schema."""
@@ -29,38 +41,100 @@ def running_report(stream: DataFrame, by: Sequence[str]) -> DataFrame:
     return stream.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Drain what is there into a table in the shared folder and read it."""
-    path, state = fresh_path(stream.sparkSession, "stream"), fresh_path(stream.sparkSession, "state")
-    if mode == "append":
-        query = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", state).trigger(availableNow=True).start()
-    else:  # the last state of each key: every batch replaces the table
-        query = stream.writeStream.outputMode("complete").option("checkpointLocation", state).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.read.parquet(path)
+def _batches(stream: DataFrame, mode: str, path: str | None, state: str | None) -> DataFrame:
+    """Drain what is there; each batch's rows under its number, read back with it in column batch."""
+    spark = stream.sparkSession
+    path, state = path or fresh_path(spark, "stream"), state or fresh_path(spark, "state")
 
+    def keep(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-def rebuild_sessions(stream: DataFrame, history: Callable[[], DataFrame], subject: str, day: str, window_days: int) -> DataFrame:
-    """Per micro-batch the sessions of only the batch's subjects are rebuilt, from the history so far and the batch.
+    stream.writeStream.outputMode(mode).option("checkpointLocation", state).foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(T.StructType([*stream.schema, T.StructField("batch", T.LongType())])).parquet(path)
 
-    Each batch writes its subjects' sessions under its own number, so a repeated
-    batch overwrites only itself; the newest batch of a subject counts.
-    """
-    spark = stream.sparkSession
-    out, seen, state = (fresh_path(spark, n) for n in ("sessions", "days", "state"))
 
-    def one(batch: DataFrame, number: int) -> None:
-        days = batch.select(subject, day)
-        days.write.mode("overwrite").parquet(f"{seen}/batch={number}")
-        subjects = days.select(subject).distinct()
-        known = spark.read.schema(days.schema).option("recursiveFileLookup", True).parquet(seen)
-        rows = history().select(subject, day).union(known.select(subject, day)).join(subjects, subject, "left_semi")
-        sessions(rows, subject, day, window_days).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/number={number}")
+def to_table(stream: DataFrame, mode: str = "append", path: str | None = None, state: str | None = None) -> DataFrame:
+    """Drain what is there into a table in the shared folder and read it: all rows in append mode, in complete mode those of the last batch."""
+    rows = _batches(stream, mode, path, state)
+    if mode == "complete":
+        rows = rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch", "left_semi")
+    return rows.drop("batch")
 
-    query = stream.writeStream.foreachBatch(one).option("checkpointLocation", state).trigger(availableNow=True).start()
-    query.awaitTermination()
-    rows = spark.read.parquet(out).drop("number")
-    newest = rows.groupBy(subject).agg(F.max("batch").alias("batch"))
-    return rows.join(newest, [subject, "batch"]).drop("batch")
 
+def count_copies(stream: DataFrame, identity: Sequence[str], at: str, delay: str, path: str | None = None, state: str | None = None) -> DataFrame:
+    """(identity, first_seen, last_seen, copies): a row for each identity, whose further rows are its copies.
 
+    An identity is held until the watermark is past its last row and the delay; one that
+    comes again after that starts over.
+    """
+    rows = stream.select(*identity, F.col(at).cast("timestamp").alias("__at")).withWatermark("__at", delay)
+    kept = T.StructType([*[stream.schema[c] for c in identity], *[T.StructField(c, T.TimestampType()) for c in ("opened", "first_seen", "last_seen")], T.StructField("copies", T.LongType())])
+
+    def seen(key: tuple, frames: Iterable[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        opened, first, last, copies = held.get if held.exists else (None, None, None, -1)
+        for frame in frames:
+            low, high = int(frame["__at"].min().value // 1000), int(frame["__at"].max().value // 1000)
+            first, last, copies = min(low, first if first is not None else low), max(high, last if last is not None else high), copies + len(frame)
+        opened = first if opened is None else opened  # earlier rows may still come: this names the row that stands for them all
+        held.update((opened, first, last, copies))
+        held.setTimeoutTimestamp(max(last // 1000, held.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame([[*key, *(pd.Timestamp(t, unit="us") for t in (opened, first, last)), copies]], columns=kept.names)
+
+    known = rows.filter(F.col("__at").isNotNull()).groupBy(*identity)
+    out = known.applyInPandasWithState(seen, kept, "opened long, first long, last long, copies long", "update", GroupStateTimeout.EventTimeTimeout)
+    found = _batches(out, "update", path, state)
+    newest = F.max_by(F.struct("first_seen", "last_seen", "copies"), "batch").alias("now")
+    return found.groupBy(*identity, "opened").agg(newest).select(*identity, "now.*")
+
+
+def folded(days: dict[int, int], window_days: int) -> list[tuple[int, int, int]]:
+    """(first, last, n) of the sessions of days with their counts: a day joins the open session within window_days of its first."""
+    out: list[tuple[int, int, int]] = []
+    for day in sorted(days):
+        if out and day - out[-1][0] <= window_days:
+            out[-1] = (out[-1][0], day, out[-1][2] + days[day])
+        else:
+            out.append((day, day, days[day]))
+    return out
+
+
+def keep_sessions(stream: DataFrame, subject: str, day: str, window_days: int, delay: str, path: str | None = None, state: str | None = None) -> DataFrame:
+    """(subject, session_first, session_last, n) of all rows so far, as the batch operator gives them.
+
+    State of a subject are its days that a row within the delay can still regroup.  A session no such row can join is
+    written as final and forgotten; what follows it starts anew in any case, as it would have.  A
+    subject's open sessions are those of the newest batch that names it.
+    """
+    rows = stream.select(F.col(subject), F.to_date(day).alias("__day")).filter("__day is not null")
+    rows = rows.withColumn("__at", F.col("__day").cast("timestamp")).withWatermark("__at", delay)
+    kept = T.StructType([stream.schema[subject], *[T.StructField(c, T.DateType()) for c in ("session_first", "session_last")], T.StructField("n", T.LongType()), T.StructField("final", T.BooleanType())])
+
+    def fold(key: tuple, frames: Iterable[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        days = dict(zip(*held.get, strict=True)) if held.exists else {}
+        if not held.hasTimedOut:
+            for frame in frames:
+                for number, n in zip(*_counted(frame["__day"]), strict=True):
+                    days[number] = days.get(number, 0) + n
+        passed = held.getCurrentWatermarkMs()
+        found = [(first, last, n, (first + window_days) * _DAY_MS <= passed) for first, last, n in folded(days, window_days)]
+        open_from = next((first for first, _, _, final in found if not final), None)
+        if open_from is None:
+            held.remove()
+        else:
+            left = sorted(d for d in days if d >= open_from)
+            held.update((left, [days[d] for d in left]))
+            held.setTimeoutTimestamp(max((open_from + window_days) * _DAY_MS, passed) + 1)
+        yield pd.DataFrame([[*key, _EPOCH + dt.timedelta(a), _EPOCH + dt.timedelta(b), n, final] for a, b, n, final in found], columns=kept.names)
+
+    out = rows.groupBy(subject).applyInPandasWithState(fold, kept, "days array<int>, counts array<long>", "update", GroupStateTimeout.EventTimeTimeout)
+    found = _batches(out, "update", path, state)
+    newest = found.groupBy(F.col(subject).alias("__s")).agg(F.max("batch").alias("__batch"))
+    return found.join(newest, F.col(subject).eqNullSafe(F.col("__s"))).filter("final or batch = __batch").select(subject, "session_first", "session_last", "n")
+
+
+def _counted(days: pd.Series) -> tuple[list[int], list[int]]:
+    counts = days.value_counts()
+    return [(d - _EPOCH).days for d in counts.index], [int(n) for n in counts]
