@@ -66,20 +66,136 @@ def _fires(rule: Rule) -> Column:
     return fires & F.coalesce(predicate(rule.scope), F.lit(False)) if rule.scope else fires
 
 
+#: Conditions, or rules of an axis, that share a number.
+_WORD = 32
+#: Added to the place of a word without a bit, so that it is behind all rules.
+_NOWHERE = 1 << 20
+
+
+#: Always 0.  The fold keeps its projection out of the code of its stage: there all of a projection is one method, which
+#: the JVM does not compile beyond 8,000 bytes; outside, Spark splits it into methods of a few expressions.
+_APART = "aggregate(array({}), 0L, (a, x) -> a)"
+
+
+class _Bits:
+    """Conditions as bits of a few numbers: each distinct one is evaluated once a row, and a rule over them is a mask.
+
+    Masks are written as text, from numbers only: built call by call, a pack of rules takes longer to plan than to run.
+    """
+
+    def __init__(self, stem: str):
+        self.stem = stem
+        self.at: dict[str, int] = {}
+        self.conditions: dict[str, tuple[str, Column]] = {}
+        self.leaves: list[str] = []
+
+    def bit(self, spec: Mapping, holds: bool) -> tuple[str, int]:
+        """Column and bit of a condition, or of its opposite; unknown counts as neither."""
+        name = repr((spec, holds))
+        if name not in self.at:
+            self.at[name] = len(self.leaves)
+            if repr(spec) not in self.conditions:
+                self.conditions[repr(spec)] = f"{self.stem}if{len(self.conditions)}", predicate(spec)
+            self.leaves.append(f"cast(coalesce({'' if holds else 'not '}{self.conditions[repr(spec)][0]}, false) as bigint)")
+        word, bit = divmod(self.at[name], _WORD)
+        return f"{self.stem}{word}", bit
+
+    def truth(self, spec: Mapping, holds: bool = True) -> str:
+        """1 if the condition (or its opposite) is certain, else 0.  Opposites move inward, to single conditions."""
+        (op, arg), *_ = spec.items()
+        if op == "not":
+            return self.truth(arg, not holds)
+        if op == "count":
+            masks, nested = self._parts(arg["of"], True)
+            total = " + ".join([*(f"bit_count({w} & {m}L)" for w, m in masks.items()), *nested, "0"])
+            return f"cast({total} {'>=' if holds else '<'} {int(arg['least'])} as bigint)"
+        if op not in ("all", "any"):
+            return self.truth({"all": [spec]}, holds)
+        masks, nested = self._parts(arg, holds)
+        if (op == "all") == holds:
+            return f"cast(({' | '.join([*(f'(({w} & {m}L) ^ {m}L)' for w, m in masks.items()), *(f'({t} ^ 1L)' for t in nested), '0L'])}) = 0L as bigint)"
+        return f"cast(({' | '.join([*(f'({w} & {m}L)' for w, m in masks.items()), *nested, '0L'])}) != 0L as bigint)"
+
+    def _parts(self, specs: Sequence[Mapping], holds: bool) -> tuple[dict[str, int], list[str]]:
+        """Masks of the single conditions among specs, by column, and the others.  A condition given twice counts twice."""
+        masks, nested = {}, []
+        for spec in specs:
+            (op, _), *rest = spec.items()
+            if rest:
+                raise ValueError(f"one condition expected, not {list(spec)}")
+            if op in ("all", "any", "count", "not"):
+                nested.append(self.truth(spec, holds))
+                continue
+            word, bit = self.bit(spec, holds)
+            if masks.get(word, 0) >> bit & 1:
+                nested.append(f"(shiftright({word}, {bit}) & 1L)")
+            masks[word] = masks.get(word, 0) | 1 << bit
+        return masks, nested
+
+    def beside(self, df: DataFrame) -> DataFrame:
+        """df with the conditions' numbers."""
+        words = {f"{self.stem}{at // _WORD}": " | ".join(f"shiftleft({c}, {i})" for i, c in enumerate(self.leaves[at : at + _WORD])) for at in range(0, len(self.leaves), _WORD)}
+        words[f"{self.stem}0"] = f"{words[self.stem + '0']} | {_APART.format(self.leaves[0])}" if words else "0L"
+        return df.withColumns(dict(self.conditions.values())).withColumns({name: F.expr(word) for name, word in words.items()})
+
+
+def _stem(df: DataFrame, stem: str) -> str:
+    """A beginning that no column of df has."""
+    while any(c.lower().startswith(stem) for c in df.columns):
+        stem += "_"
+    return stem
+
+
+def _looked_up(rules: Sequence[Rule], place: Column) -> Column:
+    """The answer of the rule at a place, from 1; null beyond the last.  The texts are constants, split when the query is planned."""
+    fields = [[r.value for r in rules], [str(TIERS[r.tier][0]) for r in rules], [TIERS[r.tier][1] for r in rules], [r.name for r in rules]]
+    if any("\x1f" in v for f in fields for v in f):
+        raise ValueError("a rule's value or name holds the separator of fields")
+    texts = [F.split(F.lit("\x1f".join(f)), "\x1f") for f in fields]
+    found = [F.try_element_at(t, place.cast("int")).alias(n) for t, n in zip([texts[0], texts[1].cast("array<double>"), *texts[2:]], ("value", "confidence", "basis", "rule"), strict=True)]
+    return F.when(place <= len(rules), F.struct(*found))
+
+
+def _reads(spec: Mapping | Sequence | None) -> set[str]:
+    """Axes whose answers a condition reads."""
+    if isinstance(spec, Mapping):
+        return {spec["is"][0]} if "is" in spec else set().union(*map(_reads, spec.values()))
+    return set().union(*map(_reads, spec)) if isinstance(spec, (list, tuple)) else set()
+
+
 def classify(df: DataFrame, rules: Sequence[Rule], pins: Mapping[str, Column] | None = None) -> DataFrame:
     """Adds one struct (value, confidence, basis, rule) per axis: the first rule that fires decides; a pinned axis keeps its answer.
 
-    Axes are decided in the order of their first rule, so later rules may read earlier axes.
+    Axes are decided in the order of their first rule, so later rules may read earlier axes.  Axes that read none of each
+    other are decided together.  The answer is looked up by the number of the rule.
     """
-    for axis in dict.fromkeys(r.axis for r in rules):
-        kind = "struct<value:string,confidence:double,basis:string,rule:string>"
-        out = F.lit(None).cast(kind)
-        for rule in reversed([r for r in rules if r.axis == axis]):
-            out = F.when(_fires(rule), _answer(rule)).otherwise(out)
-        if pins and axis in pins:
-            pin = F.struct(pins[axis].alias("value"), F.lit(1.0).alias("confidence"), F.lit("pin").alias("basis"), F.lit("pin").alias("rule"))
-            out = F.when(pins[axis].isNotNull(), pin).otherwise(out)
-        df = df.withColumn(axis, out)
+    axes = {axis: [r for r in rules if r.axis == axis] for axis in dict.fromkeys(r.axis for r in rules)}
+    while axes:
+        together: dict[str, list[Rule]] = {}
+        for axis, own in axes.items():
+            if together and any(_reads([r.when, r.scope]) & together.keys() for r in own):
+                break
+            together[axis] = own
+        before, stem = df.columns, _stem(df, "__fired")
+        bits = _Bits(_stem(df, "__bits"))
+        truths = {axis: [bits.truth({"all": [r.when, r.scope]} if r.scope else r.when) for r in own] for axis, own in together.items()}
+        fired, first, found, at_rule = {}, {}, {}, _stem(df, "__rule")
+        for axis, own in together.items():
+            places = []
+            for at in range(0, len(own), _WORD):
+                word = f"{stem}{len(fired)}"
+                fired[word] = F.expr(" | ".join([*(f"shiftleft({t}, {i})" for i, t in enumerate(truths[axis][at : at + _WORD])), *[_APART.format(f"{bits.stem}0")] * (not fired)]))
+                lowest = f"bit_count(({word} & -{word}) - 1)"  # 64 where no bit is set
+                places.append(f"{lowest} + {at} + shiftright({lowest}, 6) * {_NOWHERE}")
+            place = f"{at_rule}{len(first)}"
+            first[place] = F.expr(f"1 + least({', '.join(places)}, {_NOWHERE}) + {_APART.format(f'bigint({word})')}")
+            out = _looked_up(own, F.col(place))
+            if pins and axis in pins:
+                pin = F.struct(pins[axis].alias("value"), F.lit(1.0).alias("confidence"), F.lit("pin").alias("basis"), F.lit("pin").alias("rule"))
+                out = F.when(pins[axis].isNotNull(), pin).otherwise(out)
+            found[axis] = out
+        df = bits.beside(df).withColumns(fired).withColumns(first).withColumns(found).select(*[F.col(f"`{c}`") for c in before if c not in found], *found)
+        axes = {axis: own for axis, own in axes.items() if axis not in together}
     return df
 
 

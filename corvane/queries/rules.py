@@ -39,7 +39,7 @@ def ordered_rules(spark, d):
     return _classified(spark, d).select("p_partkey", F.col("metal.value").alias("metal"), "metal.rule", "metal.confidence", "metal.basis", F.col("size.value").alias("size"))
 
 
-#: Two hundred predicates over eight axes, by rule.
+#: A hundred rules of three predicates each over eight axes.
 _MANY = [(f"r{n}", f"axis{n % 8}", n * 7 % 49, n * 13 % 97, "ANR"[n % 3]) for n in range(100)]
 
 
