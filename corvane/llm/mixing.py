@@ -59,20 +59,20 @@ def exponent_for_repetition(rows: DataFrame, most: float) -> float:
 
 
 def weights(rows: DataFrame, exponent: float, budget: int | None) -> DataFrame:
-    """(__source, tokens, weight, repeats): repeats is the source's budget over its tokens.
+    """(__source, tokens, weight, goal, target): goal is the source's budget, target the same in whole tokens.
 
     Without a budget it is the least with which every document is placed once.
     """
     powers = rows.withColumn("__p", F.when(F.col("share") > 0, F.pow("share", F.lit(exponent))).otherwise(0.0))
     total = powers.agg(F.sum("__p").alias("__all"), F.max(F.try_divide("tokens", "__p")).alias("__cover"))
     given = F.col("__cover") if budget is None else F.try_divide(F.lit(float(budget)), F.col("__all"))
-    repeats = F.try_divide(F.col("__p") * given, F.col("tokens"))
-    return powers.crossJoin(F.broadcast(total)).select("__source", "tokens", F.coalesce(F.try_divide("__p", "__all"), F.lit(0.0)).alias("weight"), F.coalesce(F.round(repeats, 6), F.lit(1.0)).alias("repeats"))
+    goal = F.coalesce(F.col("__p") * given, F.lit(0.0))
+    return powers.crossJoin(F.broadcast(total)).select("__source", "tokens", F.coalesce(F.try_divide("__p", "__all"), F.lit(0.0)).alias("weight"), goal.alias("goal"), F.round(goal).cast("long").alias("target"))
 
 
 def _rows(docs: DataFrame, *more: str) -> DataFrame:
     source = F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("n:"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("__source"), C.n_words(F.col("text")).alias("n_tokens"), F.length("text").alias("__len"), *more)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("__source"), C.n_words(F.col("text")).alias("n_tokens"), F.length("text").alias("__len"), F.monotonically_increasing_id().alias("__row_id"), *more)
 
 
 def _placed(rows: DataFrame, ties: list[str], entropy: float | None, repetition: float, budget: int | None, blocks: int) -> DataFrame:
@@ -83,13 +83,15 @@ def _placed(rows: DataFrame, ties: list[str], entropy: float | None, repetition:
     per = shares(rows)
     exponent = exponent_for_repetition(per, repetition) if entropy is None else exponent_for_entropy(per, entropy)
     mix = weights(per, exponent, budget)
-    whole = F.floor(F.col("repeats") + 1e-9)
-    turns = rows.join(C.hinted(mix), "__source").withColumn("pass", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("repeats") - 1e-9).cast("int") - 1))))
-    turns = turns.filter((F.col("n_tokens") > 0) | (F.col("pass") == 0)).withColumn("__key", C.dealt_key(F.col("doc_id"), F.col("__len"), F.col("pass")))
+    # whole passes, and the tokens of the last one, which stops where the budget ends; texts of sources without tokens are placed once
+    some = F.col("tokens") > 0
+    mix = mix.withColumn("whole", F.when(some, F.expr("target div nullif(tokens, 0)")).otherwise(1)).withColumn("room", F.when(some, F.expr("target % nullif(tokens, 0)")).otherwise(0))
+    last = F.greatest(F.lit(0).cast("long"), F.col("whole") + (F.col("room") > 0).cast("long") - 1).cast("int")
+    turns = rows.join(C.hinted(mix), "__source").withColumn("pass", F.explode(F.sequence(F.lit(0), last)))
+    turns = turns.filter((F.col("n_tokens") > 0) | (F.col("pass") == 0)).withColumn("__key", C.dealt_key(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), "__row_id")), F.col("__len"), F.col("pass")))
     placed = C.ranked(turns, ["__source", "pass"], "__key", "n_tokens", ties)
-    room = (F.col("repeats") - whole) * F.col("tokens")  # of the last pass, which stops where the budget ends
-    placed = placed.filter((F.col("pass") < whole) | (F.col("sum_before") < room - 1e-6))
-    rank = F.coalesce(F.try_divide(F.col("pass") * F.col("tokens") + F.col("sum_before"), F.col("repeats") * F.col("tokens")), F.lit(0.0))
+    placed = placed.filter((F.col("pass") < F.col("whole")) | (F.col("sum_before") < F.col("room")))
+    rank = F.coalesce(F.least(F.lit(1.0), F.try_divide(F.col("pass") * F.col("tokens") + F.col("sum_before"), F.col("goal"))), F.lit(0.0))
     return placed.withColumn("rank", rank).withColumn("block", F.least(F.floor(F.col("rank") * blocks).cast("int"), F.lit(blocks - 1)))
 
 
