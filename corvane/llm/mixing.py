@@ -59,7 +59,8 @@ def exponent_for_repetition(rows: DataFrame, most: float) -> float:
 
 
 def weights(rows: DataFrame, exponent: float, budget: int | None) -> DataFrame:
-    """(__source, tokens, weight, goal, target): goal is the source's budget, target the same in whole tokens.
+    """(__source, tokens, weight, goal, target): goal is the source's budget, target the whole tokens
+    before whose last one a document must begin to be placed.
 
     Without a budget it is the least with which every document is placed once.
     """
@@ -67,7 +68,7 @@ def weights(rows: DataFrame, exponent: float, budget: int | None) -> DataFrame:
     total = powers.agg(F.sum("__p").alias("__all"), F.max(F.try_divide("tokens", "__p")).alias("__cover"))
     given = F.col("__cover") if budget is None else F.try_divide(F.lit(float(budget)), F.col("__all"))
     goal = F.coalesce(F.col("__p") * given, F.lit(0.0))
-    return powers.crossJoin(F.broadcast(total)).select("__source", "tokens", F.coalesce(F.try_divide("__p", "__all"), F.lit(0.0)).alias("weight"), goal.alias("goal"), F.round(goal).cast("long").alias("target"))
+    return powers.crossJoin(F.broadcast(total)).select("__source", "tokens", F.coalesce(F.try_divide("__p", "__all"), F.lit(0.0)).alias("weight"), goal.alias("goal"), F.ceil(goal * (1 - 4e-16) - 1e-6).cast("long").alias("target"))
 
 
 def _rows(docs: DataFrame, *more: str) -> DataFrame:
