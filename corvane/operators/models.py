@@ -13,6 +13,9 @@ from pyspark.sql.window import Window
 
 from corvane.plans.storage import small_or_shuffled, stored
 
+from .firsts import beside, first_n, first_share
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -36,10 +39,12 @@ def zero_shot(df: DataFrame, prompts: DataFrame, key: str, vector: str, temperat
 
 def threshold_gate(df: DataFrame, by: str, score: str, threshold: float, floor: int = 20) -> DataFrame:
     """Rows over the threshold; where fewer than min(floor, n) of a group pass, its best rows up to that number."""
-    w = Window.partitionBy(by)
-    rows = df.withColumn("__pass", F.count(F.when(F.col(score) >= threshold, 1)).over(w)).withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__r", F.row_number().over(w.orderBy(F.desc(score), *[c for c in df.columns if c != score][:1])))
-    need = F.least(F.lit(floor), F.col("__n"))
-    return rows.filter(F.when(F.col("__pass") >= need, F.col(score) >= threshold).otherwise(F.col("__r") <= need)).drop("__pass", "__n", "__r")
+    key = next((c for c in df.columns if c != score), score)
+    passes = F.count(F.when(F.col(score) >= threshold, 1))
+    groups = df.groupBy(by).agg(passes.alias("__pass"), F.least(F.lit(floor).cast("bigint"), F.count(F.lit(1))).alias("__need")).withColumn("__enough", F.col("__pass") >= F.col("__need"))
+    over = beside(df.filter(F.col(score) >= threshold), groups.filter("__enough").select(by), [by])
+    best = first_n(beside(df, groups.filter("not __enough").select(by, "__need"), [by]), [by], [F.desc(score), F.col(key)], key, floor, "__r", F.col("__need"))
+    return over.unionByName(best.drop("__need", "__r"))
 
 
 def _gap(against: np.ndarray):
@@ -86,23 +91,20 @@ def diverse(df: DataFrame, key: str, vector: str, n: int, seed: str = "0") -> Da
 
 def pools(df: DataFrame, by: str, score: str, key: str, prior: float, budget: int) -> DataFrame:
     """Split a budget per group between scored (prior share) and unscored rows; what one pool cannot use the other gets."""
-    w = Window.partitionBy(by)
     scored = F.col(score).isNotNull()
-    n1, n0 = F.count(F.when(scored, 1)).over(w), F.count(F.when(~scored, 1)).over(w)
-    want1 = F.floor(F.lit(budget * prior)).cast("long")
-    take1 = F.least(n1, want1 + F.greatest(F.lit(0), F.lit(budget) - want1 - n0))
-    take0 = F.least(n0, F.lit(budget) - take1)
-    r = F.row_number().over(Window.partitionBy(by, scored).orderBy(F.desc(score), key))
-    rows = df.withColumn("__t", F.when(scored, take1).otherwise(take0)).withColumn("__r", r)
-    return rows.filter(F.col("__r") <= F.col("__t")).drop("__t", "__r")
+    n1, n0, want1 = F.count(F.when(scored, 1)), F.count(F.when(~scored, 1)), F.lit(int(np.floor(budget * prior)))
+    take1 = F.least(F.col("__n1"), want1 + F.greatest(F.lit(0).cast("bigint"), F.lit(budget) - want1 - F.col("__n0")))
+    groups = df.groupBy(by).agg(n1.alias("__n1"), n0.alias("__n0")).withColumn("__take1", take1)
+    groups = groups.select(by, "__take1", F.least(F.col("__n0"), F.lit(budget) - F.col("__take1")).alias("__take0"))
+    rows = beside(df.withColumn("__scored", scored), groups, [by])
+    taken = first_n(rows, [by, "__scored"], [F.desc(score), F.col(key)], key, budget, "__r", F.when(F.col("__scored"), F.col("__take1")).otherwise(F.col("__take0")))
+    return taken.drop("__scored", "__take1", "__take0", "__r")
 
 
 def stratified(df: DataFrame, cells: Sequence[str], key: str, cap: int, seed: str) -> DataFrame:
     """Seeded subsample in proportion to the cells' sizes, at least one row of each: the first max(1, round(cap * share)) by digest."""
-    w = Window.partitionBy(*cells)
-    all_ = df.agg(F.count(F.lit(1)).alias("__all"))
-    rows = df.crossJoin(F.broadcast(all_)).withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__r", F.row_number().over(w.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key))), key)))
-    return rows.filter(F.col("__r") <= F.greatest(F.lit(1), F.round(F.col("__n") * cap / F.col("__all")))).drop("__all", "__n", "__r")
+    n = F.lit(df.count())
+    return first_share(df, cells, F.md5(F.concat_ws(":", F.lit(seed), F.col(key))), key, F.greatest(F.lit(1), F.round(F.col("__n") * cap / n)))
 
 
 def unit_answer(df: DataFrame, unit: str, position: str, label: str, p: str, orientation: str, top: str, bottom: str, both: str) -> DataFrame:

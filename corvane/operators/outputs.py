@@ -55,20 +55,24 @@ def held_flag(n: Column, k: int = K) -> Column:
 def suppress(grid: DataFrame, keys: Sequence[str], n: str, shown: str, k: int = K) -> DataFrame:
     """Complementary suppression on a grid of groups.
 
-    A line (the cells that share all keys but one) with a held cell holds one more, else the line's
-    total would give it away: where it holds one alone, or only cells under the bound.  That is the
-    smallest of those shown, an empty one last.  With several keys there are three passes for each,
-    and in a pass all lines are judged by what the passes before it held.
+    Cells under the bound are held.  What a line of cells (all keys but one fixed) adds up to must not betray a held cell: so
+    a line in which one cell alone is held, or none but cells under the bound, also loses its least cell still shown, empty cells
+    only if there is no other.  Every pass judges all lines by what was held before it; grids of several keys take three
+    passes for each key, as lines cross.  A grid of one key is a single line, found by one aggregation.
     """
     small = ~((F.col(n) == 0) | (F.col(n) >= k))
     out = grid.withColumn("__small", small.cast("int")).withColumn("__held", F.col("__small"))
-    for _ in range(3 * len(keys) if len(keys) > 1 else 1):
+    cell = F.struct("__held", (F.col(n) == 0).cast("int").alias("__empty"), F.col(n).alias("__count"), *keys)
+    own = F.sum(F.col("__held") * (1 - F.col("__small")))
+    loses = lambda held, chosen: (held >= 1) & ((held == 1) | (chosen == 0))
+    if len(keys) == 1:
+        line = out.agg(F.sum("__held").alias("__all"), own.alias("__own"), F.min(cell).alias("__least"))
+        out = out.crossJoin(F.broadcast(line)).withColumn("__held", F.when(loses(F.col("__all"), F.col("__own")) & cell.eqNullSafe(F.col("__least")), 1).otherwise(F.col("__held"))).drop("__all", "__own", "__least")
+    for _ in range(3 * len(keys) if len(keys) > 1 else 0):
         more = F.lit(False)
         for along in keys:
             w = Window.partitionBy(*[c for c in keys if c != along])
-            held_, chosen = F.sum("__held").over(w), F.sum(F.col("__held") * (1 - F.col("__small"))).over(w)
-            first = F.row_number().over(w.orderBy("__held", (F.col(n) == 0).cast("int"), n, *keys)) == 1
-            more = more | ((held_ >= 1) & ((held_ == 1) | (chosen == 0)) & first)
+            more = more | (loses(F.sum("__held").over(w), own.over(w)) & cell.eqNullSafe(F.min(cell).over(w)))
         out = out.withColumn("__held", F.when(more, 1).otherwise(F.col("__held")))
     return out.withColumn(shown, F.when(F.col("__held") == 0, F.col(n))).drop("__held", "__small")
 

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from corvane.plans.storage import small_or_shuffled
 
-from .sets import numbered
+from .sets import cumulated
 
 POINTS = (0.05, 0.25, 0.5, 0.75, 0.95)
 
@@ -25,14 +25,16 @@ def shares(df: DataFrame, axis: str) -> DataFrame:
 def percentiles(df: DataFrame, by: str, value: str, least: int = 3) -> DataFrame:
     """Per group the value at sorted place round(q (n - 1)) for each of POINTS; groups with fewer than `least` values have none.
 
-    All groups are sorted together by ranges, so a group of any size is spread over tasks.
+    Equal values of a group are counted before anything is ordered, and all groups are ordered together by ranges, so neither
+    a large group nor a common value fills a task.
     """
-    rows = numbered(df.filter(F.col(value).isNotNull()).select(by, value), [by, value], "__at")
-    per = rows.groupBy(by).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= least).withColumnRenamed(by, "__by")
-    placed = rows.join(small_or_shuffled(per), F.col(by).eqNullSafe(F.col("__by"))).withColumn("__i", F.col("__at") - F.col("__first"))
-    at = {q: F.round(F.lit(q) * (F.col("__n") - 1)) for q in POINTS}
-    found = placed.filter(reduce(lambda a, b: a | b, [F.col("__i") == x for x in at.values()]))
-    return found.groupBy(by).agg(*[F.min(F.when(F.col("__i") == x, F.col(value))).alias(f"p{round(q * 100):02d}") for q, x in at.items()])
+    values = df.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("__n"))
+    rows = cumulated(values, [by, value], "__n", "__upto")
+    per = rows.groupBy(by).agg(F.min(F.col("__upto") - F.col("__n")).alias("__before"), F.sum("__n").alias("__size")).filter(F.col("__size") >= least).withColumnRenamed(by, "__by")
+    placed = rows.join(small_or_shuffled(per), F.col(by).eqNullSafe(F.col("__by"))).withColumn("__to", F.col("__upto") - F.col("__before"))
+    holds = {q: (F.round(F.lit(q) * (F.col("__size") - 1)) < F.col("__to")) & (F.round(F.lit(q) * (F.col("__size") - 1)) >= F.col("__to") - F.col("__n")) for q in POINTS}
+    found = placed.filter(reduce(lambda a, b: a | b, holds.values()))
+    return found.groupBy(by).agg(*[F.min(F.when(h, F.col(value))).alias(f"p{round(q * 100):02d}") for q, h in holds.items()])
 
 
 def percentile_bucket(x: Column, points: Sequence[Column]) -> Column:

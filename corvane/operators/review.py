@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 from corvane.plans.storage import small_or_shuffled
 
+from .firsts import first_n
+
 AUTHORS = {"model": 1, "agent": 2, "person": 3}
 SCOPES = {"subject": 1, "series": 2, "group": 3, "stack": 4}
 BANDS = (0.9, 0.95, 0.99)
@@ -135,8 +137,9 @@ def voter_plan(df: DataFrame, unit: str, axis: str, value: str, seed: str, share
     kinds = per.groupBy(unit).agg(F.max((F.col("state") == "split").cast("int")).alias("__split"))
     agreed = kinds.filter("__split = 0").select(unit)
     first = draw(agreed, seed, "audit", unit, share=share) if share > 0 else agreed.limit(0)
-    own = per.filter("state = 'agree'").join(agreed, unit, "left_semi").withColumn("__r", F.row_number().over(Window.partitionBy(axis).orderBy(unit_hash(f"{seed}:audit", unit), unit)))
-    taken = first.unionByName(own.filter(F.col("__r") <= cells).select(unit)).distinct()
+    own = per.filter("state = 'agree'").join(agreed, unit, "left_semi")
+    least = first_n(own, [axis], [unit_hash(f"{seed}:audit", unit), F.col(unit)], unit, cells)
+    taken = first.unionByName(least.select(unit)).distinct()
     items = kinds.filter("__split = 1").select(unit, F.lit("split").alias("kind")).unionByName(taken.select(unit, F.lit("audit").alias("kind")))
     audited = own.join(taken, unit, "left_semi").groupBy(axis).agg(F.count(F.lit(1)).alias("audit"))
     counts = per.join(kinds, unit).groupBy(axis).agg(F.count(F.when(F.col("state") == "split", 1)).alias("split"), F.count(F.when((F.col("state") == "agree") & (F.col("__split") == 0), 1)).alias("agree"))

@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 
 from corvane.plans.storage import stored
 
+from .firsts import beside, first_n
+
 MONTH_DAYS, YEAR_DAYS = 31, 366
 
 
@@ -63,15 +65,21 @@ def group(df: DataFrame, by: Sequence[str], subject: str, **totals: Column) -> D
 
 
 def numbered(df: DataFrame, by: Sequence[str], name: str) -> DataFrame:
-    """Rows numbered from 1 in order of some columns, nulls last: ranges are numbered each on its own, behind the rows of the ranges before."""
-    order = [F.col(c).asc_nulls_last() for c in by]
-    if not order:
+    """Rows numbered from 1 in order of some columns, nulls last."""
+    if not by:
         return df.withColumn(name, F.lit(1).cast("long"))
+    return cumulated(df.withColumn("__one", F.lit(1).cast("bigint")), by, "__one", name).drop("__one")
+
+
+def cumulated(df: DataFrame, by: Sequence[str], weight: str, name: str) -> DataFrame:
+    """Running sums of a weight in order of some columns, nulls last: ranges are summed each on its own, behind the sums of the ranges before."""
+    order = [F.col(c).asc_nulls_last() for c in by]
     dealt = stored(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
-    sizes = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))  # a row for each shuffle partition
-    ahead = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__ahead"))
+    sizes = dealt.groupBy("__range").agg(F.sum(weight).alias("__sum"))  # a row for each shuffle partition
+    ahead = sizes.select("__range", (F.sum("__sum").over(Window.orderBy("__range")) - F.col("__sum")).alias("__ahead"))
+    inside = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = dealt.join(F.broadcast(ahead), "__range")
-    return rows.withColumn(name, (F.col("__ahead") + F.row_number().over(Window.partitionBy("__range").orderBy(*order))).cast("long")).drop("__range", "__ahead")
+    return rows.withColumn(name, (F.col("__ahead") + F.sum(weight).over(inside)).cast("long")).drop("__range", "__ahead")
 
 
 def as_list(df: DataFrame, values: DataFrame, key: str, value: str, name: str) -> DataFrame:
@@ -388,10 +396,9 @@ def _near_days(anchor: DataFrame, partner: DataFrame, key: str, subject: str, da
 
 def pick(df: DataFrame, per: str, by: Sequence[Column], key: str, n: int = 1, ties: str = "keep") -> DataFrame:
     """First n rows per ancestor, with pick_rank, pick_candidates and pick_tied; ties="refuse" drops tied picks, "raise" fails."""
-    w = Window.partitionBy(per)
-    out = df.withColumn("pick_rank", F.row_number().over(w.orderBy(*by, F.col(key)))).withColumn("__r", F.rank().over(w.orderBy(*by)))
-    out = out.withColumn("pick_candidates", F.count(F.lit(1)).over(w)).withColumn("pick_tied", F.count(F.lit(1)).over(Window.partitionBy(per, "__r")) > 1)
-    out = out.filter(F.col("pick_rank") <= n).drop("__r")
+    few = first_n(df, [per], [*by, F.col(key)], key, n + 1, "pick_rank")  # one more shows whether the last is tied
+    few = few.withColumn("__r", F.rank().over(Window.partitionBy(per).orderBy(*by))).withColumn("pick_tied", F.count(F.lit(1)).over(Window.partitionBy(per, "__r")) > 1)
+    out = beside(few.filter(F.col("pick_rank") <= n).drop("__r"), df.groupBy(per).agg(F.count(F.lit(1)).alias("pick_candidates")), [per])
     if ties == "refuse":
         return out.filter(~F.col("pick_tied"))
     if ties == "raise":
