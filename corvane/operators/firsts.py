@@ -20,11 +20,11 @@ def first_n(df: DataFrame, by: Sequence[str], order: Sequence[Column], dealt: st
     return out if most is None else out.filter(F.col(name) <= most)
 
 
-def beside(df: DataFrame, totals: DataFrame, by: Sequence[str]) -> DataFrame:
+def beside(df: DataFrame, totals: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
     """Rows with the totals of their group; a null is a group."""
     other = totals.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], *[c for c in totals.columns if c not in by])
     same = [F.col(c).eqNullSafe(F.col(f"__by{i}")) for i, c in enumerate(by)]
-    return df.join(other, same).drop(*[f"__by{i}" for i in range(len(by))])
+    return df.join(other, same, how).drop(*[f"__by{i}" for i in range(len(by))])
 
 
 def first_share(df: DataFrame, by: Sequence[str], digest: Column, key: str, n: Column) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from corvane.plans.storage import small_or_shuffled
 
+from .firsts import beside
 from .review import first_keys
 
 #: Confidence and basis that a rule's tier fixes.
@@ -301,7 +302,7 @@ def from_siblings(df: DataFrame, key: str, group: str, axis: str, evidence: Colu
     return out.withColumn(axis, F.when(F.col(axis).isNull() & ~F.coalesce(fixed, F.lit(False)) & (sibling > 0), F.lit(value)).otherwise(F.col(axis))).drop("__shown", "__first")
 
 
-def bracket(df: DataFrame, group: str, at: str, sign: str, number: str, *, trusted: Column, bolus: Column, region: str, day: str, untimed: Column, model: Column, tagged: Column, split_gap: float) -> DataFrame:
+def bracket(df: DataFrame, group: str, at: str, sign: str, number: str, *, trusted: Column, bolus: Column, region: str, day: str, untimed: Column, model: Column, tagged: Column, split_gap: float, series: str | None = None, images: tuple[str, str] | None = None, content_early: Column | None = None, derived: Column | None = None, study: tuple[str, str, float] | None = None) -> DataFrame:
     """Time bracket of a group (a session): label pre or post, the reason where there is none, flags, and weak_first.
 
     sign is a certified answer, 1 (post), -1 (pre) or null; such rows keep their own.  Others are post behind the first positive, pre ahead of the last
@@ -309,23 +310,30 @@ def bracket(df: DataFrame, group: str, at: str, sign: str, number: str, *, trust
     is said to flag only:
 
     C3  a bolus ahead of the last negative withdraws all; else it makes unlabelled rows behind it post
-    C2  several regions in a group are flagged; a label that its own region's bracket does not give goes
-    C4  flags a split dose: boluses split_gap apart, or one behind the first positive
-    C5  a group of several days; rows with untimed images; a number that contradicts the time flags
+    C2  several regions in a group are flagged; a label that its own region's bracket does not give goes; with `study` (subject,
+        start, span) a group that starts less than the span from another of its subject is flagged
+    C4  flags a split dose: boluses split_gap apart, a series counted at its earliest, or one behind the first positive
+    C5  a group of several days; rows with untimed images; with `content_early`, images whose content is older than
+        they are, own ones or those of the row that the label rests on; with `images` (first, last time), a row that reaches over
+        the first image of that row; a number that contradicts the time flags
+    C6  a derived row gives no answer and gets none, unless it is a bolus
     C8  weak_first: the first positive is a model's alone, without another, a tag behind it or a bolus ahead of it
     """
-    at_, n_ = F.col(at), F.col(number)
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    framed = F.lit(True) if derived is None else ~yes(derived)
+    at_, n_, sign_ = F.col(at), F.col(number), F.when(framed, F.col(sign))
     whole, part = Window.partitionBy(group), Window.partitionBy(group, region)
-    positive, negative = F.col(sign) == 1, F.col(sign) == -1
-    edge = lambda w, c, pick: pick(F.when(c & trusted, F.struct(at_.alias("t"), n_.alias("n")))).over(w)
+    positive, negative = sign_ == 1, sign_ == -1
+    begins, ends = (F.col(c) for c in images) if images else (F.lit(None).cast("double"), F.lit(None).cast("double"))
+    stale = F.lit(False) if content_early is None else yes(content_early)
+    edge = lambda w, c, pick: pick(F.when(c & trusted, F.struct(at_.alias("t"), n_.alias("n"), begins.alias("begins"), stale.alias("stale")))).over(w)
 
     def place(w) -> Column:
         first, last = edge(w, positive & at_.isNotNull(), F.min), edge(w, negative & at_.isNotNull(), F.max)
         after, before = at_ > first["t"], at_ < last["t"]
-        yes = lambda c: F.coalesce(c, F.lit(False))
         post = yes(after) & F.coalesce(n_ > first["n"], F.lit(True))
         pre = yes(before) & F.coalesce(n_ < last["n"], F.lit(True))
-        none = F.count(F.when(F.col(sign).isNotNull(), 1)).over(w) == 0
+        none = F.count(F.when(sign_.isNotNull(), 1)).over(w) == 0
         crossed = yes(first["t"] <= last["t"])
         open_ = F.when(first.isNotNull() & last.isNotNull(), "window").when(first.isNotNull(), "post_only_before_first").otherwise("pre_only_after_last")
         return F.when(~trusted | at_.isNull(), "no_trusted_time").when(none, "no_answer").when(crossed, "crossed").when(post, "post").when(pre, "pre").when(yes(after) | yes(before), "series_number").otherwise(open_)
@@ -333,25 +341,41 @@ def bracket(df: DataFrame, group: str, at: str, sign: str, number: str, *, trust
     own = F.when(positive, "post").when(negative, "pre")
     out = df.withColumns({"__base": place(whole), "__exam": place(part), "__first": edge(whole, positive & at_.isNotNull(), F.min), "__last": edge(whole, negative & at_.isNotNull(), F.max)})
     given = bolus & at_.isNotNull()
-    out = out.withColumns({"__bolus": F.min(F.when(given & trusted, at_)).over(whole), "__bolus_n": F.min(F.when(given, n_)).over(whole), "__bolus_to": F.max(F.when(given & trusted, at_)).over(whole), "__regions": F.size(F.collect_set(region).over(whole)), "__days": F.size(F.collect_set(day).over(whole)), "__others": F.count(F.when(positive, 1)).over(whole)})
-    yes = lambda c: F.coalesce(c, F.lit(False))
+    event = F.when(given & trusted, at_)
+    out = out.withColumn("__event", event if series is None else F.min(event).over(Window.partitionBy(group, series)))
+    out = out.withColumns({"__bolus": F.min(F.when(given & trusted, at_)).over(whole), "__bolus_n": F.min(F.when(given, n_)).over(whole), "__bolus_to": F.max("__event").over(whole), "__regions": F.size(F.collect_set(F.when(framed, F.col(region))).over(whole)), "__days": F.size(F.collect_set(F.when(framed, F.col(day))).over(whole)), "__others": F.count(F.when(positive, 1)).over(whole)})
     early = yes(F.col("__bolus") < F.col("__last.t"))
     open_ = F.col("__base").isin("window", "pre_only_after_last", "no_answer", "post_only_before_first")
     added = own.isNull() & ~early & open_ & yes(at_ > F.col("__bolus")) & F.coalesce(n_ > F.col("__bolus_n"), F.lit(True)) & ~bolus
     labelled = own.isNull() & F.col("__base").isin("pre", "post")
     other = labelled & ~early & (F.col("__regions") > 1) & F.col(region).isNotNull() & (F.col("__exam") != F.col("__base"))
     holds = labelled | added
+    post, pre = added | (labelled & (F.col("__base") == "post")), labelled & (F.col("__base") == "pre")
     reason = F.when(holds & early, "C3_bolus_before_last").when(other, "C2_exam").when(holds & (F.col("__days") > 1), "C5_midnight").when(holds & untimed, "C5_no_time")
+    still = reason.isNull()
+    content = stale | (still & ((post & yes(F.col("__first.stale"))) | (pre & yes(F.col("__last.stale")))))
+    reason = reason.when(holds & content, "C5_content") if content_early is not None else reason
+    straddle = reason.isNull() & ((pre & yes(ends >= F.col("__last.begins"))) | (post & ~added & yes(begins <= F.col("__first.begins"))))
+    reason = F.when(~framed, F.when(~yes(bolus), "C6_derived")).otherwise(reason.when(straddle, "C5_straddle"))
+    out_of_frame = F.lit(False) if derived is None else ~framed & ~yes(bolus)
     two = yes(F.col("__bolus_to") - F.col("__bolus") >= split_gap) | yes(F.col("__bolus") > F.col("__first.t"))
     split = trusted & two
     between = split & yes((at_ > F.least("__bolus", "__first.t")) & (at_ < F.greatest("__bolus", "__first.t"))) & F.col("__first").isNotNull()
-    flags = [(early, "C3_bolus_before_last"), (added, "C3_bolus_post_added"), (F.col("__regions") > 1, "C2_multi_region"), (other, "C2_exam"), (split, "C4_split_session"), (between, "C4_split"), (F.col("__days") > 1, "C5_midnight"), (untimed, "C5_no_time"), (own.isNull() & (F.col("__base") == "series_number"), "C5_number_guard")]
+    second = F.lit(False)
+    if study:
+        subject, start, span = study
+        starts = df.groupBy(F.col(subject).alias("__subject"), F.col(group).alias("__group")).agg(F.min(start).alias("__start")).filter("__start is not null")
+        line = Window.partitionBy("__subject").orderBy("__start", "__group")
+        near = [yes(F.abs(F.col("__start") - f("__start").over(line)) < span) for f in (F.lag, F.lead)]
+        out = beside(out, starts.select(F.col("__subject").alias(subject), F.col("__group").alias(group), (near[0] | near[1]).alias("__second")), [subject, group], "left")
+        second = yes(F.col("__second"))
+    flags = [(framed & early, "C3_bolus_before_last"), (added, "C3_bolus_post_added"), (F.col("__regions") > 1, "C2_multi_region"), (other, "C2_exam"), (split, "C4_split_session"), (between, "C4_split"), (framed & (F.col("__days") > 1), "C5_midnight"), (framed & untimed, "C5_no_time"), (framed & content, "C5_content"), (framed & straddle, "C5_straddle"), (own.isNull() & (F.col("__base") == "series_number"), "C5_number_guard"), (~framed, "C6_derived"), (second, "C2_second_study")]
     is_first = positive & yes(at_ == F.col("__first.t"))
     by_model = F.max(F.when(is_first, model.cast("int"))).over(whole) == 1
     tag = F.max(F.when(tagged & yes(at_ >= F.col("__first.t")), 1)).over(whole).isNotNull()
     weak = yes(by_model) & (F.col("__others") == 1) & ~tag & ~yes(F.col("__bolus") <= F.col("__first.t"))
     base = F.when(added, "post").when(labelled, F.col("__base"))
-    label = F.coalesce(own, F.when(reason.isNull(), base))
+    label = F.when(~out_of_frame, F.coalesce(own, F.when(reason.isNull(), base)))
     why = F.when(label.isNull(), F.coalesce(reason, F.col("__base")))
     marked = F.array_join(F.array_compact(F.array(*[F.when(yes(c), F.lit(name)) for c, name in flags])), ",")
     return out.select(*df.columns, label.alias("label"), why.alias("reason"), marked.alias("flags"), weak.alias("weak_first"))

@@ -121,17 +121,34 @@ def _place_sql(w: str) -> str:
  when coalesce(t < {l}, false) and coalesce(n < {ln}, true) then 'pre' when coalesce(t > {f}, false) or coalesce(t < {l}, false) then 'series_number' when {f} is not null and {l} is not null then 'window' when {f} is not null then 'post_only_before_first' else 'pre_only_after_last' end"""
 
 
-_BRACKET = f"""with r as (select o_orderkey as n, o_custkey // 2 as g, case when o_orderkey % 37 > 0 then datediff('day', date '1990-01-01', cast(o_orderdate as date)) end as t, case when o_custkey % 3 = 0 and o_orderkey % 4 = 0 and year(o_orderdate) >= 1997 then 1 when o_custkey % 3 <= 1 and o_orderkey % 4 = 1 and year(o_orderdate) <= 1996 then -1 when o_orderkey % 97 = 0 then 1 end as s,
-  o_custkey // 2 % 7 > 0 as ok, o_custkey % 5 = 0 and o_orderkey % 9 = 0 as bolus, case when o_custkey % 8 = 0 then case when o_orderkey % 3 = 0 then 'spine' else 'head' end when o_orderkey % 2 = 0 then 'head' end as region, o_custkey % 11 // 10 * (o_orderkey % 2) as day, o_orderkey % 41 = 0 as untimed, o_orderkey % 2 = 0 as model, o_orderkey % 53 = 0 as tagged from orders),
-p as (select *, {_place_sql('w')} as base, {_place_sql('v')} as exam, min(case when s = 1 and t is not null and ok then t end) over w as f, max(case when s = -1 and t is not null and ok then t end) over w as l, min(case when bolus and t is not null and ok then t end) over w as b, max(case when bolus and t is not null and ok then t end) over w as bt, min(case when bolus and t is not null then n end) over w as bn,
-  len(list_distinct(list(region) filter (region is not null) over w)) as regions, len(list_distinct(list(day) over w)) as days, count(case when s = 1 then 1 end) over w as others from r window w as (partition by g), v as (partition by g, region)),
+def _of_edge(which: str, what: str) -> str:
+    """A value of the first positive or last negative row of a group."""
+    sign, pick = (1, "arg_min") if which == "first" else (-1, "arg_max")
+    c = f"case when s = {sign} and t is not null and ok then"
+    return f"{pick}({c} {what} end, {c} {{'t': t, 'n': n}} end) over w"
+
+
+_BRACKET = f"""with o as (select *, o_orderkey % 61 = 0 as derived, case when o_orderkey % 37 > 0 then datediff('day', date '1990-01-01', cast(o_orderdate as date)) end as t from orders),
+r as (select o_orderkey as n, o_custkey // 2 as g, o_custkey // 6 as subj, o_orderkey // 64 as series, derived, t, t - o_orderkey % 3 as fi, t + o_orderkey % 7 * 30 as la, o_orderkey % 59 = 0 as stale,
+  case when derived then null when o_custkey % 3 = 0 and o_orderkey % 4 = 0 and year(o_orderdate) >= 1997 then 1 when o_custkey % 3 <= 1 and o_orderkey % 4 = 1 and year(o_orderdate) <= 1996 then -1 when o_orderkey % 97 = 0 then 1 end as s,
+  o_custkey // 2 % 7 > 0 as ok, o_custkey % 5 = 0 and o_orderkey % 9 = 0 as bolus, case when o_custkey % 8 = 0 then case when o_orderkey % 3 = 0 then 'spine' else 'head' end when o_orderkey % 2 = 0 then 'head' end as region, o_custkey % 11 // 10 * (o_orderkey % 2) as day, o_orderkey % 41 = 0 as untimed, o_orderkey % 2 = 0 as model, o_orderkey % 53 = 0 as tagged from o),
+e as (select *, min(case when bolus and t is not null and ok then t end) over (partition by g, series) as ev, min(t) over (partition by g) as st from r),
+u as (select subj, g, min(st) as st from e where st is not null group by all),
+v2 as (select g, coalesce(st - lag(st) over k < 30, false) or coalesce(lead(st) over k - st < 30, false) as second from u window k as (partition by subj order by st, g)),
+p as (select *, {_place_sql('w')} as base, {_place_sql('v')} as exam, min(case when s = 1 and t is not null and ok then t end) over w as f, max(case when s = -1 and t is not null and ok then t end) over w as l, min(case when bolus and t is not null and ok then t end) over w as b, max(ev) over w as bt, min(case when bolus and t is not null then n end) over w as bn,
+  {_of_edge('first', 'fi')} as ffi, {_of_edge('last', 'fi')} as lfi, {_of_edge('first', 'stale')} as fst, {_of_edge('last', 'stale')} as lst,
+  len(list_distinct(list(region) filter (region is not null and not derived) over w)) as regions, len(list_distinct(list(day) filter (not derived) over w)) as days, count(case when s = 1 then 1 end) over w as others from e window w as (partition by g), v as (partition by g, region)),
 q as (select *, coalesce(b < l, false) as early, s is null and base in ('pre', 'post') as labelled, max(case when s = 1 and coalesce(t = f, false) then model::int end) over w as fm, max(case when tagged and coalesce(t >= f, false) then 1 end) over w as tag from p window w as (partition by g)),
 a as (select *, s is null and not early and base in ('window', 'pre_only_after_last', 'no_answer', 'post_only_before_first') and coalesce(t > b, false) and coalesce(n > bn, true) and not bolus as added, labelled and not early and coalesce(regions, 0) > 1 and region is not null and exam <> base as other, ok and (coalesce(bt - b >= 400, false) or coalesce(b > f, false)) as split from q),
-z as (select *, case when (labelled or added) and early then 'C3_bolus_before_last' when other then 'C2_exam' when (labelled or added) and days > 1 then 'C5_midnight' when (labelled or added) and untimed then 'C5_no_time' end as why, case when s = 1 then 'post' when s = -1 then 'pre' end as own from a),
-y as (select *, coalesce(own, case when why is null then case when added then 'post' when labelled then base end end) as label from z)
-select n as o_orderkey, label, case when label is null then coalesce(why, base) end as reason, concat_ws(',', case when early then 'C3_bolus_before_last' end, case when added then 'C3_bolus_post_added' end, case when coalesce(regions, 0) > 1 then 'C2_multi_region' end, case when other then 'C2_exam' end, case when split then 'C4_split_session' end,
-  case when split and f is not null and coalesce(t > least(b, f) and t < greatest(b, f), false) then 'C4_split' end, case when days > 1 then 'C5_midnight' end, case when untimed then 'C5_no_time' end, case when s is null and base = 'series_number' then 'C5_number_guard' end) as flags,
-  coalesce(fm = 1, false) and others = 1 and tag is null and not coalesce(b <= f, false) as weak_first from y"""
+z0 as (select *, added or (labelled and base = 'post') as post, labelled and base = 'pre' as pre, case when (labelled or added) and early then 'C3_bolus_before_last' when other then 'C2_exam' when (labelled or added) and coalesce(days, 0) > 1 then 'C5_midnight' when (labelled or added) and untimed then 'C5_no_time' end as why0, case when s = 1 then 'post' when s = -1 then 'pre' end as own from a),
+z1 as (select *, stale or (why0 is null and ((post and coalesce(fst, false)) or (pre and coalesce(lst, false)))) as content from z0),
+z2 as (select *, coalesce(why0, case when (labelled or added) and content then 'C5_content' end) as why1 from z1),
+z3 as (select *, why1 is null and ((pre and coalesce(la >= lfi, false)) or (post and not added and coalesce(fi <= ffi, false))) as straddle from z2),
+z as (select *, case when derived then case when not bolus then 'C6_derived' end else coalesce(why1, case when straddle then 'C5_straddle' end) end as why from z3),
+y as (select *, case when not (derived and not bolus) then coalesce(own, case when why is null then case when added then 'post' when labelled then base end end) end as label from z)
+select n as o_orderkey, label, case when label is null then coalesce(why, base) end as reason, concat_ws(',', case when early and not derived then 'C3_bolus_before_last' end, case when added then 'C3_bolus_post_added' end, case when coalesce(regions, 0) > 1 then 'C2_multi_region' end, case when other then 'C2_exam' end, case when split then 'C4_split_session' end,
+  case when split and f is not null and coalesce(t > least(b, f) and t < greatest(b, f), false) then 'C4_split' end, case when coalesce(days, 0) > 1 and not derived then 'C5_midnight' end, case when untimed and not derived then 'C5_no_time' end, case when content and not derived then 'C5_content' end, case when straddle and not derived then 'C5_straddle' end, case when s is null and base = 'series_number' then 'C5_number_guard' end, case when derived then 'C6_derived' end, case when second then 'C2_second_study' end) as flags,
+  coalesce(fm = 1, false) and others = 1 and tag is null and not coalesce(b <= f, false) as weak_first from y left join v2 using (g)"""
 
 
 @query("cls_9_bracket", _BRACKET)
@@ -140,8 +157,10 @@ def bracket(spark, d):
     sign = F.when((c % 3 == 0) & (k % 4 == 0) & (F.year("day") >= 1997), 1).when((c % 3 <= 1) & (k % 4 == 1) & (F.year("day") <= 1996), -1).when(k % 97 == 0, 1)
     region = F.when(c % 8 == 0, F.when(k % 3 == 0, "spine").otherwise("head")).when(k % 2 == 0, "head")
     rows = o.select("o_orderkey", c, F.floor(c / 2).alias("g"), F.when(k % 37 > 0, F.datediff("day", F.lit("1990-01-01").cast("date"))).alias("t"), sign.alias("s"), region.alias("region"), (F.floor(c % 11 / 10) * (k % 2)).alias("on"))
+    rows = rows.withColumns({"subject": F.floor(c / 6), "series": F.floor(k / 64), "begins": F.col("t") - k % 3, "ends": F.col("t") + k % 7 * 30})
+    more = dict(series="series", images=("begins", "ends"), content_early=k % 59 == 0, derived=k % 61 == 0, study=("subject", "t", 30))
     how = dict(trusted=F.col("g") % 7 > 0, bolus=(c % 5 == 0) & (k % 9 == 0), untimed=k % 41 == 0, model=k % 2 == 0, tagged=k % 53 == 0, split_gap=400)
-    return R.bracket(rows, "g", "t", "s", "o_orderkey", region="region", day="on", **how).select("o_orderkey", "label", "reason", "flags", "weak_first")
+    return R.bracket(rows, "g", "t", "s", "o_orderkey", region="region", day="on", **how, **more).select("o_orderkey", "label", "reason", "flags", "weak_first")
 
 
 @query("cls_10_carry_over", "select a.event_id, round(min(epoch(a.ts) - epoch(b.ts)) / 3600, 4) as hours from events a join events b on a.user_id = b.user_id and b.event_type = 'purchase' and (epoch(a.ts) - epoch(b.ts)) / 3600 between 24 and 72 group by 1")
