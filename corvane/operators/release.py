@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from corvane.plans.storage import small_or_shuffled
+from corvane.plans.storage import small_or_shuffled, stored
+
+from .firsts import beside
+from .sets import numbered
 
 
 def safe(text: Column) -> Column:
@@ -29,35 +32,46 @@ def standard_name(df: DataFrame, mapping: DataFrame, on: Sequence[str], need: Se
     return out.withColumn("reason", reason).withColumn("name", F.when(F.col("reason").isNull(), F.col("name")))
 
 
-def disambiguate(df: DataFrame, by: Sequence[str], name: str, key: str, echo: str, inversion: str, steps: Sequence[tuple[str, str]], rounds: int = 4) -> DataFrame:
-    """Names made unique in their group, in rounds: every member of a shared name that has an echo number gets _e<echo>; what is still
-    shared is numbered by inversion time where all have one and all differ; else gets the first property that tells any two apart (members without one keep
-    their name); last comes a counter in key order.
+#: Rounds after which naming gives up: each settles or splits every shared name, so a handful do.
+_ROUNDS = 64
+
+
+def disambiguate(df: DataFrame, by: Sequence[str], name: str, key: str, echo: str, inversion: str, steps: Sequence[tuple[str, str]], own: str | None = None) -> DataFrame:
+    """Adds unique_name: names that no other row of the group `by` has.
+
+    Echo numbers go first, as _e<echo>, to rows whose name is shared; a name that stands alone takes its series' own
+    suffix, if column `own` has one.  Then, as long as any name is shared: its rows are numbered by inversion time
+    where all have one and no two the same; else the first property (column, prefix) whose text tells any two apart is added, rows
+    without it keeping their name; else they are numbered in key order.  A new name can meet one that was settled
+    before; both are shared then and go on.
 
-    Adds unique_name.  A round either numbers a shared name or splits it, so a few settle them all.
+    A round is one aggregation over names and touches only shared ones; numbers come from ranges, so a name may
+    be that of any part of the rows.
     """
-    by = list(by)
-    w = Window.partitionBy(*by, "unique_name")
-    out = df.withColumn("unique_name", F.col(name))
-    shared = F.count(F.lit(1)).over(w) > 1
-    out = out.withColumn("unique_name", F.when(shared & F.col(echo).isNotNull(), F.concat("unique_name", F.lit("_e"), F.col(echo).cast("string"))).otherwise(F.col("unique_name")))
-    for i in range(rounds):
-        n = F.count(F.lit(1)).over(w)
-        ways = lambda c: F.size(F.collect_set(F.coalesce(F.col(c).cast("string"), F.lit(""))).over(w))  # noqa: B023, E731
-        timed = (F.count(inversion).over(w) == n) & (F.size(F.collect_set(inversion).over(w)) == n)
-        out = out.withColumns({"__n": n, "__timed": timed, "__ti": F.row_number().over(w.orderBy(inversion)), "__run": F.row_number().over(w.orderBy(key)), **{f"__w_{c}": ways(c) for c, _ in steps}})
-        token = F.lit(None).cast("string")
-        found = F.lit(False)
-        for c, prefix in reversed(steps):
-            tells = F.col(f"__w_{c}") > 1
-            token = F.when(tells, F.coalesce(F.concat(F.lit(f"_{prefix}"), safe(F.col(c).cast("string"))), F.lit(""))).otherwise(token)
-            found = found | tells
-        last = F.concat(F.lit("_"), F.col("__run").cast("string"))
-        more = F.when(F.col("__timed"), F.concat(F.lit("_ti"), F.col("__ti").cast("string"))).when(F.lit(i < rounds - 1) & found, token).otherwise(last)
-        out = out.withColumn("unique_name", F.when(F.col("__n") > 1, F.concat("unique_name", more)).otherwise(F.col("unique_name"))).select(*df.columns, "unique_name")
-        if i < rounds - 1:
-            steps = steps[1:]
-    return out
+    at = [*by, "unique_name"]
+    told = [F.coalesce(F.concat(F.lit(f"_{prefix}"), safe(F.col(c).cast("string"))), F.lit("")).alias(f"__token{i}") for i, (c, prefix) in enumerate(steps)]
+    whole = stored(df.withColumn("__row", F.monotonically_increasing_id()))
+    rows = whole.select(*by, "__row", F.col(key).alias("__key"), F.col(name).alias("unique_name"), F.col(echo).cast("string").alias("__echo"), (F.col(own) if own else F.lit(None)).cast("string").alias("__own"), F.col(inversion).alias("__time"), *told)
+    rows = beside(rows, rows.groupBy(*at).agg(F.count(F.lit(1)).alias("__n")), at)
+    more = F.when(F.col("__n") > 1, F.concat(F.lit("_e"), "__echo")).otherwise(F.concat(F.lit("_"), "__own"))
+    rows = stored(rows.withColumn("unique_name", F.concat("unique_name", F.coalesce(more, F.lit("")))).drop("__n", "__echo", "__own"))
+    for _ in range(_ROUNDS):
+        timed = (F.count("__time") == F.count(F.lit(1))) & (F.countDistinct("__time") == F.count(F.lit(1)))
+        tells = reduce(lambda out, i: F.when(F.min(f"__token{i}") != F.max(f"__token{i}"), i).otherwise(out), reversed(range(len(steps))), F.lit(None).cast("int"))
+        groups = stored(rows.groupBy(*at).agg(F.count(F.lit(1)).alias("__n"), timed.alias("__timed"), tells.alias("__step")).filter("__n > 1 and unique_name is not null"))
+        if groups.isEmpty():
+            return whole.join(rows.select("__row", "unique_name"), "__row").select(*df.columns, "unique_name")
+        pool = beside(rows, groups, at, "left")
+        settled, pool = pool.filter("__n is null"), pool.filter("__n is not null")
+        split = pool.filter("not __timed and __step is not null").withColumn("__more", F.element_at(F.array(*[F.col(f"__token{i}") for i in range(len(steps))] or [F.lit("")]), F.col("__step") + 1))
+        counted = pool.filter("__timed or __step is null").withColumn("__by_time", F.when(F.col("__timed"), F.col("__time")))
+        counted = stored(numbered(counted, [*at, "__by_time", "__key", "__row"], "__at"))
+        place = F.col("__at") - F.col("__before")
+        counted = beside(counted, counted.groupBy(*at).agg((F.min("__at") - 1).alias("__before")), at).withColumn("__more", F.concat(F.when(F.col("__timed"), "_ti").otherwise("_"), place.cast("string")))
+        kept = rows.columns
+        named = split.select(*kept, "__more").unionByName(counted.select(*kept, "__more")).withColumn("unique_name", F.concat("unique_name", "__more"))
+        rows = stored(settled.select(*kept).unionByName(named.select(*kept)))
+    raise RuntimeError("names did not settle")
 
 
 def repeats(df: DataFrame, by: Sequence[str], relative: Mapping[str, float], absolute: Mapping[str, float], exact: Sequence[str], moment: str | None = None) -> DataFrame:

@@ -89,8 +89,9 @@ def source_labels(df: DataFrame, key: str, path: str, segment: int, pattern: str
     return per.select(key, F.when(F.col("__a") == F.col("__b"), F.col("__a")).alias("label"), (F.col("__a") != F.col("__b")).alias("flagged"))
 
 
-#: Suffixes of labels that would be equal, in order.
-SUFFIXES = "bcdefghijklmnopqrstuvwxyz"
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Suffixes of labels that would be equal, in order: the first label has none, and two letters follow when one is not enough.
+SUFFIXES = [*_LETTERS[1:], *(a + b for a in _LETTERS for b in _LETTERS)]
 
 
 def settle(df: DataFrame, subject: str, first: str, months: str, cadence: Sequence[int], tolerance: float, how: str = "date", relax: bool = True) -> DataFrame:
@@ -142,7 +143,7 @@ def settle(df: DataFrame, subject: str, first: str, months: str, cadence: Sequen
     demoted = F.array_sort(F.collect_list(F.when(F.col("__lost"), F.struct(F.col("__want").alias("want"), F.col("__x.gap").alias("gap"), F.col("__x.day").alias("day"), F.col("__x.m").alias("m"), own(F.col("__x")).alias("own")))))
     stays = F.collect_list(F.when(~F.col("__lost"), F.struct(F.col("__x.day").alias("day"), F.col("__x.m").alias("m"), F.col("__want").alias("label"), F.lit(False).alias("flagged"))))
     per = one.groupBy(subject).agg(kept.alias("__taken"), demoted.alias("__d"), stays.alias("__s"))
-    letters = F.array(*[F.lit(c) for c in SUFFIXES])
+    letters = F.split(F.lit(" ".join(SUFFIXES)), " ")
 
     def demote(s: Column, x: Column) -> Column:
         spare = F.try_element_at(F.filter(F.transform(letters, lambda c: F.concat(x["own"], c)), lambda n: ~F.array_contains(s["taken"], n)), F.lit(1))
