@@ -73,6 +73,21 @@ def registry(df: DataFrame, subject: str, cohort: str, version: str, since: Colu
     return out.select(what.alias("what"), "subjects", "units", "units_since")
 
 
+def dataset(df: DataFrame, by: str, distinct: Mapping[str, str], counts: Mapping[str, str]) -> DataFrame:
+    """A dataset in one row: distinct values of some columns (subjects, visits, kinds), and rows that have a value in others."""
+    return df.groupBy(by).agg(*[F.countDistinct(c).alias(n) for n, c in distinct.items()], *[F.count(c).alias(n) for n, c in counts.items()])
+
+
+def files(df: DataFrame, by: str, status: str, reason: str) -> DataFrame:
+    """A dataset's files by status, and by reason where they have one."""
+    return df.groupBy(by, status, reason).agg(F.count(F.lit(1)).alias("n"))
+
+
+def cohort_review(df: DataFrame, cohort: str, open_question: Column, score: str) -> DataFrame:
+    """Members of a cohort, those with an open question, and the mean score."""
+    return df.groupBy(cohort).agg(F.count(F.lit(1)).alias("members"), F.count(F.when(open_question, 1)).alias("questions"), F.round(F.avg(score), 6).alias("mean"))
+
+
 def accept_grid(df: DataFrame, unit: str, exceptions: DataFrame, value: Column, probable: Column, key: str, after, size: int, ties: Sequence[str] = ()) -> DataFrame:
     """A page of proposals by key: those of a value and a probability, without excepted units."""
     rows = df.filter(value & probable & (F.col(key) > F.lit(after))).join(exceptions.select(unit), unit, "left_anti")

@@ -128,17 +128,29 @@ def named_by(subjects: DataFrame, identifiers: DataFrame, subject: str, value: s
     return out.select(subject, "name", F.when(F.col("name").isNull(), "missing").when(F.col("__n") > 1, "collision").otherwise("clean").alias("state"))
 
 
-def quality_bars(units: DataFrame, placed: DataFrame, key: str, name: str, changes: DataFrame, picks: DataFrame, sessions: DataFrame, events: DataFrame, subject: str, day: str, within: int) -> DataFrame:
-    """Failing rows per bar: units neither placed nor accounted for, names used twice, work in an unchanged re-run, picked units that are not
-    placed, and clinical events of the release's subjects without a session within so many days."""
+def _failing(units: DataFrame, placed: DataFrame, key: str, name: str, changes: DataFrame, picks: DataFrame, sessions: DataFrame, events: DataFrame, subject: str, day: str, within: int) -> dict[str, DataFrame]:
+    """By bar the rows that fail it, each as one text."""
     from .sets import near
 
-    bar = lambda df, what: df.agg(F.lit(what).alias("bar"), F.count(F.lit(1)).alias("failing"))
-    lost = bar(units.join(placed, key, "left_anti"), "placed or accounted for")
-    twice = bar(placed.groupBy(name).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "unique names")
-    work = bar(changes.filter("change != 'unchanged'"), "unchanged re-run")
-    missing = bar(picks.select(key).distinct().join(placed, key, "left_anti"), "picks present")
     mine = events.join(sessions.select(subject).distinct(), subject, "left_semi").withColumn("__e", F.monotonically_increasing_id())
     found = near(mine.select("__e", subject, day), sessions.select(F.xxhash64(subject, day).alias("__k"), subject, day), key="__e", subject=subject, day=day, partner_key="__k", partner_day=day, lo=-within, hi=within, optional=True)
-    apart = bar(found.filter("near_key is null"), "dates join the events")
-    return lost.unionByName(twice).unionByName(work).unionByName(missing).unionByName(apart)
+    row = lambda df, *c: df.select(F.concat_ws("|", *[F.col(x).cast("string") for x in c]).alias("row"))
+    return {
+        "placed or accounted for": row(units.join(placed, key, "left_anti"), key),
+        "unique names": row(placed.groupBy(name).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), name),
+        "unchanged re-run": row(changes.filter("change != 'unchanged'"), key),
+        "picks present": row(picks.select(key).distinct().join(placed, key, "left_anti"), key),
+        "dates join the events": row(found.filter("near_key is null"), subject, day),
+    }
+
+
+def failing_rows(*tables, **how) -> DataFrame:
+    """(bar, row): a row for everything that fails a bar of quality_bars, which takes the same arguments."""
+    return reduce(DataFrame.unionByName, [df.select(F.lit(bar).alias("bar"), "row") for bar, df in _failing(*tables, **how).items()])
+
+
+def quality_bars(units: DataFrame, placed: DataFrame, key: str, name: str, changes: DataFrame, picks: DataFrame, sessions: DataFrame, events: DataFrame, subject: str, day: str, within: int) -> DataFrame:
+    """Failing rows per bar: units neither placed nor accounted for, names used twice, work in an unchanged re-run, picked units that are not
+    placed, and clinical events of the release's subjects without a session within so many days."""
+    bars = _failing(units, placed, key, name, changes, picks, sessions, events, subject, day, within)
+    return reduce(DataFrame.unionByName, [df.agg(F.lit(bar).alias("bar"), F.count(F.lit(1)).alias("failing")) for bar, df in bars.items()])

@@ -228,11 +228,20 @@ def named_by(spark, d):
 
 @query("rel_9_quality_bars", f"with {_TWO} select 'placed or accounted for' as bar, (select count(*) from orders where o_orderkey % 10 = 2) as failing union all select 'unique names', (select count(*) from (select o_custkey from b group by 1 having count(*) > 1)) union all select 'unchanged re-run', (select count(*) from a full join b on a.o_orderkey = b.o_orderkey where a.o_orderkey is null or b.o_orderkey is null or a.o_totalprice is distinct from b.o_totalprice or a.o_orderpriority is distinct from b.o_orderpriority) union all select 'picks present', (select count(*) from orders where o_orderkey % 5 = 2 and o_orderkey % 10 = 2) union all select 'dates join the events', (select count(*) from (select user_id % 300 as o_custkey, cast(ts as date) - (2500 + event_id % 5000)::int as day from events) e where o_custkey in (select o_custkey from orders) and not exists (select 1 from orders o where o.o_custkey = e.o_custkey and abs(datediff('day', e.day, cast(o.o_orderdate as date))) <= 30))")
 def quality_bars(spark, d):
+    return L.quality_bars(*_release(spark, d))
+
+
+@query("rel_9_failing_rows", f"with {_TWO} select 'placed or accounted for' as bar, o_orderkey::varchar as row from orders where o_orderkey % 10 = 2 union all select 'unique names', o_custkey::varchar from b group by o_custkey having count(*) > 1 union all select 'unchanged re-run', coalesce(a.o_orderkey, b.o_orderkey)::varchar from a full join b on a.o_orderkey = b.o_orderkey where a.o_orderkey is null or b.o_orderkey is null or a.o_totalprice is distinct from b.o_totalprice or a.o_orderpriority is distinct from b.o_orderpriority union all select 'picks present', o_orderkey::varchar from orders where o_orderkey % 5 = 2 and o_orderkey % 10 = 2 union all select 'dates join the events', concat(o_custkey, '|', day) from (select user_id % 300 as o_custkey, cast(ts as date) - (2500 + event_id % 5000)::int as day from events) e where o_custkey in (select o_custkey from orders) and not exists (select 1 from orders o where o.o_custkey = e.o_custkey and abs(datediff('day', e.day, cast(o.o_orderdate as date))) <= 30)")
+def failing_rows(spark, d):
+    return L.failing_rows(*_release(spark, d))
+
+
+def _release(spark, d):
     old, new = _two(spark, d)
     orders = read(spark, d, "orders")
     events = read(spark, d, "events").select((F.col("user_id") % 300).alias("o_custkey"), F.date_sub(F.to_date("ts"), (F.col("event_id") % 5000).cast("int") + 2500).alias("day"))
     sessions = _orders(spark, d).select("o_custkey", "day")
-    return L.quality_bars(orders.select("o_orderkey"), new, "o_orderkey", "o_custkey", L.versions(old, new, "o_orderkey", "o_totalprice", "o_orderpriority"), orders.filter("o_orderkey % 5 = 2"), sessions, events, "o_custkey", "day", 30)
+    return (orders.select("o_orderkey"), new, "o_orderkey", "o_custkey", L.versions(old, new, "o_orderkey", "o_totalprice", "o_orderpriority"), orders.filter("o_orderkey % 5 = 2"), sessions, events, "o_custkey", "day", 30)
 
 
 _FIELD = "select '{f}' as field, count(*) as compared, count(case when x is null and y is null then 1 end) as both_null, count(case when (x is null) <> (y is null) then 1 end) as one_null, count(case when x = y then 1 end) as equal, count(case when x <> y and {s} then 1 end) as alike, count(case when x <> y and not ({s}) then 1 end) as different from (select a.{f} as x, b.{f} as y from a join b on a.o_orderkey = b.o_orderkey)"
@@ -293,7 +302,7 @@ def registry(spark, d):
 @query("sum_2_dataset", "select c_mktsegment, count(distinct c_custkey) as subjects, count(distinct o_orderkey) as visits, count(l_orderkey) as units, count(distinct l_returnflag) as kinds, count(distinct c_nationkey) as regions from customer left join orders on o_custkey = c_custkey left join lineitem on l_orderkey = o_orderkey group by 1")
 def dataset(spark, d):
     rows = read(spark, d, "customer").join(_orders(spark, d).select(F.col("o_custkey").alias("c_custkey"), "o_orderkey"), "c_custkey", "left").join(read(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag"), "o_orderkey", "left")
-    return rows.groupBy("c_mktsegment").agg(F.countDistinct("c_custkey").alias("subjects"), F.countDistinct("o_orderkey").alias("visits"), F.count("l_returnflag").alias("units"), F.countDistinct("l_returnflag").alias("kinds"), F.countDistinct("c_nationkey").alias("regions"))
+    return C.dataset(rows, "c_mktsegment", distinct={"subjects": "c_custkey", "visits": "o_orderkey", "kinds": "l_returnflag", "regions": "c_nationkey"}, counts={"units": "l_returnflag"})
 
 
 @query("sum_2_files", "with f as (select page_id % 7 as ds, case when page_id % 5 = 0 then 'refused' when page_id % 3 = 0 then 'held' else 'filed' end as status, case when page_id % 5 = 0 then case when page_id % 2 = 0 then 'no identity' else 'damaged' end end as reason from pages) select ds, status, reason, count(*) as n from f group by all")
@@ -301,7 +310,7 @@ def dataset_files(spark, d):
     k = F.col("page_id")
     status = F.when(k % 5 == 0, "refused").when(k % 3 == 0, "held").otherwise("filed")
     rows = read(spark, d, "pages").select((k % 7).alias("ds"), status.alias("status"), F.when(k % 5 == 0, F.when(k % 2 == 0, "no identity").otherwise("damaged")).alias("reason"))
-    return rows.groupBy("ds", "status", "reason").agg(F.count(F.lit(1)).alias("n"))
+    return C.files(rows, "ds", "status", "reason")
 
 
 @query("sum_3_holding", "select l_suppkey, count(distinct o_orderkey) as units, count(distinct o_custkey) as subjects from orders join lineitem on l_orderkey = o_orderkey group by 1")
@@ -320,4 +329,4 @@ def accept_grid(spark, d):
 
 @query("sum_5_cohort", "select c_nationkey, count(*) as members, count(case when c_acctbal < 0 then 1 end) as questions, round(avg(c_acctbal), 6) as mean from customer group by 1")
 def cohort(spark, d):
-    return read(spark, d, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("members"), F.count(F.when(F.col("c_acctbal") < 0, 1)).alias("questions"), F.round(F.avg("c_acctbal"), 6).alias("mean"))
+    return C.cohort_review(read(spark, d, "customer"), "c_nationkey", F.col("c_acctbal") < 0, "c_acctbal")

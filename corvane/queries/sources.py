@@ -154,7 +154,7 @@ def training_set(spark, d):
 
 @query("src_13_vote_matrix", "select p_partkey, unnest(['size', 'brand']) as rule, unnest([p_size::varchar, p_brand]) as value from part")
 def vote_matrix(spark, d):
-    return read(spark, d, "part").select("p_partkey", F.col("p_size").cast("string").alias("size"), F.col("p_brand").alias("brand")).unpivot(["p_partkey"], ["size", "brand"], "rule", "value")
+    return S.vote_matrix(read(spark, d, "part"), "p_partkey", {"size": "p_size", "brand": "p_brand"})
 
 
 _MEASURE = "with c as (select * from lineitem where l_linestatus = (select max(l_linestatus) from lineitem)), r as (select * from c qualify row_number() over (partition by l_orderkey order by l_linenumber desc, l_partkey desc) = 1), m as (select l_orderkey, 'quantity' as name, l_quantity::double as number from r union all select l_orderkey, 'discount', l_discount::double from r)"

@@ -191,3 +191,9 @@ def write_manifests(tables: Mapping[str, DataFrame], folder: str) -> None:
 
 def safe_name(text: str) -> str:
     return re.sub(r"[^A-Za-z0-9]+", "", text)
+
+
+def vote_matrix(df: DataFrame, unit: str, clauses: Mapping[str, str | Column]) -> DataFrame:
+    """Every vote as a long table (unit, rule, value): what each clause says of each unit, null where it is silent.  A unit's rows come out of one row."""
+    told = F.array(*[F.struct(F.lit(name).alias("rule"), (F.col(c) if isinstance(c, str) else c).cast("string").alias("value")) for name, c in clauses.items()])
+    return df.select(unit, F.inline(told))
