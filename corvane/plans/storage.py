@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +28,34 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back, so a lost executor repeats nothing."""
-    path = fresh_path(df.sparkSession, "table")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written to the shared folder and read back: lineage ends, a lost executor repeats nothing.  It goes when the driver ends, if discard() has not deleted it before."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, "corvane")
+    df.write.option("compression", "zstd").parquet(path)
+    stored_paths().append(path)
+    _ALL.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_LOCAL = threading.local()
+_ALL: list[tuple[SparkSession, str]] = []
+
+
+def stored_paths() -> list[str]:
+    """Paths that this thread has stored tables at, and not deleted."""
+    return _LOCAL.__dict__.setdefault("paths", [])
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@atexit.register
+def _end() -> None:
+    """What is still stored goes with the driver; where its session has ended already, the folder is the cluster's to clear."""
+    for spark, path in _ALL:
+        with contextlib.suppress(Exception):
+            delete(spark, path)
 
 
 #: Most rows of a table that a caller hands over and that is sent to every task.
