@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import threading
 import time
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from corvane.plans.graphs import components  # noqa: F401
+from corvane.plans.storage import delete, shared_dir, stored, stored_paths  # noqa: F401
+
 #: The white space of every word rule here: blank, tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,46 +35,17 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="corvane-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corvane-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _stored().append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-_LOCAL = threading.local()
-
-
-def _stored() -> list[str]:
-    """Paths that this thread has stored tables at, and not deleted."""
-    return _LOCAL.__dict__.setdefault("paths", [])
-
-
 def mark() -> int:
     """A point in the list of this thread's stored tables, for discard()."""
-    return len(_stored())
+    return len(stored_paths())
 
 
 def discard(spark: SparkSession, since: int, *keep: DataFrame) -> None:
     """Delete the tables stored since a mark, without those that `keep` reads: what was made from the others must be stored by then."""
     kept = " ".join(f for df in keep for f in df.inputFiles())
-    for path in [p for p in _stored()[since:] if p.rsplit("/", 1)[1] not in kept]:
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-        _stored().remove(path)
+    for path in [p for p in stored_paths()[since:] if p.rsplit("/", 1)[1] not in kept]:
+        delete(spark, path)
+        stored_paths().remove(path)
     released(spark)
 
 
@@ -238,24 +209,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node reachable over the undirected edges (a, b).
-
-    Labels fall to the least label next to a node, then each label is replaced by
-    its own label, so chains shorten by half in each round.  Each round is two
-    shuffles of the edges and is written to the shared folder.
-    """
-    both = stored(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(edges.select("b", "a")).distinct())
-    labels = stored(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component")))
-    for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("__near"))
-        lower = labels.join(near, "node").select("node", F.least("component", "__near").alias("component"), F.col("component").alias("__old"))
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("__jump"))
-        after = stored(lower.join(jump, "component", "left").select("node", F.least("component", F.coalesce("__jump", "component")).alias("component"), "__old"))
-        if not after.filter(F.col("component") != F.col("__old")).limit(1).count():
-            return after.select("node", "component")
-        labels = after.select("node", "component")
-    raise RuntimeError("components did not settle")
-
-
 LONGS = T.ArrayType(T.LongType())
