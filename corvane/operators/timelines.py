@@ -170,18 +170,23 @@ def refresh(old: DataFrame, old_digests: DataFrame, rows: DataFrame, subject: st
     return kept.unionByName(sessions(moved, subject, day, window_days)), state
 
 
-def vote_dates(candidates: DataFrame, key: str, day: str, weight: str, placeholders: Sequence[str] = ("1900-01-01", "1970-01-01")) -> DataFrame:
+def vote_dates(candidates: DataFrame, key: str, day: str, weight: str, placeholders: Sequence[str] = ("1900-01-01", "1970-01-01"), source: str | None = None) -> DataFrame:
     """Per key the date with the greatest summed weight, the earlier of equals, the next weight and the margin over it.
 
     Placeholder dates do not vote.  A first of January wins only where no other day was named; it may still be the next.
+    With a source column also the source of the weightiest single vote for that date, the first by name of equals.
     """
-    sums = candidates.filter(F.col(day).isNotNull() & ~F.col(day).cast("string").isin(list(placeholders))).groupBy(key, day).agg(F.round(F.sum(weight), 9).alias("w"))
+    votes = candidates.filter(F.col(day).isNotNull() & ~F.col(day).cast("string").isin(list(placeholders)))
+    heaviest = [F.min(F.struct((-F.col(weight)).alias("w"), F.col(source).alias("s"))).getField("s").alias("__s")] if source else []
+    sums = votes.groupBy(key, day).agg(F.round(F.sum(weight), 9).alias("w"), *heaviest)
     new_year = ((F.month(day) == 1) & (F.dayofmonth(day) == 1)).cast("int")
-    order = F.struct(new_year.alias("__y"), (-F.col("w")).alias("__w"), F.col(day).alias("__d"))
+    named = [F.col("__s")] if source else []
+    order = F.struct(new_year.alias("__y"), (-F.col("w")).alias("__w"), F.col(day).alias("__d"), *named)
     best = sums.groupBy(key).agg(F.min(order).alias("__best"))
     rest = sums.join(best, key).filter(F.col(day) != F.col("__best.__d")).groupBy(key).agg(F.max("w").alias("__next"))
-    out = best.join(rest, key, "left").select(key, F.col("__best.__d").alias("voted"), (-F.col("__best.__w")).alias("weight"), F.coalesce("__next", F.lit(0.0)).alias("__next"))
-    return out.select(key, "voted", "weight", F.round(F.col("weight") - F.col("__next"), 9).alias("margin"))
+    from_ = [F.col("__best.__s").alias("source")] if source else []
+    out = best.join(rest, key, "left").select(key, F.col("__best.__d").alias("voted"), (-F.col("__best.__w")).alias("weight"), F.coalesce("__next", F.lit(0.0)).alias("__next"), *from_)
+    return out.select(key, "voted", "weight", F.round(F.col("weight") - F.col("__next"), 9).alias("margin"), *(["source"] if source else []))
 
 
 def history(parts: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:

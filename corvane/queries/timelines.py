@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corvane.operators import dates as DT
 from corvane.operators import sets as S
 from corvane.operators import timelines as T
 from corvane.plans.grains import read, retail
@@ -134,6 +135,31 @@ def date_vote(spark, d):
     return T.vote_dates(c, "l_orderkey", "day", "w")
 
 
+_MINED = """with d as (select *, cast(l_shipdate as date) as day from lineitem),
+t as (select l_orderkey, case l_linenumber % 3 when 0 then strftime(day, '%Y%m%d') when 1 then '00000000' else strftime(day, '%Y-01-01') end as value, '1.2.840.' || l_suppkey || '.' || strftime(day - (l_partkey % 3)::int, '%Y%m%d') || '.' || ((day - date '1970-01-01') * 86400::bigint + 3600 * (l_partkey % 40)) || '.' || (19900000 + l_partkey * 7 % 90000) as uid, '/in/' || strftime(day + 9, '%Y%m%d') || '/' || strftime(day, '%Y%m%d') || l_linenumber as path from d),
+r as (select l_orderkey, value, regexp_extract_all(uid, '[0-9]+') as u, regexp_extract_all(path, '[0-9]+') as p from t),
+c as (select l_orderkey, try_strptime(replace(value, '-', ''), '%Y%m%d')::date as day, 'stated' as source, 4.0 as w from r union all
+select l_orderkey, try_strptime(x, '%Y%m%d')::date, 'uid', 1.0 from (select l_orderkey, unnest(u) as x from r) where length(x) = 8 union all
+select l_orderkey, to_timestamp(x::bigint)::date, 'uid_epoch', 1.0 from (select l_orderkey, unnest(u) as x from r) where length(x) = 10 union all
+select l_orderkey, try_strptime(x, '%Y%m%d')::date, 'path', 2.0 from (select l_orderkey, unnest(p) as x from r) where length(x) = 8),
+s as (select l_orderkey, day, sum(w)::double as w, first(source order by w desc, source) as source, month(day) = 1 and day(day) = 1 as new_year from c where year(day) between 1980 and 2100 group by 1, 2),
+b as (select * from s qualify row_number() over (partition by l_orderkey order by new_year, w desc, day) = 1)
+select b.l_orderkey, b.day as voted, b.w as weight, b.w - coalesce((select max(s.w) from s where s.l_orderkey = b.l_orderkey and s.day <> b.day), 0) as margin, b.source from b"""
+
+
+@query("time_10_mined_dates", _MINED)
+def mined_dates(spark, d):
+    rows = read(spark, d, "lineitem").withColumn("day", F.to_date("l_shipdate"))
+    digits = lambda c: F.date_format(c, "yyyyMMdd")
+    third, part = F.col("l_linenumber") % 3, F.col("l_partkey")
+    value = F.when(third == 0, digits("day")).when(third == 1, "00000000").otherwise(F.date_format("day", "yyyy-01-01"))
+    seconds = F.unix_date("day").cast("long") * 86400 + 3600 * (part % 40)
+    uid = F.concat_ws(".", F.lit("1.2.840"), "l_suppkey", digits(F.date_sub("day", (part % 3).cast("int"))), seconds, 19900000 + part * 7 % 90000)
+    path = F.concat(F.lit("/in/"), digits(F.date_add("day", 9)), F.lit("/"), digits("day"), "l_linenumber")
+    readings = [DT.Reading("stated", 4, value), DT.Reading("uid", 1, uid, "days"), DT.Reading("uid_epoch", 1, uid, "epochs"), DT.Reading("path", 2, path, "days")]
+    return T.vote_dates(DT.candidates(rows, "l_orderkey", readings), "l_orderkey", "day", "weight", source="source")
+
+
 @query("time_11_history", "select *, (row_number() over (partition by object order by day nulls last, kind))::int as place from (select o_orderkey as object, cast(o_orderdate as date) as day, 'ordered' as kind from orders union all select l_orderkey, cast(l_shipdate as date), 'shipped' from lineitem)")
 def history(spark, d):
     m = retail(spark, d)
