@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.operators import derive as D
+from corvane.operators import diffusion as DF
 from corvane.plans.grains import read, retail
 
 from .base import query
@@ -105,6 +106,48 @@ def shells(spark, d):
     return D.shells(rows, "l_orderkey", "l_quantity", 20, F.col("l_returnflag") != "N", ["x", "y"], "ph")
 
 
+_COSINES = ["1\\0\\0\\0\\1\\0", "0,1,0,0,0,-1", "0.9\\0.1\\0.42\\-0.2\\0.93\\-0.3", "1\\0\\0\\0\\-0.6\\0.8", "1\\0", "-1\\0\\0\\0\\0.5\\0.5"]
+_NAMES = ["ep2d_b1000_AP", "dwi b=800 32dir PA", "isob1000 dir_12", "B0-500-1000 RL", "t1 mprage", "slab1000 LR", "b1000mm 300dir", "dti 6 riktningar", "*ep_b700t", "ax_grappa 1dir 12 dir"]
+_DIFFUSION = rf"""with r as (select l_orderkey as u, case when l_suppkey % 4 = 0 then l_quantity::int // 10 * 200 end as a, case when l_suppkey % 4 = 1 then l_quantity::int // 25 * 500 || '\' || l_quantity::int * 400 end as std, case when l_suppkey % 4 = 2 then round(l_discount * 100)::int || '\' || round(l_tax * 100)::int || '\0' end as grad, case l_linenumber % 3 when 0 then 'NONE' when 1 then 'DIRECTIONAL' end as kind, case when l_orderkey % 17 = 0 then l_partkey % 30 end as counted,
+{_COSINES}[1 + l_orderkey % 7] as iop, case l_orderkey % 3 when 0 then 'COL' when 1 then 'ROW' end as plane, case when l_orderkey % 5 < 4 then (case when l_orderkey % 13 = 0 then l_linenumber else l_orderkey // 2 end) % 2 end as pos, {_NAMES}[1 + (l_orderkey + case when l_orderkey % 19 = 0 then l_linenumber else 0 end) % 11] as t from lineitem),
+s as (select *, coalesce(a::varchar, std, grad, kind) is not null as said, list_transform(string_split(grad, '\'), lambda v: round(v::double * 10000)::bigint) as v, list_filter(list_transform(string_split(replace(iop, ',', '\'), '\'), lambda x: try_cast(trim(x) as double)), lambda x: x is not null) as c,
+nullif(regexp_extract(t, '(?i)(?:^|[^0-9a-z])(AP|PA|RL|LR)(?:[^0-9a-z]|$)', 1), '') as tw,
+coalesce(list_filter(list_transform(regexp_extract_all(t, '(?i)([0-9]+) *(?:dir|rikt)', 1), lambda x: x::int), lambda x: x between 2 and 256)[1], try_cast(nullif(regexp_extract(t, '(?i)dir[ _]*([0-9]+)', 1), '') as int)) as tc from r),
+q as (select *, case plane when 'COL' then c[4:6] when 'ROW' then c[1:3] end as p from s),
+w as (select *, case when len(c) >= 6 and pos is not null then case when abs(p[3]) >= greatest(abs(p[1]), abs(p[2])) then case when (p[3] >= 0) = (pos = 1) then 'IS' else 'SI' end when abs(p[2]) >= abs(p[1]) then case when (p[2] >= 0) = (pos = 1) then 'AP' else 'PA' end when abs(p[1]) > 0 then case when (p[1] >= 0) = (pos = 1) then 'RL' else 'LR' end end end as way from q),
+b as (select u, a as b, 'p' as k from r where a between 0 and 10000 union select u, unnest(string_split(std, '\'))::int, 's' from r),
+b2 as (select distinct * from b where b between 0 and 10000),
+e as (select distinct u, unnest(regexp_extract_all(t, '(?i)(?:^|[_ =\-:/*]|iso)b[ =\-]?([0-9]{{1,4}}(?:[-/_][0-9]{{1,4}})*)t?(?:[^0-9a-z]|$)', 1)) as run from r),
+x as (select distinct u, unnest(string_split(replace(run, '_', '-'), '-'))::int as b from e),
+m as (select u from b2 group by u having max(b) > 0),
+f as (select * from b2 union select u, b, 't' from x where u not in (select u from m)),
+sh as (select u, max(b) as shell, array_to_string(list_transform(list_sort(list(distinct b)), lambda y: y::varchar), ',') as shells, concat_ws(',', case when bool_or(k = 'p') then 'private' end, case when bool_or(k = 's') then 'standard' end, case when bool_or(k = 't') then 'text' end) as shell_source from f group by u),
+g as (select u, bool_or(said) as said, count(counted) as counts, case when min(case when counted between 1 and 1024 then counted end) = max(case when counted between 1 and 1024 then counted end) then max(case when counted between 1 and 1024 then counted end) end as counted, count(distinct case when coalesce(kind, '') <> 'NONE' and (v[1] <> 0 or v[2] <> 0) then v end) as vectors, min(way) as w1, max(way) as w2, min(tw) as t1, max(tw) as t2, case when min(tc) = max(tc) then min(tc) end as tc from w group by u),
+j as (select *, said or counts > 0 or shell is not null as on_, said and w1 is not null as geo from g left join sh using (u))
+select u as l_orderkey, shell, shells, shell_source, case when on_ then case when geo then case when w1 = w2 then w1 end when t1 = t2 then t1 end end as way, case when on_ then case when geo then case when w1 = w2 then 'geometry' else 'conflict' end when t1 = t2 then 'text' when t1 <> t2 then 'conflict' end end as way_source,
+case when on_ then coalesce(counted, nullif(vectors, 0), tc) end::bigint as directions, case when on_ then case when counted is not null then 'vendor_count' when vectors > 0 then 'gradients' when tc is not null then 'text' end end as directions_source from j"""
+
+
+@query("der_10_diffusion_facts", _DIFFUSION.replace("\\\\", "\\"))
+def diffusion_facts(spark, d):
+    order, supplier, n = F.col("l_orderkey"), F.col("l_suppkey") % 4, F.col("l_quantity").cast("int")
+    one_of = lambda texts, at: F.get(F.array(*map(F.lit, texts)), at.cast("int"))
+    slashed = lambda *parts: F.concat_ws("\\", *parts)
+    rows = read(spark, d, "lineitem").select(
+        "l_orderkey",
+        F.when(supplier == 0, F.floor(n / 10).cast("int") * 200).alias("private"),
+        F.when(supplier == 1, slashed(F.floor(n / 25) * 500, n * 400)).alias("standard"),
+        F.when(supplier == 2, slashed(F.round(F.col("l_discount") * 100).cast("int"), F.round(F.col("l_tax") * 100).cast("int"), F.lit("0"))).alias("gradient"),
+        F.when(F.col("l_linenumber") % 3 == 0, "NONE").when(F.col("l_linenumber") % 3 == 1, "DIRECTIONAL").alias("kind"),
+        F.when(order % 17 == 0, F.col("l_partkey") % 30).alias("counted"),
+        one_of(_COSINES, order % 7).alias("cosines"),
+        F.when(order % 3 == 0, "COL").when(order % 3 == 1, "ROW").alias("plane"),
+        F.when(order % 5 < 4, F.when(order % 13 == 0, F.col("l_linenumber")).otherwise(F.floor(order / 2)) % 2).alias("positive"),
+        one_of(_NAMES, (order + F.when(order % 19 == 0, F.col("l_linenumber")).otherwise(0)) % 11).alias("name"),
+    )
+    return DF.facts(rows, "l_orderkey", DF.Fields(("private",), "standard", "gradient", ("kind",), "counted", "cosines", "plane", "positive", "name"))
+
+
 _SECONDS = "select user_id, event_type || user_id % 3 || hour(ts) // 12 as event_type, cast(ts as date) as day, epoch(ts)::double as s, case when user_id % 10 = 0 then 60.0 end as stated from events where event_type in ('view', 'click')"
 
 
