@@ -21,19 +21,26 @@ def _runs(text: Column, length: int) -> Column:
 
 
 def _believed(days: Column, years: tuple[int, int]) -> Column:
-    """The days of an array that fall in the years; what was no day of the calendar is null there and goes too."""
+    """The days of an array that fall in the years; nulls go too."""
     return F.filter(days, lambda day: F.year(day).between(*years))
 
 
+def _calendar_day(digits: Column, years: tuple[int, int]) -> Column:
+    """The day of eight digits, null unless the calendar has it.  By arithmetic: parsing throws, slowly, at every run that is no day."""
+    year, month, day = (F.substring(digits, at, n).cast("int") for at, n in ((1, 4), (5, 2), (7, 2)))
+    first = F.when(year.between(*years) & month.between(1, 12), F.make_date(year, month, F.lit(1)))
+    return F.when(day.between(1, F.dayofmonth(F.last_day(first))), F.date_add(first, day - 1))
+
+
 def stated_day(text: Column, years: tuple[int, int] = YEARS) -> Column:
     """The day that a value states: eight digits, whatever stands between them; null unless it is a day of the calendar in the years."""
-    digits = F.regexp_replace(text, "[^0-9]", "")
-    return F.get(_believed(F.array(F.when(F.length(digits) == 8, F.try_to_date(digits, "yyyyMMdd"))), years), F.lit(0))
+    digits = F.array(F.regexp_replace(text, "[^0-9]", ""))
+    return F.get(F.transform(F.filter(digits, lambda x: F.length(x) == 8), lambda x: _calendar_day(x, years)), F.lit(0))
 
 
 def days_within(text: Column, years: tuple[int, int] = YEARS) -> Column:
     """The days written as a run of eight digits somewhere in a text, in order, repeats kept; null for null."""
-    return _believed(F.transform(_runs(text, 8), lambda run: F.try_to_date(run, "yyyyMMdd")), years)
+    return F.filter(F.transform(_runs(text, 8), lambda run: _calendar_day(run, years)), lambda day: day.isNotNull())
 
 
 def epochs_within(text: Column, years: tuple[int, int] = YEARS) -> Column:
@@ -65,4 +72,6 @@ def candidates(df: DataFrame, key: str, readings: Sequence[Reading], years: tupl
 
     Rows without any day give none; a text that holds a day twice votes twice; null texts are silent.
     """
-    return df.select(key, F.inline(F.concat(*[r.votes(years) for r in readings])))
+    # the outer form: for the inner one Spark adds a filter on the size of the array, which reads every text once more
+    found = df.select(key, F.inline_outer(F.concat(*[r.votes(years) for r in readings])))
+    return found.filter(F.col("day").isNotNull())

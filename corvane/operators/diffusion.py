@@ -67,19 +67,35 @@ def count_within(text: Column) -> Column:
     return F.coalesce(before, F.when((F.locate("dir", F.lower(text)) > 0) & fits(after), after))
 
 
-def way_of(cosines: Column, in_plane: Column, positive: Column) -> Column:
-    """The way along which the phase ran: the in-plane axis's cosine of greatest size (the later axis of equals), its sign, and
-    whether the encoding ran with it.  Null where the axis, the flag or six cosines are not given: no guess."""
-    c = _numbers(F.replace(cosines, F.lit(","), F.lit("\\")))
+def _cosines(text: Column) -> Column:
+    return _numbers(F.replace(text, F.lit(","), F.lit("\\")))
+
+
+def _way(cosines: Column, in_plane: Column, positive: Column) -> Column:
     plane = F.upper(F.trim(in_plane))
-    axis = F.when(plane == "COL", F.slice(c, 4, 3)).when(plane == "ROW", F.slice(c, 1, 3))
-    x, y, z = (F.get(axis, F.lit(i)) for i in range(3))
+    at = F.when(plane == "COL", 3).when(plane == "ROW", 0)
+    x, y, z = (F.get(cosines, at + i) for i in range(3))
     top = F.greatest(F.abs(x), F.abs(y), F.abs(z))
     ways = ((z, "IS", "SI"), (y, "AP", "PA"), (x, "RL", "LR"))
     out = F.lit(None).cast("string")
     for part, along, against in reversed(ways):
         out = F.when(F.abs(part) == top, F.when((part >= 0) == (positive == 1), along).otherwise(against)).otherwise(out)
-    return F.when((F.size(c) >= 6) & positive.isNotNull() & (top >= 1e-6), out)
+    return F.when((F.size(cosines) >= 6) & positive.isNotNull() & (top >= 1e-6), out)
+
+
+def way_of(cosines: Column, in_plane: Column, positive: Column) -> Column:
+    """The way along which the phase ran: the in-plane axis's cosine of greatest size (the later axis of equals), its sign, and
+    whether the encoding ran with it.  Null where the axis, the flag or six cosines are not given: no guess."""
+    return _way(_cosines(cosines), in_plane, positive)
+
+
+def _played(vector: Column, directionality: Sequence[str]) -> Column:
+    kind = F.upper(F.coalesce(*[F.col(c) for c in directionality], F.lit("")))
+    return ~kind.rlike("NONE|ISOTROPIC") & (F.size(vector) == 3) & F.exists(vector, lambda p: F.abs(p) > 0.001)
+
+
+def _places(vector: Column) -> Column:
+    return F.transform(vector, lambda p: F.round(p * 10_000).cast("long"))
 
 
 def _only(value: Column) -> Column:
@@ -101,24 +117,23 @@ def facts(images: DataFrame, unit: str, fields: Fields) -> DataFrame:
     private = _plausible(F.array(*[F.col(c).cast("double") for c in fields.private]).cast("array<double>"))
     standard = F.coalesce(_plausible(_numbers(col(fields.standard))), F.array().cast("array<int>"))
     said = [F.col(c).isNotNull() for c in (*fields.private, fields.standard, fields.gradient, *fields.directionality) if c]
-    vector = _numbers(col(fields.gradient))
-    kind = F.upper(F.coalesce(*[F.col(c) for c in fields.directionality], F.lit("")))
-    played = ~kind.rlike("NONE|ISOTROPIC") & (F.size(vector) == 3) & F.exists(vector, lambda p: F.abs(p) > 0.001)
     counted = col(fields.counted, "long").cast("long")
-    rows = images.select(
+    # numbers are read in a projection of their own, so that what uses them more than once does not read them again
+    read = images.withColumns({"__cosines": _cosines(col(fields.cosines)), "__gradient": _numbers(col(fields.gradient))})
+    rows = read.select(
         F.col(unit),
         private.alias("__private"),
         standard.alias("__standard"),
         (F.greatest(*said, F.lit(False)) if said else F.lit(False)).alias("__said"),
-        F.when(played, F.transform(vector, lambda p: F.round(p * 10_000).cast("long"))).alias("__vector"),
+        F.when(_played(F.col("__gradient"), fields.directionality), _places(F.col("__gradient"))).alias("__vector"),
         counted.alias("__counted"),
-        way_of(col(fields.cosines), col(fields.in_plane), col(fields.positive, "int")).alias("__way"),
+        _way(F.col("__cosines"), col(fields.in_plane), col(fields.positive, "int")).alias("__way"),
         shells_within(col(fields.text)).alias("__named"),
         way_within(col(fields.text)).alias("__text_way"),
         count_within(col(fields.text)).alias("__text_count"),
     )
     # distinct weightings of a unit: every row's array is one of few, and equal ones are combined before the shuffle
-    every = lambda name: F.array_distinct(F.flatten(F.collect_set(name)))
+    every = lambda name: F.array_distinct(F.flatten(F.collect_set(F.when(F.size(name) > 0, F.col(name)))))
     g = rows.groupBy(unit).agg(
         every("__private").alias("p"),
         every("__standard").alias("s"),
@@ -160,9 +175,7 @@ def facts(images: DataFrame, unit: str, fields: Fields) -> DataFrame:
 
 def directions_played(images: DataFrame, unit: str, gradient: str, directionality: Sequence[str] = ()) -> DataFrame:
     """(unit, direction): each distinct direction of weighted rows once, as x,y,z to four places, so that units can be compared."""
-    vector = _numbers(F.col(gradient))
-    kind = F.upper(F.coalesce(*[F.col(c) for c in directionality], F.lit("")))
-    played = ~kind.rlike("NONE|ISOTROPIC") & (F.size(vector) == 3) & F.exists(vector, lambda p: F.abs(p) > 0.001)
-    whole = F.transform(vector, lambda p: F.round(p * 10_000).cast("long"))
+    read = images.withColumn("__gradient", _numbers(F.col(gradient)))
+    whole = _places(F.col("__gradient"))
     text = F.array_join(F.transform(whole, lambda n: F.format_string("%s%d.%04d", F.when(n < 0, "-").otherwise(""), F.floor(F.abs(n) / 10_000), F.abs(n) % 10_000)), ",")
-    return images.filter(played).select(unit, text.alias("direction")).distinct()
+    return read.filter(_played(F.col("__gradient"), directionality)).select(unit, text.alias("direction")).distinct()

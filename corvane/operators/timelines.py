@@ -180,13 +180,11 @@ def vote_dates(candidates: DataFrame, key: str, day: str, weight: str, placehold
     heaviest = [F.min(F.struct((-F.col(weight)).alias("w"), F.col(source).alias("s"))).getField("s").alias("__s")] if source else []
     sums = votes.groupBy(key, day).agg(F.round(F.sum(weight), 9).alias("w"), *heaviest)
     new_year = ((F.month(day) == 1) & (F.dayofmonth(day) == 1)).cast("int")
-    named = [F.col("__s")] if source else []
-    order = F.struct(new_year.alias("__y"), (-F.col("w")).alias("__w"), F.col(day).alias("__d"), *named)
-    best = sums.groupBy(key).agg(F.min(order).alias("__best"))
-    rest = sums.join(best, key).filter(F.col(day) != F.col("__best.__d")).groupBy(key).agg(F.max("w").alias("__next"))
-    from_ = [F.col("__best.__s").alias("source")] if source else []
-    out = best.join(rest, key, "left").select(key, F.col("__best.__d").alias("voted"), (-F.col("__best.__w")).alias("weight"), F.coalesce("__next", F.lit(0.0)).alias("__next"), *from_)
-    return out.select(key, "voted", "weight", F.round(F.col("weight") - F.col("__next"), 9).alias("margin"), *(["source"] if source else []))
+    order = F.struct(new_year.alias("y"), (-F.col("w")).alias("w"), F.col(day).alias("d"), *([F.col("__s").alias("s")] if source else []))
+    # a key's list holds each day once, whatever the rows, so one pass finds the best and the next without summing twice
+    ranked = sums.groupBy(key).agg(F.array_sort(F.collect_list(order)).alias("r")).select(key, F.get("r", F.lit(0)).alias("best"), F.slice("r", F.lit(2), F.greatest(F.size("r") - 1, F.lit(0))).alias("rest"))
+    weight_, next_ = -F.col("best.w"), F.coalesce(-F.array_min(F.transform("rest", lambda x: x["w"])), F.lit(0.0))
+    return ranked.select(key, F.col("best.d").alias("voted"), weight_.alias("weight"), F.round(weight_ - next_, 9).alias("margin"), *([F.col("best.s").alias("source")] if source else []))
 
 
 def history(parts: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
