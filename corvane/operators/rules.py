@@ -195,7 +195,10 @@ def classify(df: DataFrame, rules: Sequence[Rule], pins: Mapping[str, Column] |
                 pin = F.struct(pins[axis].alias("value"), F.lit(1.0).alias("confidence"), F.lit("pin").alias("basis"), F.lit("pin").alias("rule"))
                 out = F.when(pins[axis].isNotNull(), pin).otherwise(out)
             found[axis] = out
-        df = bits.beside(df).withColumns(fired).withColumns(first).withColumns(found).select(*[F.col(f"`{c}`") for c in before if c not in found], *found)
+        df = bits.beside(df).withColumns(fired).withColumns(first)
+        # Numbers of rules pass through a generator of one row: a filter on an answer stops there; below it, each use of a number would be its whole formula.
+        df = df.select(*[F.col(f"`{c}`") for c in before], F.inline(F.array(F.struct(*first)))).withColumns(found)
+        df = df.select(*[F.col(f"`{c}`") for c in before if c not in found], *found)
         axes = {axis: own for axis, own in axes.items() if axis not in together}
     return df
 
