@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.plans.storage import stored
+from corvane.plans.storage import dealt, stored
 
 from .firsts import beside, first_n
 
@@ -147,10 +147,10 @@ def _by_day(anchor: DataFrame, partner: DataFrame, subject: str, lo: int | None,
 _FIRST_DAY, _LAST_DAY = "0001-01-01", "9999-12-31"
 
 
-def _neighbours(anchor_days: DataFrame, days: DataFrame, at: Mapping[str, int | None]) -> DataFrame:
+def _neighbours(anchor_days: DataFrame, days: DataFrame, at: Mapping[str, int | None], rows: int) -> DataFrame:
     """For each (__s, __anchor) and name in `at`, the days of the same subject next to __anchor + offset: {name}_before (at or before it) and {name}_after.
 
-    days are (__s, __day, __v), a row for each day of a subject.  Both sides are distinct days, so even a subject with a third of
+    days are (__s, __day, __v), a row for each day of a subject; the line has `rows` rows at most.  Both sides are distinct days, so even a subject with a third of
     all rows is a short line here: what is sorted grows with days, not with rows.  Offset None lies behind all days for "hi", before them else.
     """
 
@@ -160,15 +160,17 @@ def _neighbours(anchor_days: DataFrame, days: DataFrame, at: Mapping[str, int |
     asked = F.array(*[F.struct(place(n, o).alias("__day"), F.lit(n).alias("__slot")) for n, o in at.items()])
     line = days.select("__s", "__day", F.lit(None).cast("date").alias("__anchor"), F.lit(None).cast("string").alias("__slot"), "__v", F.lit(0).alias("__ask"))
     line = line.unionByName(anchor_days.select("__s", "__anchor", F.inline(asked)).withColumn("__v", F.lit(None).cast(days.schema["__v"].dataType)).withColumn("__ask", F.lit(1)))
+    line = dealt(line, rows, "__s")
     reach = lambda *order: Window.partitionBy("__s").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     seen = line.withColumn("__before", F.last("__v", True).over(reach("__day", "__ask"))).withColumn("__after", F.last("__v", True).over(reach(F.desc("__day"), "__ask"))).filter("__ask = 1")
     pick_ = lambda n, c: F.max(F.when(F.col("__slot") == n, F.col(f"__{c}"))).alias(f"{n}_{c}")
     return seen.groupBy("__s", "__anchor").agg(*[pick_(n, c) for n in at for c in ("before", "after")])
 
 
-def _per_day(df: DataFrame, row: Column | None = None) -> DataFrame:
+def _per_day(df: DataFrame, rows: int, row: Column | None = None) -> DataFrame:
     """(__s, __day, __v) of (__s, __partner, ...): the day's rows, the subject's rows up to it, and its least row."""
     days = df.filter(F.col("__partner").isNotNull() & F.col("__s").isNotNull()).groupBy("__s", F.to_date("__partner").alias("__day")).agg(F.count(F.lit(1)).alias("n"), *([F.min(row).alias("row")] if row is not None else []))
+    days = dealt(days, rows, "__s")
     upto = F.sum("n").over(Window.partitionBy("__s").orderBy("__day").rowsBetween(Window.unboundedPreceding, 0))
     return days.withColumn("upto", upto).select("__s", "__day", F.struct(F.col("__day").alias("day"), "n", "upto", *(["row"] if row is not None else [])).alias("__v"))
 
@@ -180,8 +182,9 @@ def _upto(before: str) -> Column:
 def has_within(df: DataFrame, related: DataFrame, key: str, subject: str, day: str, other_day: str, lo: int | None, hi: int | None, name: str, least: int = 0) -> DataFrame:
     """Number of related rows of the subject whose day lies lo..hi days from this row's, both included: the rows up to the last day less those before the first."""
     left = df.select(F.col(subject).alias("__s"), F.to_date(day).alias("__anchor")).filter("__s is not null and __anchor is not null").distinct()
-    days = _per_day(related.select(F.col(subject).alias("__s"), F.col(other_day).alias("__partner")))
-    found = _neighbours(left, days, {"lo": None if lo is None else lo - 1, "hi": hi})
+    few, many = df.count(), related.count()
+    days = _per_day(related.select(F.col(subject).alias("__s"), F.col(other_day).alias("__partner")), many)
+    found = _neighbours(left, days, {"lo": None if lo is None else lo - 1, "hi": hi}, 2 * few + many)
     found = found.select("__s", "__anchor", (_upto("hi_before") - _upto("lo_before")).alias(name))
     out = df.withColumn("__s", F.col(subject)).withColumn("__anchor", F.to_date(day)).join(found, ["__s", "__anchor"], "left").drop("__s", "__anchor").fillna(0, [name])
     return out.filter(F.col(name) >= least)
@@ -293,14 +296,15 @@ def _near_coarse(anchor: DataFrame, partner: DataFrame, key: str, subject: str,
     rows = rows.withColumn("__s", F.struct("__s", "__grain")).withColumn("__day", interval_start(F.col("__raw"), F.col("__grain"))).withColumn("__end", interval_end(F.col("__raw"), F.col("__grain")))
     same = rows.groupBy("__s", "__day", "__end", F.col("__raw").alias("raw")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("__pk", "__partner", *[f"__c_{c}" for c in keep])).alias("row"))
     pick_ = F.max if policy == "last" or (policy == "nearest" and tie != "earlier") else F.min
-    places = same.groupBy("__s", "__day", "__end").agg(F.sum("n").alias("n"), pick_(F.struct("raw", "n", "row")).alias("pick"))
+    few, many = anchor.count(), partner.count()
+    places = dealt(same.groupBy("__s", "__day", "__end").agg(F.sum("n").alias("n"), pick_(F.struct("raw", "n", "row")).alias("pick")), many, "__s")
     along = Window.partitionBy("__s").orderBy("__day")
     place = F.struct(F.col("__day").alias("start"), F.col("__end").alias("end"), "n", F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), "pick")
     line = places.select("__s", "__day", place.alias("__v"))
     line = line.select("__s", "__day", F.struct("__v.*", F.lag("__v").over(along).alias("prev")).alias("__v"))
     asked = _anchor_days(anchor, subject, day)
     left = asked.withColumn("__grain", F.explode(F.array(*[F.lit(g) for g in ("day", "month", "year")]))).select(F.struct("__s", "__grain").alias("__s"), "__anchor")
-    found = _neighbours(left, line, {"lo": None if lo is None else lo - 1, "hi": hi, "at": _pivot(lo, hi), "start": lo})
+    found = _neighbours(left, line, {"lo": None if lo is None else lo - 1, "hi": hi, "at": _pivot(lo, hi), "start": lo}, 12 * few + many)
     first_edge, last_edge = F.date_add("__anchor", lo if lo is not None else 0), F.date_add("__anchor", hi if hi is not None else 0)
 
     def counted(at: str, past: Column) -> Column:
@@ -378,7 +382,8 @@ def _merged(blocks: DataFrame, *by: str) -> DataFrame:
 def _near_days(anchor: DataFrame, partner: DataFrame, key: str, subject: str, day: str, partner_key: str, partner_day: str, lo: int | None, hi: int | None, policy: str, tie: str, name: str, optional: bool, keep: Sequence[str]) -> DataFrame:
     row = F.struct(F.col("__pk"), F.col("__partner"), *[F.col(f"__c_{c}") for c in keep])
     right = partner.select(F.col(partner_key).alias("__pk"), F.col(subject).alias("__s"), F.col(partner_day).alias("__partner"), *[F.col(c).alias(f"__c_{c}") for c in keep])
-    found = _neighbours(_anchor_days(anchor, subject, day), _per_day(right, row), {"lo": None if lo is None else lo - 1, "hi": hi, "at": _pivot(lo, hi), "start": lo})
+    few, many = anchor.count(), partner.count()
+    found = _neighbours(_anchor_days(anchor, subject, day), _per_day(right, many, row), {"lo": None if lo is None else lo - 1, "hi": hi, "at": _pivot(lo, hi), "start": lo}, 4 * few + many)
     off = lambda c: F.datediff(F.col(c)["day"], "__anchor")
     inside = lambda c: F.when(_in_window(off(c), lo, hi), F.col(c))
     found = found.withColumn("__b", inside("at_before")).withColumn("__a", inside("at_after"))

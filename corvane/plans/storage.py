@@ -65,3 +65,13 @@ SMALL = 100_000
 def small_or_shuffled(df: DataFrame, rows: int = SMALL) -> DataFrame:
     """df with a broadcast hint where a count proves it small, else as it is (joined by shuffle)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+#: Rows that a task should hold at once where it sorts them.
+PART_ROWS = 250_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df, of so many rows, dealt by its keys over parts that grow in number with the rows, so that what a task sorts does not; as it is where the session's number of parts will do."""
+    parts = -(-rows // PART_ROWS)
+    return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
