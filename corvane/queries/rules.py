@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import rules as R
 from corvane.plans.grains import read, retail
+from corvane.plans.storage import dealt
 
 from .base import query
 
@@ -160,6 +161,7 @@ def bracket(spark, d):
     rows = rows.withColumns({"subject": F.floor(c / 6), "series": F.floor(k / 64), "begins": F.col("t") - k % 3, "ends": F.col("t") + k % 7 * 30})
     more = dict(series="series", images=("begins", "ends"), content_early=k % 59 == 0, derived=k % 61 == 0, study=("subject", "t", 30))
     how = dict(trusted=F.col("g") % 7 > 0, bolus=(c % 5 == 0) & (k % 9 == 0), untimed=k % 41 == 0, model=k % 2 == 0, tagged=k % 53 == 0, split_gap=400)
+    rows = dealt(rows, o.count(), "g")
     return R.bracket(rows, "g", "t", "s", "o_orderkey", region="region", day="on", **how, **more).select("o_orderkey", "label", "reason", "flags", "weak_first")
 
 
