@@ -10,6 +10,9 @@ overlap * 100 >= percent * union.  The shingles are hashed into groups, and:
 * Points.  In a block, the documents near one head are points whose coordinates
   are the shingle counts of 256 groups.  An R-tree over these points is searched
   with the bound overlap(q, node) <= sum of min(q_g, greatest count_g in the node).
+* Sifting.  A set's bitmap has a bit for each value of its shingles' low bits, two to four bits a shingle.  A bit
+  that only one of two bitmaps has is a shingle that only one of the sets has, which bounds their overlap from
+  above; pairs that cannot link by that bound go before any text is sent.
 * Verification.  Surviving pairs are verified on the whole sets of 64-bit shingle hashes.
 
 Blocks of up to SMALL_BLOCK sets are compared pair by pair.  Larger ones start as
@@ -55,7 +58,7 @@ CELL = 1024
 _FULL = 65_535
 _RATIO = 1.5
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
-_NODE = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("point", pa.binary())])
+_NODE = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("point", pa.binary()), ("bits", pa.binary())])
 _SENT = pa.schema([("sig", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -93,6 +96,28 @@ def point(found: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((found & np.uint64(COORDINATES - 1)).astype(np.int64), minlength=COORDINATES), _FULL).astype(np.uint16)
 
 
+def bitmap(found: np.ndarray) -> np.ndarray:
+    """Bits of the low bits of a set's shingles, in whole 64-bit words; the number of bits is a power of two."""
+    size = 2 << max(5, (len(found) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(found & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
+def may_link(one: tuple[np.ndarray, int], others: list[tuple[np.ndarray, int]], percent: int) -> np.ndarray:
+    """Which of the others, (bitmap, shingles), may link with the first: none that links is left out."""
+    out = np.zeros(len(others), bool)
+    for i, (b, m) in enumerate(others):
+        a, n = one
+        while len(a) > len(b):
+            a = a[: len(a) // 2] | a[len(a) // 2 :]
+        while len(b) > len(a):
+            b = b[: len(b) // 2] | b[len(b) // 2 :]
+        both = min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
+        out[i] = 100 * both >= percent * (n + m - both)
+    return out
+
+
 class Bands:
     """Size bands and the number of groups in each, for a percentage of the union."""
 
@@ -144,7 +169,7 @@ def _nodes(width: int):
             sets = list(shingle_sets(C.raw(batch), width))
             sizes, keys = np.array([len(x) for x in sets], np.int64), digests(sets)
             none = sizes == 0
-            yield C.record(_NODE, batch.column(0), sizes, pa.array(keys[:, 0], mask=none), pa.array(keys[:, 1], mask=none), [point(x).tobytes() for x in sets])
+            yield C.record(_NODE, batch.column(0), sizes, pa.array(keys[:, 0], mask=none), pa.array(keys[:, 1], mask=none), [point(x).tobytes() for x in sets], [bitmap(x).tobytes() for x in sets])
 
     return run
 
@@ -266,6 +291,33 @@ def linked(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarra
     return 100 * both >= percent * (len(one) + sizes - both)
 
 
+def _sift(percent: int, inside: bool):
+    """Pairs of the head with the others that their bitmaps do not rule out; with `inside`, the rest is gathered around some of its own in the same way."""
+
+    def group(sets: dict[int, tuple[np.ndarray, int]], head: int) -> Iterator[tuple[int, int]]:
+        rest = [i for i in sets if i != head]
+        while head in sets and rest:
+            near = may_link(sets[head], [sets[i] for i in rest], percent)
+            yield from ((head, rest[i]) for i in np.flatnonzero(near).tolist())
+            if not inside:
+                return
+            rest = [rest[i] for i in np.flatnonzero(~near).tolist()]
+            head, rest = (rest[0], rest[1:]) if rest else (head, rest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True))
+        out: list[tuple[int, int]] = []
+        for (head, _), mine in itertools.groupby(rows, key=lambda r: r[:2]):
+            out += group({node: (np.frombuffer(bits, np.uint64), n) for _, _, node, n, bits in mine}, head)
+            if len(out) > 100_000:
+                yield C.record(_EDGE, *zip(*out, strict=True))
+                out = []
+        if out:
+            yield C.record(_EDGE, *zip(*out, strict=True))
+
+    return run
+
+
 def _verify(width: int, percent: int, inside: bool):
     def group(sets: dict[int, np.ndarray], head: int) -> Iterator[tuple[int, int]]:
         """Links of the head with the others; with `inside`, then also those among what the head does not reach and all."""
@@ -338,13 +390,31 @@ def _near(percent: int):
     return run
 
 
+def _dealt(both: DataFrame, member: str) -> DataFrame:
+    """Pairs of a head and a member with the cell of the head that the member falls to, of HELD members about."""
+    return both.join(C.hinted(both.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / HELD).alias("cells"))), "head").withColumn("cell", F.pmod(F.xxhash64(member), "cells"))
+
+
+def _sifted(nodes: DataFrame, pairs: DataFrame, percent: int, inside: bool) -> DataFrame:
+    """The pairs (a, b), by h1, that sizes and bitmaps do not rule out (and some found beside them)."""
+    side = lambda x: nodes.select(F.col("h1").alias(x), F.col("n").alias(f"{x}_n"))
+    both = pairs.filter("a != b").join(C.hinted(side("a")), "a").join(C.hinted(side("b")), "b")
+    both = both.filter(F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
+    cells = _dealt(C.stored(both.select(F.col("a").alias("head"), F.col("b").alias("node"))), "node")
+    need = cells.select("head", "cell", "node").union(cells.select("head", "cell", "head").distinct())
+    rows = need.join(nodes.select(F.col("h1").alias("node"), "n", "bits"), "node").select("head", "cell", "node", "n", "bits")
+    rows = rows.repartition("head", "cell").sortWithinPartitions("head", "cell")
+    found = C.stored(C.map_arrow(rows, _sift(percent, inside), "a long, b long").distinct())
+    C.released(nodes.sparkSession)
+    return found
+
+
 def _edges(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int, inside: bool) -> DataFrame:
     """The pairs (a, b), by h1, that link, as pairs of doc_ids of equal sets' representatives (and links found beside them)."""
-    side = lambda x: nodes.select(F.col("h1").alias(x), F.col("rep").alias(f"{x}_id"), F.col("n").alias(f"{x}_n"))
-    both = pairs.join(C.hinted(side("a")), "a").join(C.hinted(side("b")), "b").filter(F.col("a_id") != F.col("b_id"))
-    both = both.filter(F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
+    side = lambda x: nodes.select(F.col("h1").alias(x), F.col("rep").alias(f"{x}_id"))
+    both = _sifted(nodes, pairs, percent, inside).join(C.hinted(side("a")), "a").join(C.hinted(side("b")), "b").filter(F.col("a_id") != F.col("b_id"))
     both = C.stored(both.select(F.col("a_id").alias("head"), "b_id", F.col("a").alias("head_h1"), "b"))
-    cells = both.join(C.hinted(both.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / HELD).alias("cells"))), "head").withColumn("cell", F.pmod(F.xxhash64("b_id"), "cells"))
+    cells = _dealt(both, "b_id")
     need = cells.select("head", "cell", F.col("b_id").alias("id"), F.col("b").alias("h1")).union(cells.select("head", "cell", "head", "head_h1").distinct())
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text")).join(C.hinted(need), "id").select("head", "cell", "id", "h1", "text")
     rows = rows.repartition("head", "cell").sortWithinPartitions("head", "cell")
@@ -401,12 +471,12 @@ def _met(docs: DataFrame, width: int, percent: int, turn: int) -> DataFrame:
 def link_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least doc_id reachable by links)."""
     since = C.mark()
-    base = C.stored(C.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _nodes(width), "doc_id long, n_shingles long, h1 long, h2 long, point binary"))
-    nodes = C.stored(base.filter("h1 is not null and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("point").alias("point")))
+    base = C.stored(C.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _nodes(width), "doc_id long, n_shingles long, h1 long, h2 long, point binary, bits binary"))
+    nodes = C.stored(base.filter("h1 is not null and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("point").alias("point"), F.first("bits").alias("bits")))
     met = reduce(DataFrame.union, [_met(docs, width, percent, turn) for turn in range(ROUNDS)])
     stars = _central(met)
     C.released(docs.sparkSession)
-    base = base.drop("point")
+    base = base.drop("point", "bits")
     pairs = met.filter("sig is null").select("a", "b").union(stars.select("a", "b")).distinct()
     edges = _edges(docs, nodes, pairs, width, percent, True)
     labels = C.components(edges)
