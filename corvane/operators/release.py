@@ -7,8 +7,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from corvane.plans.storage import small_or_shuffled, stored
+from corvane.plans.storage import dealt, small_or_shuffled, stored
 
 from .firsts import beside
 from .sets import numbered
@@ -34,6 +35,9 @@ def standard_name(df: DataFrame, mapping: DataFrame, on: Sequence[str], need: Se
 
 #: Rounds after which naming gives up: each settles or splits every shared name, so a handful do.
 _ROUNDS = 64
+#: Rows of a group that names are settled in inside one task, and rounds that this takes before what is still shared goes on.
+WHOLE_GROUP = 10_000
+AT_ONCE = 3
 
 
 def disambiguate(df: DataFrame, by: Sequence[str], name: str, key: str, echo: str, inversion: str, steps: Sequence[tuple[str, str]], own: str | None = None) -> DataFrame:
@@ -45,25 +49,75 @@ def disambiguate(df: DataFrame, by: Sequence[str], name: str, key: str, echo: st
     without it keeping their name; else they are numbered in key order.  A new name can meet one that was settled
     before; both are shared then and go on.
 
-    A round is one aggregation over names and touches only shared ones; numbers come from ranges, so a name may
-    be that of any part of the rows.
+    Groups of up to WHOLE_GROUP rows are dealt out once and go through AT_ONCE rounds where they lie, by windows.  Larger
+    groups, and those that still share a name then, go on in rounds of one aggregation over names, which touch only
+    shared ones; there numbers come from ranges, so a name may be that of any part of the rows.
     """
-    at = [*by, "unique_name"]
     told = [F.coalesce(F.concat(F.lit(f"_{prefix}"), safe(F.col(c).cast("string"))), F.lit("")).alias(f"__token{i}") for i, (c, prefix) in enumerate(steps)]
-    whole = stored(df.withColumn("__row", F.monotonically_increasing_id()))
-    rows = whole.select(*by, "__row", F.col(key).alias("__key"), F.col(name).alias("unique_name"), F.col(echo).cast("string").alias("__echo"), (F.col(own) if own else F.lit(None)).cast("string").alias("__own"), F.col(inversion).alias("__time"), *told)
-    rows = beside(rows, rows.groupBy(*at).agg(F.count(F.lit(1)).alias("__n")), at)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__all"), *by, F.monotonically_increasing_id().alias("__row"), F.col(key).alias("__key"), F.col(name).alias("unique_name"), F.col(echo).cast("string").alias("__echo"), (F.col(own) if own else F.lit(None)).cast("string").alias("__own"), F.col(inversion).alias("__time"), *told)
+    rows = stored(rows)
+    out = lambda x: x.select("__all.*", "unique_name")
+    if not by:
+        return out(_name_rounds(_echoed(beside(rows, rows.groupBy("unique_name").agg(F.count(F.lit(1)).alias("__n")), ["unique_name"])), by, len(steps)))
+    large = stored(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__size")).filter(F.col("__size") > WHOLE_GROUP).withColumn("__large", F.lit(True)).drop("__size"))
+    rest = None
+    if not large.isEmpty():
+        parted = beside(rows, small_or_shuffled(large), by, "left")
+        rows, rest = parted.filter("__large is null").drop("__large"), parted.filter("__large").drop("__large")
+        rest = _echoed(beside(rest, rest.groupBy(*by, "unique_name").agg(F.count(F.lit(1)).alias("__n")), [*by, "unique_name"]))
+    spread = dealt(rows, rows.count(), *by)
+    spread = rows.repartition(*by) if spread is rows else spread
+    alike = Window.partitionBy(*by, "unique_name")
+    spread = _echoed(spread.withColumn("__n", F.count(F.lit(1)).over(alike)))
+    for _ in range(AT_ONCE):
+        spread = _renamed(spread, [*by, "unique_name"], len(steps))
+    shared = (F.col("__n") > 1) & F.col("unique_name").isNotNull()
+    spread = stored(spread.withColumn("__n", F.count(F.lit(1)).over(alike)).withColumn("__open", F.max(shared).over(Window.partitionBy(*by))).drop("__n"))
+    left = spread.filter("__open").drop("__open")
+    if rest is None and left.isEmpty():
+        return out(spread)
+    left = left if rest is None else left.unionByName(rest)
+    return out(spread.filter("not __open")).unionByName(out(_name_rounds(left, by, len(steps))))
+
+
+def _echoed(rows: DataFrame) -> DataFrame:
+    """Echo numbers to names that __n rows share, own suffixes to others."""
     more = F.when(F.col("__n") > 1, F.concat(F.lit("_e"), "__echo")).otherwise(F.concat(F.lit("_"), "__own"))
-    rows = stored(rows.withColumn("unique_name", F.concat("unique_name", F.coalesce(more, F.lit("")))).drop("__n", "__echo", "__own"))
+    return rows.withColumn("unique_name", F.concat("unique_name", F.coalesce(more, F.lit("")))).drop("__n", "__echo", "__own")
+
+
+def _telling(n: int, of=lambda c: c) -> Column:
+    """The number of the first token that tells any two apart."""
+    return reduce(lambda out, i: F.when(of(F.min(f"__token{i}")) != of(F.max(f"__token{i}")), i).otherwise(out), reversed(range(n)), F.lit(None).cast("int"))
+
+
+def _token(n: int) -> Column:
+    return F.element_at(F.array(*[F.col(f"__token{i}") for i in range(n)] or [F.lit("")]), F.col("__step") + 1)
+
+
+def _renamed(rows: DataFrame, at: Sequence[str], tokens: int) -> DataFrame:
+    """One round over rows whose groups lie together."""
+    w, kept = Window.partitionBy(*at), rows.columns
+    last = [F.col(c).asc_nulls_last() for c in ("__time", "__key", "__row")]
+    rows = rows.withColumn("__by_time", F.row_number().over(w.orderBy(*last))).withColumn("__times", F.dense_rank().over(w.orderBy(last[0])))
+    rows = rows.withColumn("__by_key", F.row_number().over(w.orderBy(*last[1:])))
+    rows = rows.select("*", F.count(F.lit(1)).over(w).alias("__n"), F.count("__time").over(w).alias("__with_time"), F.max("__times").over(w).alias("__most"), _telling(tokens, lambda c: c.over(w)).alias("__step"))
+    timed = (F.col("__with_time") == F.col("__n")) & (F.col("__most") == F.col("__n"))
+    more = F.when(timed, F.concat(F.lit("_ti"), "__by_time")).when(F.col("__step").isNotNull(), _token(tokens)).otherwise(F.concat(F.lit("_"), "__by_key"))
+    return rows.withColumn("unique_name", F.when(F.col("__n") > 1, F.concat("unique_name", more)).otherwise(F.col("unique_name"))).select(*kept)
+
+
+def _name_rounds(rows: DataFrame, by: Sequence[str], tokens: int) -> DataFrame:
+    """Rows after as many rounds as it takes until no name is shared, whatever the size of a name."""
+    at, rows = [*by, "unique_name"], stored(rows)
     for _ in range(_ROUNDS):
         timed = (F.count("__time") == F.count(F.lit(1))) & (F.countDistinct("__time") == F.count(F.lit(1)))
-        tells = reduce(lambda out, i: F.when(F.min(f"__token{i}") != F.max(f"__token{i}"), i).otherwise(out), reversed(range(len(steps))), F.lit(None).cast("int"))
-        groups = stored(rows.groupBy(*at).agg(F.count(F.lit(1)).alias("__n"), timed.alias("__timed"), tells.alias("__step")).filter("__n > 1 and unique_name is not null"))
+        groups = stored(rows.groupBy(*at).agg(F.count(F.lit(1)).alias("__n"), timed.alias("__timed"), _telling(tokens).alias("__step")).filter("__n > 1 and unique_name is not null"))
         if groups.isEmpty():
-            return whole.join(rows.select("__row", "unique_name"), "__row").select(*df.columns, "unique_name")
+            return rows
         pool = beside(rows, groups, at, "left")
         settled, pool = pool.filter("__n is null"), pool.filter("__n is not null")
-        split = pool.filter("not __timed and __step is not null").withColumn("__more", F.element_at(F.array(*[F.col(f"__token{i}") for i in range(len(steps))] or [F.lit("")]), F.col("__step") + 1))
+        split = pool.filter("not __timed and __step is not null").withColumn("__more", _token(tokens))
         counted = pool.filter("__timed or __step is null").withColumn("__by_time", F.when(F.col("__timed"), F.col("__time")))
         counted = stored(numbered(counted, [*at, "__by_time", "__key", "__row"], "__at"))
         place = F.col("__at") - F.col("__before")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from corvane.operators import release, timelines
@@ -48,3 +50,21 @@ def test_suffixes_past_z(spark, n):
     got = [r["label"] for r in timelines.settle(df, "s", "d", "m", [0, 6], 1.0, "suffix", relax=False).collect()]
     letters = "abcdefghijklmnopqrstuvwxyz"
     assert sorted(got) == sorted(["M06"] + [f"M06{x}" for x in [*letters[1:], *(a + b for a in letters for b in letters)][: n - 1]])
+
+
+def test_small_groups_are_settled_where_they_lie(spark, monkeypatch):
+    """In place or round by round, names are the same; in place few tables are stored, however many rounds a group takes."""
+    rng = random.Random(5)
+    pick = lambda *of: rng.choice([None, *of])
+    rows = [(pick(1, 2, *range(3, 30)), i, rng.choice(["n", "n_1", "m"]), pick(1, 2), pick(1.0, 2.0, float("nan")), pick("x", "y"), pick("u"), pick("e9")) for i in range(200)]
+    rows.append((1, 900, None, None, None, None, None, None))
+    df, calls, real = spark.createDataFrame(rows, SCHEMA).coalesce(1), [], release.stored
+    monkeypatch.setattr(release, "stored", lambda x: calls.append(1) or real(x))
+    run = lambda: sorted(map(str, release.disambiguate(df, ["g"], "nm", "k", "echo", "ti", [("p", "p"), ("q", "q")], own="own").collect()))
+    monkeypatch.setattr(release, "AT_ONCE", 8)
+    got, few = run(), len(calls)
+    monkeypatch.setattr(release, "WHOLE_GROUP", 0)
+    assert got == run() and few == 3 and len(calls) - few > 6
+    monkeypatch.setattr(release, "WHOLE_GROUP", 8)
+    monkeypatch.setattr(release, "AT_ONCE", 1)
+    assert got == run()
